@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import bpe_encode
 from .exact_dedup import exact_dedup
+from .mixing import mix
 from .simhash_dedup import simhash_dedup
 from .substring_dedup import substring_dedup
+from .token_counts import token_counts
+from .warc import warc_round_trip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +23,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), width=35)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -27,8 +35,20 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"), shingle=3, radius=3)
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_encode(table(spark, sf_dir, "documents"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), weights=(3.0, 1.0, 2.0), share=1.5, epochs=2.0)
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op4_exact_dedup, op5_simhash_dedup)
+    f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op4_exact_dedup, op5_simhash_dedup, op6_bpe, op7_mixing, op9_warc)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -47,4 +67,29 @@ FROM docs LEFT JOIN gone USING (doc_id)""",
 WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, h AS text_sha256
 FROM d WINDOW g AS (PARTITION BY h)""",
+    "op7_mixing": r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS turn FROM d GROUP BY source),
+w AS (SELECT *, CASE turn % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0 ELSE 2.0 END AS weight, 2.0::DOUBLE * source_size AS cap FROM s),
+held AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_caps,
+                sum(weight) OVER (ORDER BY cap / weight, turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight FROM w),
+level AS (SELECT min_by(((SELECT sum(source_size) FROM s)::DOUBLE * 1.5 - full_caps) / open_weight, cap / weight) AS lam FROM held
+          WHERE weight * (((SELECT sum(source_size) FROM s)::DOUBLE * 1.5 - full_caps) / open_weight) <= cap),
+t AS (SELECT source, source_size, round(CASE WHEN lam IS NULL THEN cap ELSE least(cap, weight * lam) END, 6) AS target FROM w, level),
+p AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS times FROM t),
+q AS (SELECT *, CAST(round(target - times * source_size) AS BIGINT) AS part FROM p),
+o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5('7:' || CAST(doc_id AS VARCHAR)), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)
+SELECT doc_id, size, source_size, target, CAST(times * size + least(size, greatest(0, part - before)) AS BIGINT) AS taken
+FROM o JOIN q ON o.source IS NOT DISTINCT FROM q.source""",
+    "op9_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+b AS (SELECT page_id, strlen(h) AS n, h,
+             array_to_string(list_transform(string_split_regex(sha1(h), ''), c -> lpad(bin(CAST('0x' || c AS INTEGER)), 4, '0')), '') AS bits FROM p),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM b)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), k -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + list_sum(list_transform(range(5), j -> CAST(substr(bits, k * 5 + j + 1, 1) AS INTEGER) * (1 << (4 - j))))::INTEGER, 1)), '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to
+FROM r""",
 }
