@@ -74,3 +74,19 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     joined = placed.join(offsets, placed["source"].eqNullSafe(offsets["s"]) & (placed["bucket"] == offsets["b"]))
     extra = F.least(F.col("size"), F.greatest(F.lit(0), F.col("part") - F.col("before") - F.col("inside")))
     return joined.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("times") * F.col("size") + extra).cast("long").alias("taken"))
+
+
+def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The mix itself: every document with all its columns as many times as it is taken, a part of a
+    document counting as whole from a half on. Documents without words are not taken."""
+    taken = mix(docs, id_col=id_col, text_col=text_col, **options)
+    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    # rows that share an id and a size are told apart by nothing else, so they take turns
+    taken = taken.select(F.col(id_col).alias("_id"), F.col("size").alias("_size"), times.alias("_times"))
+    taken = taken.groupBy("_id", "_size").agg(F.sum("_times").alias("_sum"), F.count("*").alias("_rows"))
+    sized = docs.withColumn("_words", F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long"))
+    joined = sized.join(taken, sized[id_col].eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
+    turn = F.row_number().over(Window.partitionBy("_id", "_size").orderBy(F.xxhash64(text_col)))
+    share = F.floor(F.col("_sum") / F.col("_rows")) + (turn <= F.col("_sum") % F.col("_rows")).cast("int")
+    copies = joined.withColumn("_copies", share.cast("int")).filter("_copies > 0")
+    return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -46,3 +46,21 @@ def test_sql(spark):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
     assert got == sorted(db.sql(ORACLE_SQL["op7_mixing"]).fetchall())
+
+
+def test_repeated(spark):
+    from quillon.llm.mixing import repeated
+
+    rows = [(k, "w " * (20 + k % 7), f"s{k % 3}", "z") for k in range(300)] + [(1000, None, "s0", "z"), (5, "w " * 25, "s2", "z"), (5, "w " * 25, "s2", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size string")
+    out = repeated(df)
+    assert out.columns == df.columns
+    target = {}
+    source = {i: s for i, _, s, _ in rows}
+    for r in mix(df).collect():
+        target[source[r.doc_id]] = r.target
+    taken = dict.fromkeys(target, 0)
+    for r in out.collect():
+        taken[r.source] += len(r.text.split())
+    assert all(abs(taken[s] - target[s]) <= 30 for s in target)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, repeated(df.repartition(3)).collect()))
