@@ -78,7 +78,7 @@ covered AS (SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS p FROM windows S
 gone AS (SELECT doc_id, list(p) AS g FROM covered GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed,
        sha256(CASE WHEN g IS NULL THEN array_to_string(w, ' ')
-                   ELSE coalesce(array_to_string(list_filter(w, (x, i) -> NOT list_contains(g, i)), ' '), '') END) AS kept_sha256
+                   ELSE coalesce(array_to_string(list_filter(w, lambda x, i: NOT list_contains(g, i)), ' '), '') END) AS kept_sha256
 FROM docs LEFT JOIN gone USING (doc_id)""",
     "op4_exact_dedup": """
 WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h FROM documents)
@@ -101,17 +101,17 @@ FROM o JOIN q ON o.source IS NOT DISTINCT FROM q.source""",
     "op9_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 b AS (SELECT page_id, strlen(h) AS n, h,
-             array_to_string(list_transform(string_split_regex(sha1(h), ''), c -> lpad(bin(CAST('0x' || c AS INTEGER)), 4, '0')), '') AS bits FROM p),
+             array_to_string(list_transform(string_split_regex(sha1(h), ''), lambda c: lpad(bin(CAST('0x' || c AS INTEGER)), 4, '0')), '') AS bits FROM p),
 r AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM b)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
-       array_to_string(list_transform(range(32), k -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-         1 + list_sum(list_transform(range(5), j -> CAST(substr(bits, k * 5 + j + 1, 1) AS INTEGER) * (1 << (4 - j))))::INTEGER, 1)), '') AS payload_digest,
+       array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + list_sum(list_transform(range(5), lambda j: CAST(substr(bits, k * 5 + j + 1, 1) AS INTEGER) * (1 << (4 - j))))::INTEGER, 1)), '') AS payload_digest,
        CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> top THEN top END AS refers_to
 FROM r""",
     "op10_embedding_dedup": """
 WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
 reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
 low AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
