@@ -9,13 +9,12 @@ area = Area()
 
 
 @area.query("""
-SELECT data_source, round(avg(s), 9) AS test_score, count(*) AS n_rows FROM (
+SELECT data_source, avg(s) AS "test_score~", count(*) AS n_rows FROM (
   SELECT o_orderkey, o_orderpriority AS data_source, avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END) AS s
   FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2) GROUP BY 1""")
 def a1_offline_evaluation(t):
     rows = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
-    out = offline_evaluation(rows, row="o_orderkey", source="o_orderpriority", score=(F.col("l_returnflag") == "R").cast("double"))
-    return out.withColumn("test_score", F.round("test_score", 9))
+    return offline_evaluation(rows, row="o_orderkey", source="o_orderpriority", score=(F.col("l_returnflag") == "R").cast("double"))
 
 
 QUERIES, ORACLE_SQL = area.queries, area.sql
