@@ -88,9 +88,9 @@ def w4_rloo_vectorized(t):
     return lines(adv.rloo(samples(t), group="l_orderkey", score="l_extendedprice", single_keeps=False))
 
 
-@area.query(f"""{ROWS}, l_extendedprice / 7 - CASE WHEN count(*) {G} > 1 THEN sum(l_quantity * (l_extendedprice / 7)) {G} / sum(l_quantity) {G} ELSE 0 END AS "advantage~" FROM lineitem""")
+@area.query(f"""{ROWS}, l_extendedprice / 7.77 - CASE WHEN count(*) {G} > 1 THEN sum(l_quantity * (l_extendedprice / 7.77)) {G} / sum(l_quantity) {G} ELSE 0 END AS "advantage~" FROM lineitem""")
 def w5_opo(t):
-    return lines(adv.opo(samples(t).withColumn("s", F.col("l_extendedprice") / 7), group="l_orderkey", score="s", length="l_quantity"))
+    return lines(adv.opo(samples(t).withColumn("s", F.col("l_extendedprice") / 7.77), group="l_orderkey", score="s", length="l_quantity"))
 
 
 @area.query(f"""{ROWS}, a * (s - CASE WHEN n > 1 THEN m ELSE 0 END) / 2.0 AS "advantage~" FROM (SELECT *, CASE WHEN l_quantity > 25 THEN l_quantity ELSE 0 END AS s,
