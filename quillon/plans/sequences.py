@@ -36,7 +36,7 @@ def w14_uniform_points(t):
 
 
 @area.query("""SELECT k, point, s + (point + 0.5) / n * total - f AS "tm~" FROM (SELECT *, unnest(range(ceil(f / total * n - 0.5)::BIGINT, ceil(e / total * n - 0.5)::BIGINT)) AS point FROM (SELECT *, e - len AS f, least(greatest(ceil(total * 2), 1), 32) AS n FROM
-  (SELECT user_id AS k, s, len, sum(len) OVER (PARTITION BY user_id ORDER BY s, s + len ROWS UNBOUNDED PRECEDING) AS e, sum(len) OVER (PARTITION BY user_id) AS total FROM (SELECT user_id, event_id * 100.0::DOUBLE AS s, (1 + event_id % 9) / 7 + event_id % 100 * 0.00137 AS len FROM events))))""")
+  (SELECT user_id AS k, s, len, sum(len) OVER (PARTITION BY user_id ORDER BY s, s + len ROWS UNBOUNDED PRECEDING) AS e, sum(len) OVER (PARTITION BY user_id) AS total FROM (SELECT user_id, event_id * 100.0::DOUBLE AS s, (1 + event_id % 9) / 7 + event_id % 100 * 0.00137 AS len FROM events))))""", digits=4)
 def w15_interval_points(t):
     spans = t.events.select(F.col("user_id").alias("k"), (F.col("event_id") * 100.0).alias("s"), (F.col("event_id") * 100.0 + ((1 + F.col("event_id") % 9) / 7 + F.col("event_id") % 100 * 0.00137)).alias("e"))
     return se.interval_points(spans, key="k", start="s", end="e").withColumnRenamed("at", "tm")
