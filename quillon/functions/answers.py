@@ -241,3 +241,20 @@ def content_signature(df_columns: list[str], volatile: list[str]) -> Column:
     """sha256 of a row as JSON with its columns in order, volatile ones masked."""
     cols = [(F.lit("*") if c in volatile else F.col(f"`{c}`")).alias(c) for c in sorted(df_columns)]
     return F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256)
+
+
+#: Words of a counting question. Fixed values.
+COLOURS = ["red", "blue", "green", "white", "black", "yellow", "grey", "silver"]
+RELATIONS = ["left of", "right of", "in front of", "behind", "next to", "near", "opposite"]
+
+
+def count_clause(question: Column) -> Column:
+    """struct(counted, colour, relation, reference): what a question asks to count, its first colour, the
+    relation that is named last and the {A1}-like reference after it."""
+    low = F.lower(question)
+    counted = F.regexp_extract(low, r"how many ([a-z ]+?)(?: are| is| can| do|\?|$)", 1)
+    colour = F.regexp_extract(counted, r"\b(" + "|".join(COLOURS) + r")\b", 1)
+    places = F.array(*[F.struct((F.length(low) - F.locate(r[::-1], F.reverse(low)) - len(r) + 2).alias("at"), F.lit(r).alias("name"), (F.locate(r, low) > 0).alias("there")) for r in RELATIONS])
+    last = F.array_max(F.filter(places, lambda p: p["there"]))
+    empty = lambda x: F.when(x != "", x)
+    return F.struct(empty(counted).alias("counted"), empty(colour).alias("colour"), last["name"].alias("relation"), empty(F.regexp_extract(question, r"\{([A-Z]\d+)\}", 1)).alias("reference"))

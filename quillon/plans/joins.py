@@ -87,6 +87,13 @@ def j9_uncovered_pairs(t):
     return jo.uncovered(jo.flipped_pairs(r, sample="o", item="k", old="a", new="b"), r.select("o", F.col("k").alias("first"), "a").join(y, ["o", "a"]), sample="o")
 
 
+@area.query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'v1' ELSE 'v2' END AS id, n_chars || 's' AS time FROM documents UNION ALL SELECT doc_id, 'v3', '9s' FROM documents""")
+def j8_mention_owner(t):
+    own = F.when(F.col("doc_id") % 2 == 0, "v1").otherwise("v2")
+    text = F.concat(F.lit("In "), own, F.lit(" at "), F.col("n_chars").cast("string"), F.lit("s it opens, then much later on it is v3 (9s) that shows it"))
+    return jo.mention_owner(t.documents.select("doc_id", text.alias("text")), text="text", ids=r"v\d+", times=r"\d+s")
+
+
 @area.query("""SELECT p_brand, view, p_partkey, price AS "price~" FROM (SELECT p_brand, p_partkey, view FROM part, (VALUES ('a'), ('b')) v(view) WHERE p_size > 45) x
   LEFT JOIN (SELECT p_brand, p_partkey, 'a' AS view, p_retailprice AS price FROM part WHERE p_size % 2 = 0) y USING (p_brand, p_partkey, view)""")
 def j10_reference_views(t):

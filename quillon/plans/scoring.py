@@ -181,6 +181,12 @@ def c21_span(t):
     return t.documents.select("doc_id", an.span(text).alias("s")).select("doc_id", F.col("s.start").alias("start_s"), F.col("s.end").alias("end_s"))
 
 
+@area.query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'red cars' ELSE 'people' END AS counted, CASE WHEN doc_id % 2 = 0 THEN 'red' END AS colour, CASE WHEN doc_id % 2 = 0 THEN 'behind' ELSE 'near' END AS relation, CASE WHEN doc_id % 2 = 0 THEN 'A1' END AS reference FROM documents""")
+def c22_count_clause(t):
+    q = F.when(F.col("doc_id") % 2 == 0, "How many red cars are left of the tree and behind {A1}?").otherwise("How many people can you see near it?")
+    return t.documents.select("doc_id", an.count_clause(q).alias("c")).select("doc_id", "c.*")
+
+
 @area.query("""SELECT doc_id, 'left of obj_' || doc_id || ' or obj_' || n_chars || ' {A3}' AS text FROM documents""")
 def c23_fill_placeholders(t):
     return t.documents.select("doc_id", an.fill_placeholders(F.lit("left of {A1} or {A2} {A3}"), F.array("doc_id", "n_chars")).alias("text"))

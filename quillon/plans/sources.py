@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources import files as fi
-from .tables import Area
+from .tables import Area, shared_place
 
 area = Area()
 
@@ -73,4 +73,55 @@ def s13_response_arrays(t):
     return rows.select("conv_id", F.array_join("responses", "|").alias("responses"))
 
 
+ROW = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType())])
+
+
+@area.query("""SELECT source AS source_file, i AS source_index, doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents) WHERE i >= 2 AND i < 12""")
+def s2_json_array(t):
+    path = shared_place(t.spark, "s2")
+    files = t.documents.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "lang"))).alias("rows"))
+    files.select("source", F.to_json("rows").alias("value")).write.partitionBy("source").text(path)
+    parts = None
+    for r in t.documents.select("source").distinct().orderBy("source").collect():  # one task file each
+        own = fi.read_json_array(t.spark, f"{path}/source={r.source}", ROW, start=2, limit=10).withColumn("source_file", F.lit(r.source))
+        parts = own if parts is None else parts.unionByName(own)
+    return parts.withColumn("source_index", F.col("source_index").cast("long"))
+
+
+@area.query("""SELECT conv_id AS task_id, turn, role AS tool_name, CASE WHEN turn % 2 = 0 THEN 1 ELSE 2 END AS n_targets FROM conversations""")
+def s5_tool_logs(t):
+    path = shared_place(t.spark, "s5")
+    entry = F.struct("turn", F.col("role").alias("tool_name"), F.struct(F.when(F.col("turn") % 2 == 0, F.array(F.lit("v1"))).otherwise(F.array(F.lit("v1"), F.lit("v2"))).alias("observation_targets")).alias("inputs"))
+    logs = t.conversations.groupBy(F.concat(F.col("conv_id").cast("string"), F.lit("_log")).alias("dir")).agg(F.to_json(F.collect_list(entry)).alias("value"))
+    logs.repartition(4).write.partitionBy("dir").text(path)
+    out = fi.read_tool_logs(t.spark, path, "*.txt")
+    return out.select(F.regexp_extract("dir", r"dir=(\d+)", 1).cast("long").alias("task_id"), "turn", "tool_name", F.size("inputs.observation_targets").alias("n_targets"))
+
+
+@area.query("SELECT doc_id % 5 AS step, doc_id, lang AS output, quality::BIGINT AS score FROM documents JOIN labels USING (doc_id)")
+def s10_rollout_dump(t):
+    path = shared_place(t.spark, "s10")
+    rows = t.documents.join(t.labels, "doc_id").select((F.col("doc_id") % 5).alias("step"), "doc_id", F.col("lang").alias("output"), F.col("quality").cast("long").alias("score"))
+    fi.dump_rollouts(rows, path, step="step")
+    return t.spark.read.schema(rows.schema).json(path).select(*rows.columns)
+
+
+@area.query("""SELECT step, event_type AS name, v AS "value~" FROM (SELECT event_id % 7 AS step, event_type, avg(value) AS v FROM events GROUP BY 1, 2)""")
+def s11_metric_log(t):
+    path = shared_place(t.spark, "s11")
+    m = t.events.groupBy((F.col("event_id") % 7).alias("step"), "event_type").agg(F.avg("value").alias("v"))
+    fi.append_metrics(m.filter("step < 3"), path, step="step", name="event_type", value="v")
+    fi.append_metrics(m.filter("step >= 3"), path, step="step", name="event_type", value="v")
+    return t.spark.read.schema("step long, data map<string,double>").json(path).select("step", F.explode("data").alias("name", "value"))
+
+
+@area.query("SELECT doc_id, length(lang) AS score FROM documents")
+def s12_append_records(t):
+    path = shared_place(t.spark, "s12")
+    score = lambda df: df.select("doc_id", F.length("lang").cast("long").alias("score"))
+    docs = t.documents.select("doc_id", "lang")
+    fi.append_records(docs.filter("doc_id % 3 = 0"), path, key="doc_id", evaluate=score)
+    return fi.append_records(docs, path, key="doc_id", evaluate=score)
+
+
 QUERIES, ORACLE_SQL = area.queries, area.sql

@@ -2,25 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..streaming import operators as st
-from .tables import Area, Tables
+from .tables import Area, Tables, shared_place
 
 area = Area()
 
 
-def _place(t: Tables, name: str) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir where that is set."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None)
-    from uuid import uuid4
-
-    return f"{base.rstrip('/')}/{name}-{uuid4().hex}" if base else "file://" + tempfile.mkdtemp(prefix=f"{name}-")
-
-
 def _events(t: Tables) -> DataFrame:
     """The table's own file as a stream."""
     return t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/event[s].parquet")
@@ -28,7 +18,7 @@ def _events(t: Tables) -> DataFrame:
 
 @area.query("""SELECT event_id, user_id, event_type FROM events""")
 def t3_resume_by_id(t):
-    out, check = _place(t, "t3"), _place(t, "t3-check")
+    out, check = shared_place(t.spark, "t3"), shared_place(t.spark, "t3-check")
     twice = _events(t)
     once = st.new_by_id(twice.unionByName(twice), key="event_id").select("event_id", "user_id", "event_type")
     for _ in range(2):  # the second run finds nothing new
@@ -38,7 +28,7 @@ def t3_resume_by_id(t):
 
 @area.query("""SELECT day, event_type, CASE WHEN event_type LIKE '%max%' THEN max(value) ELSE avg(value) END AS "value~", count(*) AS n FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, * FROM events) WHERE day < (SELECT strftime(max(ts) - INTERVAL 1 HOUR, '%Y-%m-%d') FROM events) GROUP BY 1, 2""")
 def t6_windowed_metrics(t):
-    out, check = _place(t, "t6"), _place(t, "t6-check")
+    out, check = shared_place(t.spark, "t6"), shared_place(t.spark, "t6-check")
     timed = _events(t).withColumn("ts", F.col("ts").cast("timestamp"))
     st.run_to_end(st.windowed_metrics(timed, time="ts", name="event_type", value="value", width="1 day", watermark="1 hour"), out, check)
     return t.spark.read.parquet(out).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "value", "n")
@@ -46,14 +36,14 @@ def t6_windowed_metrics(t):
 
 @area.query("""SELECT avg(value) AS "avg~", max(value) AS "max~", min(value) AS "min~", quantile_cont(value, 0.5) AS "tp50~", quantile_cont(value, 0.95) AS "tp95~", quantile_cont(value, 0.99) AS "tp99~" FROM events""", digits=5)
 def t7_batch_assembly(t):
-    out, check = _place(t, "t7"), _place(t, "t7-check")
+    out, check = shared_place(t.spark, "t7"), shared_place(t.spark, "t7-check")
     st.run_to_end(_events(t), out, check, each=st.batch_statistics(out, value="value"))
     return t.spark.read.parquet(out).drop("batch")
 
 
 @area.query("SELECT doc_id + 1000000 AS doc_id, n_chars + 50 AS n_chars FROM documents WHERE n_chars + 50 <= 500")
 def t8_generated_append(t):
-    out, check = _place(t, "t8"), _place(t, "t8-check")
+    out, check = shared_place(t.spark, "t8"), shared_place(t.spark, "t8-check")
     docs = t.spark.readStream.schema(t.documents.schema).parquet(f"{t.folder}/document[s].parquet")
     grow = lambda b: b.select((F.col("doc_id") + 1_000_000).alias("doc_id"), (F.col("n_chars") + 50).alias("n_chars"))
     st.run_to_end(docs, out, check, each=st.append_generated(out, grow, length=F.col("n_chars"), limit=500))
@@ -62,7 +52,7 @@ def t8_generated_append(t):
 
 @area.query("""SELECT event_type, count(*) AS produced, count(*) - least(count(*), 10) AS dropped, list_reduce(list_sort(list(event_id))[-10:], lambda a, b: a + b) AS kept_sum FROM events GROUP BY 1""")
 def t1_bounded_buffer(t):
-    out, check = _place(t, "t1"), _place(t, "t1-check")
+    out, check = shared_place(t.spark, "t1"), shared_place(t.spark, "t1-check")
     t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     buffers = st.bounded_buffer(_events(t).select("event_type", "event_id"), key="event_type", item="event_id", n=10)
     st.run_to_end(buffers, out, check, mode="update", each=lambda b, k: b.write.mode("overwrite").parquet(f"{out}/batch={k}"))
@@ -94,7 +84,7 @@ def _versions(t: Tables) -> DataFrame:
 
 @area.query("SELECT count(*) AS done, max(event_id) AS last_id FROM events")
 def t4_progress(t):
-    out, check = _place(t, "t4"), _place(t, "t4-check")
+    out, check = shared_place(t.spark, "t4"), shared_place(t.spark, "t4-check")
     running = _events(t).groupBy().agg(F.count("*").alias("done"), F.max("event_id").alias("last_id"))
     st.run_to_end(running, out, check, mode="complete", each=lambda b, k: b.write.mode("overwrite").parquet(out))
     return t.spark.read.parquet(out)
@@ -109,11 +99,27 @@ def t5_merged_state(t):
 
 @area.query("""SELECT event_type, fields, n_values FROM (SELECT event_type, array_to_string(list_sort(list(DISTINCT 'f' || event_id % 3)), ',') AS fields, count(DISTINCT (event_id % 3, event_id % 5))::BIGINT AS n_values FROM events GROUP BY 1)""")
 def t5_merged_state_stream(t):
-    out, check = _place(t, "t5"), _place(t, "t5-check")
+    out, check = shared_place(t.spark, "t5"), shared_place(t.spark, "t5-check")
     t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     updates = _events(t).select("event_type", "event_id", F.lit("append").alias("op"), F.concat(F.lit("f"), (F.col("event_id") % 3).cast("string")).alias("field"), (F.col("event_id") % 5).cast("string").alias("value"))
     st.run_to_end(st.merged_state_stream(updates, key="event_type", order="event_id"), out, check, mode="update", each=lambda b, k: b.write.mode("overwrite").parquet(f"{out}/batch={k}"))
     return t.spark.read.parquet(out).select("event_type", F.array_join(F.array_sort("fields"), ",").alias("fields"), "n_values")
 
 
+@area.query("""SELECT user_id, 'made ' || event_type AS text, count(*) AS n FROM events GROUP BY 1, 2""")
+def x5_generator_plug(t):
+    def generate(batches):
+        for pdf in batches:
+            yield pdf[["user_id"]].assign(text="made " + pdf["event_type"])
+
+    made = st.generated(t.events.select("user_id", "event_type"), generate, "user_id long, text string")
+    return made.groupBy("user_id", "text").agg(F.count("*").alias("n"))
+
+
+@area.query("""SELECT source, CASE WHEN m IS NULL THEN 1.0 ELSE 0.5 + 0.5 * (1 - m) END AS "weight~" FROM (SELECT source, avg(quality) AS m FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1)""")
+def x5_curriculum_weights(t):
+    weights = t.documents.select("source").distinct().withColumn("weight", F.lit(1.0))
+    return st.curriculum_weights(t.documents.join(t.labels, "doc_id"), weights, key="source", score="quality")
+
+
 QUERIES, ORACLE_SQL = area.queries, area.sql

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import tempfile
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,12 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
+def shared_place(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir where that is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{base.rstrip('/')}/{name}-{uuid4().hex}" if base else "file://" + tempfile.mkdtemp(prefix=f"{name}-") + "/out"
+
+
 class Area:
     """Queries of one area. `@area.query(sql)` registers a function of Tables under its name."""
 

@@ -165,3 +165,18 @@ def merged_state_stream(updates: DataFrame, *, key: str, order: str) -> DataFram
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, *, files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+
+
+# ---- plugs ------------------------------------------------------------------------------
+
+
+def generated(df: DataFrame, generate: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """Rows that a user generator makes of a table, batch by batch."""
+    return df.mapInPandas(generate, schema)
+
+
+def curriculum_weights(progress: DataFrame, weights: DataFrame, *, key: str, score: str, rate: float = 0.5) -> DataFrame:
+    """Weights of the next batch: moved by `rate` towards how far each key's mean score is from 1."""
+    seen = progress.groupBy(key).agg(F.avg(score).alias("_m"))
+    new = F.col("weight") * (1 - rate) + rate * (1 - F.col("_m"))
+    return weights.join(seen, key, "left").select(key, F.when(F.col("_m").isNull(), F.col("weight")).otherwise(new).alias("weight"))
