@@ -21,6 +21,15 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Arrow batches of at most a few MB, however long the texts: rows here hold whole documents, and
+    Spark's usual 10,000 of them would not fit beside each other. Smaller settings stay."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = spark.conf.get(key).lower().rstrip("b")
+    if not have.isdigit() or int(have) > size:  # set in other units, if at all
+        spark.conf.set(key, str(size))
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid4().hex}"
 
