@@ -11,7 +11,7 @@ area = Area()
 U = "('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
 
 
-@area.query("""SELECT user_id, min(m) AS start, max(m) AS "end" FROM (SELECT user_id, m, m - row_number() OVER (PARTITION BY user_id ORDER BY m) AS g FROM (SELECT DISTINCT user_id % 20 AS user_id, epoch(ts)::BIGINT // 3600 AS m FROM events)) GROUP BY user_id, g""")
+@area.query("""SELECT user_id, min(m) AS start, max(m) AS "end" FROM (SELECT user_id, m, m - row_number() OVER (PARTITION BY user_id ORDER BY m) AS g FROM (SELECT DISTINCT user_id % 20 AS user_id, floor(epoch(ts) / 3600)::BIGINT AS m FROM events)) GROUP BY user_id, g""")
 def w12_islands(t):
     e = t.events.select((F.col("user_id") % 20).alias("user_id"), F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600).alias("m"))
     return se.islands(e, keys=["user_id"], number="m")
