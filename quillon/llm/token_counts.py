@@ -14,10 +14,15 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import HIGH, REMEMBERED, unassigned
+from .shared import bounded_batches
+
+STRETCH = regex.compile(r"\s*\S+|\s+")
 _FAN = 1024
 _LEVELS = 4
 
@@ -41,12 +46,41 @@ def encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+class Lengths:
+    """How many tokens a text has, from those of its stretches: white space and what follows it up to
+    the next. No token crosses from one to another, so the most frequent are encoded once."""
+
+    def __init__(self, path: str, pattern: str):
+        self.encode, self.young = encoding(path, pattern).encode_ordinary, unassigned()
+        self.known: dict[str, int] = {}
+        self.older: dict[str, int] = {}
+
+    def __call__(self, text: str) -> int:
+        if HIGH.search(text) and self.young.search(text):  # letters that the tables here may class otherwise
+            return len(self.encode(text))
+        stretches = STRETCH.findall(text)
+        known, older, encode = self.known, self.older, self.encode
+        for x in set(stretches).difference(known):
+            have = older.get(x)
+            known[x] = len(encode(x)) if have is None else have
+        total = sum(map(known.__getitem__, stretches))
+        if len(known) > REMEMBERED:
+            self.older, self.known = known, {}
+        return total
+
+
+@lru_cache(maxsize=4)
+def lengths(path: str, pattern: str) -> Lengths:
+    """One for each worker process."""
+    return Lengths(path, pattern)
+
+
 def _lengths(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path, pattern).encode_ordinary
+        count = lengths(path, pattern)
         seen: Counter[int] = Counter()
         for batch in batches:
-            seen.update(len(encode(t.as_py() or "")) for t in batch.column(0))
+            seen.update(count(t.as_py() or "") for t in batch.column(0))
         yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.int64()), pa.array(seen.values(), pa.int64())], names=["length", "n_docs"])
 
     return run
@@ -55,6 +89,7 @@ def _lengths(path: str, pattern: str):
 def length_histogram(docs: DataFrame, *, text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(length, n_docs): how many documents are encoded to how many tokens. Null and empty texts
     have length 0; repeated rows count each; strings of special tokens are ordinary text. No rows, no lengths."""
+    bounded_batches(docs.sparkSession)
     run = _lengths(path or default_path(), pattern or default_pattern())
     return docs.select(F.col(text_col)).mapInArrow(run, "length long, n_docs long").groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
 

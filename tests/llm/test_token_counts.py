@@ -1,4 +1,6 @@
-from quillon.llm.token_counts import default_path, default_pattern, encoding, length_histogram, length_quantile, token_counts, truncated_total, with_suffix_sums
+import random
+
+from quillon.llm.token_counts import default_path, default_pattern, encoding, length_histogram, length_quantile, lengths, token_counts, truncated_total, with_suffix_sums
 
 
 def brute(lengths):
@@ -18,6 +20,15 @@ def test_documents(spark):
     assert length_quantile(got, 0.5).first()[0] == sorted(lengths)[(len(lengths) + 1) // 2 - 1]
 
 
+def test_stretches():
+    rng = random.Random(5)
+    pool = [chr(c) for r in (range(1, 0x250), range(0x300, 0x600), range(0x2000, 0x2100), range(0x4E00, 0x4E40)) for c in r] + list(" \t\n'ss  ") * 60 + [chr(0x1C89)]
+    count, encode = lengths(default_path(), default_pattern()), encoding(default_path(), default_pattern()).encode_ordinary
+    for _ in range(1500):
+        text = "".join(rng.choice(pool) for _ in range(rng.randrange(80)))
+        assert count(text) == len(encode(text)), text
+
+
 def test_far_lengths(spark):
     rows = [(0, 2), (5, 1), (1023, 1), (1024, 3), (5_000_000, 2), (3_000_000_000, 1)]
     got = {r.length: (r.docs_at_least, r.tokens_at_least) for r in with_suffix_sums(spark.createDataFrame(rows, "length long, n_docs long")).collect()}
