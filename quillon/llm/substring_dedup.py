@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .recompression import Parse, Tokens
-from .shared import written
+from .shared import bounded_batches, written
 from .words import chunks, texts_of
 
 WIDTH = 35
@@ -132,24 +132,27 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     if not 2 <= width <= 60:
         raise ValueError("width must be from 2 to 60")
+    bounded_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     base = base.withColumn("k1", F.xxhash64("id", "text")).withColumn("k2", F.hash("id", "text"))
     parsed = written(base.select("k1", "k2", "text").mapInArrow(_stretches(width), _STRETCH), "stretches")
-    twice = parsed.groupBy("symbol").agg(F.sum("weight").alias("w")).filter("w > 1").select("symbol")
+    # what a join looks up is written first: only between two plain exchanges can Spark split a hot symbol
+    twice = written(parsed.groupBy("symbol").agg(F.sum("weight").alias("w")).filter("w > 1").select("symbol"), "twice")
     shared = written(parsed.join(twice, "symbol", "left_semi"), "shared")
 
     contexts = shared.groupBy("symbol", "context").agg(F.sum("weight").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("one"))
     contexts = written(contexts, "contexts")
-    differ = contexts.groupBy("symbol").agg(F.count("*").alias("c")).filter("c > 1").select("symbol")
+    differ = written(contexts.groupBy("symbol").agg(F.count("*").alias("c")).filter("c > 1").select("symbol"), "differ")
     single = contexts.join(differ, "symbol", "left_semi").select("one.k1", "one.k2", F.struct("one.place", "symbol", "context", "n").alias("s"))
     asked = single.groupBy("k1", "k2").agg(F.collect_list("s").alias("stretches"))
     looked = base.select("k1", "k2", "text").join(asked, ["k1", "k2"]).select("text", "stretches")
     windows = written(looked.mapInArrow(_windows(width), _WINDOW), "windows")
-    again = windows.groupBy("w1", "w2").agg(F.sum("n").alias("c")).filter("c > 1").select("w1", "w2")
+    again = written(windows.groupBy("w1", "w2").agg(F.sum("n").alias("c")).filter("c > 1").select("w1", "w2"), "again")
     masks = windows.join(again, ["w1", "w2"], "left_semi").groupBy("symbol", "context").agg(F.bit_or(F.expr("shiftleft(1L, slot)")).alias("mask"))
 
     settled = contexts.join(masks, ["symbol", "context"], "left")
     settled = settled.select("symbol", "context", F.when(F.col("n") > 1, F.lit(-1)).otherwise(F.coalesce("mask", F.lit(0))).cast("long").alias("mask")).filter("mask != 0")
+    settled = written(settled, "settled")
     marks = shared.join(settled, ["symbol", "context"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "mask")).alias("marks"))
     joined = base.join(marks, ["k1", "k2"], "left").select(F.col("id").alias(id_col), "text", "marks")
     kind = docs.schema[id_col].dataType.simpleString()
