@@ -21,8 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .shared import bounded_batches
+from .words import chunks
+
 #: Distinct stretches of text whose tokens a worker remembers, twice at most.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 NEVER = 1 << 40
 SPACES = regex.compile(r"\s+")
 #: Separators that str.split() takes for white space and the vocabulary's pattern does not.
@@ -320,31 +323,17 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _encode(path: str, text_col: str, with_ids: bool, chunk: int = 1 << 19):
+def _encode(path: str, with_ids: bool, chunk: int = 1 << 18):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(path)
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
-            counts, ids_sha, text_sha, ids_all, decoded_all = [], [], [], [], []
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end] or "") <= chunk):
-                    size += len(texts[end] or "")
-                    end += 1
-                for ids, decoded in bpe.encode_all([t or "" for t in texts[at:end]]):
-                    counts.append(len(ids) // 4)
-                    ids_sha.append(hashlib.sha256(ids).hexdigest())
-                    text_sha.append(hashlib.sha256(decoded).hexdigest())
-                    if with_ids:
-                        ids_all.append(np.frombuffer(ids, dtype="<u4").astype(np.int32))
-                        decoded_all.append(decoded.decode())
-                at = end
             names = [n for n in batch.schema.names if n != "_text"]
-            out = [batch.column(n) for n in names] + [pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-            if with_ids:
-                out += [pa.array(ids_all, pa.list_(pa.int32())), pa.array(decoded_all, pa.string())]
-            yield pa.RecordBatch.from_arrays(out, names=names + ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids)
+            for part, raw in chunks(batch, "_text", chunk):  # what is decoded leaves a little at a time
+                got = bpe.encode_all([t.decode() for t in raw])
+                out = [part.column(n) for n in names] + [pa.array([len(i) // 4 for i, _ in got], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i, _ in got]), pa.array([hashlib.sha256(d).hexdigest() for _, d in got])]
+                if with_ids:
+                    out += [pa.array([np.frombuffer(i, dtype="<u4").astype(np.int32) for i, _ in got], pa.list_(pa.int32())), pa.array([d.decode() for _, d in got], pa.string())]
+                yield pa.RecordBatch.from_arrays(out, names=names + ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids)
 
     return run
 
@@ -359,7 +348,8 @@ def bpe_encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     repeated rows give repeated results. Other columns are not read. An empty table gives none.
     The file at `path` must be on every executor.
     """
+    bounded_batches(docs.sparkSession)
     path = path or default_path()
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
-    return docs.select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(_encode(path, text_col, with_ids), schema)
+    return docs.select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(_encode(path, with_ids), schema)

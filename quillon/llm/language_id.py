@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
+
 #: log2 of the number of features; n-grams are hashed to them.
 BITS = 15
 PER_LANG, MAX_LANGS = 1000, 200
@@ -141,41 +143,59 @@ def _fit_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> dict | None:
     """A model from the rows whose language is known; None if there is no row to learn from."""
+    bounded_batches(docs.sparkSession)
     base = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
     frequencies = {r.feature: r.df for r in base.select("text").mapInArrow(_frequencies, "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).collect()}
     total = frequencies.pop(1 << BITS, 0)  # at most 2**BITS + 1 rows
     df = np.zeros(1 << BITS)
     df[list(frequencies)] = list(frequencies.values())
     idf = np.log((1 + total) / (1 + df)) + 1
-    langs = base.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).select("lang")
+    langs = base.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
     keyed = base.withColumn("h", F.xxhash64("text", F.lit("sample")))
+    # about four times as many as wanted, by their hash alone, before any shuffle; then the smallest hashes
+    share = (F.col("h") / F.lit(2.0**64)) + 0.5
+    likely = keyed.select("lang", "h").join(F.broadcast(langs), "lang").filter(share * F.col("n") < 4 * per_lang).select("lang", "h").distinct()
     order = Window.partitionBy("lang").orderBy("h")
-    chosen = keyed.select("lang", "h").distinct().join(F.broadcast(langs), "lang", "left_semi").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_lang).select("lang", "h")
+    chosen = likely.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_lang).select("lang", "h")
     sample = keyed.join(F.broadcast(chosen), ["lang", "h"], "left_semi").select("lang", "h", "text")  # max_langs * per_lang rows at most
     sample = sample.mapInArrow(_vectors(idf), "lang string, h long, at binary, x binary").dropDuplicates(["lang", "h"])
     fitted = sample.coalesce(1).mapInArrow(_fit_group, "model binary").collect()
     return pickle.loads(fitted[0].model) | {"idf": idf} if fitted else None
 
 
+def told(model: dict | None, text: str | None) -> tuple[str, float]:
+    """(language, calibrated probability) of one text."""
+    found = counts(text) if model else None
+    if not found:
+        return UNKNOWN, 0.0
+    at, x = tf_idf(found, model["idf"])
+    w = model["weights"]
+    p = softmax((x @ w[at] + w[-1]) / model["temperature"])
+    best = int(p.argmax())
+    return model["langs"][best], float(p[best])
+
+
 def _predict(handle):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = handle.value
         for batch in batches:
-            langs, scores = [], []
-            for text in batch.column("_text"):
-                found = counts(text.as_py()) if model else None
-                if not found:
-                    langs.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                at, x = tf_idf(found, model["idf"])
-                w = model["weights"]
-                p = softmax((x @ w[at] + w[-1]) / model["temperature"])
-                best = int(p.argmax())
-                langs.append(model["langs"][best])
-                scores.append(float(p[best]))
+            got = [told(model, text.as_py()) for text in batch.column("_text")]
             rest = [n for n in batch.schema.names if n != "_text"]
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in rest] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=rest + ["lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in rest] + [pa.array([x for x, _ in got], pa.string()), pa.array([p for _, p in got], pa.float64())], names=rest + ["lang_pred", "score"])
+
+    return run
+
+
+def _keep(handle, text_col: str, min_score: float, rows: int = 512):
+    """Whole rows, those that are kept; a few at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = handle.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                got = [told(model, text.as_py()) for text in part.column(text_col)]
+                yield part.filter(pa.array([x != UNKNOWN and p >= min_score for x, p in got], pa.bool_()))
 
     return run
 
@@ -210,6 +230,5 @@ def language_id(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 def known_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = 0.5) -> DataFrame:
     """The rows whose language is told with at least `min_score`, with all their columns."""
     model = train(docs, text_col=text_col, lang_col=lang_col)
-    keep = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")]
-    told = predict(docs, model, keep, text_col=text_col)
-    return told.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("row.*")
+    handle = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_keep(handle, text_col, min_score), docs.schema)

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -84,12 +85,14 @@ def texts_of(column: pa.Array) -> list[bytes]:
 
 def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Cuts a batch between rows so that each part holds about `limit` bytes of text, or a single row."""
-    texts = texts_of(batch.column(text))
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
     at = size = 0
-    for k, t in enumerate(texts):
-        if k > at and size + len(t) > limit:
-            yield batch.slice(at, k - at), texts[at:k]
+    for k, n in enumerate(sizes):
+        if k > at and size + n > limit:
+            part = batch.slice(at, k - at)
+            yield part, texts_of(part.column(text))
             at, size = k, 0
-        size += len(t) + 1
-    if at < len(texts):
-        yield batch.slice(at), texts[at:]
+        size += n + 1
+    if at < len(sizes):
+        part = batch.slice(at)
+        yield part, texts_of(part.column(text))
