@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -40,3 +41,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def row_key(docs: DataFrame, text_col: str) -> Column:
+    """SHA-256 of a whole row: rows with equal keys are one row repeated, whatever their ids."""
+    rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]))
+    return F.unhex(F.sha2(F.concat_ws(" ", F.coalesce(F.sha2(F.col(text_col), 256), F.lit("-")), rest), 256))
+
+
+def rows_of_keys(docs: DataFrame, keys: DataFrame, text_col: str) -> DataFrame:
+    """The rows of `docs` whose row_key is in keys(_key), with all their columns; of a repeated row, one."""
+    keyed = docs.withColumn("_key", row_key(docs, text_col))
+    return keyed.join(keys, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import bounded_batches, written
+from .shared import bounded_batches, row_key, rows_of_keys, written
 
 SHINGLE, RADIUS, LIMIT = 3, 3, 256
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -55,7 +55,8 @@ def _fingerprints(shingle: int):
         for batch in batches:
             found = [fingerprint((x.as_py() or "").encode(), shingle) for x in batch.column("text")]
             values = np.array(found, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(values)], names=["id", "f"])
+            rest = [n for n in batch.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in rest] + [pa.array(values)], names=[*rest, "f"])
 
     return run
 
@@ -229,7 +230,15 @@ def simhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The documents that stay, one of each group, with all their columns."""
-    result = simhash_dedup(docs, id_col=id_col, text_col=text_col, shingle=shingle, radius=radius)
-    stay = result.filter("kept").select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(F.col("_id")), "left_semi").dropDuplicates([id_col])
+    """The documents that stay, one of each group, with all their columns: the one with the smallest id,
+    null being larger than any other, and of rows that share it the one with the smallest row_key."""
+    bounded_batches(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+    base = docs.select(F.col(id_col).alias("id"), row_key(docs, text_col).alias("key"), F.col(text_col).alias("text"))
+    prints = written(base.mapInArrow(_fingerprints(shingle), f"id {kind}, key binary, f long"), "fingerprints")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
+    each = written(prints.groupBy("f").agg(first), "distinct-fingerprints")
+    groups = components(link_fingerprints(each.select("f"), radius=radius))
+    whole = each.join(groups.withColumnRenamed("id", "f"), "f", "left").withColumn("c", F.coalesce("component_id", "f"))
+    stay = whole.groupBy("c").agg(F.min("first").alias("first")).select(F.col("first.key").alias("_key"))
+    return rows_of_keys(docs, stay, text_col)
