@@ -3,8 +3,8 @@ n-grams, trained by follow-the-regularised-leader with elastic-net penalties, th
 by a temperature.
 
 Document frequencies count all training documents. The classifier is fitted on a bounded sample
-of them, `per_lang` for each of at most `max_langs` languages, whole texts, drawn by a hash of
-the text. Language, source and id never enter a prediction.
+of them, at most `per_lang` different texts for each language that occurs, whole texts, drawn by a
+hash of the text. Language, source and id never enter a prediction.
 """
 
 from __future__ import annotations
@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches
+from .shared import bounded_batches, written
 
 #: log2 of the number of features; n-grams are hashed to them.
 BITS = 15
-PER_LANG, MAX_LANGS = 1000, 200
+PER_LANG = 1000
 #: Step size, its smoothing, L1 and L2 penalties, passes over the sample.
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 1e-3, 1e-3, 4
 UNKNOWN = "und"
@@ -141,7 +141,7 @@ def _fit_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
 
-def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> dict | None:
+def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> dict | None:
     """A model from the rows whose language is known; None if there is no row to learn from."""
     bounded_batches(docs.sparkSession)
     base = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
@@ -150,14 +150,17 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", pe
     df = np.zeros(1 << BITS)
     df[list(frequencies)] = list(frequencies.values())
     idf = np.log((1 + total) / (1 + df)) + 1
-    langs = base.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
     keyed = base.withColumn("h", F.xxhash64("text", F.lit("sample")))
-    # about four times as many as wanted, by their hash alone, before any shuffle; then the smallest hashes
+    # copies count once, so that the smallest hashes of a language are as many as there are texts, up to per_lang
+    texts = written(keyed.select("lang", "h").distinct(), "text-hashes")
+    counted = texts.groupBy("lang").agg(F.count("*").alias("n"))
+    # about four times as many as wanted, by their hash alone, before the window; a language of few texts sends all
     share = (F.col("h") / F.lit(2.0**64)) + 0.5
-    likely = keyed.select("lang", "h").join(F.broadcast(langs), "lang").filter(share * F.col("n") < 4 * per_lang).select("lang", "h").distinct()
+    likely = texts.join(counted, "lang").filter(share * F.col("n") < 4 * per_lang).select("lang", "h")
     order = Window.partitionBy("lang").orderBy("h")
     chosen = likely.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_lang).select("lang", "h")
-    sample = keyed.join(F.broadcast(chosen), ["lang", "h"], "left_semi").select("lang", "h", "text")  # max_langs * per_lang rows at most
+    chosen = written(chosen, "sample-hashes")  # per_lang rows a label at most
+    sample = keyed.join(chosen, ["lang", "h"], "left_semi").select("lang", "h", "text")
     sample = sample.mapInArrow(_vectors(idf), "lang string, h long, at binary, x binary").dropDuplicates(["lang", "h"])
     fitted = sample.coalesce(1).mapInArrow(_fit_group, "model binary").collect()
     return pickle.loads(fitted[0].model) | {"idf": idf} if fitted else None

@@ -1,7 +1,7 @@
 import zlib
 
 import numpy as np
-from quillon.llm.language_id import counts, fit, known_language, language_id
+from quillon.llm.language_id import counts, fit, known_language, language_id, train
 
 DATA = "/root/testdata/sf0.01"
 
@@ -39,3 +39,10 @@ def test_weights_are_sparse_and_calibrated():
     assert (model["weights"] == 0).mean() > 0.9
     p = 1 / (1 + np.exp(-abs(model["weights"][300, 1] - model["weights"][300, 0]) * 0.9 / model["temperature"]))
     assert 0.75 < p < 0.99
+
+
+def test_every_label_takes_part_however_often_its_texts_are_copied(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(f"l{k:03}", f"{letters[k % 26]}{letters[k // 26]} " * 5) for k in range(210)]
+    docs = spark.createDataFrame([r for r in rows for _ in range(100)], "lang string, text string")
+    assert train(docs, per_lang=2)["langs"] == sorted(lang for lang, _ in rows)
