@@ -1,0 +1,175 @@
+"""Near-dedup by the similarity of texts themselves: the share of common among all distinct word shingles.
+
+Links are exact. With one order of all shingles, two sets of similarity 4/5 or more share a shingle
+among the first n - ceil(4n/5) + 1 of each. So each distinct set is posted under those of its
+shingles, and only sets that meet under one are compared. In the order, shingles that are frequent
+in a sample of documents come last; any order gives the same links, this one short postings.
+
+The sets of a posting are compared with its least and its greatest one first. What that links needs
+no further comparison; then all pairs of a posting that are still in different components are.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .components import components
+from .shared import bounded_batches, row_key, rows_of_keys, written
+from .simhash_dedup import shingle_hashes
+
+SHINGLE = 5
+#: Documents whose shingles are counted for the order, about; how often one has to occur there; how many are kept.
+SAMPLE, OFTEN, FREQUENT = 20_000, 4, 1 << 16
+
+
+def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles; texts without a word share one hash of their own."""
+    h = shingle_hashes((text or "").encode(), shingle)
+    return np.unique(h) if len(h) else np.zeros(1, dtype=np.uint64)
+
+
+def first_shingles(s: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Those of a set of which a similar one must have one. `frequent` is sorted."""
+    n = len(s)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+        last = frequent[at] == s
+        s = np.concatenate((s[~last], s[last][np.argsort(rank[at[last]])]))
+    return s[: n - (4 * n + 4) // 5 + 1]
+
+
+def _shingles(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), shingle).view(np.int64))], names=["h"])
+
+    return run
+
+
+def _posted(shingle: int, handle):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, rank = handle.value
+        for batch in batches:
+            names, sizes, firsts = [], [], []
+            for text in batch.column("text"):
+                s = shingle_set(text.as_py(), shingle)
+                names.append(xxhash.xxh3_128_digest(s.tobytes()))
+                sizes.append(len(s))
+                firsts.append(first_shingles(s, frequent, rank).view(np.int64))
+            offsets = np.cumsum([0, *map(len, firsts)], dtype=np.int32)
+            values = np.concatenate([np.empty(0, dtype=np.int64), *firsts])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("key"), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
+                names=["id", "key", "d", "n", "first"])
+
+    return run
+
+
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """The set's hashes by their low bits, in at least two bits for each of them."""
+    bits = np.zeros(max(256, 1 << (2 * len(s) - 1).bit_length()), dtype=bool)
+    bits[(s & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def may_be_similar(m: int, x: np.ndarray, n: int, y: np.ndarray) -> bool:
+    """False only if bitmaps x and y of sets of m and n hashes show that fewer than 4/9 (m + n) are common:
+    a bit of one that the other lacks is a hash of one that the other lacks."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    return 9 * min(m - int(np.bitwise_count(x & ~y).sum()), n - int(np.bitwise_count(y & ~x).sum())) >= 4 * (m + n)
+
+
+def _sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(text.as_py(), shingle) for text in batch.column("text")]
+            columns = [pa.array([x.tobytes() for x in found], pa.binary()), pa.array([bitmap(x).tobytes() for x in found], pa.binary()), pa.array(list(map(len, found)), pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("d"), *columns], names=["d", "s", "m", "n"])
+
+    return run
+
+
+def _hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        columns = [batch.column(c) for c in ("n", "m", "o", "p")]
+        keep = [may_be_similar(n.as_py(), np.frombuffer(m.as_buffer(), np.uint8), o.as_py(), np.frombuffer(p.as_buffer(), np.uint8)) for n, m, o, p in zip(*columns)]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = (batch.column(c) for c in ("s", "t"))
+        keep = []
+        for x, y in zip(a, b):
+            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(5 * both >= 4 * (len(x) + len(y) - both))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles of a sample, sorted, and their rank from the rarest on. At most FREQUENT numbers go out."""
+    rows = max(docs.count(), 1)
+    sample = docs.filter((F.xxhash64("text") / F.lit(2.0**64)) + 0.5 < SAMPLE / rows).select("text")
+    counted = sample.mapInArrow(_shingles(shingle), "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN)
+    got = counted.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    h = np.asarray(got["h"].combine_chunks() if len(got) else [], dtype=np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], len(h) - order
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """The documents that stay, one of each group, with all their columns.
+
+    Documents of a similarity of 0.8 or more link, and groups are what links, directly or over others.
+    A-Z are lower-cased; a shingle is `shingle` words, and fewer words are one shingle. Texts without
+    a word are alike. The smallest id stays, null being larger than any other, and of rows that share
+    it the one with the smallest row_key. Texts are read whole. An empty table gives none."""
+    bounded_batches(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+    base = docs.select(F.col(id_col).alias("id"), row_key(docs, text_col).alias("key"), F.col(text_col).alias("text"))
+    handle = docs.sparkSession.sparkContext.broadcast(_frequent(base, shingle))
+    rows = written(base.mapInArrow(_posted(shingle, handle), f"id {kind}, key binary, d binary, n long, first array<long>"), "shingle-sets")
+    lowest = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("low")
+    each = written(rows.groupBy("d").agg(lowest, F.first("n").alias("n"), F.first("first").alias("first")), "distinct-sets")
+
+    posting = Window.partitionBy("h")
+    posts = each.select("d", "n", F.explode("first").alias("h"))
+    posts = posts.withColumns({"rows": F.count("*").over(posting), "least": F.min(F.struct("d", "n")).over(posting), "most": F.max(F.struct("d", "n")).over(posting)})
+    posts = written(posts.filter("rows > 1").drop("rows"), "shared-postings")
+    met = written(posts.select("d").distinct().join(each.select("d", F.col("low.key").alias("key")), "d"), "met")
+    texts = base.select("key", "text").join(met, "key").select("d", "text").dropDuplicates(["d"])
+    sets = written(texts.mapInArrow(_sets(shingle), "d binary, s binary, m binary, n long"), "sets")
+
+    def verified(pairs: DataFrame, label: str) -> DataFrame:
+        pairs = written(pairs.filter("a != b").distinct(), label)
+        maps = pairs.join(sets.select(F.col("d").alias("a"), "n", "m"), "a").join(sets.select(F.col("d").alias("b"), F.col("n").alias("o"), F.col("m").alias("p")), "b")
+        pairs = written(maps.select("a", "b", "n", "m", "o", "p").mapInArrow(_hopeful, "a binary, b binary"), f"{label}-hopeful")
+        both = pairs.join(sets.select(F.col("d").alias("a"), "s"), "a").join(sets.select(F.col("d").alias("b"), F.col("s").alias("t")), "b")
+        return written(both.select("a", "b", "s", "t").mapInArrow(_similar, "a binary, b binary"), "similar")
+
+    stars = posts.select(F.explode(F.array("least", "most")).alias("x"), F.col("d").alias("b"), "n")
+    stars = stars.filter(5 * F.least("x.n", "n") >= 4 * F.greatest("x.n", "n")).select(F.col("x.d").alias("a"), "b")
+    links = verified(stars, "stars")
+    found = posts.select("h", "d", "n").join(components(links).withColumnRenamed("id", "d"), "d", "left")
+    found = found.select("h", "d", "n", F.coalesce("component_id", "d").alias("c"))
+    open_ = found.withColumns({"low": F.min("c").over(posting), "high": F.max("c").over(posting)}).filter("low != high").drop("low", "high")
+    open_ = written(open_, "open-postings")
+    x, y = open_.alias("x"), open_.alias("y")
+    apart = (F.col("x.h") == F.col("y.h")) & (F.col("x.d") < F.col("y.d")) & (F.col("x.c") != F.col("y.c"))
+    sized = 5 * F.least("x.n", "y.n") >= 4 * F.greatest("x.n", "y.n")
+    rest = x.join(y, apart & sized).select(F.col("x.d").alias("a"), F.col("y.d").alias("b"))
+    groups = components(links.unionByName(verified(rest, "open-pairs")))
+    whole = each.select("d", "low").join(groups.withColumnRenamed("id", "d"), "d", "left")
+    stay = whole.groupBy(F.coalesce("component_id", "d").alias("c")).agg(F.min("low").alias("low")).select(F.col("low.key").alias("_key"))
+    return rows_of_keys(docs, stay, text_col)

@@ -30,19 +30,24 @@ _BITS = np.arange(64, dtype=np.uint64)
 _ROWS = 1 << 15
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """A bit is set if it is in over half of the shingles' hashes. No word: zero."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """A hash of each run of `shingle` words; of all words if there are fewer. No word: none."""
     words = text.translate(_LOWER).split()
     if not words:
-        return 0
+        return np.empty(0, dtype=np.uint64)
     joined, size = b" ".join(words), len(words)
     if size <= shingle:
-        return xxhash.xxh64_intdigest(joined, 42)
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], dtype=np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, size) + 1)
     starts = np.concatenate(([0], ends[:-1]))[: size - shingle + 1].tolist()
     ends = (ends[shingle - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends)], dtype=np.uint64)
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends)], dtype=np.uint64)
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """A bit is set if it is in over half of the shingles' hashes. No word: zero."""
+    h = shingle_hashes(text, shingle)
     ones = np.zeros(64, dtype=np.int64)
     for k in range(0, len(h), _ROWS):
         bits = np.unpackbits(h[k : k + _ROWS].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")

@@ -1,0 +1,52 @@
+"""The pipeline's near-dedup against the similarity of all pairs."""
+
+import random
+
+import corpus_pipeline
+import pytest
+
+
+def brute(rows):
+    sets = []
+    for _, text in rows:
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)})
+    head = list(range(len(rows)))
+
+    def top(x):
+        while head[x] != x:
+            x = head[x]
+        return x
+
+    for j, b in enumerate(sets):
+        for i, a in enumerate(sets[:j]):
+            if 5 * len(b) >= 4 * len(a) and 5 * len(a) >= 4 * len(b) and 5 * len(a & b) >= 4 * len(a | b):
+                head[top(i)] = top(j)
+    low = {}
+    for k, (i, _) in enumerate(rows):
+        low[top(k)] = min(low.get(top(k), i), i)
+    return sorted(low.values())
+
+
+def edited():
+    rng = random.Random(3)
+    rows = []
+    for base in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice((30, 120, 400)))]
+        for _ in range(15):  # from nearly equal to well below 0.8, around one text and one after the other
+            copy = list(words)
+            for k in rng.sample(range(len(copy)), rng.randrange(1, max(2, len(copy) // 25))):
+                copy[k] = f"x{rng.randrange(5000)}"
+            rows.append((len(rows), " ".join(["one very common line in all of them"] * (base % 3) + copy)))
+            words = copy if base % 2 else words
+    loop = "the same five words again " * 30  # one shingle holds most of the count, not of the set
+    rows += [(900, None), (901, " "), (902, "x"), (903, "x y"), (904, loop + "first end of it here today"), (905, loop + "another one that nobody wrote before")]
+    return rows
+
+
+@pytest.mark.parametrize("folder", [None, "/root/testdata/sf0.01"])
+def test_all_pairs(spark, folder):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()] if folder else edited()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+    assert got == brute(rows) and len(got) < len(rows)
