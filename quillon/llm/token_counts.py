@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import HIGH, REMEMBERED, unassigned
-from .shared import bounded_batches
+from .shared import bounded_batches, written
 
 STRETCH = regex.compile(r"\s*\S+|\s+")
 _FAN = 1024
@@ -116,8 +116,12 @@ def with_suffix_sums(histogram: DataFrame) -> DataFrame:
 def token_counts(docs: DataFrame, *, text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """One row per encoded length L that occurs: n_docs, docs_at_least, tokens_at_least, total_docs,
     total_tokens, truncated_tokens (tokens left if every document is cut at L) and quantile (share
-    of the documents with at most L tokens). An empty table gives none."""
-    sums = with_suffix_sums(length_histogram(docs, text_col=text_col, path=path, pattern=pattern))
+    of the documents with at most L tokens). Null and empty texts have length 0, repeated rows and
+    texts of equal length count each, texts are read whole, and no other column is read, whatever
+    its name. An empty table gives none. The corpus is encoded once: the histogram is written, and
+    all sums are taken from what is read back."""
+    histogram = written(length_histogram(docs, text_col=text_col, path=path, pattern=pattern), "lengths")
+    sums = with_suffix_sums(histogram)
     total = sums.agg(F.sum("n_docs").alias("total_docs"), F.sum(F.col("length") * F.col("n_docs")).alias("total_tokens"))
     left = F.col("total_tokens") - F.col("tokens_at_least") + F.col("length") * F.col("docs_at_least")
     share = (F.col("total_docs") - F.col("docs_at_least") + F.col("n_docs")) / F.col("total_docs")

@@ -37,3 +37,14 @@ def test_far_lengths(spark):
 
 def test_empty(spark):
     assert token_counts(spark.createDataFrame([], "text string")).count() == length_histogram(spark.createDataFrame([], "text string")).count() == 0
+
+
+def test_the_corpus_is_encoded_once(spark, monkeypatch):
+    """Of all plans, those written on the way and that of the result, one encodes, and once."""
+    import quillon.llm.token_counts as module
+
+    plans, write = [], module.written
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(module, "written", lambda df, label: plans.append(plan(df)) or write(df, label))
+    plans.append(plan(token_counts(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))))
+    assert sum(p.count("MapInArrow") for p in plans) == 1
