@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .sequences import draw
 
 
@@ -39,15 +40,26 @@ def split_by_task(df: DataFrame, *, task: str, key: str, share: float = 2 / 3, s
     return df.withColumn("split", F.when(rank <= F.bround(F.count("*").over(w) * F.lit(share)), "train").otherwise("test"))
 
 
-def running_totals(df: DataFrame, *, key: str, value: str, parts: int = 64) -> DataFrame:
-    """`before` and `total`: sums of the values of all smaller keys and of all rows. Keys are cut to ranges;
-    a sum per range and one within it keep the work parallel."""
+def running_totals(df: DataFrame, *, key: str, value: str, rows: int = 50_000) -> DataFrame:
+    """`before` and `total`: sums of the values of all smaller keys and of all rows. Keys are unique.
+
+    They are cut to ranges of about `rows` rows, as many as the table needs; a sum per range and one
+    within it keep the work parallel. The rows are written with their range before either sum, so
+    both go by the same borders: planned twice, Spark would sample them twice and cut elsewhere."""
+    parts = max(1, -(-df.count() // rows))
     ranged = df.repartitionByRange(parts, key).withColumn("_p", F.spark_partition_id())
+    ranged = written(ranged, "ranges")
     inner = Window.partitionBy("_p").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    sums = ranged.groupBy("_p").agg(F.sum(value).alias("_s"))
+    sums = written(ranged.groupBy("_p").agg(F.sum(value).alias("_s")), "range-sums")
     order = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     offsets = sums.select("_p", F.coalesce(F.sum("_s").over(order), F.lit(0)).alias("_o"), F.sum("_s").over(Window.partitionBy()).alias("total"))
-    return ranged.withColumn("_i", F.coalesce(F.sum(value).over(inner), F.lit(0))).join(F.broadcast(offsets), "_p").withColumn("before", F.col("_o") + F.col("_i")).drop("_p", "_i", "_o")
+    placed = ranged.withColumn("_i", F.coalesce(F.sum(value).over(inner), F.lit(0)))
+    return placed.join(offsets, "_p").withColumn("before", F.col("_o") + F.col("_i")).drop("_p", "_i", "_o")
+
+
+def indexed(df: DataFrame, *, key: str, index: str = "i") -> DataFrame:
+    """`index`: how many rows have a smaller key. Keys are unique."""
+    return running_totals(df.withColumn("_one", F.lit(1).cast("long")), key=key, value="_one").withColumn(index, F.col("before").cast("long")).drop("_one", "before", "total")
 
 
 def resample(df: DataFrame, *, key: str, score: str, n: int, method: str = "pow", power: float = 2.0, seed: int = 42) -> DataFrame:
@@ -61,9 +73,12 @@ def resample(df: DataFrame, *, key: str, score: str, n: int, method: str = "pow"
     weighted = df.crossJoin(F.broadcast(ends)).withColumn("_w", weights[method] + 1e-8).drop("_max", "_min")
     laid = running_totals(weighted, key=key, value="_w").withColumn("_from", F.col("before") / F.col("total")).withColumn("_to", (F.col("before") + F.col("_w")) / F.col("total"))
     cells = max(1, n)
-    laid = laid.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_from") * cells), F.least(F.floor(F.col("_to") * cells), F.lit(cells - 1)))))
+    laid = laid.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_from") * cells), F.least(F.floor(F.col("_to") * cells) + 1, F.lit(cells - 1)))))
     draws = df.sparkSession.range(n).withColumnRenamed("id", "draw").withColumn("_u", draw(seed, F.col("draw"))).withColumn("_cell", F.floor(F.col("_u") * cells))
-    return draws.join(laid, "_cell").filter((F.col("_u") >= F.col("_from")) & (F.col("_u") < F.col("_to"))).select("draw", *[F.col(f"`{c}`") for c in df.columns])
+    # the last row that begins at or before the draw: one for each draw, however sums are rounded
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    found = draws.join(laid, "_cell").filter((F.col("_u") >= F.col("_from")) | (F.col("before") == 0)).groupBy("draw").agg(F.max_by(row, F.struct("_from", "before")).alias("_row"))
+    return found.select("draw", "_row.*")
 
 
 def repeat_rows(df: DataFrame, times: int | Column, *, index: str, interleave: bool = True) -> DataFrame:
@@ -112,12 +127,12 @@ def workload(length: Column) -> Column:
     return length * 24576 + length * length
 
 
-def balanced_shards(df: DataFrame, *, group: str, length: str, shards: int, parts: int = 64) -> DataFrame:
+def balanced_shards(df: DataFrame, *, group: str, length: str, shards: int, rows_per_range: int = 50_000) -> DataFrame:
     """(group, n_rows, tokens, workload, shard): whole groups dealt back and forth by falling workload, so
     shards differ by little. The rank is one within ranges of workload plus the rows of heavier ranges."""
     rows = df.groupBy(group).agg(F.count("*").alias("n_rows"), F.sum(length).alias("tokens"), F.sum(workload(F.col(length))).alias("workload"))
     rows = rows.withColumn("_one", F.lit(1)).withColumn("_key", F.struct((-F.col("workload")).alias("w"), F.col(group).alias("g")))
-    ranked = running_totals(rows, key="_key", value="_one", parts=parts)
+    ranked = running_totals(rows, key="_key", value="_one", rows=rows_per_range)
     turn, place = F.floor(F.col("before") / shards), F.col("before") % shards
     return ranked.withColumn("shard", F.when(turn % 2 == 0, place).otherwise(shards - 1 - place).cast("int")).drop("_one", "_key", "before", "total")
 

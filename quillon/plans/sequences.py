@@ -143,8 +143,7 @@ ORDERS = "WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey)
 
 
 def indexed(t):
-    rows = sa.running_totals(t.orders.select("o_orderkey", F.lit(1).alias("one")), key="o_orderkey", value="one")
-    return rows.select("o_orderkey", F.col("before").cast("long").alias("i"))
+    return sa.indexed(t.orders.select("o_orderkey"), key="o_orderkey")
 
 
 @area.query("SELECT o_orderkey, k::INT AS copy, k * (SELECT count(*) FROM o) + i AS position FROM o, range(3) r(k)", with_=ORDERS)

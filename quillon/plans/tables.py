@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-import tempfile
 from collections.abc import Callable
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_path
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -24,9 +24,8 @@ class Tables:
 
 
 def shared_place(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir where that is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/{name}-{uuid4().hex}" if base else "file://" + tempfile.mkdtemp(prefix=f"{name}-") + "/out"
+    """A new folder that driver and executors share."""
+    return new_path(spark, name)
 
 
 class Area:
