@@ -2,24 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-from uuid import uuid4
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-
+from ..sources.shared import new_path, shared_folder, written
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where spark.checkpoint.dir is unset, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="quillon-")
-    return _OWN[app]
+__all__ = ["bounded_batches", "new_path", "quoted", "row_key", "rows_of_keys", "shared_folder", "spare", "written"]
 
 
 def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
@@ -31,25 +19,34 @@ def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
         spark.conf.set(key, str(size))
 
 
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid4().hex}"
+def spare(docs: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own beside those of `docs`, whatever they are called."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Writes the rows to the shared folder and reads them back: later jobs neither compute them
-    again nor need the executors that made them."""
-    path = new_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def row_key(docs: DataFrame, text_col: str) -> Column:
     """SHA-256 of a whole row: rows with equal keys are one row repeated, whatever their ids."""
-    rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]))
-    return F.unhex(F.sha2(F.concat_ws(" ", F.coalesce(F.sha2(F.col(text_col), 256), F.lit("-")), rest), 256))
-
-
-def rows_of_keys(docs: DataFrame, keys: DataFrame, text_col: str) -> DataFrame:
-    """The rows of `docs` whose row_key is in keys(_key), with all their columns; of a repeated row, one."""
-    keyed = docs.withColumn("_key", row_key(docs, text_col))
-    return keyed.join(keys, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    rest = [F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(docs.columns) if c != text_col]
+    return F.unhex(F.sha2(F.concat_ws(" ", F.coalesce(F.sha2(F.col(text_col), 256), F.lit("-")), F.to_json(F.struct(F.lit(0), *rest))), 256))
+
+
+def rows_of_keys(docs: DataFrame, keys: DataFrame, text_col: str, times: str | None = None) -> DataFrame:
+    """The rows of `docs` whose row_key is in keys(key), with all their columns; of a repeated row, one.
+    With `times`, a column of `keys`, as many of each. Texts are shuffled once, by their row's key."""
+    key, count, copy = spare(docs, "_key", "_times", "_copy")
+    named = keys.select(F.col("key").alias(key), *([F.col(times).alias(count)] if times else []))
+    one = docs.withColumn(key, row_key(docs, text_col)).dropDuplicates([key])
+    kept = one.join(named, key, "inner" if times else "left_semi")
+    if times:
+        kept = kept.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(count))))
+    return kept.select(*[F.col(quoted(c)) for c in docs.columns])

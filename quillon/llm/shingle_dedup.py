@@ -171,5 +171,5 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rest = x.join(y, apart & sized).select(F.col("x.d").alias("a"), F.col("y.d").alias("b"))
     groups = components(links.unionByName(verified(rest, "open-pairs")))
     whole = each.select("d", "low").join(groups.withColumnRenamed("id", "d"), "d", "left")
-    stay = whole.groupBy(F.coalesce("component_id", "d").alias("c")).agg(F.min("low").alias("low")).select(F.col("low.key").alias("_key"))
+    stay = whole.groupBy(F.coalesce("component_id", "d").alias("c")).agg(F.min("low").alias("low")).select(F.col("low.key").alias("key"))
     return rows_of_keys(docs, stay, text_col)

@@ -245,5 +245,5 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     each = written(prints.groupBy("f").agg(first), "distinct-fingerprints")
     groups = components(link_fingerprints(each.select("f"), radius=radius))
     whole = each.join(groups.withColumnRenamed("id", "f"), "f", "left").withColumn("c", F.coalesce("component_id", "f"))
-    stay = whole.groupBy("c").agg(F.min("first").alias("first")).select(F.col("first.key").alias("_key"))
+    stay = whole.groupBy("c").agg(F.min("first").alias("first")).select(F.col("first.key").alias("key"))
     return rows_of_keys(docs, stay, text_col)

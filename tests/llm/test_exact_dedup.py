@@ -38,3 +38,15 @@ def test_native(spark):
     df = exact_dedup(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_ids_and_names_that_clash(spark):
+    """Equal ids of unlike texts all stay, a repeated row stays once, ties go to the smallest whole row however rows lie."""
+    names = ("_id", "_sha", "_digest", "_key", "key", "id", "c0")
+    rows = [(7, "one text"), (7, "another text"), (None, "third"), (None, "fourth"), (5, "Tie"), (5, "tie"), (8, "again"), (8, "again"), (None, None), (3, "")]
+    df = spark.createDataFrame([(*r, *map(str, range(7))) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = [sorted(map(repr, one_of_each(df.repartition(n)).collect())) for n in (1, 4)]
+    left = one_of_each(df)
+    assert got[0] == got[1] and left.columns == df.columns
+    assert sorted(((r.doc_id, (r.text or "").lower()) for r in left.collect()), key=str) == sorted([(7, "one text"), (7, "another text"), (None, "third"), (None, "fourth"), (5, "tie"), (8, "again"), (3, "")], key=str)
+    assert one_of_each(df.limit(0)).count() == 0
