@@ -15,17 +15,18 @@ def components(links: DataFrame) -> DataFrame:
     Each round every id points to its smallest neighbour or itself, pointers are followed four steps,
     and links are redrawn between what they point to; loops and repeats go. A local minimum takes
     in all its neighbours, so the ids still in links shrink by a factor each round. Counts and
-    minima are partial aggregates, and the joins' right sides have unique keys, so a centre with
-    very many links is split like any skewed join.
+    minima are partial aggregates; both sides of each join are written and the right one's keys are
+    unique, so a centre with very many links is split like any skewed join.
     """
     edges = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct(), "links")
     pointers: list[DataFrame] = []
     while not edges.isEmpty():
         both = edges.select(F.col("b").alias("id"), F.col("a").alias("to")).unionByName(edges.select(F.col("a").alias("id"), F.col("a").alias("to")))
-        point = both.groupBy("id").agg(F.min("to").alias("to"))
+        # written before each join with itself: what many ids point to is then a plain scan on both sides,
+        # which Spark can split; an aggregate straight under the join it could not
+        point = written(both.groupBy("id").agg(F.min("to").alias("to")), "pointers")
         for _ in range(2):
-            point = point.join(point.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to"))
-        point = written(point, "pointers")
+            point = written(point.join(point.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to")), "pointers")
         pointers.append(point)
         ends = edges.join(point.withColumnsRenamed({"id": "a", "to": "x"}), "a").join(point.withColumnsRenamed({"id": "b", "to": "y"}), "b")
         edges = written(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a != b").distinct(), "links")
