@@ -1,5 +1,5 @@
 import duckdb
-from quillon.llm.mixing import mix
+from quillon.llm.mixing import mix, repeated
 from quillon.llm.queries import ORACLE_SQL
 
 
@@ -49,8 +49,6 @@ def test_sql(spark):
 
 
 def test_repeated(spark):
-    from quillon.llm.mixing import repeated
-
     rows = [(k, "w " * (20 + k % 7), f"s{k % 3}", "z") for k in range(300)] + [(1000, None, "s0", "z"), (5, "w " * 25, "s2", "z"), (5, "w " * 25, "s2", "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, size string")
     out = repeated(df)
@@ -64,3 +62,30 @@ def test_repeated(spark):
         taken[r.source] += len(r.text.split())
     assert all(abs(taken[s] - target[s]) <= 30 for s in target)
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, repeated(df.repartition(3)).collect()))
+
+
+def test_order_is_total(spark):
+    """Equal and null ids with unlike texts, repeated rows, clashing names: the same words however the rows lie."""
+    names = ("_id", "_size", "_words", "_copy", "draw", "bucket", "n", "part")
+    rows = [(1, "w " * (3 + k % 9) + str(k), "a") for k in range(40)] + [(None, "x " * (1 + k % 5) + str(k % 12), "a") for k in range(60)] + [(2, "y " * 50, "b")] * 7 + [(None, None, None)] * 3
+    df = spark.createDataFrame([(*r, *map(str, range(8))) for r in rows], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    for f in (mix, repeated):
+        got = [sorted(map(repr, f(df.repartition(n)).collect())) for n in (1, 3, 7)]
+        assert got[0] == got[1] == got[2]
+    assert repeated(df).columns == df.columns and mix(df).count() == len(rows)
+    taken, size = sum(r.taken for r in mix(df).collect()), sum(len((t or "").split()) for _, t, _ in rows)
+    assert abs(taken - 1.5 * size) <= 2
+    assert abs(sum(len(r.text.split()) for r in repeated(df).collect()) - 1.5 * size) <= 60
+
+
+def test_a_hot_source_and_a_hot_row_are_dealt(spark):
+    """No task of the sums holds more than its share of a source with all rows; equal rows are one."""
+    import quillon.llm.mixing as module
+
+    df = spark.range(40_000).selectExpr("id AS doc_id", "'a b c' AS text", "'s' AS source").unionAll(spark.range(20_000).selectExpr("CAST(NULL AS LONG)", "'a b c'", "'s'"))
+    was, module.BUCKET_ROWS = module.BUCKET_ROWS, 1000
+    try:
+        got = mix(df)
+        assert got.count() == 60_000 and abs(got.agg({"taken": "sum"}).first()[0] - 1.5 * 180_000) <= 1
+    finally:
+        module.BUCKET_ROWS = was
