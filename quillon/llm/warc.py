@@ -1,10 +1,12 @@
 """Web archives: pages to legacy ARC files, ARC files to WARC files, and WARC files to rows.
 
 ARC headers are one line of fields that the file's version block names; WARC headers are named
-lines. Both declare how many bytes follow, and readers go by that alone. Files are written by
-Spark's text sink, whose line separator is what ends a record, and read by its binary file
-source, so they may lie in any store that Spark reaches. A file holds what a task had and is
-compressed as a whole; readers inflate it piece by piece and hold one record at a time.
+lines. Both declare how many bytes follow, and readers go by that alone. Each record is a gzip
+member of its own, so that a reader can start at any of them. Files are written by Spark's text
+sink and read by its binary file source, so they may lie in any store that Spark reaches. The
+sink ends each row by a separator, for which the zero byte serves that a member ends with. A file
+holds what one task read, an input split; readers inflate it piece by piece and hold one record
+at a time.
 """
 
 from __future__ import annotations
@@ -14,13 +16,13 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path
+from .shared import bounded_batches, new_path, written
 
 #: Fields of a record's line in version 1 and in version 2 of the ARC format. Fixed values.
 ARC_FIELDS = {
@@ -29,7 +31,8 @@ ARC_FIELDS = {
 }
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "20240101000000"
-_PIECE = 1 << 20
+#: Bytes that are inflated at once, and of records in an Arrow batch.
+_PIECE, _BATCH = 1 << 16, 1 << 20
 
 
 def payload_digest(payload: bytes) -> str:
@@ -129,70 +132,103 @@ def http_parts(block: bytes) -> tuple[dict[str, str], bytes, bytes]:
 # ---- writing ----------------------------------------------------------------
 
 
-def _arc_lines(id_col: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+def member(record: bytes) -> bytes:
+    """A gzip member of the record without its last byte, which is zero. A member ends with its length, least
+    byte first; from 2**24 bytes on, where the last byte may be another, a member of nothing follows."""
+    out = _gzip(record)
+    return (out if out[-1] == 0 else out + _gzip(b""))[:-1]
 
-        part = TaskContext.get().partitionId()
-        version = 1 + part % 2
-        name = f"pages-{part:05d}.arc"
-        block = f"{version} 0 Quillon\n{' '.join(ARC_FIELDS[version])}\n"
-        yield pa.RecordBatch.from_pydict({"value": [f"filedesc://{name} 0.0.0.0 {DATE} text/plain {len(block)}\n{block}".encode()]})
-        for batch in batches:
-            out = []
-            for key, url, html in zip(batch.column(id_col).to_pylist(), batch.column("url").to_pylist(), batch.column("html").to_pylist()):
-                payload = (html or "").encode()
-                mark = "" if key is None else f"X-Page-Id: {key}\r\n"
-                body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{mark}Content-Length: {len(payload)}\r\n\r\n".encode() + payload
-                uri = quote(url or "urn:x-none", safe="/:?#[]@!$&'()*+,;=%~")
-                more = f" 200 {payload_digest(payload)} - 0 {name}" if version == 2 else ""
-                out.append(f"{uri} 0.0.0.0 {DATE} text/html{more} {len(body)}\n".encode() + body)
-                if sum(map(len, out[-64:])) > 8 * _PIECE or len(out) >= 64:
-                    yield pa.RecordBatch.from_pydict({"value": out}, schema=pa.schema([("value", pa.binary())]))
-                    out = []
-            yield pa.RecordBatch.from_pydict({"value": out}, schema=pa.schema([("value", pa.binary())]))
 
-    return run
+def _gzip(data: bytes) -> bytes:
+    z = zlib.compressobj(wbits=31)
+    return z.compress(data) + z.flush()
 
 
-def write_arc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """One ARC file per task; versions 1 and 2 in turn."""
-    rows = pages.select(F.col(id_col), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    rows.mapInArrow(_arc_lines(id_col), "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").option("compression", "gzip").text(path)
+def _members(records: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+    out, size = [], 0
+    for record in records:
+        out.append(member(record))
+        size += len(out[-1])
+        if size > _BATCH:
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+            out, size = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
 
-_ARC = "key long, uri string, ip string, date string, mime string, digest string, record_id string, payload_bytes long, zipped binary"
+def _save(members: DataFrame, path: str) -> None:
+    """Rows of bytes, each followed by a zero byte."""
+    members.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("compression", "none").text(path)
 
 
-def _read_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [c.split()[0] for c in _ARC.split(", ")]
-    kinds = [pa.int64() if "long" in c else pa.binary() if "binary" in c else pa.string() for c in _ARC.split(", ")]
-    schema = pa.schema(list(zip(names, kinds)))
+def _arc_records(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[bytes]:
+    version, name = 1 + part % 2, f"pages-{part:05d}.arc"
+    block = f"{version} 0 Quillon\n{' '.join(ARC_FIELDS[version])}\n"
+    yield f"filedesc://{name} 0.0.0.0 {DATE} text/plain {len(block)}\n{block}\n".encode()
     for batch in batches:
-        for content in batch.column("content"):
-            rows, size = [], 0
-            for head, body in read_arc(content.as_py()):
-                lines, _, payload = http_parts(body)
-                key = int(lines["X-Page-Id"]) if "X-Page-Id" in lines else None
-                d = head["Archive-date"]
-                date = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
-                record = uuid.UUID(bytes=hashlib.sha1(f"{key} {head['URL']} {date}".encode()).digest()[:16], version=5)
-                zipped = zlib.compress(body, 1)
-                rows.append((key, head["URL"], head["IP-address"], date, head["Content-type"], payload_digest(payload), f"<urn:uuid:{record}>", len(payload), zipped))
-                size += len(zipped)
-                if size > _PIECE:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], schema=schema)
-                    rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], schema=schema)
+        for key, url, html in zip(*(batch.column(c) for c in ("key", "url", "html"))):
+            payload = (html.as_py() or "").encode()
+            mark = f"X-Page-Id: {quote(key.as_py())}\r\n" if key.is_valid else ""
+            body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{mark}Content-Length: {len(payload)}\r\n\r\n".encode() + payload
+            uri = quote(url.as_py() or "urn:x-none", safe="/:?#[]@!$&'()*+,;=%~")
+            more = f" 200 {payload_digest(payload)} - 0 {name}" if version == 2 else ""
+            yield f"{uri} 0.0.0.0 {DATE} text/html{more} {len(body)}\n".encode() + body + b"\n"
+
+
+def _arc_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    yield from _members(_arc_records(batches, TaskContext.get().partitionId()))
+
+
+def write_arc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
+    """One ARC file per task; versions 1 and 2 in turn. Ids of any type, null too, are written as text."""
+    bounded_batches(pages.sparkSession)
+    rows = pages.select(F.col(id_col).cast("string").alias("key"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    _save(rows.mapInArrow(_arc_members, "value binary"), path)
+
 
+_ARC = "key string, uri string, ip string, date string, mime string, digest string, record_id string, payload_bytes long, zipped binary"
 
-def _warc_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _schema(columns: str) -> pa.Schema:
+    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.schema([(n, kinds[k]) for n, k in map(str.split, columns.split(", "))])
+
+
+def _read_arc(bodies: bool):
+    """Records of whole files; with `bodies`, what they hold too, compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = _schema(_ARC)
+        if not bodies:
+            schema = schema.remove(len(schema) - 1)
+        for batch in batches:
+            for content in batch.column("content"):
+                rows, size = [], 0
+                for head, body in read_arc(content.as_py()):
+                    lines, _, payload = http_parts(body)
+                    key = unquote(lines["X-Page-Id"]) if "X-Page-Id" in lines else None
+                    d = head["Archive-date"]
+                    date = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
+                    record = uuid.UUID(bytes=hashlib.sha1(f"{key} {head['URL']} {date}".encode()).digest()[:16], version=5)
+                    row = (key, head["URL"], head["IP-address"], date, head["Content-type"], payload_digest(payload), f"<urn:uuid:{record}>", len(payload))
+                    rows.append((*row, zlib.compress(body, 1)) if bodies else row)
+                    size += len(rows[-1][-1]) if bodies else 256
+                    if size > _BATCH:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), schema.types)], schema=schema)
+                        rows, size = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), schema.types)], schema=schema)
+
+    return run
+
+
+def _warc_records(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
     info = b"software: quillon\r\nformat: WARC File Format 1.1\r\n"
     head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, 'quillon')}>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n"
-    yield pa.RecordBatch.from_pydict({"value": [head.encode() + info]})
+    yield head.encode() + info + b"\r\n\r\n"
     for batch in batches:
-        out, size = [], 0
         for r in batch.to_pylist():
             body = zlib.decompress(r["zipped"])
             lines = [
@@ -202,38 +238,40 @@ def _warc_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 _, body, _ = http_parts(body)
                 lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {r['first_record']}"]
             lines.append(f"Content-Length: {len(body)}")
-            out.append("\r\n".join(lines).encode() + b"\r\n\r\n" + body)
-            size += len(out[-1])
-            if size > _PIECE:
-                yield pa.RecordBatch.from_pydict({"value": out}, schema=pa.schema([("value", pa.binary())]))
-                out, size = [], 0
-        yield pa.RecordBatch.from_pydict({"value": out}, schema=pa.schema([("value", pa.binary())]))
+            yield "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def _warc_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _members(_warc_records(batches))
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content")
 
 
-def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, *, min_bytes: int = 0) -> None:
+def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, *, min_bytes: int = 0, id_type: str = "string") -> None:
     """ARC files to WARC files with made-up record ids, times, types and digests.
 
-    Of records with equal payloads of at least `min_bytes` bytes, that with the largest key is a
-    response and the others revisit it; a key that several records share is one record repeated,
-    and all of them are responses. Payloads travel compressed."""
-    records = read_files(spark, arc_path).mapInArrow(_read_arc, _ARC)
-    first = records.filter(F.col("payload_bytes") >= min_bytes).groupBy(F.col("digest").alias("d")).agg(F.max(F.struct("key", "record_id")).alias("first"))
-    joined = records.join(first, (F.col("digest") == F.col("d")) & (F.col("payload_bytes") >= min_bytes), "left")
+    Of records with equal payloads of at least `min_bytes` bytes, that with the largest key, as a
+    value of `id_type`, is a response and the others revisit it; a key that several records share is
+    one record repeated, and all of them are responses. The files are read twice: for the digests
+    alone, whose groups are written, and for the records, whose payloads travel compressed."""
+    files = read_files(spark, arc_path)
+    names = _ARC.rsplit(", ", 1)[0]
+    heads = files.mapInArrow(_read_arc(False), names).filter(F.col("payload_bytes") >= min_bytes)
+    groups = heads.groupBy(F.col("digest").alias("d")).agg(F.count("*").alias("n"), F.max(F.struct(F.col("key").cast(id_type).alias("id"), "key", "record_id")).alias("first"))
+    groups = written(groups.filter("n > 1").select("d", "first"), "payloads")
+    joined = files.mapInArrow(_read_arc(True), _ARC).join(groups, (F.col("digest") == F.col("d")) & (F.col("payload_bytes") >= min_bytes), "left")
     revisit = F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first.key"))
     rows = joined.select("uri", "ip", "date", "digest", "record_id", "zipped", F.coalesce(revisit, F.lit(False)).alias("revisit"), F.col("first.record_id").alias("first_record"))
-    rows.mapInArrow(_warc_records, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(warc_path)
+    _save(rows.mapInArrow(_warc_members, "value binary"), warc_path)
 
 
-_ROW = "page_id long, payload_bytes long, payload_digest string, record_type string, record_id string, refers string"
+_ROW = "key string, payload_bytes long, payload_digest string, record_type string, record_id string, refers string"
 
 
 def _read_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [c.split()[0] for c in _ROW.split(", ")]
-    kinds = [pa.int64() if "long" in c else pa.string() for c in _ROW.split(", ")]
+    schema = _schema(_ROW)
     for batch in batches:
         for content in batch.column("content"):
             rows = []
@@ -244,14 +282,17 @@ def _read_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
                 if head["WARC-Type"] == "response" and payload_digest(payload) != digest:
                     raise ValueError(f"{head['WARC-Record-ID']}: the payload does not have its digest")
-                key = int(lines["X-Page-Id"]) if "X-Page-Id" in lines else None
+                key = unquote(lines["X-Page-Id"]) if "X-Page-Id" in lines else None
                 rows.append((key, int(lines["Content-Length"]), digest, head["WARC-Type"], head["WARC-Record-ID"], head.get("WARC-Refers-To")))
+                if len(rows) == 4096:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), schema.types)], schema=schema)
+                    rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), schema.types)], schema=schema)
 
 
 def read_warc_files(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, record_id, refers) of responses and revisits."""
+    """(key, payload_bytes, payload_digest, record_type, record_id, refers) of responses and revisits."""
     return read_files(spark, path).mapInArrow(_read_warc, _ROW)
 
 
@@ -261,14 +302,18 @@ def warc_round_trip(pages: DataFrame, *, id_col: str = "page_id", url_col: str =
     Returns one row per row of `pages`: the id, payload_bytes and payload_digest (bare upper-case
     base32 SHA-1) of the whole payload, record_type (response or revisit) and refers_to (the id of
     the response that a revisit names, else null). A null html is an empty payload; empty payloads
-    are equal to each other. Repeated rows that have the largest id of their payload are all
-    responses. A null id is smaller than any other and stays null. Null urls get a placeholder.
-    Pages of any length are one record. Other columns are not read. An empty table gives none.
+    are equal to each other. Ids are of any type that is text and back; the largest is that of their
+    own order. Repeated rows that have the largest id of their payload are all responses. A null id
+    is smaller than any other and stays null. Null urls get a placeholder. Pages of any length are
+    one record. Other columns are not read, whatever their names. An empty table gives none.
     """
-    spark = pages.sparkSession
+    spark, kind = pages.sparkSession, pages.schema[id_col].dataType.simpleString()
     arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
-    write_arc(pages.withColumn(id_col, F.col(id_col).cast("long")), arc, id_col=id_col, url_col=url_col, html_col=html_col)
-    convert_arc(spark, arc, warc, min_bytes=min_bytes)
-    rows = read_warc_files(spark, warc)
-    response = rows.filter("record_type = 'response'").groupBy(F.col("record_id").alias("refers")).agg(F.max("page_id").alias("refers_to"))
-    return rows.join(response, "refers", "left").select(F.col("page_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    write_arc(pages, arc, id_col=id_col, url_col=url_col, html_col=html_col)
+    convert_arc(spark, arc, warc, min_bytes=min_bytes, id_type=kind)
+    rows = written(read_warc_files(spark, warc), "records").withColumn("id", F.col("key").cast(kind))
+    out = lambda refers: (F.col("id").alias(id_col), F.col("payload_bytes"), F.col("payload_digest"), F.col("record_type"), refers.cast(kind).alias("refers_to"))
+    # only revisits look up what they refer to
+    named = written(rows.filter("record_type = 'response'").groupBy(F.col("record_id").alias("r")).agg(F.max("id").alias("response")), "responses")
+    revisits = rows.filter("record_type = 'revisit'").join(named, F.col("refers") == F.col("r"), "left")
+    return rows.filter("record_type = 'response'").select(*out(F.lit(None))).unionByName(revisits.select(*out(F.col("response"))))

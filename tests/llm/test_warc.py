@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import zlib
 
 import pytest
 from quillon.llm.warc import http_parts, read_arc, read_files, read_warc, warc_round_trip
@@ -58,5 +59,29 @@ def test_files_are_plain_warc(spark, tmp_path):
     df = spark.createDataFrame([(1, "u", "x"), (2, "u", "x")], "page_id long, url string, html string").coalesce(1)
     write_arc(df, f"file://{tmp_path}/arc")
     convert_arc(spark, f"file://{tmp_path}/arc", f"file://{tmp_path}/warc")
+    for r in read_files(spark, f"file://{tmp_path}/warc").collect():
+        # one gzip member for each record, each readable on its own by any gzip reader
+        members, rest = [], bytes(r.content)
+        assert gzip.decompress(rest)
+        while rest:
+            z = zlib.decompressobj(31)
+            members.append(z.decompress(rest))
+            assert z.eof
+            rest = z.unused_data
+        assert [m[:8] for m in members] == [b"WARC/1.1"] * 3 and all(m.endswith(b"\r\n\r\n") for m in members)
     heads = [h for r in read_files(spark, f"file://{tmp_path}/warc").collect() for h, _ in read_warc(bytes(r.content))]
     assert {h["WARC-Type"] for h in heads} == {"warcinfo", "response", "revisit"}
+
+
+def test_ids_of_other_types(spark):
+    df = spark.createDataFrame([("b/ü 1", "u", "x"), ("a", "u", "x"), ("10", "u", "y"), ("9", "u", "y")], "page_id string, url string, html string")
+    got = sorted((r.page_id, r.record_type, r.refers_to) for r in warc_round_trip(df).collect())
+    assert got == [("10", "revisit", "9"), ("9", "response", None), ("a", "revisit", "b/ü 1"), ("b/ü 1", "response", None)]
+
+
+def test_members_of_large_records():
+    from quillon.llm.warc import Inflated, member
+
+    for size in (0, 1, (1 << 24) - 1, 1 << 24, (1 << 24) + 5):
+        source = Inflated((member(b"x" * size) + b"\0") * 2 + member(b"end\n") + b"\0")
+        assert source.take(2 * size) == b"x" * (2 * size) and source.until(b"\n") == b"end"
