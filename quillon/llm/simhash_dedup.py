@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import bounded_batches, row_key, rows_of_keys, written
+from .shared import bounded_batches, written
 
 SHINGLE, RADIUS, LIMIT = 3, 3, 256
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -69,8 +69,9 @@ def _fingerprints(shingle: int):
 # ---- the forest of one task --------------------------------------------------
 
 
-def near_pairs(code: np.ndarray, shard: np.ndarray, radius: int = RADIUS, step: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of codes of equal shard within `radius` bits, found in one BK-tree per shard.
+def near_pairs(code: np.ndarray, shard: np.ndarray, radius: int = RADIUS, step: int = 1 << 20, ask: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (earlier, later) of codes of equal shard within `radius` bits, found in one BK-tree per
+    shard; of the later ones only those that `ask`. A code is a 64-bit word, or a row of several.
 
     `shard` is sorted. Trees grow level by level: of the codes that reached a node, the first at
     each distance becomes its child there and the others move down to it. A search keeps a
@@ -78,6 +79,12 @@ def near_pairs(code: np.ndarray, shard: np.ndarray, radius: int = RADIUS, step:
     n = len(code)
     if n < 2:
         return
+    code = code.reshape(n, -1)
+    span = 64 * code.shape[1] + 1  # more than any distance
+
+    def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(code[a] ^ code[b]).sum(axis=1, dtype=np.int64)
+
     first = np.ones(n, dtype=bool)
     first[1:] = shard[1:] != shard[:-1]
     root = np.flatnonzero(first)[np.cumsum(first) - 1]
@@ -85,8 +92,8 @@ def near_pairs(code: np.ndarray, shard: np.ndarray, radius: int = RADIUS, step:
     waiting = np.flatnonzero(~first)
     at = root[waiting]
     while len(waiting):
-        far = np.bitwise_count(code[waiting] ^ code[at]).astype(np.int64)
-        _, child, which = np.unique(at * 65 + far, return_index=True, return_inverse=True)
+        far = apart(waiting, at)
+        _, child, which = np.unique(at * span + far, return_index=True, return_inverse=True)
         new = waiting[child]
         parent[new], edge[new] = at[child], far[child]
         moved = new[which]
@@ -94,18 +101,19 @@ def near_pairs(code: np.ndarray, shard: np.ndarray, radius: int = RADIUS, step:
         waiting, at = waiting[stay], moved[stay]
     order = np.lexsort((edge, parent))
     order = order[np.searchsorted(parent[order], 0) :]
-    key = parent[order] * 130 + edge[order]  # children by parent, then by edge
+    key = parent[order] * (2 * span) + edge[order]  # children by parent, then by edge
     size = max(1, min(n, step // 64))
-    for a in range(0, n, size):
-        query = np.arange(a, min(n, a + size))
+    asking = np.arange(n) if ask is None else np.flatnonzero(ask)
+    for a in range(0, len(asking), size):
+        query = asking[a : a + size]
         node = root[query]
         while len(query):
-            far = np.bitwise_count(code[query] ^ code[node]).astype(np.int64)
+            far = apart(query, node)
             hit = (far <= radius) & (node < query)
             if hit.any():
                 yield node[hit], query[hit]
-            low = np.searchsorted(key, node * 130 + np.maximum(far - radius, 0))
-            high = np.searchsorted(key, node * 130 + far + radius, side="right")
+            low = np.searchsorted(key, node * (2 * span) + np.maximum(far - radius, 0))
+            high = np.searchsorted(key, node * (2 * span) + np.minimum(far + radius, span), side="right")
             count = high - low
             some = count > 0
             low, count = low[some], count[some]
@@ -232,18 +240,3 @@ def simhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     named = written(whole.join(lows, "c").select("f", "component_id"), "classes")
     out = prints.join(named, "f")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
-
-
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The documents that stay, one of each group, with all their columns: the one with the smallest id,
-    null being larger than any other, and of rows that share it the one with the smallest row_key."""
-    bounded_batches(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
-    base = docs.select(F.col(id_col).alias("id"), row_key(docs, text_col).alias("key"), F.col(text_col).alias("text"))
-    prints = written(base.mapInArrow(_fingerprints(shingle), f"id {kind}, key binary, f long"), "fingerprints")
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
-    each = written(prints.groupBy("f").agg(first), "distinct-fingerprints")
-    groups = components(link_fingerprints(each.select("f"), radius=radius))
-    whole = each.join(groups.withColumnRenamed("id", "f"), "f", "left").withColumn("c", F.coalesce("component_id", "f"))
-    stay = whole.groupBy("c").agg(F.min("first").alias("first")).select(F.col("first.key").alias("key"))
-    return rows_of_keys(docs, stay, text_col)
