@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NUMBER = r"(-?\d+(?:\.\d+)?)"
@@ -65,14 +67,46 @@ def interval_iou(s1: Column, e1: Column, s2: Column, e2: Column, *, min_length:
     return F.when(hull > 0, F.greatest(F.least(b, d) - F.greatest(a, c), F.lit(0.0)) / hull).otherwise(zero)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value worked out once however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def rubric_tokens(text: Column) -> Column:
+    """Distinct lower-case runs of ASCII letters and digits."""
+    return F.array_distinct(F.regexp_extract_all(casefold(text), F.lit("([a-z0-9]+)"), 1))
+
+
 def point_coverage(text: Column, points: Column, *, recall: float = 0.3) -> Column:
-    """Share of the points of whose distinct tokens at least `recall` are in the text; no point, no share: 0."""
-    words = lambda t: F.array_distinct(F.regexp_extract_all(casefold(t), F.lit("([a-z0-9]+)"), 1))
-    own = words(text)
-    hit = F.filter(points, lambda p: (F.size(words(p)) > 0) & (F.size(F.array_intersect(words(p), own)) >= recall * F.size(words(p))))
+    """Share of the points of whose distinct tokens at least `recall` are in the text; no point, no share: 0.
+    For the same points and many texts use rubric_coverage, which takes the points apart once."""
+    own = rubric_tokens(text)
+    hit = F.filter(F.transform(points, rubric_tokens), lambda p: (F.size(p) > 0) & (F.size(F.array_intersect(p, own)) >= recall * F.size(p)))
     return F.when(F.size(points) > 0, F.size(hit) / F.size(points)).otherwise(0.0)
 
 
+def rubric_coverage(answers: DataFrame, rubrics: DataFrame, *, rubric: str, text: str, point: str, out: str = "coverage", recall: float = 0.3) -> DataFrame:
+    """Each answer with the coverage of its rubric's points; rubrics(rubric, point), one row a point. Tokens of
+    points and of answers are worked out once; an answer whose rubric has no points covers 0."""
+    names = spare(answers.columns, "_points", "_own")
+    points = rubrics.groupBy(rubric).agg(F.collect_list(rubric_tokens(F.col(point))).alias(names[0]))
+    joined = answers.withColumn(names[1], rubric_tokens(F.col(text))).join(points, rubric, "left")
+    own, found = F.col(names[1]), F.col(names[0])
+    hit = F.filter(found, lambda p: (F.size(p) > 0) & (F.size(F.array_intersect(p, own)) >= recall * F.size(p)))
+    return joined.withColumn(out, F.when(F.size(found) > 0, F.size(hit) / F.size(found)).otherwise(0.0)).drop(*names)
+
+
+def spare(taken: list[str], *names: str) -> list[str]:
+    """Names for columns of our own beside those that are taken."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def hash_number(text: Column, mode: str = "strict") -> Column:
     """The number after #### or, in flexible mode, the last number, in the last 300 characters."""
     tail = F.right(text, F.lit(300))
@@ -118,22 +152,30 @@ def qa_score(text: Column, golds: Column, *, part: bool = False) -> Column:
     return F.when(answer.isNull(), 0.0).when(qa_match(answer, golds, part=part), F.when(tags > 10, 0.25).otherwise(1.0)).otherwise(0.0)
 
 
-#: Units and words that an answer may carry beside its value. Fixed values.
-UNITS = ["square", "ways", "integers", "dollars", "mph", "inches", "hours", "km", "units", "points", "feet", "minutes", "digits", "cents", "degrees", "cm", "gm", "pounds", "meters", "meals", "edges", "students", "childrentickets", "multiples"]
+#: What stands for something else in a final answer, and what it may carry beside its value, in the order in
+#: which it is taken out. Fixed values.
+SUBSTITUTIONS = [("an ", ""), ("a ", ""), (".$", "$"), ("\\$", ""), (r"\ ", ""), (" ", ""), ("mbox", "text"), (",\\text{and}", ","), ("\\text{and}", ","), ("\\text{m}", "\\text{}")]
+REMOVED = [
+    "square", "ways", "integers", "dollars", "mph", "inches", "hours", "km", "units", "\\ldots", "sue", "points", "feet", "minutes", "digits", "cents", "degrees", "cm", "gm", "pounds",
+    "meters", "meals", "edges", "students", "childrentickets", "multiples", "\\text{s}", "\\text{.}", "\\text{\ns}", "\\text{}^2", "\\text{}^3", "\\text{\n}", "\\text{}", r"\mathrm{th}",
+    r"^\circ", r"^{\circ}", r"\;", r",\!", "{,}", '"', "\\dots"]
 
 
 def maths_normal(text: Column) -> Column:
-    """A final answer without units, LaTeX text, dollar signs and thousands separators."""
+    """The value of a final answer: what follows the last equals sign, in plain words of the rules:
+    spellings that mean the same become one, units and spacing commands go; of a text with maths between
+    dollar signs the first such part is the answer; text, bold, overline and box commands give way to
+    what they hold; fractions and roots without braces get them; a whole number loses its commas."""
     out = F.element_at(F.split(text, "="), -1)
-    for a, b in (("an ", ""), ("a ", ""), (".$", "$"), ("\\$", ""), ("\\ ", ""), (" ", ""), ("mbox", "text"), (",\\text{and}", ","), ("\\text{and}", ","), ("\\text{m}", "\\text{}")):
-        out = F.replace(out, F.lit(a), F.lit(b))
-    for unit in [*UNITS, "\\%", "\\text{}", "^\\circ"]:
-        out = F.replace(out, F.lit(unit), F.lit(""))
-    out = F.regexp_replace(out, r"\\text\{(.*?)\}|\\textbf\{(.*?)\}|\\overline\{(.*?)\}", "$1$2$3")
-    out = F.regexp_replace(out, r"(frac)([^{])(.)", "frac{$2}{$3}")
-    out = F.regexp_replace(out, r"(sqrt)([^{])", "sqrt{$2}")
-    out = F.replace(out, F.lit("$"), F.lit(""))
-    return F.when(F.replace(out, F.lit(","), F.lit("")).rlike(r"^\d+$"), F.replace(out, F.lit(","), F.lit(""))).otherwise(F.trim(out))
+    for old, new in [*SUBSTITUTIONS, *((x, "") for x in REMOVED)]:
+        out = F.replace(out, F.lit(old), F.lit(new))
+    out = F.regexp_replace(out, r".*?\$(.*?)\$.*", "$1")
+    for command in ("text", "textbf", "overline"):
+        out = F.regexp_replace(out, r"\\%s\{(.*?)\}" % command, "$1")
+    out = F.regexp_replace(out, r"\\boxed\{(.*)\}", "$1")
+    out = F.regexp_replace(F.regexp_replace(out, r"frac([^{])(.)", "frac{$1}{$2}"), r"sqrt([^{])", "sqrt{$1}")
+    bare = lambda x: F.replace(x, F.lit(","), F.lit(""))
+    return let(F.replace(out, F.lit("$"), F.lit("")), lambda x: F.when(bare(x).rlike(r"^\d+$"), bare(x)).otherwise(F.trim(x)))
 
 
 def answer_line(text: Column) -> Column:
@@ -144,9 +186,11 @@ def answer_line(text: Column) -> Column:
 
 def answer_line_score(text: Column, truth: Column) -> Column:
     """struct(score of 1 or -1, acc, pred)."""
-    pred = answer_line(text)
-    ok = pred == maths_normal(truth)
-    return F.struct(F.when(ok, 1.0).otherwise(-1.0).alias("score"), ok.alias("acc"), pred.alias("pred"))
+    def score(pred: Column) -> Column:
+        ok = pred == maths_normal(truth)
+        return F.struct(F.when(ok, 1.0).otherwise(-1.0).alias("score"), ok.alias("acc"), pred.alias("pred"))
+
+    return let(answer_line(text), score)
 
 
 def overlong_penalty(length: Column, *, limit: int, buffer: int, factor: float) -> Column:
@@ -243,18 +287,46 @@ def content_signature(df_columns: list[str], volatile: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256)
 
 
-#: Words of a counting question. Fixed values.
-COLOURS = ["red", "blue", "green", "white", "black", "yellow", "grey", "silver"]
-RELATIONS = ["left of", "right of", "in front of", "behind", "next to", "near", "opposite"]
+#: Colours, kinds of things and phrases of relations with their names, of counting questions. Fixed values.
+COLOURS = ["light blue", "blue-green", "yellow", "red", "blue", "black", "white", "green", "grey", "cyan"]
+KINDS = ["cycles", "sedans", "cars", "buses", "trucks", "vehicles"]
+RELATIONS = [
+    ("passes by", "pass-by"), ("pass by", "pass-by"), (" pass ", "pass-by"), ("overtakes", "overtake"), ("overtake", "overtake"), ("ahead of", "same-direction-ahead"), (" behind ", "same-direction-behind"),
+    ("parked by the roadside", "parked"), ("parked in front of", "parked-front"), ("parked", "parked"), ("completely leaves", "leave-view"), ("leaves view", "leave-view"), ("level with", "level-with"),
+    ("appear", "appear"), ("currently driving", "driving"), ("driving in", "driving"), ("show clear displacement", "moving")]
+#: What ends the words for the counted things, and endings that do not belong to them. Fixed values.
+STOPS = [
+    "does ", "are ", "is ", "pass ", "overtake ", "parked ", "in ", "appear ", "leave ", "drive ", "currently ", "at ", "do you see ", "have ", "turn ", "show ", "completely ", "fully ", "oncoming ",
+    "traveling ", "moving ", r"\?"]
+TAILS = [" in total", " do you see", " have completely", " completely", " traveling", " moving", " on the same side"]
 
 
 def count_clause(question: Column) -> Column:
-    """struct(counted, colour, relation, reference): what a question asks to count, its first colour, the
-    relation that is named last and the {A1}-like reference after it."""
-    low = F.lower(question)
-    counted = F.regexp_extract(low, r"how many ([a-z ]+?)(?: are| is| can| do|\?|$)", 1)
-    colour = F.regexp_extract(counted, r"\b(" + "|".join(COLOURS) + r")\b", 1)
-    places = F.array(*[F.struct((F.length(low) - F.locate(r[::-1], F.reverse(low)) - len(r) + 2).alias("at"), F.lit(r).alias("name"), (F.locate(r, low) > 0).alias("there")) for r in RELATIONS])
-    last = F.array_max(F.filter(places, lambda p: p["there"]))
-    empty = lambda x: F.when(x != "", x)
-    return F.struct(empty(counted).alias("counted"), empty(colour).alias("colour"), last["name"].alias("relation"), empty(F.regexp_extract(question, r"\{([A-Z]\d+)\}", 1)).alias("reference"))
+    """What a counting question asks for: struct(category, colour, relation, reference, mentioned).
+
+    Only the clause from "how many" on counts, whatever comes before it. The category is the first
+    known colour and kind of thing in the words that follow, or all these words; the relation is the
+    one whose phrase first occurs last, of phrases at one place the one listed first, else "?"; the
+    reference is the {A1}-like alias that a relation is about, else the first one; mentioned are all
+    aliases as first seen."""
+    alias = r"\{([AB]\d)\}"
+    looks = [r"(?i)\b(?:pass(?:es)?|pass\s+by|overtakes?)\s+" + alias, r"(?i)\b(?:ahead\s+of|behind)\s+" + alias, r"(?i)\bdoes\s+" + alias + r"\s+(?:pass(?:es)?|pass\s+by|overtakes?)", alias]
+
+    def named(words: Column) -> Column:
+        colour, kind = (F.try_element_at(F.filter(F.array(*map(F.lit, names)), lambda n: F.contains(words, n)), F.lit(1)) for names in (COLOURS, KINDS))
+        return F.struct(F.when(kind.isNotNull(), F.concat_ws(" ", colour, kind)).when(words != "", words).otherwise("the target category in the question").alias("category"), colour.alias("colour"))
+
+    def asked(clause: Column) -> Column:
+        low = F.lower(clause)
+        words = F.trim(F.regexp_extract(low, "how many (.+?)(?: (?:" + "|".join(STOPS) + ")|$)", 1))
+        for tail in TAILS:
+            words = F.regexp_replace(words, rf"\s*{tail}$", "")
+        there = F.filter(F.array(*[F.struct(F.instr(low, phrase).alias("at"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (phrase, name) in enumerate(RELATIONS)]), lambda r: r["at"] > 0)
+        found = F.filter(F.array(*[F.regexp_extract(clause, look, 1) for look in looks]), lambda x: x != "")
+        return F.struct(
+            let(words, named).alias("what"), F.coalesce(F.array_max(there)["name"], F.lit("?")).alias("relation"), F.try_element_at(found, F.lit(1)).alias("reference"),
+            F.array_distinct(F.regexp_extract_all(clause, F.lit(alias), 1)).alias("mentioned"))
+
+    # the clause from "how many" on; a text without one is taken whole
+    clause = F.regexp_replace(question, r"(?is)^.*?(?=\bhow\s+many\b)", "")
+    return let(let(clause, asked), lambda c: F.struct(c["what"]["category"].alias("category"), c["what"]["colour"].alias("colour"), c["relation"].alias("relation"), c["reference"].alias("reference"), c["mentioned"].alias("mentioned")))

@@ -176,16 +176,25 @@ def media_match(text: Column, images: Column, videos: Column) -> Column:
 
 
 def leaked_answers(docs: DataFrame, items: DataFrame, *, doc_id: str, doc_text: str, item_id: str, item_text: str, n: int = 8) -> DataFrame:
-    """(doc, item) pairs where the trimmed item text is in the document. Items meet only documents that
-    share their first run of n words; an item of fewer words is looked for by its first word's run."""
+    """(doc, item) pairs where the trimmed item text is in the document, in whatever marks.
+
+    Of an item in a document all words but the first and the last are words of the document too: the
+    first may hang on a quote, the last on a full stop. So items meet only documents that share a hash
+    of their first n inner words; texts are fetched for those that met. Items of one or two words, which
+    have no inner ones, are a table of their own and are looked for in every document."""
     words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
+    hashed = lambda w, start, size: F.xxhash64(F.array_join(F.slice(w, start, size), " "))
     item = items.select(F.col(item_id), F.trim(item_text).alias("_item"), words(item_text).alias("_w")).filter("_item != ''")
-    item = item.withColumn("_size", F.least(F.size("_w"), F.lit(n))).withColumn("_key", F.array_join(F.slice("_w", 1, n), " "))
-    sizes = item.select("_size").distinct()
-    doc = docs.select(F.col(doc_id), F.col(doc_text).alias("_text"), words(doc_text).alias("_d")).crossJoin(F.broadcast(sizes)).filter(F.size("_d") >= F.col("_size"))
-    keys = F.transform(F.sequence(F.lit(1), F.size("_d") - F.col("_size") + 1), lambda k: F.array_join(F.slice("_d", k, F.col("_size")), " "))
-    hits = doc.select(doc_id, "_text", F.explode(F.array_distinct(keys)).alias("_key")).join(item.select(item_id, "_item", "_key"), "_key")
-    return hits.filter(F.col("_text").contains(F.col("_item"))).select(doc_id, item_id).distinct()
+    inner = F.least(F.size("_w") - 2, F.lit(n))
+    long = item.filter(F.size("_w") > 2).select(item_id, "_item", inner.alias("_size"), hashed(F.col("_w"), 2, inner).alias("_key"))
+    sizes = long.select("_size").distinct()  # at most n rows
+    doc = docs.select(F.col(doc_id), words(doc_text).alias("_d")).crossJoin(F.broadcast(sizes)).filter(F.size("_d") >= F.col("_size"))
+    keys = F.transform(F.sequence(F.lit(1), F.size("_d") - F.col("_size") + 1), lambda k: hashed(F.col("_d"), k, F.col("_size")))
+    met = doc.select(doc_id, "_size", F.explode(F.array_distinct(keys)).alias("_key")).join(long, ["_size", "_key"]).select(doc_id, item_id, "_item").distinct()
+    texts = docs.select(F.col(doc_id), F.col(doc_text).alias("_text"))
+    hits = met.join(texts, doc_id).filter(F.contains("_text", "_item")).select(doc_id, item_id)
+    short = item.filter(F.size("_w") <= 2).select(item_id, "_item")
+    return hits.unionByName(texts.join(short, F.contains("_text", "_item")).select(doc_id, item_id)).distinct()
 
 
 def answer_in_prompt(df: DataFrame, *, prompt: str, truth: str, out: str = "leaked") -> DataFrame:
@@ -244,11 +253,17 @@ def fill_order(order: Column, ids: Column) -> tuple[Column, Column]:
     return F.concat(known, added), added
 
 
+#: What makes a visual result inconclusive, what does so only beside no count, and what a count looks like. Fixed values.
+STRONG = ["cannot determine", "cannot verify", "unable to determine", "unable to verify", "insufficient evidence", "witness: undetermined"]
+WEAK = ["not visible"]
+COUNTED = r"(?i)(?:witness\s+)?qualifying\s+(?:instances/events\s+in\s+this\s+view:\s*|count:\s*)\d+"
+
+
 def gate_choice_flip(previous: Column, candidate: Column, evidence: Column) -> Column:
-    """The previous answer if all new evidence is inconclusive, else the candidate."""
-    strong = r"(?i)inconclusive|cannot (be )?(determined?|confirmed?)|not visible|unable to"
-    weak, count = r"(?i)unclear|uncertain|possibly", r"(?i)\b(exactly|total of)?\s*\d+\b"
-    none = F.forall(evidence, lambda e: e.rlike(strong) | (e.rlike(weak) & ~e.rlike(count)))
+    """The previous answer if there is new evidence and all of it is inconclusive, else the candidate. A null
+    answer is no answer, and nothing is held back for or against it."""
+    holds = lambda e, words: F.lower(e).rlike("|".join(words))
+    none = F.forall(evidence, lambda e: holds(e, STRONG) | (holds(e, WEAK) & ~e.rlike(COUNTED)))
     return F.when((previous != candidate) & (F.size(evidence) > 0) & none, previous).otherwise(candidate)
 
 

@@ -40,9 +40,10 @@ def f3_select_rename(t):
     return qu.select_keys(t.lineitem, ["l_orderkey", "l_quantity", "l_returnflag"], {"l_orderkey": "uid", "l_quantity": "score"})
 
 
-@area.query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 9000 AND (o_orderkey - 100) % 7 = 0")
+@area.query("SELECT o_orderkey, o_totalprice FROM orders, (SELECT min(o_orderkey) AS a FROM orders) WHERE (o_orderkey - a) % 7 = 0")
 def f4_select_rows(t):
-    return qu.select_rows(t.orders.select("o_orderkey", "o_totalprice"), index="o_orderkey", start=100, stop=9000, step=7)
+    ends = t.orders.agg(F.min("o_orderkey").alias("a"), F.max("o_orderkey").alias("b")).first()
+    return qu.select_rows(t.orders.select("o_orderkey", "o_totalprice"), index="o_orderkey", start=ends.a, stop=ends.b + 1, step=7)
 
 
 @area.query("SELECT doc_id, source FROM documents WHERE len(string_split_regex(text, '[ \\t\\n\\r]+')) <= 300")
@@ -57,18 +58,18 @@ def f6_fit_ids(t):
     return out.select("doc_id", F.array_join("ids", " ").alias("ids"), total("attention_mask").alias("attended"), total("loss_mask").alias("trained"))
 
 
-@area.query("""SELECT doc_id, coalesce(list_min(list_filter([list_position(l, 2), list_position(l, 7)], lambda x: x > 0)), len(l))::BIGINT AS kept FROM (SELECT doc_id, list_transform(string_split(left(text, 400), ' '), lambda x: length(x)) AS l FROM documents)""")
+@area.query("""SELECT doc_id, coalesce(list_min(list_filter([list_position(l, 2), list_position(l, 7)], lambda x: x > 0)), len(l))::BIGINT AS kept FROM (SELECT doc_id, list_transform(string_split(text, ' '), lambda x: length(x)) AS l FROM documents)""")
 def f7_response_mask(t):
-    ids = F.transform(F.split(F.left("text", F.lit(400)), " "), F.length)
+    ids = F.transform(F.split("text", " "), F.length)
     return t.documents.select("doc_id", F.aggregate(qu.response_mask(ids, [2, 7]), F.lit(0).cast("long"), lambda a, x: a + x).alias("kept"))
 
 
-TURNS = """WITH c AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' AND turn % 4 = 3 THEN '[DIAGNOSIS] ' ELSE '' END || left(text, 20) AS text FROM conversations)"""
+TURNS = """WITH c AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' AND turn % 4 = 3 THEN '[DIAGNOSIS] ' ELSE '' END || text AS text FROM conversations)"""
 
 
 def turns(t):
     mark = F.when((F.col("role") == "user") & (F.col("turn") % 4 == 3), "[DIAGNOSIS] ").otherwise("")
-    return t.conversations.select("conv_id", "turn", "role", F.concat(mark, F.left("text", F.lit(20))).alias("text"))
+    return t.conversations.select("conv_id", "turn", "role", F.concat(mark, "text").alias("text"))
 
 
 @area.query("""SELECT conv_id, turn, role, text FROM c a WHERE NOT (role = 'user' AND contains(text, '[DIAGNOSIS]')) AND NOT (role = 'assistant' AND coalesce((SELECT role = 'user' AND contains(text, '[DIAGNOSIS]') FROM c b WHERE b.conv_id = a.conv_id AND b.turn = (SELECT min(turn) FROM c d WHERE d.conv_id = a.conv_id AND d.turn > a.turn AND d.role <> 'assistant')), false))""", with_=TURNS)
@@ -139,10 +140,15 @@ def f17_fill_order(t):
     return rows.select(F.col("l_orderkey").alias("o"), F.array_join(order, ",").alias("order"), F.size(added).cast("long").alias("added"))
 
 
-@area.query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'A' ELSE 'B' END AS answer FROM conversations""")
+MARKS = "cannot determine|cannot verify|unable to determine|unable to verify|insufficient evidence|witness: undetermined"
+
+
+@area.query(f"""SELECT conv_id, turn, CASE WHEN len(list_filter(e, lambda x: NOT (regexp_matches(lower(x), '{MARKS}') OR (contains(lower(x), 'not visible') AND NOT regexp_matches(lower(x), 'qualifying\\s+(instances/events\\s+in\\s+this\\s+view:\\s*|count:\\s*)[0-9]+'))))) = 0 THEN 'A' ELSE 'B' END AS answer
+  FROM (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN [text || ' Insufficient evidence.', 'Unable to VERIFY'] WHEN 1 THEN [text || ' door not visible'] WHEN 2 THEN ['not visible, qualifying count: 3 ' || text] ELSE [text, 'cannot determine'] END AS e FROM conversations)""")
 def f18_choice_flip(t):
-    k = F.col("turn") % 3
-    evidence = F.when(k == 0, F.array(F.lit("It is inconclusive."), F.lit("unclear"))).when(k == 1, F.array(F.lit("unclear, total of 3"))).otherwise(F.array(F.lit("door opens")))
+    k, text = F.col("turn") % 4, F.col("text")
+    evidence = (F.when(k == 0, F.array(F.concat(text, F.lit(" Insufficient evidence.")), F.lit("Unable to VERIFY"))).when(k == 1, F.array(F.concat(text, F.lit(" door not visible"))))
+                .when(k == 2, F.array(F.concat(F.lit("not visible, qualifying count: 3 "), text))).otherwise(F.array(text, F.lit("cannot determine"))))
     return t.conversations.select("conv_id", "turn", qu.gate_choice_flip(F.lit("A"), F.lit("B"), evidence).alias("answer"))
 
 

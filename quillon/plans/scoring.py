@@ -26,9 +26,9 @@ def c2_sequence_key(t):
 
 
 @area.query("""SELECT doc_id, CASE WHEN a >= 0 AND a < b THEN a END AS "start_s~", CASE WHEN a >= 0 AND a < b THEN b END AS "end_s~" FROM (SELECT doc_id, n[-2]::DOUBLE AS a, n[-1]::DOUBLE AS b FROM
-  (SELECT doc_id, regexp_extract_all('from ' || n_chars || ' to ' || doc_id || '.5 s, ' || left(text, 300), '([0-9]+(?:\\.[0-9]+)?)', 1) AS n FROM documents))""")
+  (SELECT doc_id, regexp_extract_all('from ' || n_chars || ' to ' || doc_id || '.5 s, ' || text, '([0-9]+(?:\\.[0-9]+)?)', 1) AS n FROM documents))""")
 def c3_interval(t):
-    text = F.concat(F.lit("from "), F.col("n_chars").cast("string"), F.lit(" to "), F.col("doc_id").cast("string"), F.lit(".5 s, "), F.left("text", F.lit(300)))
+    text = F.concat(F.lit("from "), F.col("n_chars").cast("string"), F.lit(" to "), F.col("doc_id").cast("string"), F.lit(".5 s, "), F.col("text"))
     return t.documents.select("doc_id", an.interval(text).alias("i")).select("doc_id", F.col("i.start").alias("start_s"), F.col("i.end").alias("end_s"))
 
 
@@ -54,12 +54,13 @@ def a29_mean_interval_iou(t):
     return p.agg(F.avg(F.coalesce(an.interval_iou(F.least("s", "e"), F.greatest("s", "e"), F.col("s2"), F.col("e2")), F.lit(0.0))).alias("mean_iou"), F.count("*").alias("n"))
 
 
-@area.query("""SELECT d.doc_id, CASE WHEN len(p) > 0 THEN len(list_filter(p, lambda x: len(x) > 0 AND len(list_intersect(x, w)) >= 0.3 * len(x))) / len(p) ELSE 0 END AS "coverage~" FROM
-  (SELECT doc_id, list_distinct(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z0-9]+')) AS w FROM documents) d,
-  (SELECT list(list_distinct(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z0-9]+'))) AS p FROM (SELECT text FROM benchmark WHERE item_id < 10))""")
+@area.query("""SELECT d.doc_id, len(list_filter(p, lambda x: len(x) > 0 AND len(list_intersect(x, w)) >= 0.3 * len(x))) / len(p) AS "coverage~" FROM
+  (SELECT doc_id, doc_id % k AS g, list_distinct(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z0-9]+')) AS w FROM documents, n) d JOIN
+  (SELECT item_id % k AS g, list(list_distinct(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z0-9]+'))) AS p FROM benchmark, n GROUP BY 1) USING (g)""", with_="WITH n AS (SELECT (count(*) + 9) // 10 AS k FROM benchmark)")
 def c5_point_coverage(t):
-    points = t.benchmark.filter("item_id < 10").agg(F.collect_list("text").alias("p"))  # the rubric of one question
-    return t.documents.crossJoin(F.broadcast(points)).select("doc_id", an.point_coverage(F.col("text"), F.col("p")).alias("coverage"))
+    k = -(-t.benchmark.count() // 10)  # rubrics of ten points each, and each document answers one of the questions
+    docs = t.documents.select("doc_id", "text", (F.col("doc_id") % k).alias("g"))
+    return an.rubric_coverage(docs, t.benchmark.select((F.col("item_id") % k).alias("g"), F.col("text").alias("point")), rubric="g", text="text", point="point").select("doc_id", "coverage")
 
 
 @area.query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN (n_chars % 5 = 0)::INT::DOUBLE WHEN 1 THEN 0.5 WHEN 2 THEN NULL ELSE 1 END AS "score~" FROM documents""")
@@ -93,14 +94,15 @@ def scored(t):
 @area.query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 0.0 WHEN upper(trim(role)) = 'USER' THEN 1.0 ELSE 0.0 END AS "score~" FROM conversations""")
 def c8_tool_answer(t):
     obj = F.to_json(F.struct(F.when(F.col("turn") % 3 == 0, "look").otherwise("answer").alias("action"), F.struct(F.concat(F.lit(" "), "role").alias("final_answer")).alias("params")))
-    text = F.concat(F.lit('so {"a": "}"} '), F.left("text", F.lit(40)), F.lit(" "), obj, F.lit(" end {"))
+    text = F.concat(F.lit('so {"a": "}"} '), F.col("text"), F.lit(" "), obj, F.lit(" end {"))
     return t.conversations.select("conv_id", "turn", sc.tool_answer_score(text, F.lit("user")).alias("score"))
 
 
-@area.query("""SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN n_chars::VARCHAR END AS strict, n_chars || CASE WHEN doc_id % 2 = 0 THEN '.5' ELSE '' END AS flexible FROM documents""")
+@area.query("""SELECT doc_id, replace(s[-1], ',', '') AS strict, f[-1] AS flexible FROM (SELECT doc_id, regexp_extract_all(x, '#### (-?[0-9.,]+)', 1) AS s, list_filter(regexp_extract_all(x, '-?[0-9.,]+'), lambda v: v NOT IN ('', '.')) AS f
+  FROM (SELECT doc_id, right(CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN text || chr(10) || '#### ' || n_chars || '.5 or more' ELSE '#### 7 ' || text END, 300) AS x FROM documents))""")
 def c9_last_number(t):
-    n = F.col("n_chars").cast("string")
-    text = F.concat(F.left("text", F.lit(400)), F.when(F.col("doc_id") % 3 > 0, F.lit("\n#### ")).otherwise(" is "), n, F.lit(" or "), n, F.when(F.col("doc_id") % 2 == 0, ".5").otherwise(""))
+    k, n = F.col("doc_id") % 3, F.col("n_chars").cast("string")
+    text = F.when(k == 0, F.col("text")).when(k == 1, F.concat("text", F.lit("\n#### "), n, F.lit(".5 or more"))).otherwise(F.concat(F.lit("#### 7 "), "text"))
     return t.documents.select("doc_id", an.last_number(text).alias("strict"), an.last_number(text, "flexible").alias("flexible"))
 
 
@@ -112,11 +114,17 @@ def c10_qa_score(t):
     return t.benchmark.select("item_id", an.qa_score(text, F.array("text")).alias("score"))
 
 
-@area.query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE -1.0 END AS "score~", doc_id % 2 = 0 AS acc, CASE doc_id % 4 WHEN 0 THEN n_chars::VARCHAR WHEN 1 THEN 'x+1' WHEN 2 THEN n_chars::VARCHAR ELSE '[INVALID]' END AS pred FROM documents""")
+LAST = {0: ("Answer: 3\nthen answer : $x=", "$ minutes"), 1: ("Answer: x + 1", ""), 2: ("ANSWER: \\text{", "}"), 3: ("", ""), 4: ("answer: a \\ldots ", "^{\\circ}"), 5: ("Answer: \\boxed{\\frac1", "}")}
+
+
+@area.query("""SELECT doc_id, CASE WHEN k IN (0, 2, 4) THEN 1.0 ELSE -1.0 END AS "score~", k IN (0, 2, 4) AS acc, CASE WHEN k IN (0, 2, 4) THEN n_chars::VARCHAR WHEN k = 1 THEN 'x+1' WHEN k = 5 THEN '\\frac{1}{' || left(n_chars::VARCHAR, 1) || '}' || substr(n_chars::VARCHAR, 2) ELSE '[INVALID]' END AS pred
+  FROM (SELECT *, doc_id % 6 AS k FROM documents) WHERE NOT contains(lower(right(text, 300)), 'answer')""")
 def c11_answer_line(t):
-    k, n = F.col("doc_id") % 4, F.col("n_chars").cast("string")
-    text = F.when(k == 0, F.concat(F.lit("Answer: 3\nthen answer : $x="), n, F.lit("$ minutes"))).when(k == 1, "Answer: x + 1").when(k == 2, F.concat(F.lit("ANSWER: \\text{"), n, F.lit("}"))).otherwise(n)
-    return t.documents.select("doc_id", an.answer_line_score(text, n).alias("s")).select("doc_id", "s.*")
+    n = F.col("n_chars").cast("string")
+    said = F.concat("text", F.lit("\n"))  # what was thought before the answer
+    text = F.coalesce(*[F.when(F.col("doc_id") % 6 == k, F.concat(said, F.lit(a), F.lit("") if k == 1 else n, F.lit(b))) for k, (a, b) in LAST.items()])
+    rows = t.documents.filter(~F.lower(F.right("text", F.lit(300))).contains("answer"))
+    return rows.select("doc_id", an.answer_line_score(text, n).alias("s")).select("doc_id", "s.*")
 
 
 @area.query("""SELECT doc_id, (doc_id % 3 < 2)::INT::DOUBLE AS "score~" FROM documents""")
@@ -181,10 +189,15 @@ def c21_span(t):
     return t.documents.select("doc_id", an.span(text).alias("s")).select("doc_id", F.col("s.start").alias("start_s"), F.col("s.end").alias("end_s"))
 
 
-@area.query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'red cars' ELSE 'people' END AS counted, CASE WHEN doc_id % 2 = 0 THEN 'red' END AS colour, CASE WHEN doc_id % 2 = 0 THEN 'behind' ELSE 'near' END AS relation, CASE WHEN doc_id % 2 = 0 THEN 'A1' END AS reference FROM documents""")
+@area.query("""SELECT doc_id, q.* FROM documents JOIN (VALUES (0, 'red cars', 'red', 'same-direction-behind', 'A2', 'A2'), (1, 'people', NULL, 'pass-by', 'B1', 'A1,B1'), (2, 'light blue buses', 'light blue', 'parked-front', 'A3', 'A3'), (3, 'cycles', NULL, 'overtake', 'A1', 'A1'), (4, 'white birds', 'white', '?', NULL, '')) q(k, category, colour, relation, reference, mentioned)
+  ON doc_id % 5 = k WHERE NOT regexp_matches(lower(text), 'how\\s+many')""".replace("q.*", "category, colour, relation, reference, mentioned"))
 def c22_count_clause(t):
-    q = F.when(F.col("doc_id") % 2 == 0, "How many red cars are left of the tree and behind {A1}?").otherwise("How many people can you see near it?")
-    return t.documents.select("doc_id", an.count_clause(q).alias("c")).select("doc_id", "c.*")
+    k = F.col("doc_id") % 5
+    ask = (F.when(k == 0, "How many red cars are parked in the street behind {A2}?").when(k == 1, "how  many, no, how many people in total who see {A1} does {B1} pass by?").when(k == 2, "How many light blue buses parked in front of {A3}")
+           .when(k == 3, "how many cycles does {A1} overtake").otherwise("How many white birds do you see ?"))
+    text = F.concat(F.lit("Once {A9} appears, yellow trucks. "), "text", F.lit(" "), ask)  # what comes before the question is not part of it
+    rows = t.documents.filter(~F.col("text").rlike(r"(?i)how\s+many"))
+    return rows.select("doc_id", an.count_clause(text).alias("c")).select("doc_id", "c.category", "c.colour", "c.relation", "c.reference", F.array_join("c.mentioned", ",").alias("mentioned"))
 
 
 @area.query("""SELECT doc_id, 'left of obj_' || doc_id || ' or obj_' || n_chars || ' {A3}' AS text FROM documents""")
