@@ -10,7 +10,7 @@ from .shared import row_key, rows_of_keys, written
 
 WEIGHTS, SHARE, EPOCHS, SEED = (3.0, 1.0, 2.0), 1.5, 2.0, 7
 #: Distinct rows in a bucket, about.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 2_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
