@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,26 +86,52 @@ def majority(votes: DataFrame, *, keys: list[str], vote: str, value: str, pos: l
     return best.select(*keys, F.col(f"b.{vote}").alias("majority_vote"), F.col(f"b.first.{value}").alias("majority_value"), (-F.col("b.n")).alias("n_votes"))
 
 
+def majority_at(samples: DataFrame, *, keys: list[str], vote: str, value: str, order: list[str], n: Column, rounds: int = 1000, seed: int = 42) -> DataFrame:
+    """(keys, n, maj_mean, maj_std): mean and population deviation, over `rounds` resamples of n draws with
+    replacement from each group, of the value that majority voting takes: the first drawn under the most
+    frequent vote, of equally frequent ones the vote drawn first. `n` is an array column. Draws are md5
+    numbers of seed, keys, n, round and draw."""
+    w = Window.partitionBy(*keys)
+    rows = samples.withColumn("_k", F.row_number().over(w.orderBy(*order)) - 1)
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_size"), n.alias("_n"))
+    each = lambda df, name, last: df.withColumn(name, F.explode(F.sequence(F.lit(1), last)))
+    draws = each(each(sizes.withColumn("n", F.explode("_n")).drop("_n"), "_round", F.lit(rounds)), "_draw", F.col("n").cast("int"))
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in [*keys, "n", "_round", "_draw"]])
+    draws = draws.withColumn("_k", F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % F.col("_size"))
+    taken = draws.join(rows.select(*keys, "_k", F.col(vote).alias("_vote"), F.col(value).alias("_value")), [*keys, "_k"])
+    per = taken.groupBy(*keys, "n", "_round", "_vote").agg(F.count("*").alias("_c"), F.min(F.struct("_draw", "_value")).alias("_first"))
+    won = per.groupBy(*keys, "n", "_round").agg(F.min(F.struct((-F.col("_c")).alias("c"), "_first")).alias("_b"))
+    value_of = F.col("_b._first._value")
+    return won.groupBy(*keys, F.col("n").cast("long").alias("n")).agg(F.avg(value_of).alias("maj_mean"), F.stddev_pop(value_of).alias("maj_std"))
+
+
 def ladder(n: Column) -> Column:
     """2, 4, 8, ... below n, then n."""
     steps = F.filter(F.array(*[F.lit(2**k) for k in range(1, 31)]), lambda x: x < n)
     return F.when(n > 1, F.concat(steps, F.array(n.cast("int")))).otherwise(F.array().cast("array<int>"))
 
 
-def validation_metrics(samples: DataFrame, *, source: str, uid: str, variables: list[str]) -> DataFrame:
-    """(source, variable, metric, value): mean@N, std@N (population, N > 1), best@n and worst@n with
-    their deviations for n on the ladder, per prompt and then over the prompts of a source."""
-    long = samples.unpivot([source, uid], variables, "variable", "x")
+def validation_metrics(samples: DataFrame, *, source: str, uid: str, variables: list[str], vote: str | None = None, order: list[str] | None = None, rounds: int = 1000, seed: int = 42) -> DataFrame:
+    """(source, variable, metric, value): mean@N, std@N (population, N > 1), best@n and worst@n and, with a
+    column of votes and the samples' order, maj@n, each with its deviation, for n on the ladder, per prompt
+    and then over the prompts of a source. best and worst are exact, maj is over resamples."""
+    more = [c for c in [vote, *(order or [])] if c and c not in (source, uid)]
+    long = samples.unpivot([source, uid, *more], variables, "variable", "x")
     keys = [source, uid, "variable"]
     size = F.count("*").over(Window.partitionBy(*keys))
     stats = long.groupBy(*keys).agg(F.avg("x").alias("mean"), F.when(F.count("*") > 1, F.stddev_pop("x")).alias("std"), F.count("*").alias("n"))
     plain = stats.select(source, "variable", F.explode(F.array(*[F.struct(F.concat(F.lit(f"{m}@"), "n").alias("metric"), F.col(m).alias("value")) for m in ("mean", "std")])).alias("s"))
-    of_n = best_and_worst(long, keys=keys, value="x", n=ladder(size))
-    names = {"best_mean": "best@{}/mean", "best_std": "best@{}/std", "worst_mean": "worst@{}/mean", "worst_std": "worst@{}/std"}
-    metric = lambda c: F.concat(*[F.lit(names[c].split("{}")[0]), F.col("n").cast("string"), F.lit(names[c].split("{}")[1])])
-    ranked = of_n.select(source, "variable", F.explode(F.array(*[F.struct(metric(c).alias("metric"), F.col(c).alias("value")) for c in names])).alias("s"))
-    every = plain.unionByName(ranked).select(source, "variable", "s.metric", "s.value").filter("value is not null")
-    return every.groupBy(source, "variable", "metric").agg(F.avg("value").alias("value"))
+    every = [plain]
+
+    def ranked(of_n: DataFrame, names: dict[str, str]) -> None:
+        metric = lambda c: F.concat(F.lit(names[c] + "@"), F.col("n").cast("string"), F.lit("/" + c.split("_")[1]))
+        every.append(of_n.select(source, "variable", F.explode(F.array(*[F.struct(metric(c).alias("metric"), F.col(c).alias("value")) for c in names])).alias("s")))
+
+    ranked(best_and_worst(long, keys=keys, value="x", n=ladder(size)), {f"{k}_{m}": k for k in ("best", "worst") for m in ("mean", "std")})
+    if vote:
+        ranked(majority_at(long, keys=keys, vote=vote, value="x", order=order or [vote], n=ladder(F.count("*")), rounds=rounds, seed=seed), {"maj_mean": "maj", "maj_std": "maj"})
+    found = reduce(DataFrame.unionByName, every).select(source, "variable", "s.metric", "s.value").filter("value is not null")
+    return found.groupBy(source, "variable", "metric").agg(F.avg("value").alias("value"))
 
 
 def metric_sections(metrics: DataFrame, *, source: str) -> DataFrame:
@@ -217,3 +245,46 @@ def table_profile(df: DataFrame) -> DataFrame:
     one = df.agg(*aggs)
     cols = F.array(*[F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.col("_n").alias("n_rows"), F.col(f"_null{k}").alias("n_null"), F.col(f"_size{k}").alias("avg_size")) for k, f in enumerate(df.schema)])
     return one.select(F.explode(cols).alias("c")).select("c.*")
+
+
+def distributed_stats(df: DataFrame, *, value: str, mask: Column | None = None, by: list[str] | None = None) -> DataFrame:
+    """mean, max, min, sample deviation over all workers' rows and masked_mean, the mean over rows whose mask is
+    true; in all or per `by`. Partial aggregates take the place of an all-reduce."""
+    on = F.lit(True) if mask is None else F.coalesce(mask, F.lit(False))
+    aggregates = [F.avg(value).alias("mean"), F.max(value).alias("max"), F.min(value).alias("min"), F.stddev_samp(value).alias("std"), F.avg(F.when(on, F.col(value))).alias("masked_mean")]
+    return (df.groupBy(*by) if by else df).agg(*aggregates)
+
+
+def stage_coverage(rows: DataFrame, *, key: str, entity: str, stage: str, covered_by: str | int, flags: dict[str, str | int]) -> DataFrame:
+    """Per key the distinct entities that a stage has seen, how many they are, and for each name in `flags`
+    whether its stage occurs at all."""
+    seen = F.collect_set(F.when(F.col(stage) == F.lit(covered_by), F.col(entity)))
+    there = [F.coalesce(F.bool_or(F.col(stage) == F.lit(v)), F.lit(False)).alias(name) for name, v in flags.items()]
+    return rows.groupBy(key).agg(F.array_sort(seen).alias("entities"), *there).withColumn("covered", F.size("entities").cast("long"))
+
+
+def task_accuracy(rows: DataFrame, *, by: list[str], correct: Column) -> DataFrame:
+    """Per task attempted, correct and accuracy in percent: rows whose verdict is null were skipped and stay in
+    the denominator."""
+    right = F.count_if(F.coalesce(correct, F.lit(False)))
+    return rows.groupBy(*by).agg(F.count("*").alias("attempted"), right.alias("correct"), (right / F.count("*") * 100).alias("accuracy"))
+
+
+def prefixed(name: Column, prefix: str) -> Column:
+    """The name with the prefix, unless it has it already."""
+    return F.when(F.startswith(name, F.lit(prefix)), name).otherwise(F.concat(F.lit(prefix), name))
+
+
+def merged_metrics(*tables: DataFrame, name: str, value: str) -> DataFrame:
+    """One row per name over all tables; a name to which they give unlike values is an error."""
+    rows = reduce(lambda a, b: a.unionByName(b), tables).groupBy(name).agg(F.count_distinct(F.struct(value)).alias("_n"), F.first(value).alias(value))
+    same = F.when(F.col("_n") == 1, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("unlike values for "), F.col(name).cast("string"))))
+    return rows.filter(same).select(name, value)
+
+
+def appended(rows: DataFrame, *, name: str, value: str, order: list[str], prefix: str = "") -> DataFrame:
+    """(name, values): all values of each prefixed name in order; values that are lists are put one behind the other."""
+    items = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v")))), lambda x: x["_v"])
+    if rows.schema[value].dataType.typeName() == "array":
+        items = F.flatten(items)
+    return rows.groupBy(prefixed(F.col(name), prefix).alias(name)).agg(items.alias("values"))

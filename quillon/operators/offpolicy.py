@@ -223,6 +223,7 @@ def probability_gap(tokens: DataFrame, *, lp: str, rollout_lp: str, mask: str) -
 def adaptive_kl(steps: DataFrame, *, step: str, kl: str, n: str, start: float, target: float, horizon: float, key: str | None = None) -> DataFrame:
     """`coefficient` after each step: times 1 + clip(kl / target - 1, 0.2) n / horizon. A run's steps are its window."""
     mult = 1 + clamp(F.col(kl) / target - 1, -0.2, 0.2) * F.col(n) / horizon
+    # one run is a list of steps that follow from each other; without a key all rows are one run
     order = Window.partitionBy(key if key else F.lit(0)).orderBy(step).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return steps.withColumn("coefficient", F.lit(start) * F.exp(F.sum(F.log(mult)).over(order)))
 
@@ -238,3 +239,9 @@ def from_logits(df: DataFrame, *, logits: str, pick: str | None = None) -> DataF
         "entropy": lse - F.aggregate(F.zip_with(p, x, lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v),
         "sum_pi_squared": F.aggregate(p, F.lit(0.0), lambda a, v: a + v * v)})
     return out.withColumn("log_prob", F.element_at(x, F.col(pick).cast("int") + 1) - lse) if pick else out
+
+
+def token_differences(tokens: DataFrame, *, seq: str, a: str, b: str, mask: str) -> DataFrame:
+    """(seq, differing, tokens): at how many masked positions of a sequence two token columns differ, of how many.
+    A null differs from every token."""
+    return tokens.groupBy(seq).agg(F.count_if(F.col(mask) & ~F.col(a).eqNullSafe(F.col(b))).alias("differing"), F.count_if(F.col(mask)).alias("tokens"))

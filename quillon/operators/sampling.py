@@ -167,3 +167,16 @@ def top_covariance(tokens: DataFrame, *, a: str, b: str, mask: str, ratio: float
     k = max(1, int(row.n * ratio))
     cov = (F.col(a) - F.lit(row.a)) * (F.col(b) - F.lit(row.b))
     return on.withColumn("covariance", cov).orderBy(F.desc("covariance"), *order).limit(k)
+
+
+def clip_covariance(tokens: DataFrame, *, a: str, b: str, mask: str, ratio: float, low: float, high: float, order: list[str], seed: int = 42, clipped: str | None = None) -> DataFrame:
+    """max(1, int(n ratio)) masked tokens, drawn in seeded order from those whose (a - mean a)(b - mean b) lies
+    inside (low, high) and that are not clipped already, marked by `covariance`; all of these if they are fewer."""
+    on = tokens.filter(mask)
+    row = on.agg(F.avg(a).alias("a"), F.avg(b).alias("b"), F.count("*").alias("n")).first()
+    cov = (F.col(a) - F.lit(row.a)) * (F.col(b) - F.lit(row.b))
+    inside = on.withColumn("covariance", cov).filter((F.col("covariance") > low) & (F.col("covariance") < high))
+    if clipped:
+        inside = inside.filter(~F.coalesce(F.col(clipped), F.lit(False)))
+    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in order]))
+    return inside.orderBy(drawn, *order).limit(max(1, int(row.n * ratio)))

@@ -74,10 +74,26 @@ def apportion(df: DataFrame, *, keys: list[str], share: str, total: Column, orde
     return rows.withColumn(out, (F.col("_f") + (rank <= left).cast("long")).cast("long")).drop("_x", "_f")
 
 
-def stitched_timeline(phases: DataFrame, *, task: str, phase: str, seed: int = 42, low: int = 3, high: int = 9) -> DataFrame:
-    """Phases of a task in a seeded order on one timeline: duration, position, start and end, and the
-    task's answer, which names for each phase in its own order the position it is at."""
-    rows = phases.withColumn("duration", F.floor(draw(seed, F.col(task), F.col(phase), F.lit("d")) * (high - low + 1)).cast("long") + low)
+#: Seconds that an event of a stitched timeline, and a micro action, may last, and how often each. Fixed values.
+EVENT_SECONDS = {3: 1, 4: 2, 5: 3, 6: 3, 7: 2, 8: 1, 9: 1}
+MICRO_SECONDS = {3: 1, 4: 3, 5: 4, 6: 3, 7: 2, 8: 1}
+
+
+def weighted_pick(u: Column, weights: dict[int, int]) -> Column:
+    """The value that a number u in [0, 1) picks by weight."""
+    total, below, out = sum(weights.values()), 0, None
+    for value, weight in list(weights.items())[:-1]:
+        below += weight
+        near = u * total < below
+        out = F.when(near, value) if out is None else out.when(near, value)
+    last = list(weights)[-1]
+    return (F.lit(last) if out is None else out.otherwise(last)).cast("long")
+
+
+def stitched_timeline(phases: DataFrame, *, task: str, phase: str, seed: int = 42, weights: dict[int, int] = EVENT_SECONDS) -> DataFrame:
+    """Phases of a task in a seeded order on one timeline: duration (drawn by weight), position, start and end,
+    and the task's answer, which names for each phase in its own order the position it is at."""
+    rows = phases.withColumn("duration", weighted_pick(draw(seed, F.col(task), F.col(phase), F.lit("d")), weights))
     order = Window.partitionBy(task).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(task).cast("string"), F.col(phase).cast("string"), F.lit("o"))), phase)
     rows = rows.withColumn("position", F.row_number().over(order).cast("long"))
     rows = rows.withColumn("end", F.sum("duration").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("start", F.col("end") - F.col("duration"))
@@ -85,6 +101,15 @@ def stitched_timeline(phases: DataFrame, *, task: str, phase: str, seed: int = 4
     return rows.join(answers, task)
 
 
+def event_timelines(events: DataFrame, *, task: str, phase: str, event: str, seed: int = 42, weights: dict[int, int] = EVENT_SECONDS) -> DataFrame:
+    """Events of each phase one behind the other from 0 on, with durations drawn by weight: duration, start, end,
+    and total_duration of the phase."""
+    rows = events.withColumn("duration", weighted_pick(draw(seed, F.col(task), F.col(phase), F.col(event), F.lit("e")), weights))
+    w = Window.partitionBy(task, phase)
+    rows = rows.withColumn("end", F.sum("duration").over(w.orderBy(event).rowsBetween(Window.unboundedPreceding, 0))).withColumn("start", F.col("end") - F.col("duration"))
+    return rows.withColumn("total_duration", F.sum("duration").over(w))
+
+
 def expand_span(start: Column, end: Column, duration: Column, *, half: float) -> tuple[Column, Column]:
     """A point becomes a window of half on both sides within the video; one outside becomes its first or
     last 2 half; intervals stay."""
@@ -144,14 +169,55 @@ def resume_history(history: Column, turn: Column, correction: Column) -> Column:
     return F.concat(F.slice(history, 1, (2 + 2 * (turn - 1)).cast("int")), F.array(correction))
 
 
-def slots(tasks: DataFrame, *, task: str, duration: str, seed: int = 42, low: int = 5, high: int = 15, stop: float = 20.0) -> DataFrame:
-    """Slots of seeded lengths from low to high seconds, one after the other, until at most `stop` seconds remain: (task, slot, start, end)."""
-    most = F.ceil(F.col(duration) / low).cast("int")
-    rows = tasks.withColumn("slot", F.explode(F.sequence(F.lit(1), F.greatest(most, F.lit(1)))))
-    rows = rows.withColumn("_len", F.floor(draw(seed, F.col(task), F.col("slot")) * (high - low + 1)) + low)
-    w = Window.partitionBy(task).orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("end", F.sum("_len").over(w)).withColumn("start", F.col("end") - F.col("_len"))
-    return rows.filter((F.col(duration) - F.col("start")) > stop).select(task, "slot", "start", F.least(F.col("end"), F.col(duration).cast("long")).alias("end"))
+def slots(tasks: DataFrame, *, task: str, duration: str, start: str | None = None, seed: int = 42, low: int = 5, high: int = 15, last: float = 20.0) -> DataFrame:
+    """Slots of seeded lengths from low to high seconds from `start` (0) on, one after the other; once at most `last` seconds
+    remain, they are one slot: (task, slot, start, end)."""
+    begin = F.col(start).cast("long") if start else F.lit(0).cast("long")
+    most = F.ceil((F.col(duration) - begin) / low).cast("int")
+    rows = tasks.withColumn("_from", begin).withColumn("slot", F.explode(F.sequence(F.lit(1), F.greatest(most, F.lit(1)))))
+    rows = rows.withColumn("_len", F.floor(draw(seed, F.col(task), F.col("slot"), *([F.col(start)] if start else [])) * (high - low + 1)) + low)
+    w = Window.partitionBy(task, "_from").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_end", F.col("_from") + F.sum("_len").over(w)).withColumn("_start", F.col("_end") - F.col("_len"))
+    left, before = F.col(duration) - F.col("_start"), F.col(duration) - (F.col("_start") - F.lag("_len", 1, 0).over(Window.partitionBy(task, "_from").orderBy("slot")))
+    rows = rows.withColumn("_left", left).withColumn("_first", (F.col("slot") == 1) | (before > last)).filter((F.col("_left") > 0) & F.col("_first"))
+    return rows.select(task, "slot", F.col("_start").alias("start"), F.when(F.col("_left") <= last, F.col(duration)).otherwise(F.col("_end")).cast("long").alias("end"))
+
+
+def gap_structure(tasks: DataFrame, *, task: str, seed: int = 42, low: int = 60, high: int = 150) -> DataFrame:
+    """Per task three parts of low to high seconds each, begin, gap and end: (task, part, start, end, total_duration)."""
+    parts = ["begin", "gap", "end"]
+    length = lambda p: F.floor(draw(seed, F.col(task), F.lit(p)) * (high - low + 1)).cast("long") + low
+    rows = tasks.select(task, *[length(p).alias(f"_{p}") for p in parts])
+    ends = [sum((F.col(f"_{p}") for p in parts[1:k + 1]), F.col("_begin")) for k in range(3)]
+    each = F.array(*[F.struct(F.lit(p).alias("part"), (ends[k] - F.col(f"_{p}")).alias("start"), ends[k].alias("end")) for k, p in enumerate(parts)])
+    return rows.withColumn("total_duration", ends[2]).withColumn("_x", F.explode(each)).select(task, "_x.part", "_x.start", "_x.end", "total_duration")
+
+
+def parallel_timelines(steps: DataFrame, *, task: str, step: str, events_a: str, events_b: str, seed: int = 42, weights: dict[int, int] = MICRO_SECONDS) -> DataFrame:
+    """Two videos that go through the same steps, each with its own number of micro actions, whose seconds are
+    drawn by weight: per step its interval in both, (start_a, end_a, start_b, end_b). Steps with no action
+    in one of them are left out."""
+    rows = steps.filter((F.col(events_a) > 0) & (F.col(events_b) > 0))
+    order = Window.partitionBy(task).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
+    for side, n in (("a", events_a), ("b", events_b)):
+        seconds = F.aggregate(F.transform(F.sequence(F.lit(1), F.col(n).cast("int")), lambda k: weighted_pick(draw(seed, F.col(task), F.col(step), F.lit(side), k), weights)), F.lit(0).cast("long"), lambda s, x: s + x)  # noqa: B023
+        rows = rows.withColumn(f"_{side}", seconds).withColumn(f"end_{side}", F.sum(f"_{side}").over(order)).withColumn(f"start_{side}", F.col(f"end_{side}") - F.col(f"_{side}")).drop(f"_{side}")
+    return rows
+
+
+#: Seconds that a long video lasts: share of the videos, from, to. Fixed values.
+LONG_SECONDS = [(0.10, 45, 90), (0.55, 120, 400), (0.30, 400, 700), (0.05, 700, 1100)]
+
+
+def mixed_duration(u: Column, v: Column, ranges: list[tuple[float, int, int]] = LONG_SECONDS) -> Column:
+    """A duration from a mixture of ranges: u in [0, 1) picks the range by its share, v where in it."""
+    at = lambda low, high: F.floor(v * (high - low + 1)).cast("long") + low
+    below, out = 0.0, None
+    for share, low, high in ranges[:-1]:
+        below = round(below + share, 9)
+        out = F.when(u < below, at(low, high)) if out is None else out.when(u < below, at(low, high))
+    rest = at(*ranges[-1][1:])
+    return rest if out is None else out.otherwise(rest)
 
 
 def proxy_ranges(ranges: Column, frames: Column, *, seconds: float = 12.0, most: int = 3) -> Column:

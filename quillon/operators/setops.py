@@ -32,3 +32,8 @@ def first_seen(df: DataFrame, *, keys: list[str], order: str) -> DataFrame:
     """The first row of each key."""
     rest = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
+
+
+def all_distinct(items: Column) -> Column:
+    """Whether no item of an array occurs twice; nulls count as items."""
+    return F.size(F.array_distinct(items)) == F.size(items)

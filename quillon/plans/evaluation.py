@@ -105,30 +105,35 @@ def a14_majority(t):
     return ev.majority(t.lineitem, keys=["l_orderkey"], vote="l_returnflag", value="l_quantity", pos=["l_linenumber", "l_partkey", "l_suppkey"])
 
 
-VALID = f"""WITH x AS (SELECT o_orderpriority, o_orderkey, variable, x FROM (SELECT o_orderpriority, o_orderkey, (l_returnflag = 'R')::INT::DOUBLE AS acc, l_quantity AS reward FROM orders JOIN lineitem ON o_orderkey = l_orderkey) UNPIVOT (x FOR variable IN (acc, reward))),
-  v AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey, variable ORDER BY x) AS i, count(*) OVER (PARTITION BY o_orderkey, variable) AS size FROM x),
+VALID = f"""WITH x AS (SELECT o_orderpriority, o_orderkey, variable, x, vote, l, p, s FROM (SELECT o_orderpriority, o_orderkey, (l_returnflag = 'R')::INT::DOUBLE AS acc, l_quantity AS reward, l_linestatus AS vote, l_linenumber AS l, l_partkey AS p, l_suppkey AS s FROM orders JOIN lineitem ON o_orderkey = l_orderkey) UNPIVOT (x FOR variable IN (acc, reward))),
+  v AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey, variable ORDER BY x) AS i, row_number() OVER (PARTITION BY o_orderkey, variable ORDER BY l, p, s) - 1 AS k, count(*) OVER (PARTITION BY o_orderkey, variable) AS size FROM x),
   e AS (SELECT *, {N}::BIGINT AS n FROM v),
   w AS (SELECT *, (i / size) ** n - ((i - 1) / size) ** n AS up, ((size - i + 1) / size) ** n - ((size - i) / size) ** n AS down FROM e),
   g AS (SELECT o_orderpriority, o_orderkey, variable, n, sum(x * up) AS b, sqrt(greatest(sum(x * x * up) - sum(x * up) ** 2, 0)) AS bs, sum(x * down) AS l, sqrt(greatest(sum(x * x * down) - sum(x * down) ** 2, 0)) AS ls FROM w GROUP BY 1, 2, 3, 4),
+  dr AS (SELECT o_orderpriority, o_orderkey, variable, n, r, j, ('0x' || substr(md5('42:' || o_orderpriority || ':' || o_orderkey || ':' || variable || ':' || n || ':' || r || ':' || j), 1, 8))::BIGINT % size AS k FROM (SELECT DISTINCT o_orderpriority, o_orderkey, variable, n, size FROM e), range(1, 4) a(r), range(1, 100) b(j) WHERE j <= n),
+  vo AS (SELECT o_orderpriority, o_orderkey, variable, n, r, vote, count(*) AS c, min((j, x)) AS f FROM dr JOIN v USING (o_orderpriority, o_orderkey, variable, k) GROUP BY ALL),
+  mj AS (SELECT o_orderpriority, o_orderkey, variable, n, avg(x) AS m, stddev_pop(x) AS s FROM (SELECT o_orderpriority, o_orderkey, variable, n, r, arg_min(f[2], (-c, f[1])) AS x FROM vo GROUP BY ALL) GROUP BY ALL),
   m AS (SELECT o_orderpriority, o_orderkey, variable, count(*) AS n, avg(x) AS m, CASE WHEN count(*) > 1 THEN stddev_pop(x) END AS s FROM x GROUP BY 1, 2, 3),
   a AS (SELECT o_orderpriority, variable, 'mean@' || n AS metric, m AS value FROM m UNION ALL SELECT o_orderpriority, variable, 'std@' || n, s FROM m WHERE s IS NOT NULL
     UNION ALL SELECT o_orderpriority, variable, 'best@' || n || '/mean', b FROM g UNION ALL SELECT o_orderpriority, variable, 'best@' || n || '/std', bs FROM g
-    UNION ALL SELECT o_orderpriority, variable, 'worst@' || n || '/mean', l FROM g UNION ALL SELECT o_orderpriority, variable, 'worst@' || n || '/std', ls FROM g),
+    UNION ALL SELECT o_orderpriority, variable, 'worst@' || n || '/mean', l FROM g UNION ALL SELECT o_orderpriority, variable, 'worst@' || n || '/std', ls FROM g
+    UNION ALL SELECT o_orderpriority, variable, 'maj@' || n || '/mean', m FROM mj UNION ALL SELECT o_orderpriority, variable, 'maj@' || n || '/std', s FROM mj),
   f AS (SELECT o_orderpriority, variable, metric, avg(value) AS value FROM a GROUP BY 1, 2, 3)"""
 
 
 def validated(t):
-    rows = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderpriority", "o_orderkey", (F.col("l_returnflag") == "R").cast("double").alias("acc"), F.col("l_quantity").alias("reward"))
-    return ev.validation_metrics(rows, source="o_orderpriority", uid="o_orderkey", variables=["acc", "reward"])
+    rows = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select(
+        "o_orderpriority", "o_orderkey", (F.col("l_returnflag") == "R").cast("double").alias("acc"), F.col("l_quantity").alias("reward"), "l_linestatus", "l_linenumber", "l_partkey", "l_suppkey")
+    return ev.validation_metrics(rows, source="o_orderpriority", uid="o_orderkey", variables=["acc", "reward"], vote="l_linestatus", order=["l_linenumber", "l_partkey", "l_suppkey"], rounds=3)
 
 
-@area.query("""SELECT o_orderpriority, variable, metric, value AS "value~" FROM f""", with_=VALID, digits=4)
+@area.query("""SELECT o_orderpriority, variable, metric, value AS "value~" FROM f""", with_=VALID, digits=6)
 def a15_validation_metrics(t):
     return validated(t)
 
 
 @area.query("""SELECT o_orderpriority, variable, metric, value AS "value~", concat_ws('/', CASE WHEN variable = 'acc' AND n = max(n) OVER (PARTITION BY o_orderpriority, variable) AND regexp_matches(metric, '^(mean@|maj@.*mean|best@.*mean)') THEN 'val-core' ELSE 'val-aux' END, o_orderpriority, variable, metric) AS name
-  FROM (SELECT *, regexp_extract(metric, '@([0-9]+)', 1)::INT AS n FROM f)""", with_=VALID, digits=4)
+  FROM (SELECT *, regexp_extract(metric, '@([0-9]+)', 1)::INT AS n FROM f)""", with_=VALID, digits=6)
 def a16_metric_sections(t):
     return ev.metric_sections(validated(t), source="o_orderpriority")
 
@@ -210,10 +215,10 @@ def a28_rubric_total(t):
     return ev.rubric_total(judged.union(t.conversations.select("text")), text="answer")
 
 
-@area.query("""SELECT source, sum((quality = 1)::INT) / count(*) * 100 AS "accuracy~" FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""".replace("sum((quality = 1)::INT)", "coalesce(sum((quality = 1)::INT), 0)"))
+@area.query("""SELECT source, count(*) AS attempted, coalesce(sum((quality = 1)::INT), 0)::BIGINT AS correct, coalesce(sum((quality = 1)::INT), 0) / count(*) * 100 AS "accuracy~" FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""")
 def a30_task_accuracy(t):
     rows = t.documents.select("doc_id", "source").join(t.labels, "doc_id", "left")
-    return rows.groupBy("source").agg((F.avg(F.coalesce((F.col("quality") == 1).cast("double"), F.lit(0.0))) * 100).alias("accuracy"))
+    return ev.task_accuracy(rows, by=["source"], correct=F.col("quality") == 1)
 
 
 @area.query("""SELECT * FROM (SELECT 'doc_id' AS "column", 'bigint' AS type, count(*) AS n_rows, count(*) FILTER (doc_id IS NULL) AS n_null, avg(strlen(doc_id::VARCHAR)) AS "avg_size~" FROM documents

@@ -45,20 +45,20 @@ def timed(t):
     return e.withColumn("nx", F.lead("at").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
 
 
-@area.query("""SELECT p.event_id, i.event_id AS interval_id FROM e p JOIN (SELECT event_id, user_id, tm AS s, least(nx, tm + 7200) AS t FROM e WHERE nx IS NOT NULL AND event_id % 3 = 0) i ON p.user_id = i.user_id AND p.tm BETWEEN i.s AND i.t""", with_=EV)
+@area.query("""SELECT p.event_id, i.event_id AS interval_id FROM e p JOIN (SELECT event_id, user_id, tm AS s, nx AS t FROM e WHERE nx IS NOT NULL) i ON p.user_id = i.user_id AND p.tm BETWEEN i.s AND i.t""", with_=EV)
 def j6_range_join(t):
     e = timed(t)
-    spans = e.filter("nx is not null and event_id % 3 = 0").select(F.col("event_id").alias("interval_id"), "user_id", F.col("at").alias("s"), F.least("nx", F.col("at") + 7200).alias("t"))
-    return jo.range_join(e.select("event_id", "user_id", "at"), spans, on=["user_id"], at="at", start="s", end="t", width=3600.0).select("event_id", "interval_id")
+    spans = e.filter("nx is not null").select(F.col("event_id").alias("interval_id"), "user_id", F.col("at").alias("s"), F.col("nx").alias("t"))
+    return jo.range_join(e.select("event_id", "user_id", "at"), spans, on=["user_id"], at="at", start="s", end="t", width=86400.0).select("event_id", "interval_id")
 
 
 @area.query("""SELECT c.l_orderkey, c.l_linenumber, c.l_quantity, arg_min(p.o_t, (abs(p.o_t - c.day), p.o_t)) AS nearest_at, arg_min(p.o_orderkey, (abs(p.o_t - c.day), p.o_t)) AS nearest
-  FROM (SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag AS f, epoch(l_shipdate)::BIGINT AS day FROM lineitem WHERE l_quantity = 7) c
+  FROM (SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag AS f, epoch(l_shipdate)::BIGINT AS day FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_quantity, l_returnflag, l_shipdate FROM lineitem)) c
   JOIN (SELECT CASE o_orderstatus WHEN 'F' THEN 'A' WHEN 'O' THEN 'N' ELSE 'R' END AS f, epoch(o_orderdate)::BIGINT AS o_t, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2) p USING (f)
   GROUP BY c.l_orderkey, c.l_linenumber, c.l_quantity, c.day, c.f""")
 def j7_nearest(t):
     sec = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
-    rows = t.lineitem.filter("l_quantity = 7").select("l_orderkey", "l_linenumber", "l_quantity", F.col("l_returnflag").alias("f"), sec("l_shipdate").alias("day")).distinct()
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", F.col("l_returnflag").alias("f"), sec("l_shipdate").alias("day")).distinct()
     flag = F.when(F.col("o_orderstatus") == "F", "A").when(F.col("o_orderstatus") == "O", "N").otherwise("R")
     other = t.orders.select(flag.alias("f"), sec("o_orderdate").alias("o_t"), "o_orderkey")
     return jo.nearest(rows, other, by=["f"], left_at="day", right_at="o_t", value="o_orderkey").select("l_orderkey", "l_linenumber", "l_quantity", "nearest_at", "nearest")
@@ -94,25 +94,25 @@ def j8_mention_owner(t):
     return jo.mention_owner(t.documents.select("doc_id", text.alias("text")), text="text", ids=r"v\d+", times=r"\d+s")
 
 
-@area.query("""SELECT p_brand, view, p_partkey, price AS "price~" FROM (SELECT p_brand, p_partkey, view FROM part, (VALUES ('a'), ('b')) v(view) WHERE p_size > 45) x
+@area.query("""SELECT p_brand, view, p_partkey, price AS "price~" FROM (SELECT p_brand, p_partkey, view FROM part, (VALUES ('a'), ('b')) v(view)) x
   LEFT JOIN (SELECT p_brand, p_partkey, 'a' AS view, p_retailprice AS price FROM part WHERE p_size % 2 = 0) y USING (p_brand, p_partkey, view)""")
 def j10_reference_views(t):
     views = t.spark.createDataFrame([("a",), ("b",)], "view string")
     tracks = t.part.filter("p_size % 2 = 0").select("p_brand", "p_partkey", F.lit("a").alias("view"), F.col("p_retailprice").alias("price"))
-    return jo.reference_views(t.part.filter("p_size > 45").select("p_brand", "p_partkey"), views, tracks, scene="p_brand", obj="p_partkey", view="view")
+    return jo.reference_views(t.part.select("p_brand", "p_partkey"), views, tracks, scene="p_brand", obj="p_partkey", view="view")
 
 
-MATRIX = """WITH m AS (SELECT n_name, b, row_number() OVER (ORDER BY n_name, b) AS k FROM nation, (SELECT DISTINCT p_brand AS b FROM part))"""
+MATRIX = """WITH m AS (SELECT s_name AS n_name, b, row_number() OVER (ORDER BY s_name, b) AS k FROM supplier, (SELECT DISTINCT p_brand AS b FROM part))"""
 
 
 @area.query("SELECT n_name, b, k AS task_id FROM m", with_=MATRIX)
 def j11_parameter_matrix(t):
-    return jo.parameter_matrix(t.nation.select("n_name"), t.part.select(F.col("p_brand").alias("b")).distinct(), order=["n_name", "b"])
+    return jo.parameter_matrix(t.supplier.select(F.col("s_name").alias("n_name")), t.part.select(F.col("p_brand").alias("b")).distinct(), order=["n_name", "b"])
 
 
-@area.query("SELECT n_name, b, i AS task_id FROM range(1, 2001) r(i) JOIN m ON m.k = (i - 1) % (SELECT count(*) FROM m) + 1", with_=MATRIX)
+@area.query("SELECT n_name, b, i AS task_id FROM range(1, 1 + (SELECT 3 * count(*) FROM orders)) r(i) JOIN m ON m.k = (i - 1) % (SELECT count(*) FROM m) + 1", with_=MATRIX)
 def j11_matrix_quota(t):
-    return jo.parameter_matrix(t.nation.select("n_name"), t.part.select(F.col("p_brand").alias("b")).distinct(), order=["n_name", "b"], quota=2000)
+    return jo.parameter_matrix(t.supplier.select(F.col("s_name").alias("n_name")), t.part.select(F.col("p_brand").alias("b")).distinct(), order=["n_name", "b"], quota=3 * t.orders.count())
 
 
 @area.query("""SELECT a.vec_id AS query_id, b.vec_id AS doc_id, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS "score~", row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS rank

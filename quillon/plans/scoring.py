@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import answers as an
 from ..functions import scoring as sc
 from ..operators import advantages as adv
+from ..operators import evaluation as ev
 from .tables import Area
 
 area = Area()
@@ -230,10 +231,13 @@ def c34_named_id(t):
     return t.documents.select("doc_id", an.named_id(text, F.array(F.lit("v1"), F.lit("v2")), r"\b(v\d+)\b").alias("id"))
 
 
-@area.query("""SELECT 'train/' || event_type AS name, count(*) AS n, round(sum(value), 2) AS "total~" FROM events GROUP BY 1""", digits=2)
+@area.query("""SELECT name, total AS "total~", n_values, first AS "first~" FROM (SELECT 'train/' || event_type AS name, round(sum(value), 2) AS total, count(*) AS n_values, arg_min(value, event_id) AS first FROM events GROUP BY 1)""", digits=2)
 def c35_prefix_metrics(t):
-    name = F.when(F.col("event_type").startswith("train/"), F.col("event_type")).otherwise(F.concat(F.lit("train/"), "event_type"))
-    return t.events.groupBy(name.alias("name")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    e = t.events.withColumn("name", F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("train/"), "event_type")).otherwise(F.col("event_type")))
+    sums = e.groupBy(ev.prefixed(F.col("name"), "train/").alias("name")).agg(F.round(F.sum("value"), 2).alias("total"))
+    both = ev.merged_metrics(sums, sums.filter(F.col("name") > "train/m"), name="name", value="total")  # what both have is equal
+    lists = ev.appended(e, name="name", value="value", order=["event_id"], prefix="train/")
+    return both.join(lists, "name").select("name", "total", F.size("values").cast("long").alias("n_values"), F.col("values")[0].alias("first"))
 
 
 @area.query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 0.0 ELSE 2.0 * length(lang) END AS "score~" FROM documents""")

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import evaluation as ev
 from ..operators import sampling as sa
 from ..operators import sequences as se
 from ..operators import setops as so
@@ -49,14 +50,30 @@ def w16_apportion(t):
     return se.apportion(n, keys=["c_nationkey"], share="n", total=F.lit(17.0), order=["c_mktsegment"])
 
 
+def picked(u: str, weights: dict[int, int]) -> str:
+    """SQL of the value that u in [0, 1) picks by weight."""
+    total, below, whens = sum(weights.values()), 0, ""
+    for value, weight in weights.items():
+        below += weight
+        whens += f" WHEN {u} * {total} < {below} THEN {value}"
+    return f"(CASE{whens} END)::BIGINT"
+
+
 @area.query(f"""SELECT o, p, duration, position, e - duration AS start_s, e AS end_s, string_agg(position::VARCHAR, '->') OVER (PARTITION BY o ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS answer FROM
-  (SELECT *, row_number() OVER w AS position, sum(duration) OVER (w ROWS UNBOUNDED PRECEDING)::BIGINT AS e FROM (SELECT l_orderkey AS o, l_linenumber AS p, (floor({U.format("'42:' || l_orderkey || ':' || l_linenumber || ':d'")} * 7) + 3)::BIGINT AS duration, md5('42:' || l_orderkey || ':' || l_linenumber || ':o') AS h
+  (SELECT *, row_number() OVER w AS position, sum(duration) OVER (w ROWS UNBOUNDED PRECEDING)::BIGINT AS e FROM (SELECT l_orderkey AS o, l_linenumber AS p, {picked(U.format("'42:' || l_orderkey || ':' || l_linenumber || ':d'"), se.EVENT_SECONDS)} AS duration, md5('42:' || l_orderkey || ':' || l_linenumber || ':o') AS h
    FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) WINDOW w AS (PARTITION BY o ORDER BY h, p))""")
 def w17_stitched_timeline(t):
     steps = t.lineitem.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("p")).distinct()
     return se.stitched_timeline(steps, task="o", phase="p").withColumnsRenamed({"start": "start_s", "end": "end_s"})
 
 
+@area.query(f"""SELECT u, f, e, duration, z - duration AS start_s, z AS end_s, sum(duration) OVER (PARTITION BY u, f)::BIGINT AS total_duration FROM (SELECT *, sum(duration) OVER (PARTITION BY u, f ORDER BY e)::BIGINT AS z FROM
+  (SELECT user_id AS u, event_type AS f, event_id AS e, {picked(U.format("'42:' || user_id || ':' || event_type || ':' || event_id || ':e'"), se.EVENT_SECONDS)} AS duration FROM events))""")
+def w17_event_timelines(t):
+    rows = t.events.select(F.col("user_id").alias("u"), F.col("event_type").alias("f"), F.col("event_id").alias("e"))
+    return se.event_timelines(rows, task="u", phase="f", event="e").withColumnsRenamed({"start": "start_s", "end": "end_s"})
+
+
 @area.query("""SELECT event_id, CASE WHEN k > 0 THEN s WHEN s > 100 THEN 90 ELSE greatest(s - 5, 0) END AS "a~", CASE WHEN k > 0 THEN s + k WHEN s > 100 THEN 100 ELSE least(s + 5, 100) END AS "b~" FROM (SELECT event_id, value AS s, event_id % 2 AS k FROM events)""")
 def w18_expand_span(t):
     s = F.col("value")
@@ -91,9 +108,32 @@ def w22_resume_history(t):
     return h.select("conv_id", F.array_join(se.resume_history(F.col("h"), F.lit(2), F.lit("fix")), ",").alias("history"))
 
 
-@area.query(f"""SELECT n_nationkey, slot, (e - l)::BIGINT AS start_s, least(e, 100 + n_nationkey)::BIGINT AS end_s FROM (SELECT *, sum(l) OVER (PARTITION BY n_nationkey ORDER BY slot) AS e FROM (SELECT n_nationkey, k::INT AS slot, floor({U.format("'42:' || n_nationkey || ':' || k")} * 11) + 5 AS l FROM nation, range(1, 30) r(k) WHERE k <= ceil((100 + n_nationkey) / 5.0))) WHERE 100 + n_nationkey - (e - l) > 20""")
+@area.query(f"""SELECT k, slot, (e - l)::BIGINT AS start_s, (CASE WHEN d - (e - l) <= 20 THEN d ELSE e END)::BIGINT AS end_s FROM (SELECT *, lag(e - l) OVER (PARTITION BY k ORDER BY slot) AS before FROM (SELECT *, sum(l) OVER (PARTITION BY k ORDER BY slot) AS e FROM
+  (SELECT o_orderkey AS k, 15 + o_orderkey % 150 AS d, i::INT AS slot, floor({U.format("'42:' || o_orderkey || ':' || i")} * 11) + 5 AS l FROM orders, range(1, 34) r(i) WHERE i <= ceil((15 + o_orderkey % 150) / 5.0)))) WHERE slot = 1 OR d - before > 20""")
 def w23_slots(t):
-    return se.slots(t.nation.select("n_nationkey", (F.col("n_nationkey") + 100).cast("long").alias("d")), task="n_nationkey", duration="d").withColumnsRenamed({"start": "start_s", "end": "end_s"})
+    return se.slots(t.orders.select(F.col("o_orderkey").alias("k"), (15 + F.col("o_orderkey") % 150).alias("d")), task="k", duration="d").withColumnsRenamed({"start": "start_s", "end": "end_s"})
+
+
+@area.query(f"""SELECT k, p.part, (CASE part WHEN 'begin' THEN 0 WHEN 'gap' THEN b ELSE b + g END)::BIGINT AS start_s, (CASE part WHEN 'begin' THEN b WHEN 'gap' THEN b + g ELSE b + g + z END)::BIGINT AS end_s, (b + g + z)::BIGINT AS total_duration
+  FROM (SELECT o_orderkey AS k, {", ".join(f"floor({U.format(f"'42:' || o_orderkey || ':{part}'")} * 91) + 60 AS {c}" for part, c in (("begin", "b"), ("gap", "g"), ("end", "z")))} FROM orders), (VALUES ('begin'), ('gap'), ('end')) p(part)""")
+def w23_gap_structure(t):
+    return se.gap_structure(t.orders.select(F.col("o_orderkey").alias("k")), task="k").withColumnsRenamed({"start": "start_s", "end": "end_s"})
+
+
+MICRO = "list_sum(list_transform(range(1, ({n}) + 1), lambda i: " + picked(U.format("'42:' || l_orderkey || ':' || l_linenumber || ':{side}:' || i"), se.MICRO_SECONDS) + "))"
+
+
+@area.query(f"""SELECT o, s, (ea - a)::BIGINT AS start_a, ea::BIGINT AS end_a, (eb - b)::BIGINT AS start_b, eb::BIGINT AS end_b FROM (SELECT *, sum(a) OVER w AS ea, sum(b) OVER w AS eb FROM
+  (SELECT l_orderkey AS o, l_linenumber AS s, {MICRO.format(n="l_linenumber % 3", side="a")} AS a, {MICRO.format(n="1 + l_linenumber % 2", side="b")} AS b FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) WHERE l_linenumber % 3 > 0) WINDOW w AS (PARTITION BY o ORDER BY s))""")
+def w23_parallel_timelines(t):
+    steps = t.lineitem.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("s")).distinct().withColumns({"na": F.col("s") % 3, "nb": 1 + F.col("s") % 2})
+    return se.parallel_timelines(steps, task="o", step="s", events_a="na", events_b="nb").select("o", "s", "start_a", "end_a", "start_b", "end_b")
+
+
+@area.query(f"""SELECT o_orderkey AS k, (CASE WHEN u < 0.1 THEN floor(v * 46) + 45 WHEN u < 0.65 THEN floor(v * 281) + 120 WHEN u < 0.95 THEN floor(v * 301) + 400 ELSE floor(v * 401) + 700 END)::BIGINT AS seconds FROM (SELECT o_orderkey, {U.format("'42:' || o_orderkey || ':u'")} AS u, {U.format("'42:' || o_orderkey || ':v'")} AS v FROM orders)""")
+def w23_mixed_duration(t):
+    k = F.col("o_orderkey")
+    return t.orders.select(k.alias("k"), se.mixed_duration(se.draw(42, k, F.lit("u")), se.draw(42, k, F.lit("v"))).alias("seconds"))
 
 
 @area.query("""SELECT k, array_to_string(list_transform(r[1:3], lambda x: printf('%.2f-%.2fs', x.a / 999.0 * 12, x.b / 999.0 * 12)), ', ') || CASE WHEN len(r) > 3 THEN ', ...' ELSE '' END AS proxy FROM (SELECT k, list({'a': a, 'b': b} ORDER BY a) AS r FROM
@@ -134,6 +174,14 @@ def k5_top_covariance(t):
     return sa.top_covariance(rows, a="l_quantity", b="l_extendedprice", mask="m", ratio=0.01, order=["l_orderkey", "l_linenumber", "l_partkey"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
+@area.query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, (l_quantity - avg(l_quantity) OVER ()) * (l_extendedprice - avg(l_extendedprice) OVER ()) AS c, count(*) OVER () AS n FROM lineitem WHERE l_linestatus = 'F') WHERE c > 1 AND c < 200000 AND l_returnflag <> 'R'
+  QUALIFY row_number() OVER (ORDER BY md5('42:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey), l_orderkey, l_linenumber, l_partkey, l_suppkey) <= greatest(1, floor(n * 0.02))""")
+def k5_clip_covariance(t):
+    rows = t.lineitem.withColumns({"m": F.col("l_linestatus") == "F", "c": F.col("l_returnflag") == "R"})
+    got = sa.clip_covariance(rows, a="l_quantity", b="l_extendedprice", mask="m", ratio=0.02, low=1.0, high=200_000.0, order=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], clipped="c")
+    return got.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
 @area.query(f"""SELECT k AS draw, o_orderkey FROM (SELECT k, {U.format("'42:' || k")} AS u FROM range(500) r(k)) JOIN (SELECT o_orderkey, (e - w) / t AS a, e / t AS b FROM (SELECT o_orderkey, w, sum(w) OVER (ORDER BY o_orderkey) AS e, sum(w) OVER () AS t FROM (SELECT o_orderkey, (o_totalprice / 1000) ** 2 + 1e-8 AS w FROM orders))) ON u >= a AND u < b""")
 def k6_resample(t):
     return sa.resample(t.orders.select("o_orderkey", (F.col("o_totalprice") / 1000).alias("s")), key="o_orderkey", score="s", n=500).select("draw", "o_orderkey")
@@ -240,13 +288,13 @@ def u5_first_seen(t):
 @area.query("SELECT l_orderkey, count(*) = count(DISTINCT l_partkey) AS is_distinct FROM lineitem GROUP BY 1")
 def u6_distinct_files(t):
     rows = t.lineitem.groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("p"))
-    return rows.select("l_orderkey", (F.size(F.array_distinct("p")) == F.size("p")).alias("is_distinct"))
+    return rows.select("l_orderkey", so.all_distinct(F.col("p")).alias("is_distinct"))
 
 
-@area.query("""SELECT user_id, count(DISTINCT v) FILTER (layer = 2) AS covered, bool_or(layer = 1) AS has_layer1, bool_or(layer = 2) AS has_layer2, bool_or(layer = 3) AS has_focus FROM (SELECT user_id, event_type AS v, 1 + event_id % 3 AS layer FROM events) GROUP BY 1""")
+@area.query("""SELECT user_id, count(DISTINCT v) FILTER (layer = 2) AS covered, coalesce(array_to_string(list_sort(list(DISTINCT v) FILTER (layer = 2)), ','), '') AS entities, bool_or(layer = 1) AS has_layer1, bool_or(layer = 2) AS has_layer2, bool_or(layer = 3) AS has_focus FROM (SELECT user_id, event_type AS v, 1 + event_id % 3 AS layer FROM events) GROUP BY 1""")
 def a27_stage_coverage(t):
     e = t.events.withColumn("layer", 1 + F.col("event_id") % 3)
-    return e.groupBy("user_id").agg(F.size(F.collect_set(F.when(F.col("layer") == 2, F.col("event_type")))).cast("long").alias("covered"), *[F.bool_or(F.col("layer") == k).alias(n) for k, n in ((1, "has_layer1"), (2, "has_layer2"), (3, "has_focus"))])
+    return ev.stage_coverage(e, key="user_id", entity="event_type", stage="layer", covered_by=2, flags={"has_layer1": 1, "has_layer2": 2, "has_focus": 3}).withColumn("entities", F.array_join("entities", ","))
 
 
 QUERIES, ORACLE_SQL = area.queries, area.sql

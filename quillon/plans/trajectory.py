@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import advantages as adv
+from ..operators import evaluation as ev
 from ..operators import offpolicy as off
 from .tables import Area, Tables
 
@@ -161,9 +162,9 @@ def a7_whiten(t):
     return adv.whiten(tokens(t), value="reward", mask="mask").select("seq", "pos", "whitened")
 
 
-@area.query("""SELECT avg(l_extendedprice) AS "mean~", max(l_extendedprice) AS "max~", min(l_extendedprice) AS "min~", stddev_samp(l_extendedprice) AS "std~" FROM lineitem""", digits=3)
+@area.query("""SELECT avg(l_extendedprice) AS "mean~", max(l_extendedprice) AS "max~", min(l_extendedprice) AS "min~", stddev_samp(l_extendedprice) AS "std~", avg(l_extendedprice) FILTER (l_returnflag = 'R') AS "masked_mean~" FROM lineitem""", digits=3)
 def a8_distributed_stats(t):
-    return t.lineitem.agg(*[f("l_extendedprice").alias(n) for n, f in (("mean", F.avg), ("max", F.max), ("min", F.min), ("std", F.stddev_samp))])
+    return ev.distributed_stats(t.lineitem, value="l_extendedprice", mask=F.col("l_returnflag") == "R")
 
 
 @area.query("""SELECT max(abs(exp(lp) - exp(rlp))) AS "diff_max~", avg(abs(exp(lp) - exp(rlp))) AS "diff_mean~", stddev_samp(abs(exp(lp) - exp(rlp))) AS "diff_std~", corr(exp(lp), exp(rlp)) AS "pearson~" FROM tok WHERE mask""", with_=TOK)
@@ -171,9 +172,10 @@ def a21_probability_gap(t):
     return off.probability_gap(tokens(t), lp="lp", rollout_lp="rlp", mask="mask")
 
 
-@area.query("""SELECT seq, count(*) FILTER (mask AND round(reward) <> round(val)) AS differing FROM tok GROUP BY seq""", with_=TOK)
+@area.query("""SELECT seq, count(*) FILTER (mask AND round(reward) <> round(val)) AS differing, count(*) FILTER (mask) AS tokens FROM tok GROUP BY seq""", with_=TOK)
 def a22_token_differences(t):
-    return tokens(t).groupBy("seq").agg(F.count_if(F.col("mask") & (F.round("reward") != F.round("val"))).alias("differing"))
+    ids = tokens(t).withColumns({"a": F.round("reward"), "b": F.round("val")})
+    return off.token_differences(ids, seq="seq", a="a", b="b", mask="mask")
 
 
 SEQ = """, sq AS (SELECT seq, avg(lp) AS a, avg(rlp) AS b, sum(lp - rlp) AS s, count(*) AS n, sum(rlp - lp) AS kl, sum(exp(lp - rlp) - (lp - rlp) - 1) AS k3, sum(exp(2 * (lp - rlp))) AS chi FROM tok WHERE mask GROUP BY seq)"""
