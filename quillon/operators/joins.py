@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def lookup(rows: DataFrame, reference: DataFrame, on: str) -> DataFrame:
     """Every row with what the reference says under its key; null where it says nothing."""
@@ -50,17 +54,25 @@ def range_join(points: DataFrame, intervals: DataFrame, *, on: list[str], at: st
     return points.withColumn("_bucket", bucket(at)).join(cut, [*on, "_bucket"]).filter(F.col(at).between(F.col(start), F.col(end))).drop("_bucket")
 
 
-def nearest(left: DataFrame, right: DataFrame, *, by: list[str], left_at: str, right_at: str, value: str, out: str = "nearest") -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, *, by: list[str], left_at: str, right_at: str, value: str, out: str = "nearest", width: float | None = None) -> DataFrame:
     """Left rows with the right row of equal keys whose time is nearest; of two equally near, the
-    earlier. One union and two running windows per key, no pairs."""
+    earlier. One union and two running windows, no pairs. With `width`, times are cut to buckets so that a key
+    with many rows is many windows; what a bucket does not hold itself, its neighbours' edges give."""
     keep = F.struct(F.col(right_at).alias("at"), F.col(value).alias("value"))
+    bucket = (F.floor(F.col("_t") / width) if width else F.lit(0)).cast("long").alias("_bucket")
     r = right.groupBy(*by, right_at).agg(F.min(value).alias(value)).select(*by, F.col(right_at).alias("_t"), keep.alias("_r"), F.lit(None).cast(left.select(F.struct("*").alias("s")).schema["s"].dataType).alias("_l"))
     row = F.struct(*[F.col(f"`{c}`") for c in left.columns])
-    both = left.select(*by, F.col(left_at).alias("_t"), F.lit(None).cast(r.schema["_r"].dataType).alias("_r"), row.alias("_l")).unionByName(r)
-    w = Window.partitionBy(*by).orderBy("_t")
+    both = left.select(*by, F.col(left_at).alias("_t"), F.lit(None).cast(r.schema["_r"].dataType).alias("_r"), row.alias("_l")).unionByName(r).select("*", bucket)
+    here = [*by, "_bucket"]
+    # one row a bucket: the right rows next to it on either side
+    order = Window.partitionBy(*by).orderBy("_bucket")
+    edges = both.groupBy(*here).agg(F.max_by("_r", F.when(F.col("_r").isNotNull(), F.col("_t"))).alias("_hi"), F.min_by("_r", F.when(F.col("_r").isNotNull(), F.col("_t"))).alias("_lo"))
+    edges = edges.select(*here, F.last("_hi", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_p"), F.first("_lo", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_q"))
+    w = Window.partitionBy(*here).orderBy("_t")
     before = F.last("_r", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     after = F.first("_r", ignorenulls=True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
-    found = both.withColumn("_b", before).withColumn("_a", after).filter("_l is not null")
+    found = both.withColumn("_b", before).withColumn("_a", after).filter("_l is not null").join(edges, here)
+    found = found.withColumns({"_b": F.coalesce("_b", "_p"), "_a": F.coalesce("_a", "_q")})
     near = F.when(F.col("_a").isNull() | (F.col("_t") - F.col("_b.at") <= F.col("_a.at") - F.col("_t")), F.col("_b")).otherwise(F.col("_a"))
     return found.withColumn("_n", near).select("_l.*", F.col("_n.at").alias(f"{out}_at"), F.col("_n.value").alias(out))
 
@@ -112,24 +124,46 @@ def parameter_matrix(*axes: DataFrame, order: list[str], quota: int | None = Non
     size = numbered.agg(F.count("*").alias("_n"))
     wanted = numbered.sparkSession.range(1, quota + 1).withColumnRenamed("id", "_k").crossJoin(F.broadcast(size))
     turns = wanted.select(F.col("_k"), (F.pmod(F.col("_k") - 1, F.col("_n")) + 1).alias("task_id"))
-    return turns.join(F.broadcast(numbered), "task_id").drop("task_id").withColumnRenamed("_k", "task_id")
-
-
-def dense_top_k(queries: DataFrame, corpus: DataFrame, *, k: int, query_id: str, doc_id: str, vector: str, blocks: int = 16) -> DataFrame:
-    """The k corpus rows of largest inner product for each query, ties by id. Queries and corpus are
-    dealt to blocks, each block of queries meets each of the corpus in one task, and only its k best
-    of each query go on."""
-    dot = F.aggregate(F.zip_with("_q", "_d", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("_q")).withColumn("_i", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("_j", every)
-    d = corpus.select(F.col(doc_id).alias("doc_id"), F.col(vector).alias("_d")).withColumn("_j", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).withColumn("_i", every)
-    scored = q.join(d, [q["_i"].cast("long") == d["_i"].cast("long"), q["_j"].cast("long") == d["_j"].cast("long")]).select("query_id", "doc_id", q["_i"].alias("_b"), d["_j"].alias("_c"), dot.alias("score"))
+    return turns.join(numbered, "task_id").drop("task_id").withColumnRenamed("_k", "task_id")
+
+
+def dense_top_k(queries: DataFrame, corpus: DataFrame, *, k: int, query_id: str, doc_id: str, vector: str, query_block: int = 1024, doc_block: int = 8192) -> DataFrame:
+    """The k corpus rows of largest inner product for each query, in double precision, ties by id. Queries and
+    corpus are dealt to blocks of about the given sizes, each block of queries meets each of the corpus in one
+    task as a matrix product, and only its k best of each query go on. Exhaustive: for a stated set of queries."""
+    parts = lambda df, size: max(1, -(-df.count() // size))
+    qs, ds = parts(queries, query_block), parts(corpus, doc_block)
+    side = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).cast("array<double>").alias("v")).withColumn("i", side("query_id", qs)).withColumn("j", every(ds))
+    d = corpus.select(F.col(doc_id).alias("doc_id"), F.col(vector).cast("array<double>").alias("v")).withColumn("j", side("doc_id", ds)).withColumn("i", every(qs))
+    kinds = f"query_id {q.schema['query_id'].dataType.simpleString()}, doc_id {d.schema['doc_id'].dataType.simpleString()}, score double"
+    few = q.groupBy("i", "j").cogroup(d.groupBy("i", "j")).applyInArrow(_best_of_block(k), kinds)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    local = Window.partitionBy("query_id", "_b", "_c").orderBy(F.desc("score"), "doc_id")
-    few = scored.withColumn("_r", F.row_number().over(local)).filter(F.col("_r") <= k)
     return few.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
 
 
+def _best_of_block(k: int):
+    def run(q: pa.Table, d: pa.Table) -> pa.Table:
+        rows, cols, scores = [], [], []
+        if q.num_rows and d.num_rows:
+            matrix = lambda t: np.asarray(t.column("v").combine_chunks().flatten()).reshape(t.num_rows, -1)
+            score = matrix(q) @ matrix(d).T
+            place = np.argsort(np.asarray(d.column("doc_id")), kind="stable").argsort(kind="stable")
+            for r in range(len(score)):
+                s = score[r]
+                # all that may be among the k best, however sums are rounded, then in order with ties by id
+                least = np.partition(s, -k)[-k] if len(s) > k else -np.inf
+                at = np.flatnonzero(s >= least)
+                at = at[np.lexsort((place[at], -s[at]))][:k]
+                rows += [r] * len(at)
+                cols += at.tolist()
+                scores += s[at].tolist()
+        return pa.table({"query_id": q.column("query_id").take(pa.array(rows, pa.int64())), "doc_id": d.column("doc_id").take(pa.array(cols, pa.int64())), "score": pa.array(scores, pa.float64())})
+
+    return run
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased runs of ASCII letters and digits."""
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1)
@@ -143,6 +177,7 @@ def bm25_top_k(queries: DataFrame, docs: DataFrame, *, k: int, query_id: str, qu
     stats = base.agg(F.count("*").alias("n_docs"), F.avg(F.size("terms")).alias("avg_len"))
     wanted = asked.select("term").distinct()
     tf = base.select("doc_id", F.size("terms").alias("len"), F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    tf = written(tf, "term-counts")  # counted once, for the terms' documents and for the scores
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))

@@ -61,7 +61,7 @@ def j7_nearest(t):
     rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", F.col("l_returnflag").alias("f"), sec("l_shipdate").alias("day")).distinct()
     flag = F.when(F.col("o_orderstatus") == "F", "A").when(F.col("o_orderstatus") == "O", "N").otherwise("R")
     other = t.orders.select(flag.alias("f"), sec("o_orderdate").alias("o_t"), "o_orderkey")
-    return jo.nearest(rows, other, by=["f"], left_at="day", right_at="o_t", value="o_orderkey").select("l_orderkey", "l_linenumber", "l_quantity", "nearest_at", "nearest")
+    return jo.nearest(rows, other, by=["f"], left_at="day", right_at="o_t", value="o_orderkey", width=30 * 86400.0).select("l_orderkey", "l_linenumber", "l_quantity", "nearest_at", "nearest")
 
 
 RANK = """WITH r AS (SELECT l_orderkey AS o, k, row_number() OVER (PARTITION BY l_orderkey ORDER BY q, k) AS a, row_number() OVER (PARTITION BY l_orderkey ORDER BY p, k) AS b

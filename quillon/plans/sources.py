@@ -3,6 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.sampling import indexed
 from ..sources import files as fi
 from .tables import Area, shared_place
 
@@ -79,13 +80,13 @@ ROW = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang",
 @area.query("""SELECT source AS source_file, i AS source_index, doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents) WHERE i >= 2 AND i < 12""")
 def s2_json_array(t):
     path = shared_place(t.spark, "s2")
-    files = t.documents.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "lang"))).alias("rows"))
-    files.select("source", F.to_json("rows").alias("value")).write.partitionBy("source").text(path)
-    parts = None
-    for r in t.documents.select("source").distinct().orderBy("source").collect():  # one task file each
-        own = fi.read_json_array(t.spark, f"{path}/source={r.source}", ROW, start=2, limit=10).withColumn("source_file", F.lit(r.source))
-        parts = own if parts is None else parts.unionByName(own)
-    return parts.withColumn("source_index", F.col("source_index").cast("long"))
+    rows = indexed(t.documents.select(F.struct("source", "doc_id").alias("at"), "source", "doc_id", "lang"), key="at")
+    rows = rows.join(rows.groupBy("source").agg(F.min("i").alias("first")), "source").withColumn("part", F.floor((F.col("i") - F.col("first")) / 1000))
+    # task files of a thousand rows, each one JSON array; a file's name says which rows of its source it has
+    files = rows.groupBy("source", "part").agg(F.array_sort(F.collect_list(F.struct("doc_id", "lang"))).alias("rows"))
+    files.select("source", "part", F.to_json("rows").alias("value")).write.partitionBy("source", "part").text(path)
+    got = fi.read_json_array(t.spark, path, ROW).select(F.col("source").alias("source_file"), (F.col("part") * 1000 + F.col("source_index")).cast("long").alias("source_index"), "doc_id", "lang")
+    return got.filter("source_index >= 2 and source_index < 12")
 
 
 @area.query("""SELECT conv_id AS task_id, turn, role AS tool_name, CASE WHEN turn % 2 = 0 THEN 1 ELSE 2 END AS n_targets FROM conversations""")

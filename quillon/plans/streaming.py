@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.sampling import indexed
 from ..streaming import operators as st
 from .tables import Area, Tables, shared_place
 
@@ -35,12 +36,25 @@ def t6_windowed_metrics(t):
 
 
 @area.query("""SELECT avg(value) AS "avg~", max(value) AS "max~", min(value) AS "min~", quantile_cont(value, 0.5) AS "tp50~", quantile_cont(value, 0.95) AS "tp95~", quantile_cont(value, 0.99) AS "tp99~" FROM events""", digits=5)
-def t7_batch_assembly(t):
+def t7_batch_statistics(t):
     out, check = shared_place(t.spark, "t7"), shared_place(t.spark, "t7-check")
     st.run_to_end(_events(t), out, check, each=st.batch_statistics(out, value="value"))
     return t.spark.read.parquet(out).drop("batch")
 
 
+@area.query("""SELECT event_type, batch, n, first, "processing_time_avg~", "processing_time_max~", "processing_time_min~", "processing_time_tp95~", "tool_calls_mean~", partial_num, "partial_ratio~", max_partial_span, version_diversity FROM (SELECT event_type, batch, count(*) AS n, min(event_id) AS first, avg(value) AS "processing_time_avg~", max(value) AS "processing_time_max~",
+    min(value) AS "processing_time_min~", quantile_cont(value, 0.95) AS "processing_time_tp95~", avg(event_id % 4)::DOUBLE AS "tool_calls_mean~", count(*) FILTER (event_id % 3 > 0) AS partial_num, count(*) FILTER (event_id % 3 > 0) / 32 AS "partial_ratio~", max(event_id % 3) AS max_partial_span, count(DISTINCT event_id % 5 + event_id % 3) AS version_diversity
+  FROM (SELECT *, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 32 AS batch, count(*) OVER (PARTITION BY event_type) AS size FROM events) WHERE (batch + 1) * 32 <= size GROUP BY 1, 2)""", digits=5)
+def t7_batch_assembly(t):
+    out, check = shared_place(t.spark, "t7b"), shared_place(t.spark, "t7b-check")
+    rocks(t)
+    rows = _events(t).select("event_type", "event_id", "value", (F.col("event_id") % 4).alias("tools"), (F.col("event_id") % 5).alias("v1"), (F.col("event_id") % 5 + F.col("event_id") % 3).alias("v2"))
+    made = st.assembled_batches(rows, key="event_type", size=32, item="event_id", seconds="value", tool_seconds="tools", version_start="v1", version_end="v2", order="event_id")
+    st.run_to_end(made, out, check)
+    shown = ["event_type", "batch", F.size("items").cast("long").alias("n"), F.array_min("items").alias("first")]
+    return t.spark.read.parquet(out).select(*shown, "processing_time_avg", "processing_time_max", "processing_time_min", "processing_time_tp95", "tool_calls_mean", "partial_num", "partial_ratio", "max_partial_span", "version_diversity")
+
+
 @area.query("SELECT doc_id + 1000000 AS doc_id, n_chars + 50 AS n_chars FROM documents WHERE n_chars + 50 <= 500")
 def t8_generated_append(t):
     out, check = shared_place(t.spark, "t8"), shared_place(t.spark, "t8-check")
@@ -50,14 +64,29 @@ def t8_generated_append(t):
     return t.spark.read.parquet(out).drop("batch")
 
 
-@area.query("""SELECT event_type, count(*) AS produced, count(*) - least(count(*), 10) AS dropped, list_reduce(list_sort(list(event_id))[-10:], lambda a, b: a + b) AS kept_sum FROM events GROUP BY 1""")
+def rocks(t: Tables) -> None:
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+@area.query("""SELECT event_type, count(*) AS produced, 0::BIGINT AS consumed, count(*) - least(count(*), 10) AS dropped, array_to_string(list(name ORDER BY event_id DESC)[:10], ',') AS kept FROM (SELECT *, 'e' || event_id AS name FROM events) GROUP BY 1""")
 def t1_bounded_buffer(t):
     out, check = shared_place(t.spark, "t1"), shared_place(t.spark, "t1-check")
-    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    buffers = st.bounded_buffer(_events(t).select("event_type", "event_id"), key="event_type", item="event_id", n=10)
+    rocks(t)
+    named = _events(t).select("event_type", "event_id", F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("name"))
+    buffers = st.bounded_buffer(named, key="event_type", item="name", n=10, order="event_id")
     st.run_to_end(buffers, out, check, mode="update", each=lambda b, k: b.write.mode("overwrite").parquet(f"{out}/batch={k}"))
-    rows = t.spark.read.parquet(out)
-    return rows.select("event_type", "produced", "dropped", F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + x).alias("kept_sum"))
+    return t.spark.read.parquet(out).select("event_type", "produced", "consumed", "dropped", F.array_join(F.reverse("items"), ",").alias("kept"))
+
+
+@area.query("""SELECT event_type, max(day) AS current_version, least(6, count(*) FILTER (day = last)) AS in_flight, count(DISTINCT day) - 1 AS resets, sum(over)::BIGINT AS refused, count(*) FILTER (day = last) >= 6 AS pause
+  FROM (SELECT *, max(day) OVER (PARTITION BY event_type) AS last, (row_number() OVER (PARTITION BY event_type, day ORDER BY event_id) > 6)::INT AS over FROM (SELECT *, event_id // 40 AS day FROM events)) GROUP BY event_type""")
+def t2_staleness_gate(t):
+    out, check = shared_place(t.spark, "t2"), shared_place(t.spark, "t2-check")
+    rocks(t)
+    rows = _events(t).select("event_type", "event_id", F.floor(F.col("event_id") / 40).alias("version"))
+    gate = st.staleness_gate(rows, key="event_type", version="version", order="event_id", limit=st.staleness_limit(2, 0.5, 2))
+    st.run_to_end(gate, out, check, mode="update", each=lambda b, k: b.write.mode("overwrite").parquet(f"{out}/batch={k}"))
+    return t.spark.read.parquet(out).select("event_type", "current_version", "in_flight", "resets", "refused", "pause")
 
 
 VERSION = "WITH v AS (SELECT *, dense_rank() OVER (ORDER BY strftime(ts, '%Y-%m-%d')) AS version FROM events), c AS (SELECT max(version) AS current_version FROM v)"
@@ -77,9 +106,8 @@ def t2_version_lag(t):
 
 def _versions(t: Tables) -> DataFrame:
     day = F.date_format("ts", "yyyy-MM-dd")
-    days = t.events.select(day.alias("day")).distinct()
-    numbered = days.alias("a").join(days.alias("b"), F.col("b.day") <= F.col("a.day")).groupBy(F.col("a.day").alias("day")).agg(F.count("*").alias("version"))
-    return t.events.withColumn("day", day).join(F.broadcast(numbered), "day")
+    days = indexed(t.events.select(day.alias("day")).distinct(), key="day").select("day", (F.col("i") + 1).alias("version"))
+    return t.events.withColumn("day", day).join(days, "day")
 
 
 @area.query("SELECT count(*) AS done, max(event_id) AS last_id FROM events")
@@ -97,10 +125,20 @@ def t5_merged_state(t):
     return state.select(F.col("user_id").alias("u"), F.size("state").cast("long").alias("n_fields"), F.aggregate(F.map_values("state"), F.lit(0).cast("long"), lambda a, x: a + F.size(x)).alias("n_values"))
 
 
+@area.query("""SELECT u, object, array_to_string(list(v || '=' || s ORDER BY v), ',') AS views FROM (SELECT user_id AS u, event_type AS object, CASE event_id % 4 WHEN 3 THEN 'note' ELSE 'v' || event_id % 4 END AS v, arg_max(event_id, event_id) AS s
+  FROM events e WHERE event_id > coalesce((SELECT max(event_id) FROM events r WHERE r.user_id = e.user_id AND r.event_id % 41 = 0), -1) GROUP BY 1, 2, 3) GROUP BY 1, 2""")
+def t5_object_memory(t):
+    view = F.when(F.col("event_id") % 4 == 3, F.lit(None)).otherwise(F.concat(F.lit(" v"), (F.col("event_id") % 4).cast("string")))
+    updates = t.events.select("user_id", "event_id", F.concat("event_type", F.lit(" ")).alias("object"), view.alias("view"), F.col("event_id").cast("string").alias("state"))
+    memory = st.object_memory(updates, key="user_id", order=["event_id"], obj="object", view="view", state="state", reset=F.col("event_id") % 41 == 0)
+    views = F.array_join(F.transform(F.array_sort(F.map_keys("views")), lambda v: F.concat(v, F.lit("="), F.col("views")[v])), ",")
+    return memory.select(F.col("user_id").alias("u"), "object", views.alias("views"))
+
+
 @area.query("""SELECT event_type, fields, n_values FROM (SELECT event_type, array_to_string(list_sort(list(DISTINCT 'f' || event_id % 3)), ',') AS fields, count(DISTINCT (event_id % 3, event_id % 5))::BIGINT AS n_values FROM events GROUP BY 1)""")
 def t5_merged_state_stream(t):
     out, check = shared_place(t.spark, "t5"), shared_place(t.spark, "t5-check")
-    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rocks(t)
     updates = _events(t).select("event_type", "event_id", F.lit("append").alias("op"), F.concat(F.lit("f"), (F.col("event_id") % 3).cast("string")).alias("field"), (F.col("event_id") % 5).cast("string").alias("value"))
     st.run_to_end(st.merged_state_stream(updates, key="event_type", order="event_id"), out, check, mode="update", each=lambda b, k: b.write.mode("overwrite").parquet(f"{out}/batch={k}"))
     return t.spark.read.parquet(out).select("event_type", F.array_join(F.array_sort("fields"), ",").alias("fields"), "n_values")

@@ -29,16 +29,18 @@ def read_files(spark: SparkSession, paths: list[str], schema: T.StructType | Non
 
 def read_json_array(spark: SparkSession, path: str, schema: T.StructType, *, start: int = 0, limit: int | None = None) -> DataFrame:
     """Rows of files that are one JSON array each, with source_file and source_index (the place in the
-    array). A file whose root is no array, or a row that is no object, raises."""
-    text = spark.read.text(path, wholetext=True).select(F.col("value"), F.col("_metadata.file_name").alias("source_file"))
+    array), and what the names of their folders say, as in partitioned tables. A file whose root is no
+    array, or a row that is no object, raises."""
+    text = spark.read.text(path, wholetext=True).select("*", F.col("_metadata.file_name").alias("source_file"))
+    folders = [c for c in text.columns if c not in ("value", "source_file")]
     items = F.from_json("value", T.ArrayType(T.StringType()))
     checked = F.when(F.ltrim("value").startswith("["), items).otherwise(F.raise_error(F.concat("source_file", F.lit(": the root is not a list"))))
-    rows = text.select("source_file", F.posexplode(checked).alias("source_index", "_raw"))
+    rows = text.select("source_file", *folders, F.posexplode(checked).alias("source_index", "_raw"))
     inside = F.col("source_index") >= start
     if limit is not None:
         inside = inside & (F.col("source_index") < start + limit)
     row = F.when(F.ltrim("_raw").startswith("{"), F.from_json("_raw", schema)).otherwise(F.raise_error(F.concat("source_file", F.lit(": a row is not an object"))))
-    return rows.filter(inside).select("source_file", "source_index", row.alias("_row")).select("source_file", "source_index", "_row.*")
+    return rows.filter(inside).select("source_file", "source_index", *folders, row.alias("_row")).select("source_file", "source_index", *folders, "_row.*")
 
 
 def map_fields(raw: DataFrame, mapping: dict[str, str], *, file: Column, index: Column) -> DataFrame:

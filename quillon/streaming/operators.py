@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,33 +15,132 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators.evaluation import aggregation_kind, time_statistics
 
 
+def in_order(rows: Iterator[pd.DataFrame], order: str | None) -> pd.DataFrame:
+    """A key's rows of a batch: by a column, or as they arrive."""
+    every = pd.concat(list(rows), ignore_index=True)
+    return every.sort_values(order, kind="stable", ignore_index=True) if order else every
+
+
 class _LastN(StatefulProcessor):
-    """The last n items of a key, and how many came and were dropped."""
+    """The last n items of a key, and how many came, were taken out and were dropped."""
+
+    def __init__(self, n: int, key: str, item: str, kind: T.DataType, order: str | None, op: str | None):
+        self.n, self.key, self.item, self.kind, self.order, self.op = n, key, item, kind, order, op
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        counts = [T.StructField(c, T.LongType()) for c in ("produced", "consumed", "dropped")]
+        self.state = handle.getValueState("buffer", T.StructType([T.StructField("items", T.ArrayType(self.kind)), *counts]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        items, produced, consumed, dropped = self.state.get() if self.state.exists() else ([], 0, 0, 0)
+        items = list(items)
+        new = in_order(rows, self.order)
+        for item, op in zip(new[self.item].tolist(), new[self.op].tolist() if self.op else ["put"] * len(new)):
+            if op == "get":
+                consumed += bool(items)
+                items = items[1:]
+            else:
+                produced += 1
+                dropped += len(items) >= self.n
+                items = [*items[max(0, len(items) - self.n + 1):], item]
+        self.state.update((items, produced, consumed, dropped))
+        yield pd.DataFrame({self.key: [key[0]], "items": [items], "produced": [produced], "consumed": [consumed], "dropped": [dropped]})
+
+    def close(self) -> None:
+        pass
+
+
+def bounded_buffer(stream: DataFrame, *, key: str, item: str, n: int, order: str | None = None, op: str | None = None) -> DataFrame:
+    """Per key a first-in-first-out buffer of n items of any type; the oldest go when it is full. Items come in the
+    order of a column or, without one, as they arrive; with a column `op`, rows that say "get" take the oldest item
+    out. Each batch gives the buffer, produced, consumed and dropped of the keys that it touched."""
+    kind = stream.schema[item].dataType
+    schema = T.StructType([stream.schema[key], T.StructField("items", T.ArrayType(kind)), *[T.StructField(c, T.LongType()) for c in ("produced", "consumed", "dropped")]])
+    return stream.groupBy(key).transformWithStateInPandas(_LastN(n, key, item, kind, order, op), schema, "Update", "None")
 
-    def __init__(self, n: int, key: str, item: str):
-        self.n, self.key, self.item = n, key, item
+
+class _Staleness(StatefulProcessor):
+    """Samples in flight for the current parameter version of a key."""
+
+    def __init__(self, key: str, version: str, order: str | None, waiting: str | None, limit: int):
+        self.key, self.version, self.order, self.waiting, self.limit = key, version, order, waiting, limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("buffer", T.StructType().add("items", T.ArrayType(T.LongType())).add("produced", T.LongType()).add("dropped", T.LongType()))
+        self.state = handle.getValueState("staleness", T.StructType([T.StructField(c, T.LongType()) for c in ("version", "in_flight", "resets", "paused")]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        items, produced, dropped = self.state.get() if self.state.exists() else ([], 0, 0)
-        new = sorted(int(x) for pdf in rows for x in pdf[self.item])
-        items = list(items) + new
-        over = max(0, len(items) - self.n)
-        items, produced, dropped = items[over:], produced + len(new), dropped + over
-        self.state.update((items, produced, dropped))
-        yield pd.DataFrame({self.key: [key[0]], "items": [items], "produced": [produced], "dropped": [dropped]})
+        current, count, resets, paused = self.state.get() if self.state.exists() else (None, 0, 0, 0)
+        new = in_order(rows, self.order)
+        waiting = new[self.waiting].tolist() if self.waiting else [0] * len(new)
+        for version, left in zip(new[self.version].tolist(), waiting):
+            if current is None or version > current:
+                resets += current is not None
+                current, count = version, int(left)
+            if count >= self.limit:
+                paused += 1  # generation waits: the sample is not begun
+            else:
+                count += 1
+        self.state.update((current, count, resets, paused))
+        yield pd.DataFrame({self.key: [key[0]], "current_version": [current], "in_flight": [count], "resets": [resets], "refused": [paused], "pause": [count >= self.limit]})
 
     def close(self) -> None:
         pass
 
 
-def bounded_buffer(stream: DataFrame, *, key: str, item: str, n: int) -> DataFrame:
-    """Per key a first-in-first-out buffer of n items; the oldest go when it is full. Each batch gives the
-    buffer, produced and dropped of the keys that it touched."""
-    schema = T.StructType([stream.schema[key], T.StructField("items", T.ArrayType(T.LongType())), T.StructField("produced", T.LongType()), T.StructField("dropped", T.LongType())])
-    return stream.groupBy(key).transformWithStateInPandas(_LastN(n, key, item), schema, "Update", "None")
+def staleness_gate(stream: DataFrame, *, key: str, version: str, limit: int, order: str | None = None, waiting: str | None = None) -> DataFrame:
+    """Per key the samples begun under its current parameter version, at most `limit`; a later version sets the count
+    back to the samples still `waiting` then (0 without that column), and samples beyond the limit are refused until
+    it comes. Each batch gives, for the keys it touched, the version, in_flight, resets, refused and whether
+    generation is to pause."""
+    schema = T.StructType([stream.schema[key], *[T.StructField(c, T.LongType()) for c in ("current_version", "in_flight", "resets", "refused")], T.StructField("pause", T.BooleanType())])
+    return stream.groupBy(key).transformWithStateInPandas(_Staleness(key, version, order, waiting, limit), schema, "Update", "None")
+
+
+class _Assembly(StatefulProcessor):
+    """Rollouts that wait until a batch is full."""
+
+    FIELDS = ("item", "seconds", "tool_seconds", "version_start", "version_end")
+
+    def __init__(self, key: str, size: int, names: dict[str, str], order: str | None):
+        self.key, self.size, self.names, self.order = key, size, names, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        row = T.StructType([T.StructField("item", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in self.FIELDS[1:]]])
+        self.state = handle.getValueState("waiting", T.StructType([T.StructField("rows", T.ArrayType(row)), T.StructField("batches", T.LongType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        waiting, number = self.state.get() if self.state.exists() else ([], 0)
+        new = in_order(rows, self.order)
+        columns = [new[self.names[f]] for f in self.FIELDS]
+        waiting = [tuple(r) for r in waiting] + [(int(r[0]), *map(float, r[1:])) for r in zip(*columns)]
+        out = []
+        while len(waiting) >= self.size:
+            part, waiting = waiting[: self.size], waiting[self.size:]
+            items, seconds, tools, start, end = map(list, zip(*part))
+            span = np.abs(np.subtract(end, start))
+            tp50, tp95, tp99 = np.percentile(seconds, [50, 95, 99])
+            out.append((key[0], number, items, np.mean(seconds), max(seconds), min(seconds), tp50, tp95, tp99, max(tools), min(tools), np.mean(tools),
+                        int((span > 0).sum()), float((span > 0).mean()), int(span.max()), len(set(end))))
+            number += 1
+        self.state.update((waiting, number))
+        yield pd.DataFrame(out, columns=[self.key, *[n for n, _ in ASSEMBLED]])
+
+    def close(self) -> None:
+        pass
+
+
+ASSEMBLED = [
+    ("batch", T.LongType()), ("items", T.ArrayType(T.LongType())), *[(f"processing_time_{c}", T.DoubleType()) for c in ("avg", "max", "min", "tp50", "tp95", "tp99")],
+    *[(f"tool_calls_{c}", T.DoubleType()) for c in ("max", "min", "mean")], ("partial_num", T.LongType()), ("partial_ratio", T.DoubleType()), ("max_partial_span", T.LongType()), ("version_diversity", T.LongType())]
+
+
+def assembled_batches(stream: DataFrame, *, key: str, size: int, item: str, seconds: str, tool_seconds: str, version_start: str, version_end: str, order: str | None = None) -> DataFrame:
+    """Per key (a trainer) its rollouts in batches of exactly `size`, across micro-batches; what does not fill a batch
+    waits in state, fewer than `size` rows. A batch gives its number and items, statistics of processing and tool
+    seconds, how many rollouts span parameter versions, their share and largest span, and the number of versions."""
+    names = {"item": item, "seconds": seconds, "tool_seconds": tool_seconds, "version_start": version_start, "version_end": version_end}
+    schema = T.StructType([stream.schema[key], *[T.StructField(n, k) for n, k in ASSEMBLED]])
+    return stream.groupBy(key).transformWithStateInPandas(_Assembly(key, size, names, order), schema, "Append", "None")
 
 
 def version_lag(samples: DataFrame, current: DataFrame, *, version: str, threshold: int) -> DataFrame:
@@ -136,6 +236,21 @@ def merged_state(updates: DataFrame, *, key: str, order: list[str], op: str, fie
     return updates.groupBy(key).agg(items.alias("_u")).select(key, F.aggregate("_u", empty, step).alias("state"))
 
 
+def object_memory(updates: DataFrame, *, key: str, order: list[str], obj: str, view: str, state: str, reset: Column | None = None) -> DataFrame:
+    """(key, object, views): what was last seen of each object in each view, a map from view to state, after the
+    key's last row for which `reset` holds. Names are trimmed; rows without an object's name say nothing, a row
+    without a view is a note on the object. A nested memory is kept as one row an object, so no key is a single fold."""
+    at = F.struct(*order)
+    rows = updates.withColumn("_at", at)
+    if reset is not None:
+        last = rows.filter(reset).groupBy(key).agg(F.max("_at").alias("_last"))
+        rows = rows.join(last, key, "left").filter((F.col("_last").isNull() | (F.col("_at") > F.col("_last"))) & ~F.coalesce(reset, F.lit(False)))
+    name, seen = F.trim(obj), F.coalesce(F.when(F.trim(view) != "", F.trim(view)), F.when(F.col(view).isNull(), F.lit("note")))
+    kept = rows.select(key, name.alias("object"), seen.alias("_view"), F.col(state).alias("_state"), "_at").filter("object != '' and _view is not null")
+    latest = kept.groupBy(key, "object", "_view").agg(F.max_by(F.struct("_state"), "_at").alias("_s"))
+    return latest.groupBy(key, "object").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_view", F.col("_s._state").alias("s"))))).alias("views"))
+
+
 class _Merge(StatefulProcessor):
     def __init__(self, key: str, order: str):
         self.key, self.order = key, order

@@ -1,5 +1,6 @@
 """Hand-worked cases, errors and properties that the queries do not show."""
 
+import math
 import pytest
 from pyspark.sql import functions as F
 from quillon.functions import answers as an
@@ -151,3 +152,56 @@ def test_splits_and_pads(spark):
     assert padded.count() == 8 and sorted(r.id for r in padded.filter("not is_pad").collect()) == [0, 1, 2]
     assert value(spark, se.chunk_count(F.lit(130), 64, 16)) == 3
     assert st.staleness_limit(10, 0.5, 4) == 60
+
+
+def test_metric_tables(spark):
+    from pyspark.sql import functions as F
+    from quillon.operators import evaluation as ev
+
+    a = spark.createDataFrame([("x", 1.0), ("y", 2.0)], "name string, v double")
+    assert sorted(map(tuple, ev.merged_metrics(a, a.filter("name = 'x'"), name="name", value="v").collect())) == [("x", 1.0), ("y", 2.0)]
+    with pytest.raises(Exception, match="unlike values for x"):
+        ev.merged_metrics(a, spark.createDataFrame([("x", 3.0)], a.schema), name="name", value="v").collect()
+    lists = spark.createDataFrame([("p/a", 2, [3]), ("a", 1, [1, 2]), ("b", 1, [])], "name string, n int, v array<int>")
+    assert {r.name: r["values"] for r in ev.appended(lists, name="name", value="v", order=["n"], prefix="p/").collect()} == {"p/a": [1, 2, 3], "p/b": []}
+    rows = spark.createDataFrame([("t", True), ("t", None), ("t", False), ("t", True)], "task string, ok boolean")
+    assert ev.task_accuracy(rows, by=["task"], correct=F.col("ok")).first().asDict() == {"task": "t", "attempted": 4, "correct": 2, "accuracy": 50.0}
+
+
+def test_majority_of_resamples(spark):
+    from pyspark.sql import functions as F
+    from quillon.operators import evaluation as ev
+
+    rows = spark.createDataFrame([("q", k, "ab"[k > 2], float(k > 2)) for k in range(4)], "q string, k int, vote string, x double")
+    got = ev.majority_at(rows, keys=["q"], vote="vote", value="x", order=["k"], n=F.array(F.lit(1), F.lit(5)), rounds=4000).collect()
+    mean = {r.n: r.maj_mean for r in got}
+    want = sum(math.comb(5, j) * 0.25**j * 0.75 ** (5 - j) for j in (3, 4, 5))
+    assert abs(mean[1] - 0.25) < 0.03 and abs(mean[5] - want) < 0.02
+
+
+def test_maths_answers_and_counting_questions(spark):
+    from pyspark.sql import functions as F
+    from quillon.functions import answers as an
+
+    said = {"x = 12 square\;units": "12", "$3,000$ dollars": "3000", "so $\\frac12$ and $7$": "\\frac{1}{2}", "\\text{yes}": "yes", "\\boxed{\\sqrt2}": "\\sqrt{2}", "45^{\\circ}": "45", '"5"\\ldots': "5"}
+    df = spark.createDataFrame([(k,) for k in said], "x string").select("x", an.maths_normal(F.col("x")).alias("y"))
+    assert {r.x: r.y for r in df.collect()} == said
+    asked = {
+        "When {A3} stops, how many yellow cars does {A1} overtake?": ("yellow cars", "yellow", "overtake", "A1", ["A1"]),
+        "How many people in total?": ("people", None, "?", None, []),
+        "Where is it?": ("the target category in the question", None, "?", None, []),
+        "how many trucks parked in front of {B2} are behind {A4}": ("trucks", None, "same-direction-behind", "A4", ["B2", "A4"])}
+    df = spark.createDataFrame([(k,) for k in asked], "q string").select("q", an.count_clause(F.col("q")).alias("c"))
+    assert {r.q: tuple(r.c) for r in df.collect()} == asked
+
+
+def test_leaks_in_marks(spark):
+    from quillon.operators import quality as qu
+
+    items = ["one two three four", "yes", "two words", "a b c d e f g h i j k", "  ", None, "x  y z"]
+    docs = ['he said "one two three four", twice', "oh yes!", "(two words)", "q:a b c d e f g h i j k.", "one two three", None, "", "x y z", "one two three four yes"]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc int, text string")
+    i = spark.createDataFrame(list(enumerate(items)), "item int, words string")
+    got = qu.leaked_answers(d, i, doc_id="doc", doc_text="text", item_id="item", item_text="words").collect()
+    want = {(a, b) for a, t in enumerate(docs) for b, w in enumerate(items) if t is not None and w and w.strip() and w.strip() in t}
+    assert set(map(tuple, got)) == want and len(got) == len(want)
