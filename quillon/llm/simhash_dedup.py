@@ -69,8 +69,8 @@ def _fingerprints(shingle: int):
 # ---- the forest of one task --------------------------------------------------
 
 
-def near_pairs(code: np.ndarray, shard: np.ndarray, radius: int = RADIUS, step: int = 1 << 20, ask: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (earlier, later) of codes of equal shard within `radius` bits, found in one BK-tree per
+def near_pairs(code: np.ndarray, shard: np.ndarray, radius: int = RADIUS, step: int = 1 << 20, ask: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index pairs (earlier, later), and how far apart, of codes of equal shard within `radius` bits, found in one BK-tree per
     shard; of the later ones only those that `ask`. A code is a 64-bit word, or a row of several.
 
     `shard` is sorted. Trees grow level by level: of the codes that reached a node, the first at
@@ -111,7 +111,7 @@ def near_pairs(code: np.ndarray, shard: np.ndarray, radius: int = RADIUS, step:
             far = apart(query, node)
             hit = (far <= radius) & (node < query)
             if hit.any():
-                yield node[hit], query[hit]
+                yield node[hit], query[hit], far[hit]
             low = np.searchsorted(key, node * (2 * span) + np.maximum(far - radius, 0))
             high = np.searchsorted(key, node * (2 * span) + np.minimum(far + radius, span), side="right")
             count = high - low
@@ -145,7 +145,7 @@ def _link(radius: int):
         head: dict[int, int] = {}
         out: list[tuple[int, int]] = []
         bits = code.view(np.uint64)
-        for a, b in near_pairs(bits, shard, radius):
+        for a, b, _ in near_pairs(bits, shard, radius):
             out += _spanning(a, b, head)
         pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(code[pairs[:, 0]]), pa.array(code[pairs[:, 1]])], names=["a", "b"])
