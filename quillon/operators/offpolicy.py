@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.answers import let, spare
+
 CLAMP = 20.0
 
 
@@ -230,15 +232,15 @@ def adaptive_kl(steps: DataFrame, *, step: str, kl: str, n: str, start: float, t
 
 def from_logits(df: DataFrame, *, logits: str, pick: str | None = None) -> DataFrame:
     """Entropy and sum of squared probabilities of softmax(logits), and the log-probability at 0-based index `pick`."""
-    x = F.transform(logits, lambda v: v.cast("double"))
-    top = F.array_max(x)
-    total = F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - top))
-    lse = top + F.log(total)
-    p = F.transform(x, lambda v: F.exp(v - lse))
-    out = df.withColumns({
-        "entropy": lse - F.aggregate(F.zip_with(p, x, lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v),
-        "sum_pi_squared": F.aggregate(p, F.lit(0.0), lambda a, v: a + v * v)})
-    return out.withColumn("log_prob", F.element_at(x, F.col(pick).cast("int") + 1) - lse) if pick else out
+    sums = lambda x, f: F.aggregate(x, F.lit(0.0), lambda a, v: a + f(v))
+    picked = (lambda x, lse: [(F.element_at(x, F.col(pick).cast("int") + 1) - lse).alias("log_prob")]) if pick else lambda x, lse: []
+    # each step is bound once: inside a lambda it would be worked out again for every element
+    parts = lambda x, lse: F.struct((lse - sums(x, lambda v: F.exp(v - lse) * v)).alias("entropy"), sums(x, lambda v: F.exp(2 * (v - lse))).alias("sum_pi_squared"), *picked(x, lse))
+    from_top = lambda x: lambda top: let(top + F.log(sums(x, lambda v: F.exp(v - top))), lambda lse: parts(x, lse))
+    found = let(F.transform(logits, lambda v: v.cast("double")), lambda x: let(F.array_max(x), from_top(x)))
+    [name] = spare(df.columns, "_found")
+    out = df.withColumn(name, found)
+    return out.withColumns({c: F.col(f"{name}.{c}") for c in ("entropy", "sum_pi_squared", *(["log_prob"] if pick else []))}).drop(name)
 
 
 def token_differences(tokens: DataFrame, *, seq: str, a: str, b: str, mask: str) -> DataFrame:

@@ -136,9 +136,9 @@ def fit_ids(df: DataFrame, *, ids: str, limit: int, mode: str = "right", pad: Co
 
 def response_mask(ids: Column, stops: list[int]) -> Column:
     """1 up to and with the first stop token."""
-    places = F.filter(F.transform(ids, lambda x, k: F.when(x.isin(stops), k)), lambda k: k.isNotNull())
-    first = F.coalesce(F.array_min(places), F.size(ids))
-    return F.transform(ids, lambda x, k: (k <= first).cast("int"))
+    found = F.array_min(F.filter(F.transform(F.array(*map(F.lit, stops)), lambda x: F.array_position(ids, x)), lambda k: k > 0))
+    kept = F.coalesce(found, F.size(ids).cast("long")).cast("int")
+    return F.concat(F.array_repeat(F.lit(1), kept), F.array_repeat(F.lit(0), F.size(ids) - kept))
 
 
 # ---- turns -------------------------------------------------------------------------------

@@ -44,7 +44,7 @@ def t7_batch_statistics(t):
 
 @area.query("""SELECT event_type, batch, n, first, "processing_time_avg~", "processing_time_max~", "processing_time_min~", "processing_time_tp95~", "tool_calls_mean~", partial_num, "partial_ratio~", max_partial_span, version_diversity FROM (SELECT event_type, batch, count(*) AS n, min(event_id) AS first, avg(value) AS "processing_time_avg~", max(value) AS "processing_time_max~",
     min(value) AS "processing_time_min~", quantile_cont(value, 0.95) AS "processing_time_tp95~", avg(event_id % 4)::DOUBLE AS "tool_calls_mean~", count(*) FILTER (event_id % 3 > 0) AS partial_num, count(*) FILTER (event_id % 3 > 0) / 32 AS "partial_ratio~", max(event_id % 3) AS max_partial_span, count(DISTINCT event_id % 5 + event_id % 3) AS version_diversity
-  FROM (SELECT *, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 32 AS batch, count(*) OVER (PARTITION BY event_type) AS size FROM events) WHERE (batch + 1) * 32 <= size GROUP BY 1, 2)""", digits=5)
+  FROM (SELECT *, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 32 AS batch, count(*) OVER (PARTITION BY event_type) AS size FROM events) WHERE (batch + 1) * 32 <= size GROUP BY 1, 2)""", digits=7)
 def t7_batch_assembly(t):
     out, check = shared_place(t.spark, "t7b"), shared_place(t.spark, "t7b-check")
     rocks(t)
