@@ -153,7 +153,8 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", pe
     keyed = base.withColumn("h", F.xxhash64("text", F.lit("sample")))
     # copies count once, so that the smallest hashes of a language are as many as there are texts, up to per_lang
     texts = written(keyed.select("lang", "h").distinct(), "text-hashes")
-    counted = texts.groupBy("lang").agg(F.count("*").alias("n"))
+    # written, so that Spark sees how small it is and thins the texts out before it brings those of a language together
+    counted = written(texts.groupBy("lang").agg(F.count("*").alias("n")), "text-counts")
     # about four times as many as wanted, by their hash alone, before the window; a language of few texts sends all
     share = (F.col("h") / F.lit(2.0**64)) + 0.5
     likely = texts.join(counted, "lang").filter(share * F.col("n") < 4 * per_lang).select("lang", "h")
@@ -231,7 +232,13 @@ def language_id(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def known_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = 0.5) -> DataFrame:
-    """The rows whose language is told with at least `min_score`, with all their columns."""
+    """The rows whose language is told with at least `min_score`, with all their columns.
+
+    Rows with a null or empty text, or without a letter, have no language and go; so do all rows if no
+    label and text is there to learn from. Null labels are not learned from, null ids are rows like
+    others, repeated rows stay or go alike, texts are read whole, and columns may have any names. An
+    empty table gives none. The model is learned from all labelled rows: what is asked here is whether
+    a language can be told, not how well."""
     model = train(docs, text_col=text_col, lang_col=lang_col)
     handle = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(_keep(handle, text_col, min_score), docs.schema)
