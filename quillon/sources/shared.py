@@ -43,3 +43,4 @@ def discard(table: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    spark._jvm.java.lang.System.gc()  # Spark deletes the shuffles of finished jobs once their plans are collected
