@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import new_path, shared_folder, written
+from ..sources.shared import discard, new_path, shared_folder, written
 
-__all__ = ["bounded_batches", "new_path", "quoted", "row_key", "rows_of_keys", "shared_folder", "spare", "written"]
+__all__ = ["bounded_batches", "discard", "new_path", "quoted", "row_key", "rows_of_keys", "shared_folder", "spare", "written"]
 
 
 def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
