@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .language_id import language_id
 from .mixing import mix
 from .pitman_yor import lm_score
+from .prefix_trie import prefix_trie, turn_sequences, with_shared_starts
 from .simhash_dedup import simhash_dedup
 from .substring_dedup import substring_dedup
 from .token_counts import token_counts
@@ -62,10 +63,14 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(table(spark, sf_dir, "embeddings"), threshold=0.98, target=1.0)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(with_shared_starts(turn_sequences(table(spark, sf_dir, "conversations")), every=5, most=9))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_substring_dedup, op2_token_counts, op3_pitman_yor, op4_exact_dedup, op5_simhash_dedup,
-        op6_bpe, op7_mixing, op8_language_id, op9_warc, op10_embedding_dedup)
+        op6_bpe, op7_mixing, op8_language_id, op9_warc, op10_embedding_dedup, op13_prefix_trie)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -118,4 +123,21 @@ low AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
 n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low.b, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(low.b, vec_id)) AS kept
 FROM embeddings LEFT JOIN low ON vec_id = low.a LEFT JOIN n ON vec_id = n.a""",
+    "op13_prefix_trie": """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(sha256(strlen(role) || ':' || role || text) || strlen(text) ORDER BY turn NULLS FIRST) AS s FROM t GROUP BY conv_id),
+crc AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+          lambda a, b: list_reduce(list_prepend(xor(a, b), CAST(range(8) AS BIGINT[])), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) AS crc FROM own),
+built AS (SELECT o.conv_id, list_concat(coalesce(d.s, [])[1 : CAST(crc % 9 AS INTEGER)], o.s[CAST(crc % 9 AS INTEGER) + 1 :]) AS s
+          FROM own o JOIN crc c USING (conv_id) LEFT JOIN own d ON d.conv_id = o.conv_id - o.conv_id % 5),
+p AS (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM built),
+named AS (SELECT conv_id, d, d = len(s) AS ends, array_to_string(s[1 : d], '/') AS name, CASE WHEN d > 0 THEN array_to_string(s[1 : d - 1], '/') END AS up,
+                 CASE WHEN d > 0 THEN CAST(substr(s[d], 65) AS BIGINT) ELSE 0 END AS size, list_transform(range(0, d + 1), lambda k: array_to_string(s[1 : k], '/')) AS above FROM p),
+node AS (SELECT name, d, min(conv_id) AS conv_id, any_value(up) AS up, count(*) AS n, (count(*) - 1) * any_value(size) AS worth, any_value(above) AS above,
+                sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM named GROUP BY name, d),
+kids AS (SELECT up AS name, d - 1 AS d, count(*) AS n FROM node WHERE d > 0 GROUP BY up, d),
+over AS (SELECT a.name, a.d, a.worth, k.n IS NULL AS leaf, unnest(a.above) AS top, unnest(range(0, a.d + 1)) AS top_d FROM node a LEFT JOIN kids k ON k.name = a.name AND k.d = a.d),
+sums AS (SELECT top, top_d, CAST(sum(worth) AS BIGINT) AS saved, count(*) FILTER (WHERE leaf) AS leaves FROM over GROUP BY top, top_d)
+SELECT x.conv_id, x.d AS depth, u.conv_id AS parent_conv_id, x.n AS n_convs, coalesce(k.n, 0) AS n_children, s.leaves AS n_leaves, s.saved AS saved_tokens, x.ends_sha256
+FROM node x JOIN sums s ON s.top = x.name AND s.top_d = x.d LEFT JOIN node u ON u.name = x.up AND u.d = x.d - 1 LEFT JOIN kids k ON k.name = x.name AND k.d = x.d""",
 }
