@@ -16,6 +16,7 @@ from .prefix_trie import prefix_trie, turn_sequences, with_shared_starts
 from .simhash_dedup import simhash_dedup
 from .substring_dedup import substring_dedup
 from .token_counts import token_counts
+from .toxicity import toxicity
 from .warc import warc_round_trip
 
 
@@ -63,6 +64,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(table(spark, sf_dir, "embeddings"), threshold=0.98, target=1.0)
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5)
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(with_shared_starts(turn_sequences(table(spark, sf_dir, "conversations")), every=5, most=9))
 
@@ -70,7 +75,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_substring_dedup, op2_token_counts, op3_pitman_yor, op4_exact_dedup, op5_simhash_dedup,
-        op6_bpe, op7_mixing, op8_language_id, op9_warc, op10_embedding_dedup, op13_prefix_trie)
+        op6_bpe, op7_mixing, op8_language_id, op9_warc, op10_embedding_dedup, op12_toxicity, op13_prefix_trie)
 }
 
 ORACLE_SQL: dict[str, str] = {
