@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import align
 from .bpe import bpe_encode
 from .embedding_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
@@ -64,6 +65,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(table(spark, sf_dir, "embeddings"), threshold=0.98, target=1.0)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"))
+
+
 def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5)
 
@@ -75,7 +80,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_substring_dedup, op2_token_counts, op3_pitman_yor, op4_exact_dedup, op5_simhash_dedup,
-        op6_bpe, op7_mixing, op8_language_id, op9_warc, op10_embedding_dedup, op12_toxicity, op13_prefix_trie)
+        op6_bpe, op7_mixing, op8_language_id, op9_warc, op10_embedding_dedup, op11_alignment, op12_toxicity, op13_prefix_trie)
 }
 
 ORACLE_SQL: dict[str, str] = {
