@@ -80,7 +80,7 @@ def test_whole_table(spark, libraries, wave_bytes, bucket_pairs):
     df = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in df.collect() if len(r.text or "") < 30_000]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
-    assert rows_of(align(df, group_bytes=wave_bytes, bucket_pairs=bucket_pairs)) == brute(libraries, rows)
+    assert rows_of(align(df, wave_bytes=wave_bytes, bucket_pairs=bucket_pairs)) == brute(libraries, rows)
 
 
 def test_one_word_everywhere(spark, libraries):
