@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .resampling import majority_at
+
 
 def offline_evaluation(responses: DataFrame, *, row: str | Column, source: str | Column, score: Column) -> DataFrame:
     """One row per response -> test_score per data source: the mean of each row's responses
@@ -69,8 +71,9 @@ def best_and_worst(values: DataFrame, *, keys: list[str], value: str, n: Column)
 def bootstrap(values: DataFrame, *, keys: list[str], value: str, order: list[str], size: int, reducer: Column, rounds: int = 1000, seed: int = 42) -> DataFrame:
     """Mean and population deviation of any aggregate over `rounds` resamples of `size` draws with
     replacement from each group. `reducer` is an aggregate over the column `drawn`. Draws are
-    md5 numbers of seed, keys, round and draw."""
-    indexed = values.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    md5 numbers of seed, keys, round and draw. Groups may be of any size, a draw is a row: for many small
+    groups see `resampling.resampled`."""
+    indexed = values.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order, value)) - 1)
     sizes = indexed.groupBy(*keys).agg(F.count("*").alias("_size"))
     draws = sizes.select("*", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("_round")).select("*", F.explode(F.sequence(F.lit(1), F.lit(size))).alias("_draw"))
     text = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.col("_round").cast("string"), F.col("_draw").cast("string"))
@@ -86,36 +89,17 @@ def majority(votes: DataFrame, *, keys: list[str], vote: str, value: str, pos: l
     return best.select(*keys, F.col(f"b.{vote}").alias("majority_vote"), F.col(f"b.first.{value}").alias("majority_value"), (-F.col("b.n")).alias("n_votes"))
 
 
-def majority_at(samples: DataFrame, *, keys: list[str], vote: str, value: str, order: list[str], n: Column, rounds: int = 1000, seed: int = 42) -> DataFrame:
-    """(keys, n, maj_mean, maj_std): mean and population deviation, over `rounds` resamples of n draws with
-    replacement from each group, of the value that majority voting takes: the first drawn under the most
-    frequent vote, of equally frequent ones the vote drawn first. `n` is an array column. Draws are md5
-    numbers of seed, keys, n, round and draw."""
-    w = Window.partitionBy(*keys)
-    rows = samples.withColumn("_k", F.row_number().over(w.orderBy(*order)) - 1)
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_size"), n.alias("_n"))
-    each = lambda df, name, last: df.withColumn(name, F.explode(F.sequence(F.lit(1), last)))
-    draws = each(each(sizes.withColumn("n", F.explode("_n")).drop("_n"), "_round", F.lit(rounds)), "_draw", F.col("n").cast("int"))
-    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in [*keys, "n", "_round", "_draw"]])
-    draws = draws.withColumn("_k", F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % F.col("_size"))
-    taken = draws.join(rows.select(*keys, "_k", F.col(vote).alias("_vote"), F.col(value).alias("_value")), [*keys, "_k"])
-    per = taken.groupBy(*keys, "n", "_round", "_vote").agg(F.count("*").alias("_c"), F.min(F.struct("_draw", "_value")).alias("_first"))
-    won = per.groupBy(*keys, "n", "_round").agg(F.min(F.struct((-F.col("_c")).alias("c"), "_first")).alias("_b"))
-    value_of = F.col("_b._first._value")
-    return won.groupBy(*keys, F.col("n").cast("long").alias("n")).agg(F.avg(value_of).alias("maj_mean"), F.stddev_pop(value_of).alias("maj_std"))
-
-
 def ladder(n: Column) -> Column:
     """2, 4, 8, ... below n, then n."""
     steps = F.filter(F.array(*[F.lit(2**k) for k in range(1, 31)]), lambda x: x < n)
     return F.when(n > 1, F.concat(steps, F.array(n.cast("int")))).otherwise(F.array().cast("array<int>"))
 
 
-def validation_metrics(samples: DataFrame, *, source: str, uid: str, variables: list[str], vote: str | None = None, order: list[str] | None = None, rounds: int = 1000, seed: int = 42) -> DataFrame:
+def validation_metrics(samples: DataFrame, *, source: str, uid: str, variables: list[str], vote: str | None = None) -> DataFrame:
     """(source, variable, metric, value): mean@N, std@N (population, N > 1), best@n and worst@n and, with a
-    column of votes and the samples' order, maj@n, each with its deviation, for n on the ladder, per prompt
-    and then over the prompts of a source. best and worst are exact, maj is over resamples."""
-    more = [c for c in [vote, *(order or [])] if c and c not in (source, uid)]
+    column of votes, maj@n, each with its deviation, for n on the ladder, per prompt and then over the prompts
+    of a source. best, worst and maj are exact: what resampling tends to."""
+    more = [vote] if vote and vote not in (source, uid) else []
     long = samples.unpivot([source, uid, *more], variables, "variable", "x")
     keys = [source, uid, "variable"]
     size = F.count("*").over(Window.partitionBy(*keys))
@@ -129,7 +113,7 @@ def validation_metrics(samples: DataFrame, *, source: str, uid: str, variables:
 
     ranked(best_and_worst(long, keys=keys, value="x", n=ladder(size)), {f"{k}_{m}": k for k in ("best", "worst") for m in ("mean", "std")})
     if vote:
-        ranked(majority_at(long, keys=keys, vote=vote, value="x", order=order or [vote], n=ladder(F.count("*")), rounds=rounds, seed=seed), {"maj_mean": "maj", "maj_std": "maj"})
+        ranked(majority_at(long, keys=keys, vote=vote, value="x", n=ladder(F.col("size"))), {"maj_mean": "maj", "maj_std": "maj"})
     found = reduce(DataFrame.unionByName, every).select(source, "variable", "s.metric", "s.value").filter("value is not null")
     return found.groupBy(source, "variable", "metric").agg(F.avg("value").alias("value"))
 

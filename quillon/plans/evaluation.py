@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as ev
+from ..operators import resampling as rs
 from .tables import Area
 
 area = Area()
@@ -89,12 +91,24 @@ def a13_best_and_worst(t):
     return ev.best_and_worst(t.lineitem.select("l_orderkey", "l_quantity"), keys=["l_orderkey"], value="l_quantity", n=ev.ladder(size))
 
 
-@area.query("""SELECT o_orderpriority, avg(r) AS "mean~", stddev_pop(r) AS "std~" FROM (SELECT o_orderpriority, k, max(x) AS r FROM d JOIN v USING (o_orderpriority, i) GROUP BY 1, 2) GROUP BY 1""", with_="""
-  WITH v AS (SELECT o_orderpriority, o_totalprice AS x, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS i FROM orders),
+DRAWN = "('0x' || substr(md5('42:' || {} || ':' || j), 1, 8))::BIGINT % size AS i"
+
+
+@area.query("""SELECT o_orderpriority, avg(r) AS "mean~", stddev_pop(r) AS "std~" FROM (SELECT o_orderpriority, k, max(x) AS r FROM d JOIN v USING (o_orderpriority, i) GROUP BY 1, 2) GROUP BY 1""", with_=f"""
+  WITH v AS (SELECT o_orderpriority, o_totalprice AS x, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey, o_totalprice) - 1 AS i FROM orders),
   s AS (SELECT o_orderpriority, count(*) AS size FROM orders GROUP BY 1),
-  d AS (SELECT o_orderpriority, k, ('0x' || substr(md5('42:' || o_orderpriority || ':' || k || ':' || j), 1, 8))::BIGINT % size AS i FROM s, range(1, 201) a(k), range(1, 9) b(j))""", digits=7)
+  d AS (SELECT o_orderpriority, k, {DRAWN.format("o_orderpriority || ':' || k")} FROM s, range(1, 1001) a(k), range(1, 33) b(j))""", digits=7)
 def x7_bootstrap(t):
-    return ev.bootstrap(t.orders, keys=["o_orderpriority"], value="o_totalprice", order=["o_orderkey"], size=8, rounds=200, reducer=F.max("drawn"))
+    return ev.bootstrap(t.orders, keys=["o_orderpriority"], value="o_totalprice", order=["o_orderkey"], size=32, rounds=1000, reducer=F.max("drawn"))
+
+
+@area.query("""SELECT l_orderkey, avg(hi) AS "best_mean~", stddev_pop(hi) AS "best_std~", avg(lo) AS "worst_mean~", stddev_pop(lo) AS "worst_std~", avg(mid) AS "spread_mean~", stddev_pop(mid) AS "spread_std~"
+  FROM (SELECT l_orderkey, k, max(x) AS hi, min(x) AS lo, max(x) - min(x) AS mid FROM v JOIN d USING (size, i) GROUP BY 1, 2) GROUP BY 1""", with_=f"""
+  WITH v AS (SELECT l_orderkey, l_quantity AS x, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) - 1 AS i, count(*) OVER (PARTITION BY l_orderkey) AS size FROM lineitem),
+  d AS (SELECT size, k, {DRAWN.format("k")} FROM (SELECT DISTINCT size FROM v), range(1, 1001) a(k), range(1, 100) b(j) WHERE j <= size)""", digits=4)
+def x7_resampled_prompts(t):
+    reducers = {"best": lambda x: x.max(axis=-1), "worst": lambda x: x.min(axis=-1), "spread": lambda x: np.ptp(x, axis=-1)}
+    return rs.resampled(t.lineitem, keys=["l_orderkey"], value="l_quantity", order=["l_linenumber"], reducers=reducers, rounds=1000)
 
 
 @area.query("""SELECT l_orderkey, v AS majority_vote, (list(val ORDER BY l_linenumber, l_partkey, l_suppkey, val) FILTER (vote = v))[1] AS "majority_value~", n AS n_votes FROM
@@ -105,14 +119,16 @@ def a14_majority(t):
     return ev.majority(t.lineitem, keys=["l_orderkey"], vote="l_returnflag", value="l_quantity", pos=["l_linenumber", "l_partkey", "l_suppkey"])
 
 
-VALID = f"""WITH x AS (SELECT o_orderpriority, o_orderkey, variable, x, vote, l, p, s FROM (SELECT o_orderpriority, o_orderkey, (l_returnflag = 'R')::INT::DOUBLE AS acc, l_quantity AS reward, l_linestatus AS vote, l_linenumber AS l, l_partkey AS p, l_suppkey AS s FROM orders JOIN lineitem ON o_orderkey = l_orderkey) UNPIVOT (x FOR variable IN (acc, reward))),
-  v AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey, variable ORDER BY x) AS i, row_number() OVER (PARTITION BY o_orderkey, variable ORDER BY l, p, s) - 1 AS k, count(*) OVER (PARTITION BY o_orderkey, variable) AS size FROM x),
+VALID = f"""WITH x AS (SELECT o_orderpriority, o_orderkey, variable, x, vote FROM (SELECT o_orderpriority, o_orderkey, (l_returnflag = 'R')::INT::DOUBLE AS acc, l_quantity AS reward, l_linestatus AS vote FROM orders JOIN lineitem ON o_orderkey = l_orderkey) UNPIVOT (x FOR variable IN (acc, reward))),
+  v AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey, variable ORDER BY x) AS i, count(*) OVER (PARTITION BY o_orderkey, variable) AS size FROM x),
   e AS (SELECT *, {N}::BIGINT AS n FROM v),
   w AS (SELECT *, (i / size) ** n - ((i - 1) / size) ** n AS up, ((size - i + 1) / size) ** n - ((size - i) / size) ** n AS down FROM e),
   g AS (SELECT o_orderpriority, o_orderkey, variable, n, sum(x * up) AS b, sqrt(greatest(sum(x * x * up) - sum(x * up) ** 2, 0)) AS bs, sum(x * down) AS l, sqrt(greatest(sum(x * x * down) - sum(x * down) ** 2, 0)) AS ls FROM w GROUP BY 1, 2, 3, 4),
-  dr AS (SELECT o_orderpriority, o_orderkey, variable, n, r, j, ('0x' || substr(md5('42:' || o_orderpriority || ':' || o_orderkey || ':' || variable || ':' || n || ':' || r || ':' || j), 1, 8))::BIGINT % size AS k FROM (SELECT DISTINCT o_orderpriority, o_orderkey, variable, n, size FROM e), range(1, 4) a(r), range(1, 100) b(j) WHERE j <= n),
-  vo AS (SELECT o_orderpriority, o_orderkey, variable, n, r, vote, count(*) AS c, min((j, x)) AS f FROM dr JOIN v USING (o_orderpriority, o_orderkey, variable, k) GROUP BY ALL),
-  mj AS (SELECT o_orderpriority, o_orderkey, variable, n, avg(x) AS m, stddev_pop(x) AS s FROM (SELECT o_orderpriority, o_orderkey, variable, n, r, arg_min(f[2], (-c, f[1])) AS x FROM vo GROUP BY ALL) GROUP BY ALL),
+  vo AS (SELECT o_orderpriority, o_orderkey, variable, count(*) AS size, count(*) FILTER (vote = 'O') / count(*) AS p, avg(x) FILTER (vote = 'O') AS a, avg(x * x) FILTER (vote = 'O') AS a2,
+    avg(x) FILTER (vote = 'F') AS b, avg(x * x) FILTER (vote = 'F') AS b2 FROM x GROUP BY 1, 2, 3),
+  pr AS (SELECT *, list_sum(list_transform(range(0, n + 1), lambda k: factorial(n::INT) / (factorial(k::INT) * factorial((n - k)::INT)) * p ** k * (1 - p) ** (n - k) * CASE WHEN 2 * k > n THEN 1 WHEN 2 * k = n THEN 0.5 ELSE 0 END)) AS o
+    FROM (SELECT *, {N}::BIGINT AS n FROM vo)),
+  mj AS (SELECT o_orderpriority, o_orderkey, variable, n, coalesce(o * a, 0) + coalesce((1 - o) * b, 0) AS m, sqrt(greatest(coalesce(o * a2, 0) + coalesce((1 - o) * b2, 0) - (coalesce(o * a, 0) + coalesce((1 - o) * b, 0)) ** 2, 0)) AS s FROM pr),
   m AS (SELECT o_orderpriority, o_orderkey, variable, count(*) AS n, avg(x) AS m, CASE WHEN count(*) > 1 THEN stddev_pop(x) END AS s FROM x GROUP BY 1, 2, 3),
   a AS (SELECT o_orderpriority, variable, 'mean@' || n AS metric, m AS value FROM m UNION ALL SELECT o_orderpriority, variable, 'std@' || n, s FROM m WHERE s IS NOT NULL
     UNION ALL SELECT o_orderpriority, variable, 'best@' || n || '/mean', b FROM g UNION ALL SELECT o_orderpriority, variable, 'best@' || n || '/std', bs FROM g
@@ -123,8 +139,8 @@ VALID = f"""WITH x AS (SELECT o_orderpriority, o_orderkey, variable, x, vote, l,
 
 def validated(t):
     rows = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select(
-        "o_orderpriority", "o_orderkey", (F.col("l_returnflag") == "R").cast("double").alias("acc"), F.col("l_quantity").alias("reward"), "l_linestatus", "l_linenumber", "l_partkey", "l_suppkey")
-    return ev.validation_metrics(rows, source="o_orderpriority", uid="o_orderkey", variables=["acc", "reward"], vote="l_linestatus", order=["l_linenumber", "l_partkey", "l_suppkey"], rounds=3)
+        "o_orderpriority", "o_orderkey", (F.col("l_returnflag") == "R").cast("double").alias("acc"), F.col("l_quantity").alias("reward"), "l_linestatus")
+    return ev.validation_metrics(rows, source="o_orderpriority", uid="o_orderkey", variables=["acc", "reward"], vote="l_linestatus")
 
 
 @area.query("""SELECT o_orderpriority, variable, metric, value AS "value~" FROM f""", with_=VALID, digits=6)
