@@ -59,7 +59,7 @@ class Tokens:
 
     def __init__(self, texts: list[bytes]):
         words = Words([t.translate(_LOWER) for t in texts])
-        name = words.hashes() >> np.uint64(8)
+        name = words.names()[:, 0] >> np.uint64(8)
         buf, end = words.buf.astype(np.uint32), words.end
         size = end - words.start
         code = buf[end - 1] | (np.where(size > 1, buf[end - 2], 0) << 8) | (np.where(size > 2, buf[end - 3], 0) << 16) | (np.minimum(size, 4).astype(np.uint32) << 24)

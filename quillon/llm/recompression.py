@@ -19,8 +19,7 @@ class Tokens:
 
     def __init__(self, texts: list[bytes]):
         self.words = Words(texts)
-        self.token = self.words.hashes()
-        self.second = mix(self.token ^ np.uint64(0x94D049BB133111EB))
+        self.token, self.second = (np.ascontiguousarray(x) for x in self.words.names().T)
 
     def digests(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return spans(self.token, _DIGEST_1, starts, ends), spans(self.second, _DIGEST_2, starts, ends)

@@ -70,7 +70,7 @@ def shingle_sets(texts: list[bytes], shingle: int = SHINGLE) -> list[np.ndarray]
     """The sorted distinct names of each text's shingles, A-Z lower-cased; fewer words are one shingle,
     no word is one of its own."""
     words = Words([t.translate(_LOWER) for t in texts])
-    name, first = words.hashes(), words.first
+    name, first = words.names()[:, 0], words.first
     many = np.diff(first)
     counts = np.maximum(many - shingle + 1, np.minimum(many, 1))
     start = np.repeat(first[:-1] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())

@@ -1,12 +1,13 @@
 """Words of whole texts as numpy arrays, for use inside Arrow-batched tasks.
 
-A word is a maximal run of bytes other than space and 0x09-0x0D. Hashes are 64-bit
-polynomials over the bytes, mixed at the end; they depend on the content alone, so
-every task gives equal words equal values without any exchange.
+A word is a maximal run of bytes other than space and 0x09-0x0D. A word's name is the 128-bit
+BLAKE2 of its bytes, as two numbers; it depends on the content alone, so every task gives equal
+words equal names without any exchange. Ranges of words are polynomials over their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,9 +16,10 @@ import pyarrow.compute as pc
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BYTE = np.random.default_rng(20240917).integers(1, 2**63, 256, dtype=np.uint64)
-_BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[int, np.ndarray] = {}
+#: Names of words that a worker has seen, and how many, of how many bytes, it keeps.
+_NAMES: dict[bytes, bytes] = {}
+_KEPT_WORDS, _KEPT_BYTES = 400_000, 32 << 20
 
 #: Bytes of text that are worked on at once; arrays take about 40 times as much.
 CHUNK_BYTES = 1 << 20
@@ -69,8 +71,16 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
-    def hashes(self) -> np.ndarray:
-        return spans(_BYTE[self.buf], _BASE, self.start, self.end)
+    def names(self) -> np.ndarray:
+        """Two numbers for each word, its 128-bit name."""
+        words = self.raw.split()
+        new = set(words).difference(_NAMES)
+        for w in new:
+            _NAMES[w] = hashlib.blake2b(w, digest_size=16).digest()
+        out = np.frombuffer(b"".join(map(_NAMES.__getitem__, words)), dtype=np.uint64).reshape(-1, 2)
+        if len(_NAMES) > _KEPT_WORDS or sum(map(len, new)) > _KEPT_BYTES:
+            _NAMES.clear()
+        return out
 
     def owner(self) -> np.ndarray:
         """The text that each word belongs to."""

@@ -42,6 +42,30 @@ def test_hard_cases(spark):
         same(spark, rows, width)
 
 
+def thue_morse(rounds, a="a", b="b"):
+    """A word and its complement that polynomials modulo a power of two cannot tell apart."""
+    x, y = a, b
+    for _ in range(rounds):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_words_that_polynomials_confuse(spark):
+    rest = " ".join(f"w{k}" for k in range(34))
+    rows = []
+    for rounds in (10, 11, 12):
+        x, y = thue_morse(rounds)
+        rows += [(len(rows), f"{x} {rest} r{rounds}"), (len(rows) + 1, f"{y} {rest} s{rounds}")]
+    same(spark, [(k, t.replace("w0 ", f"v{k // 2} ")) for k, t in rows], 35)
+    x, y = thue_morse(6, "p ", "q ")  # the same in words
+    same(spark, [(1, x), (2, y), (3, x + y)], 35)
+
+
+def test_one_very_long_word(spark):
+    tail = " ".join(f"w{k}" for k in range(40))
+    same(spark, [(1, "x" * 3_000_000 + " " + tail), (2, "x" * 3_000_001 + " " + tail)], 35)
+
+
 def test_empty(spark):
     assert substring_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
