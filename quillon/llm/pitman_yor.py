@@ -14,12 +14,13 @@ Probabilities are averaged over the last sweeps.
 
 Data flow: tasks turn documents into packed counts per bucket of (context, word) pairs, which are
 shuffled and merged once; a row holds all that a batch of documents sends to a bucket, so there are
-never more rows than pairs. Buckets are by word, frequent words are spread further by ending: all
-that is seated below one dish of the middle level is in one bucket. Totals of frequent contexts,
-endings and frequent words are bounded and go through the driver; the customers of other contexts are
-summed once and joined back to the buckets that share them, which estimate their tables. Which documents hold a frequent pair stays with the
-batch and meets the pair's probability there. A task replays the earlier sweeps of its bucket from
-their seeds, so no state is kept anywhere but in the shared folder.
+never more rows than pairs. Which documents hold which pair stays with the batch. Buckets are by word,
+frequent words are spread further by ending: all that is seated below one dish of the middle level is in
+one bucket. After each sweep a bucket writes its tables and tells its totals: those of frequent contexts,
+endings and frequent words are bounded and go through the driver; those of other contexts that several
+buckets have are summed where their names are dealt to and go back to these buckets. So every
+restaurant knows its own totals, and the probabilities of each context sum to one. At the end each bucket
+answers the pairs of each batch in the order they came in, and the batch adds up its documents.
 """
 
 from __future__ import annotations
@@ -29,19 +30,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .packing import pack, unpack
 from .shared import bounded_batches, discard, written
 from .words import Words, mix, texts_of
 
-#: Bounds on the frequent words and contexts, and on the frequent pairs; endings.
+#: Bound on the frequent words and contexts; endings.
 FREQUENT, ENDINGS = 1 << 16, 1 << 16
 #: Tokens in a bucket, bytes of text packed at once, and documents among them.
 BUCKET_TOKENS, PACK_BYTES, PACK_DOCS = 1_000_000, 3 << 20, 4096
 #: Sweeps, and how many of the last are averaged.
-SWEEPS, AVERAGED = 3, 2
+SWEEPS, AVERAGED = 6, 3
 #: Strength of all restaurants.
 STRENGTH, SEED = 1.0, 17
 EXACT = 32
@@ -79,10 +80,6 @@ class Tokens:
             self.context[0], self.context[1:] = _START, own[:-1]  # after an end comes a start
 
 
-def pair_name(word: np.ndarray, context: np.ndarray) -> np.ndarray:
-    return mix(word + mix(context) * np.uint64(0x9E3779B97F4A7C15))
-
-
 def place_of(names: np.ndarray, among: np.ndarray) -> np.ndarray:
     """Where each name is in a sorted array, -1 where it is not."""
     if not len(among):
@@ -103,66 +100,35 @@ def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]
         yield batch.slice(at), texts[at:]
 
 
-_HEAVY = "kind int, name long, word long, context long, n long"
+_HEAVY = "kind int, name long, n long"
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words (kind 0) and pairs (1) with over 1/(2 FREQUENT) of a task's tokens, and the number of tokens (2)."""
-    held = [{}, {}]
+    """Words with over 1/(2 FREQUENT) of a task's tokens (kind 0), and the number of tokens (2)."""
+    seen: dict[int, int] = {}
     total = 0
     for batch in batches:
         for _, texts in _parts(batch):
-            t = Tokens(texts)
-            total += len(t.word)
-            for seen, names in zip(held, (t.word, pair_name(t.word, t.context))):
-                u, n = np.unique(names, return_counts=True)
-                # of a part only what is frequent there: what is frequent in all is so in some part
-                some = n > max(1, len(names) / (2 * FREQUENT))
-                u, n = u[some], n[some]
-                place = place_of(names, u)
-                at = np.empty(len(u), dtype=np.int64)
-                at[place[place >= 0]] = np.flatnonzero(place >= 0)  # any token of that name
-                for x, w, c, count in zip(u.tolist(), t.word[at].tolist(), t.context[at].tolist(), n.tolist()):
-                    old = seen.get(x)
-                    seen[x] = (w, c, count + (old[2] if old else 0))
-            held = [_bounded(seen) for seen in held]
-    rows = [(2, 0, 0, 0, total)]
-    for kind, seen in enumerate(held):
-        rows += [(kind, x, int(w), int(c) if kind else 0, n) for x, (w, c, n) in seen.items()]
-    signed = lambda k: pa.array(np.array([r[k] for r in rows], dtype=np.uint64).view(np.int64))
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), signed(1), signed(2), signed(3), pa.array([r[4] for r in rows], pa.int64())], names=[c.split()[0] for c in _HEAVY.split(", ")])
+            word = Tokens(texts).word
+            total += len(word)
+            u, n = np.unique(word, return_counts=True)
+            some = n > max(1, len(word) / (2 * FREQUENT))  # of a part only what is frequent there: what is frequent in all is so in some part
+            for x, count in zip(u[some].tolist(), n[some].tolist()):
+                seen[x] = seen.get(x, 0) + count
+            seen = _bounded(seen)
+    names = np.array([*seen, 0], dtype=np.uint64).view(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array([0] * len(seen) + [2], pa.int32()), pa.array(names), pa.array([*seen.values(), total], pa.int64())], names=[c.split()[0] for c in _HEAVY.split(", ")])
 
 
 def _bounded(seen: dict) -> dict:
     """Of more than 8 FREQUENT names the most frequent half, as a task cannot have more than 2 FREQUENT of the wanted ones."""
     if len(seen) <= 8 * FREQUENT:
         return seen
-    return dict(sorted(seen.items(), key=lambda x: -x[1][2])[: 4 * FREQUENT])
+    return dict(sorted(seen.items(), key=lambda x: -x[1])[: 4 * FREQUENT])
 
 
 # ---- packing --------------------------------------------------------------------
 
-
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed piece, byte by byte of their numbers; of rising 64-bit names the differences."""
-    parts = [np.array([len(a) for a in arrays], dtype=np.int64).tobytes()]
-    for a in arrays:
-        a = np.diff(a, prepend=np.uint64(0)) if a.dtype == np.uint64 else a
-        parts.append(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
-
-
-def unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    sizes, at, out = np.frombuffer(raw, np.int64, len(kinds)).tolist(), 8 * len(kinds), []
-    for n, kind in zip(sizes, kinds):
-        width = np.dtype(kind).itemsize
-        a = np.ascontiguousarray(np.frombuffer(raw[at : at + n * width], np.uint8).reshape(width, n).T).view(kind).ravel()
-        out.append(np.cumsum(a, dtype=np.uint64) if kind is np.uint64 else a)
-        at += n * width
-    return out
-
-
 #: Words, pairs of each, contexts, that of each pair, its training count.
 _COUNTS = (np.uint64, np.uint32, np.uint64, np.uint32, np.uint32)
 #: Documents of each pair, which, how often in each.
@@ -171,8 +137,8 @@ _PACKED = "bucket int, batch long, counts binary, entries binary, ids binary"
 
 
 def _pack(buckets: int, handle):
-    """(bucket, batch) rows: counts of the bucket's pairs and which documents hold them how often. The documents
-    of frequent pairs, under their numbers, are in a row below 0 of the batch's own, as are its rows' names."""
+    """A row for each bucket with the counts of the batch's pairs there, and one without a bucket with which
+    documents hold which pair how often, in the order of those rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -185,37 +151,30 @@ def _pack(buckets: int, handle):
                 learn = part.column("train").to_numpy(zero_copy_only=False)
                 word, code = np.unique(t.word, return_inverse=True)
                 ctx, before = np.unique(t.context, return_inverse=True)
-                key, times = np.unique((code.astype(np.int64) << 34) | (before.astype(np.int64) << 12) | t.doc, return_counts=True)
-                pair, first = np.unique(key >> 12, return_index=True)
-                doc = (key & 0xFFF).astype(np.uint16)
-                of, context = pair >> 22, pair & 0x3FFFFF
+                pair, which = np.unique(code * len(ctx) + before, return_inverse=True)
+                key, times = np.unique(which * len(texts) + t.doc, return_counts=True)
+                doc, of_pair = key % len(texts), key // len(texts)
+                first = np.searchsorted(of_pair, np.arange(len(pair)))
                 entries = np.diff(np.append(first, len(key)))
                 train = np.add.reduceat(np.where(learn[doc], times, 0), first)
+                of, context = pair // len(ctx), pair % len(ctx)
                 spread = (place_of(word, common.words) >= 0)[of]
                 where = mix(word[of] + np.where(spread, (ctx[context] & _ENDING) + np.uint64(1), np.uint64(0)) * np.uint64(0x9E3779B97F4A7C15))
                 bucket = (where % np.uint64(buckets)).astype(np.int64)
-                hot = place_of(pair_name(word[of], ctx[context]), common.pairs)
-
-                def listed(at: np.ndarray, first=first, entries=entries, doc=doc, times=times) -> bytes:
-                    m = entries[at]
-                    pos = np.repeat(first[at] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-                    return pack(m.astype(np.uint32), doc[pos], times[pos].astype(np.uint32))
-
-                at = np.flatnonzero(hot >= 0)
-                rows = [(-1 - serial % buckets, serial, pack(hot[at].astype(np.uint32)), listed(at), pack(row))]
-                entries = np.where(hot >= 0, 0, entries)  # their documents stay with the batch
                 order = np.argsort(bucket, kind="stable")
                 edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                rows = []
                 for b in np.flatnonzero(np.diff(edge)).tolist():
                     at = order[edge[b] : edge[b + 1]]
                     codes, count = np.unique(of[at], return_counts=True)
                     names, index = np.unique(context[at], return_inverse=True)
-                    rows.append((b, serial, pack(word[codes], count.astype(np.uint32), ctx[names], index.astype(np.uint32), train[at].astype(np.uint32)), listed(at, entries=entries), None))
+                    rows.append((b, serial, pack(word[codes], count.astype(np.uint32), ctx[names], index.astype(np.uint32), train[at].astype(np.uint32)), None, None))
                     if len(rows) >= 64:
                         yield _rows(rows)
                         rows = []
-                if rows:
-                    yield _rows(rows)
+                m = entries[order]
+                pos = np.repeat(first[order] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+                yield _rows([*rows, (None, serial, None, pack(m.astype(np.uint32), doc[pos].astype(np.uint16), times[pos].astype(np.uint32)), pack(row))])
                 serial += 1
 
     return run
@@ -226,15 +185,12 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in _PACKED.split(", ")])
 
 
-_MERGED = "bucket int, counts binary, parts array<struct<batch:bigint,pairs:binary,entries:binary,ids:binary>>"
+_MERGED = "bucket int, counts binary, parts array<struct<batch:bigint,pairs:binary>>"
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    """All rows of a bucket as one: distinct pairs with their training counts, and per batch the
-    documents of each pair."""
+    """All rows of a bucket as one: distinct pairs with their training counts, and the pairs of each batch."""
     rows = sorted(table.to_pylist(), key=lambda r: r["batch"])
-    if rows[0]["bucket"] < 0:  # what stays with its batch
-        return _merged(rows[0]["bucket"], None, [{"batch": r["batch"], "pairs": r["counts"], "entries": r["entries"], "ids": r["ids"]} for r in rows])
     got = [unpack(r["counts"], *_COUNTS) for r in rows]
     words, of_word = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
     contexts, of_context = np.unique(np.concatenate([g[2] for g in got]), return_inverse=True)
@@ -245,21 +201,11 @@ def _merge(table: pa.Table) -> pa.Table:
         a, b = a + len(w), b + len(c)
     pair, place = np.unique(np.concatenate(keys), return_inverse=True)
     train = np.bincount(place, weights=np.concatenate([g[4] for g in got]), minlength=len(pair))
-    parts, at = [], 0
-    for r, k in zip(rows, keys):
-        own = place[at : at + len(k)].astype(np.uint32)
-        at += len(k)
-        listed = unpack(r["entries"], *_ENTRIES)
-        some = listed[0] > 0
-        if some.any():
-            parts.append({"batch": r["batch"], "pairs": pack(own[some]), "entries": pack(listed[0][some], *listed[1:]), "ids": None})
+    edge = np.cumsum([len(k) for k in keys])[:-1]
+    parts = [{"batch": r["batch"], "pairs": pack(x.astype(np.uint32))} for r, x in zip(rows, np.split(place, edge))]
     counts = pack(words, np.bincount(pair >> 32, minlength=len(words)).astype(np.uint32), contexts, (pair & 0xFFFFFFFF).astype(np.uint32), train.astype(np.uint32))
-    return _merged(rows[0]["bucket"], counts, parts)
-
-
-def _merged(bucket: int, counts: bytes | None, parts: list[dict]) -> pa.Table:
-    kind = pa.list_(pa.struct([("batch", pa.int64()), ("pairs", pa.binary()), ("entries", pa.binary()), ("ids", pa.binary())]))
-    return pa.table({"bucket": pa.array([bucket], pa.int32()), "counts": pa.array([counts], pa.binary()), "parts": pa.array([parts], kind)})
+    kind = pa.list_(pa.struct([("batch", pa.int64()), ("pairs", pa.binary())]))
+    return pa.table({"bucket": pa.array([rows[0]["bucket"]], pa.int32()), "counts": pa.array([counts], pa.binary()), "parts": pa.array([parts], kind)})
 
 
 # ---- seating --------------------------------------------------------------------
@@ -308,16 +254,11 @@ def draw_tables(c: np.ndarray, others: np.ndarray, p: np.ndarray, discount: floa
 
 
 class Common:
-    """Names that all tasks know, sorted: frequent words, contexts and pairs; and of each pair its word's
-    place, its context's, and its ending."""
+    """Names that all tasks know, sorted: frequent words and contexts."""
 
-    def __init__(self, words: np.ndarray, pairs: np.ndarray, pair_words: np.ndarray, pair_contexts: np.ndarray):
+    def __init__(self, words: np.ndarray):
         self.words = np.unique(words)
         self.contexts = np.unique(np.append(words, _START) >> np.uint64(16))
-        self.pairs, first = np.unique(pairs, return_index=True)
-        self.pair_word = place_of(pair_words[first], self.words)
-        self.pair_context = place_of(pair_contexts[first] >> np.uint64(16), self.contexts)
-        self.pair_ending = (pair_contexts[first] & _ENDING).astype(np.int64)
 
 
 class Globals:
@@ -339,49 +280,61 @@ def seated(level: int, g: Globals, c, t, customers, tables, parent):
 class Bucket:
     """A bucket's pairs and their seating on all three levels."""
 
-    def __init__(self, number: int, counts: bytes, common: Common, shared: tuple | None = None):
-        self.number, self.common, self.shared = number, common, shared
+    def __init__(self, number: int, counts: bytes, common: Common, state: bytes | None = None, totals: list[tuple[int, bytes]] | None = None):
+        self.number, self.common = number, common
         self.words, per_word, contexts, index, c = unpack(counts, *_COUNTS)
         self.of = np.repeat(np.arange(len(self.words)), per_word)
         self.c = c.astype(np.int64)
-        self.t = np.minimum(self.c, 1)
         # the middle level: one dish for each word and ending
         mid, self.mid = np.unique((self.of << 16) | (contexts[index] & _ENDING).astype(np.int64), return_inverse=True)
         self.mid_word, self.ending = mid >> 16, mid & (ENDINGS - 1)
-        self.c1 = np.bincount(self.mid, weights=self.t, minlength=len(mid)).astype(np.int64)
-        self.t1 = np.minimum(self.c1, 1)
         self.slot = place_of(self.words, common.words)
         self.own = self.slot < 0
-        self.c0 = self._by_word(self.t1)
-        self.t0 = np.minimum(self.c0, 1)
+        if state is None:
+            self.t = np.minimum(self.c, 1)
+            self._count_tables()
+            self.t1 = np.minimum(self.c1, 1)
+            self._count_dishes()
+            self.t0 = np.minimum(self.c0, 1)
+        else:
+            self.t, self.t1, self.t0 = (x.astype(np.int64) for x in unpack(state, np.uint32, np.uint32, np.uint32))
+            self._count_tables()
+            self._count_dishes()
         self.count = np.bincount(self.of, weights=self.c, minlength=len(self.words)).astype(np.int64)
         # contexts: frequent ones by their place, others by their number here
         self.known = place_of(contexts >> np.uint64(16), common.contexts)[index]
-        self.rare, self.rare_at = np.unique(np.where(self.known < 0, index, len(contexts)), return_inverse=True)
-        self.rare = contexts[self.rare[self.rare < len(contexts)]]
-        self.hot = np.flatnonzero(self.known >= 0)
-        place = place_of(pair_name(self.words[self.of[self.hot]], contexts[index[self.hot]]), common.pairs)
-        self.hot, self.hot_place = self.hot[place >= 0], place[place >= 0]
+        rare, self.rare_at = np.unique(np.where(self.known < 0, index, len(contexts)), return_inverse=True)
+        self.rare = contexts[rare[rare < len(contexts)]]
+        self.elsewhere = None  # customers and tables of the rare contexts in all buckets, and which have several
+        if totals is not None:
+            order = self.dealt(1)[0]
+            found = [unpack(data, np.uint32, np.uint32, np.uint8) for _, data in sorted(totals)]
+            self.elsewhere = [np.empty(len(self.rare), dtype=np.int64) for _ in range(3)]
+            for k, x in enumerate(self.elsewhere):
+                x[order] = np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64)
+
+    def _count_tables(self) -> None:
+        self.c1 = np.bincount(self.mid, weights=self.t, minlength=len(self.ending)).astype(np.int64)
+
+    def _count_dishes(self) -> None:
+        self.c0 = np.bincount(self.mid_word, weights=self.t1, minlength=len(self.words)).astype(np.int64)
+
+    def state(self) -> bytes:
+        return pack(*(x.astype(np.uint32) for x in (self.t, self.t1, self.t0)))
 
-    def _by_word(self, values: np.ndarray) -> np.ndarray:
-        return np.bincount(self.mid_word, weights=values, minlength=len(self.words)).astype(np.int64)
+    def dealt(self, places: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rare contexts in the order of their other names, those names, and the place that each is dealt to."""
+        hashed = mix(self.rare ^ np.uint64(0xC2B2AE3D27D4EB4F))
+        order = np.argsort(hashed)
+        return order, hashed[order], ((hashed[order] >> np.uint64(32)) * np.uint64(places) >> np.uint64(32)).astype(np.int64)
 
-    def rare_sums(self) -> tuple[np.ndarray, np.ndarray]:
+    def rare_sums(self) -> list[np.ndarray]:
         """Customers and tables here of each context that is not frequent."""
-        return tuple(np.bincount(self.rare_at, weights=x, minlength=len(self.rare) + 1)[: len(self.rare)] for x in (self.c, self.t))
+        return [np.bincount(self.rare_at, weights=x, minlength=len(self.rare) + 1)[: len(self.rare)] for x in (self.c, self.t)]
 
     def totals(self, g: Globals) -> tuple[np.ndarray, np.ndarray]:
-        """Customers and tables of each pair's context. Of contexts that are not frequent and that other buckets
-        have too, the customers are known; the tables grow from the first ones by the share of the customers
-        beyond these that have one of their own, as it is for all such contexts in this bucket."""
-        sums = self.rare_sums()
-        if self.shared:
-            names, customers, first = self.shared
-            at = np.searchsorted(self.rare, names)
-            here = np.bincount(self.rare_at, weights=np.minimum(self.c, 1), minlength=len(self.rare) + 1)[at]
-            more = (sums[0][at] - here).sum()
-            share = (sums[1][at] - here).sum() / more if more else 0.0
-            sums[0][at], sums[1][at] = customers, np.maximum(first + share * (customers - first), sums[1][at])
+        """Customers and tables of each pair's context, wherever they are."""
+        sums = self.elsewhere[:2] if self.elsewhere is not None else self.rare_sums()
         frequent = self.known >= 0
         return tuple(np.where(frequent, known[np.maximum(self.known, 0)], np.append(own, 0)[self.rare_at]) for known, own in zip(g.contexts, sums))
 
@@ -402,20 +355,20 @@ class Bucket:
         root, middle, tables = self.root(g), self.middle(g), self.totals(g)[1]
         many = np.flatnonzero(self.c > 1)
         self.t[many] = draw_tables(self.c[many], tables[many] - self.t[many], middle[self.mid[many]], g.discounts[2], STRENGTH, rng)
-        self.c1 = np.bincount(self.mid, weights=self.t, minlength=len(self.ending)).astype(np.int64)
+        self._count_tables()
         others = g.endings[1][self.ending] - self.t1
         self.t1 = np.minimum(self.c1, 1)
         many = np.flatnonzero(self.c1 > 1)
         self.t1[many] = draw_tables(self.c1[many], others[many], root[self.mid_word[many]], g.discounts[1], STRENGTH, rng)
-        self.c0 = self._by_word(self.t1)
+        self._count_dishes()
         self.t0 = np.minimum(self.c0, 1)
         some = np.flatnonzero(self.own & (self.c0 > 1))
         self.t0[some] = draw_tables(self.c0[some], np.full(len(some), max(g.root[1] - 1, 0)), np.full(len(some), g.base), g.discounts[0], STRENGTH, rng)
 
-    def report(self, first: bool) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(kind, keys, a, b). Customers and tables of: 0 endings, 3 frequent contexts, 4 other contexts (only
-        at first), 5 frequent pairs, 6 their dishes on the middle level. 1: training count and customers of frequent words. 2, scalars: tokens and words; customers
-        and tables of the other words at the root; per level dishes with one customer and with two."""
+    def report(self) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(kind, keys, a, b). Customers and tables of: 0 endings, 3 frequent contexts. 1: training count and
+        customers of frequent words. 2, scalars: tokens and words; customers and tables of the other words at
+        the root; per level dishes with one customer and with two."""
         out, own = [], self.own
         sums = [np.bincount(self.ending, weights=x, minlength=ENDINGS) for x in (self.c1, self.t1)]
         out.append((0, np.flatnonzero(sums[0]), *[x[sums[0] > 0] for x in sums]))
@@ -426,49 +379,77 @@ class Bucket:
         at = np.flatnonzero(self.known >= 0)
         sums = [np.bincount(self.known[at], weights=x[at], minlength=len(self.common.contexts)) for x in (self.c, self.t)]
         out.append((3, np.flatnonzero(sums[0]), *[x[sums[0] > 0] for x in sums]))
-        if first:
-            out.append((4, self.rare.view(np.int64), *self.rare_sums()))
-        out.append((5, self.hot_place, self.c[self.hot], self.t[self.hot]))
-        out.append((6, self.hot_place, self.c1[self.mid[self.hot]], self.t1[self.mid[self.hot]]))
         return out
 
-
-def _shared(names: pa.Scalar, c: pa.Scalar, t: pa.Scalar) -> tuple | None:
-    """Names, customers and first tables of contexts that the bucket shares with others."""
-    if not names.is_valid or not len(names.values):
-        return None
-    name, c, t = np.asarray(names.values).view(np.uint64), np.asarray(c.values, np.float64), np.asarray(t.values, np.float64)
-    order = np.argsort(name)
-    return name[order], c[order], t[order]
-
-
-def _swept(batch: pa.RecordBatch, r: int, common: Common, known: list[Globals]) -> Iterator[Bucket]:
-    """The bucket of a row after each of the sweeps whose globals are given, the unswept one first."""
-    shared = _shared(*(batch.column(x)[r] for x in ("names", "c", "t")))
-    b = Bucket(batch.column("bucket")[r].as_py(), batch.column("counts")[r].as_py(), common, shared)
-    yield b
-    for k, g in enumerate(known):
-        b.sweep(g, k)
-        yield b
-
-
-_REPORT = "kind int, key long, bucket int, a double, b double"
-
-
-def _report(handle):
-    """One sweep more than those whose globals are given."""
+    def asked(self, places: int) -> Iterator[tuple[int, bytes]]:
+        """(place, names, customers, tables) of the rare contexts, by the place that sums them up. Once it is
+        known which of them other buckets have, only those are named with their tables; of the others all is here."""
+        order, hashed, place = self.dealt(places)
+        c, t = (x[order].astype(np.uint32) for x in self.rare_sums())
+        some = np.ones(len(order), dtype=bool) if self.elsewhere is None else self.elsewhere[2][order] > 0
+        for x, a, b in zip(*_groups(place)):
+            yield x, pack(hashed[a:b][some[a:b]], c[a:b], t[a:b], some[a:b].astype(np.uint8))
+
+
+def _groups(place: np.ndarray) -> tuple[list, list, list]:
+    """Runs of equal numbers: the number, where it begins and ends."""
+    x, first = np.unique(place, return_index=True)
+    return x.tolist(), first.tolist(), [*first[1:].tolist(), len(place)]
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """Totals of the contexts dealt to one place, for each bucket in the order in which it asked."""
+    rows = [unpack(x, np.uint64, np.uint32, np.uint32, np.uint8) for x in table.column("data").to_pylist()]
+    names, which = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
+    some = [r[3] > 0 for r in rows]
+    c, t = (np.bincount(which, weights=np.concatenate([r[k][x] for r, x in zip(rows, some)]), minlength=len(names)).astype(np.uint32) for k in (1, 2))
+    several = np.bincount(which, minlength=len(names)) > 1
+    out, at = [], 0
+    for (mine, own_c, own_t, _), x in zip(rows, some):
+        own = which[at : at + len(mine)]
+        at += len(mine)
+        own_c, own_t, shared = own_c.copy(), own_t.copy(), np.zeros(len(x), dtype=np.uint8)
+        own_c[x], own_t[x], shared[x] = c[own], t[own], several[own]
+        out.append(pack(own_c, own_t, shared))
+    return pa.table({"bucket": table.column("bucket"), "place": table.column("key").cast(pa.int64()), "data": pa.array(out, pa.binary())})
+
+
+_REPORT = "kind int, key long, bucket int, a double, b double, data binary"
+#: Kinds of a report's rows beyond those of Bucket.report.
+_STATE, _ASKED = 4, 5
+
+
+def _bucket_of(batch: pa.RecordBatch, r: int, common: Common, state: str | None = None, totals: str | None = None) -> Bucket:
+    """The bucket of a row, in the state of the named columns."""
+    back = None
+    if totals and batch.column(totals)[r].is_valid:
+        back = [(x["place"], x["data"]) for x in batch.column(totals)[r].as_py()]
+    return Bucket(batch.column("bucket")[r].as_py(), batch.column("counts")[r].as_py(), common, batch.column(state)[r].as_py() if state else None, (back or []) if totals else None)
+
+
+def _report(handle, places: int, k: int):
+    """The k-th sweep (none at first) and what is to be known of it."""
+
+    def rows(kind: int, key, bucket: int, a=None, b=None, data=None) -> pa.RecordBatch:
+        n = len(key)
+        number = lambda x: pa.nulls(n, pa.float64()) if x is None else pa.array(np.asarray(x, np.float64))
+        columns = [pa.array(np.full(n, kind, dtype=np.int32)), pa.array(np.asarray(key, np.int64)), pa.array(np.full(n, bucket, dtype=np.int32)), number(a), number(b), pa.nulls(n, pa.binary()) if data is None else pa.array(data, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _REPORT.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, known = handle.value
+        common, g = handle.value
         for batch in batches:
             for r in range(batch.num_rows):
-                for b in _swept(batch, r, common, known):  # noqa: B007
-                    pass
-                for kind, keys, x, y in b.report(not known):
-                    for k in range(0, len(keys), 1 << 16):
-                        cut = slice(k, k + (1 << 16))
-                        n = len(keys[cut])
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, dtype=np.int32)), pa.array(np.asarray(keys[cut]).astype(np.int64)), pa.array(np.full(n, b.number, dtype=np.int32)), pa.array(np.asarray(x[cut], np.float64)), pa.array(np.asarray(y[cut], np.float64))], names=[c.split()[0] for c in _REPORT.split(", ")])
+                b = _bucket_of(batch, r, common, *(("state", "totals") if k else ()))
+                if k:
+                    b.sweep(g, k)
+                for kind, keys, x, y in b.report():
+                    for at in range(0, len(keys), 1 << 16):
+                        cut = slice(at, at + (1 << 16))
+                        yield rows(kind, keys[cut], b.number, x[cut], y[cut])
+                yield rows(_STATE, [0], b.number, data=[b.state()])
+                for place, data in b.asked(places):
+                    yield rows(_ASKED, [place], b.number, data=[data])
 
     return run
 
@@ -478,29 +459,30 @@ def _discount(one: float, two: float) -> float:
 
 
 class Model:
-    """The state between sweeps: the merged buckets, the globals so far, and what buckets share."""
+    """The merged buckets, their states after the sweeps that count, and the globals of each."""
 
-    def __init__(self, merged: DataFrame, common: Common):
-        self.merged, self.common = merged, common
+    def __init__(self, merged: DataFrame, common: Common, buckets: int):
+        self.merged, self.common, self.buckets = merged, common, buckets
         self.known: list[Globals] = []
-        self.shared: DataFrame | None = None
-        self.hot: list[np.ndarray] = []  # of frequent pairs, customers and tables on the last and the middle level
+        self.states: list[tuple[DataFrame, DataFrame]] = []
         self.train_tokens = 0
+        self.home: DataFrame | None = None
+
+    def rows(self, *columns: str, last: int = 1) -> DataFrame:
+        """The buckets with their last states, the latest without a number: state, totals, state1, totals1, ..."""
+        out = self.merged.select("bucket", *columns)
+        for i, (state, totals) in enumerate(reversed(self.states[-last:])):
+            end = str(i) if i else ""
+            out = out.join(state.select("bucket", F.col("data").alias(f"state{end}")), "bucket").join(totals.select("bucket", F.col("data").alias(f"totals{end}")), "bucket", "left")
+        return out
 
-    def rows(self, *columns: str) -> DataFrame:
-        """The buckets, each with the contexts that it shares with others."""
-        kept = self.merged.filter("bucket >= 0").select("bucket", *columns)
-        if self.shared is None:
-            return kept.select("*", *[F.lit(None).cast(f"array<{k}>").alias(c) for c, k in (("names", "bigint"), ("c", "int"), ("t", "int"))])
-        return kept.join(self.shared, "bucket", "left")
-
-    def step(self) -> None:
-        """A sweep, and its totals: at most ENDINGS + 4 FREQUENT + 5 rows for the driver; at first, those of
-        other contexts are joined back to the buckets that have them."""
+    def step(self, keep: int) -> None:
+        """A sweep, and its totals: at most ENDINGS + 2 FREQUENT + 5 rows for the driver; those of other contexts
+        are summed up in tasks and brought back to the buckets that have them."""
         spark, k = self.merged.sparkSession, len(self.known)
-        handle = spark.sparkContext.broadcast((self.common, self.known))
-        rows = written(self.rows("counts").mapInArrow(_report(handle), _REPORT), "totals")
-        found = rows.filter("kind <> 4").groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
+        handle = spark.sparkContext.broadcast((self.common, self.known[-1] if k else None))
+        rows = written(self.rows("counts").mapInArrow(_report(handle, self.buckets, k), _REPORT), "totals")
+        found = rows.filter(F.col("kind") < _STATE).groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
         kind, key, a, b = (np.asarray(found.column(c)) for c in ("kind", "key", "a", "b"))
         place = lambda i, n: np.array([np.bincount(key[kind == i], weights=x[kind == i], minlength=n) for x in (a, b)])
         common, scalar = self.common, place(2, 5)
@@ -517,36 +499,23 @@ class Model:
             self.train_tokens = int(scalar[0, 0])
         root = (scalar[0, 1] + customers.sum(), scalar[1, 1] + tables.sum())
         self.known.append(Globals(place(3, len(common.contexts)), place(0, ENDINGS), root, base, counts, np.array([customers, tables]), discounts))
-        self.hot.append(np.concatenate([place(5, len(common.pairs)), place(6, len(common.pairs))]))
-        if not k:
-            rare = rows.filter("kind = 4")
-            sums = rare.groupBy("key").agg(F.sum("a").cast("int").alias("c"), F.sum("b").cast("int").alias("t"), F.count("*").alias("n")).filter("n > 1")
-            sums = written(sums.drop("n"), "contexts")
-            back = rare.select("bucket", "key").join(sums, "key").groupBy("bucket").agg(F.collect_list(F.struct("key", "c", "t")).alias("x"))  # at most the bucket's own contexts
-            self.shared = written(back.select("bucket", F.col("x.key").alias("names"), "x.c", "x.t"), "shared")
-            discard(sums)
+        summed = rows.filter(F.col("kind") == _ASKED).select("key", "bucket", "data").groupBy("key").applyInArrow(_summed, "bucket int, place long, data binary")
+        totals = written(summed.groupBy("bucket").agg(F.collect_list(F.struct("place", "data")).alias("data")), "context-totals")  # at most the bucket's own contexts
+        state = written(rows.filter(F.col("kind") == _STATE).select("bucket", "data"), "tables")
+        self.states.append((state, totals))
         discard(rows)
+        if len(self.states) > keep:
+            for table in self.states.pop(0):
+                discard(table)
 
-    def frequent_pairs(self, averaged: int) -> tuple[np.ndarray, np.ndarray]:
-        """Training count of the word and averaged log10 probability of each frequent pair."""
-        common, p = self.common, 0.0
-        if not len(common.pairs):
-            return np.zeros(0, dtype=np.int64), np.zeros(0)
-        for g, (c, t, c1, t1) in list(zip(self.known, self.hot))[-averaged:]:
-            root = seated(0, g, *(x[common.pair_word] for x in g.words), *g.root, g.base)
-            middle = seated(1, g, c1, t1, *(x[common.pair_ending] for x in g.endings), root)
-            p = p + seated(2, g, c, t, *(x[common.pair_context] for x in g.contexts), middle)
-        return self.known[0].counts[common.pair_word], np.log10(p / averaged)
 
-
-_ANSWER = "batch long, entries binary, answers binary, ids binary"
+_ANSWER = "bucket int, batch long, answers binary"
 #: Log-probabilities travel as whole numbers of this unit.
-UNIT = 1e-5
+UNIT = 1e-6
 
 
 def _answer(handle, averaged: int):
-    """For each batch and bucket: which documents hold its pairs, with each pair's training count of the word
-    and averaged log-probability. Its size follows the tokens, however many buckets there are."""
+    """For each batch and bucket, in the order of the batch's pairs: the training count of the word and the averaged log10 probability."""
     names = [c.split()[0] for c in _ANSWER.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -554,54 +523,61 @@ def _answer(handle, averaged: int):
         for batch in batches:
             for r in range(batch.num_rows):
                 p = 0.0
-                for g, b in zip(known, _swept(batch, r, common, known[:-1])):
-                    if g in known[-averaged:]:
-                        p = p + b.probability(g)
+                for i, g in enumerate(reversed(known)):
+                    end = str(i) if i else ""
+                    b = _bucket_of(batch, r, common, f"state{end}", f"totals{end}")
+                    p = p + b.probability(g)
                 log = np.rint(np.log10(p / averaged) / UNIT).astype(np.int32)
                 count = b.count.copy()
-                count[~b.own] = known[0].counts[b.slot[~b.own]]
+                count[~b.own] = known[-1].counts[b.slot[~b.own]]
                 count = count[b.of]
                 for part in batch.column("parts")[r].as_py():
                     [pair] = unpack(part["pairs"], np.uint32)
-                    yield pa.RecordBatch.from_arrays([pa.array([part["batch"]]), pa.array([part["entries"]], pa.binary()), pa.array([pack(count[pair], log[pair])], pa.binary()), pa.array([None], pa.binary())], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array([b.number], pa.int32()), pa.array([part["batch"]]), pa.array([pack(count[pair], log[pair])], pa.binary())], names=names)
 
     return run
 
 
-def _at_home(handle):
-    """The same for frequent pairs, whose documents never left their batch."""
-    names = [c.split()[0] for c in _ANSWER.split(", ")]
+def _total(floor: int):
+    """Sums for the documents of one batch."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, log = handle.value
-        for batch in batches:
-            for part in (x for row in batch.column("parts").to_pylist() for x in row):
-                [hot] = unpack(part["pairs"], np.uint32)
-                answer = pack(count[hot], np.rint(log[hot] / UNIT).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array([part["batch"]]), *[pa.array([x], pa.binary()) for x in (part["entries"], answer, part["ids"])]], names=names)
+    def run(home: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = sorted(answers.to_pylist(), key=lambda r: r["bucket"])
+        count, log = (np.concatenate(x) for x in zip(*(unpack(r["answers"], np.int64, np.int32) for r in rows)))
+        m, doc, times = unpack(home.column("entries")[0].as_py(), *_ENTRIES)
+        [ids] = unpack(home.column("ids")[0].as_py(), np.int64)
+        pair = np.repeat(np.arange(len(m)), m)
+        total = lambda x: np.bincount(doc, weights=times * x[pair], minlength=len(ids))
+        whole = lambda x: pa.array(x.astype(np.int64))
+        return pa.table({"row": ids, "n_tokens": whole(np.bincount(doc, weights=times, minlength=len(ids))), "n_known": whole(total(count > 0)), "base_score": total(np.log10((count + 1) / floor)), "score": total(log * UNIT)})
 
     return run
 
 
-def _total(floor: int):
-    """Sums for the documents of one batch."""
+def fit(base: DataFrame, *, sweeps: int = SWEEPS, averaged: int = AVERAGED, bucket_tokens: int = BUCKET_TOKENS) -> Model:
+    """base(row, train, text): a model of the texts that train, with the states of the last sweeps and, in
+    `home`, which documents hold which pairs."""
+    if not 1 <= averaged <= sweeps:
+        raise ValueError("averaged must be from 1 to sweeps")
+    spark = base.sparkSession
+    bounded_batches(spark)
+    heavy = written(base.select("text").mapInArrow(_frequent, _HEAVY).groupBy("kind", "name").agg(F.sum("n").alias("n")), "frequent")
+    tokens = int(heavy.filter("kind = 2").agg(F.sum("n")).first()[0] or 0)
+    most = heavy.filter((F.col("kind") == 0) & (F.col("n") * FREQUENT > tokens)).orderBy(F.desc("n"), "name").limit(FREQUENT).toArrow()
+    common = Common(np.asarray(most.column("name")).astype(np.int64).view(np.uint64))
+    buckets = max(1, -(-tokens // bucket_tokens))
+    packed = base.mapInArrow(_pack(buckets, spark.sparkContext.broadcast(common)), _PACKED)
+    packed = written(packed, "batches")
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["entries"])
-        [ids] = next(unpack(r["ids"], np.int64) for r in rows if r["ids"])
-        tokens, hits, base, score = (np.zeros(len(ids)) for _ in range(4))
-        for r in rows:
-            m, doc, times = unpack(r["entries"], *_ENTRIES)
-            count, log = unpack(r["answers"], np.int64, np.int32)
-            pair = np.repeat(np.arange(len(m)), m)
-            total = lambda x: np.bincount(doc, weights=times * x[pair], minlength=len(ids))  # noqa: E731, B023
-            tokens += np.bincount(doc, weights=times, minlength=len(ids))
-            hits += total(count > 0)
-            base += total(np.log10((count + 1) / floor))
-            score += total(log * UNIT)
-        return pa.table({"row": ids, "n_tokens": tokens.astype(np.int64), "n_known": hits.astype(np.int64), "base_score": base, "score": score})
+    def merged() -> DataFrame:
+        runs = packed.filter("bucket is not null").select("bucket", "batch", "counts")
+        return runs.repartition(max(1, -(-buckets // 2)), "bucket").groupBy("bucket").applyInArrow(_merge, _MERGED)
 
-    return run
+    model = Model(written(merged(), "buckets"), common, buckets)  # nothing else refers to the plan, so its shuffle goes once it is written
+    model.home = packed.filter("bucket is null").select("batch", "entries", "ids")
+    for _ in range(sweeps + 1):
+        model.step(averaged)
+    return model
 
 
 def lm_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, sweeps: int = SWEEPS, averaged: int = AVERAGED, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
@@ -609,38 +585,22 @@ def lm_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     Returns one row per row of `docs`: the id, held_out, n_tokens (words `[^\\x20\\x09-\\x0D]+` after
     lower-casing A-Z, and one end), n_known (tokens seen in training), train_tokens, base_score
-    (add-one unigram, log10) and score (log10 probability under the model). Null and empty texts
-    are one end token. A null id is not held out. Repeated rows are texts of their own, each
-    scored, each learned from. If there is nothing to learn from, all probability is the unknown
-    word's: score and base_score are 0. Texts are read whole; other columns are not read, whatever
+    (add-one unigram, log10) and score (log10 probability under the model; each pair's is rounded to a
+    millionth). Null and empty texts are one end token. A null id is not held out. Repeated rows are texts
+    of their own, each scored, each learned from. If there is nothing to learn from, all probability is the
+    unknown word's: score and base_score are 0. Texts are read whole; other columns are not read, whatever
     their names. An empty table gives none. Equal runs give equal scores.
     """
-    if not 1 <= averaged <= sweeps:
-        raise ValueError("averaged must be from 1 to sweeps")
-    spark = docs.sparkSession
-    bounded_batches(spark)
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == held_fold, F.lit(False))
     base = docs.select(F.col(id_col).alias("id"), held.alias("held"), F.col(text_col).alias("text"))
     # a row's name: equal rows share it and, having equal results, are told apart by how many they are
     base = base.withColumn("row", F.xxhash64("id", "text"))
-    heavy = written(base.select("text").mapInArrow(_frequent, _HEAVY).groupBy("kind", "name").agg(F.sum("n").alias("n"), F.max("word").alias("word"), F.max("context").alias("context")), "frequent")
-    tokens = int(heavy.filter("kind = 2").agg(F.sum("n")).first()[0] or 0)
-    most = [heavy.filter((F.col("kind") == k) & (F.col("n") * FREQUENT > tokens)).orderBy(F.desc("n"), "name").limit(FREQUENT).toArrow() for k in (0, 1)]
-    names = lambda k, c: np.asarray(most[k].column(c)).astype(np.int64).view(np.uint64)
-    common = Common(names(0, "name"), names(1, "name"), names(1, "word"), names(1, "context"))
-    buckets = max(1, -(-tokens // bucket_tokens))
-    def merged() -> DataFrame:
-        packed = base.select("row", (~F.col("held")).alias("train"), "text").mapInArrow(_pack(buckets, spark.sparkContext.broadcast(common)), _PACKED)
-        return packed.repartition(max(1, -(-buckets // 2)), "bucket").groupBy("bucket").applyInArrow(_merge, _MERGED)
-
-    model = Model(written(merged(), "buckets"), common)  # nothing else refers to the plan, so its shuffle goes once it is written
-    for _ in range(sweeps + 1):
-        model.step()
-    known = model.known
+    model = fit(base.select("row", (~F.col("held")).alias("train"), "text"), sweeps=sweeps, averaged=averaged, bucket_tokens=bucket_tokens)
+    spark, common = docs.sparkSession, model.common
+    known = model.known[-averaged:]
     floor = model.train_tokens + round(1 / known[0].base)
-    answers = model.rows("counts", "parts").mapInArrow(_answer(spark.sparkContext.broadcast((common, known)), averaged), _ANSWER)
-    home = model.merged.filter("bucket < 0").select("parts").mapInArrow(_at_home(spark.sparkContext.broadcast(model.frequent_pairs(averaged))), _ANSWER)
-    sums = answers.unionByName(home).groupBy("batch").applyInArrow(_total(floor), "row long, n_tokens long, n_known long, base_score double, score double")
+    answers = model.rows("counts", "parts", last=averaged).mapInArrow(_answer(spark.sparkContext.broadcast((common, known)), averaged), _ANSWER)
+    sums = model.home.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_total(floor), "row long, n_tokens long, n_known long, base_score double, score double")
     sums = sums.groupBy("row").agg(F.count("*").alias("copies"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     sums = written(sums, "scores")
     each = lambda c: (F.col(c) / F.col("copies")).cast(sums.schema[c].dataType)
