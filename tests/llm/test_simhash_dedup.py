@@ -65,7 +65,7 @@ def dense(n, seed):
 def test_forest():
     codes = np.array(dense(600, 1), dtype=np.uint64)
     shard = np.sort(np.random.default_rng(2).integers(0, 4, len(codes)))
-    got = {(a, b) for x, y in near_pairs(codes, shard) for a, b in zip(x.tolist(), y.tolist())}
+    got = {(a, b) for x, y, _ in near_pairs(codes, shard) for a, b in zip(x.tolist(), y.tolist())}
     want = {(i, j) for j in range(len(codes)) for i in range(j) if shard[i] == shard[j] and (int(codes[i]) ^ int(codes[j])).bit_count() <= 3}
     assert got == want
 
