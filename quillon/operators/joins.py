@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
-
+from .retrieval import bm25_top_k, dense_top_k, tokens  # noqa: F401
 
 def lookup(rows: DataFrame, reference: DataFrame, on: str) -> DataFrame:
     """Every row with what the reference says under its key; null where it says nothing."""
@@ -127,66 +124,6 @@ def parameter_matrix(*axes: DataFrame, order: list[str], quota: int | None = Non
     return turns.join(numbered, "task_id").drop("task_id").withColumnRenamed("_k", "task_id")
 
 
-def dense_top_k(queries: DataFrame, corpus: DataFrame, *, k: int, query_id: str, doc_id: str, vector: str, query_block: int = 1024, doc_block: int = 8192) -> DataFrame:
-    """The k corpus rows of largest inner product for each query, in double precision, ties by id. Queries and
-    corpus are dealt to blocks of about the given sizes, each block of queries meets each of the corpus in one
-    task as a matrix product, and only its k best of each query go on. Exhaustive: for a stated set of queries."""
-    parts = lambda df, size: max(1, -(-df.count() // size))
-    qs, ds = parts(queries, query_block), parts(corpus, doc_block)
-    side = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).cast("array<double>").alias("v")).withColumn("i", side("query_id", qs)).withColumn("j", every(ds))
-    d = corpus.select(F.col(doc_id).alias("doc_id"), F.col(vector).cast("array<double>").alias("v")).withColumn("j", side("doc_id", ds)).withColumn("i", every(qs))
-    kinds = f"query_id {q.schema['query_id'].dataType.simpleString()}, doc_id {d.schema['doc_id'].dataType.simpleString()}, score double"
-    few = q.groupBy("i", "j").cogroup(d.groupBy("i", "j")).applyInArrow(_best_of_block(k), kinds)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return few.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
-
-
-def _best_of_block(k: int):
-    def run(q: pa.Table, d: pa.Table) -> pa.Table:
-        rows, cols, scores = [], [], []
-        if q.num_rows and d.num_rows:
-            matrix = lambda t: np.asarray(t.column("v").combine_chunks().flatten()).reshape(t.num_rows, -1)
-            score = matrix(q) @ matrix(d).T
-            place = np.argsort(np.asarray(d.column("doc_id")), kind="stable").argsort(kind="stable")
-            for r in range(len(score)):
-                s = score[r]
-                # all that may be among the k best, however sums are rounded, then in order with ties by id
-                least = np.partition(s, -k)[-k] if len(s) > k else -np.inf
-                at = np.flatnonzero(s >= least)
-                at = at[np.lexsort((place[at], -s[at]))][:k]
-                rows += [r] * len(at)
-                cols += at.tolist()
-                scores += s[at].tolist()
-        return pa.table({"query_id": q.column("query_id").take(pa.array(rows, pa.int64())), "doc_id": d.column("doc_id").take(pa.array(cols, pa.int64())), "score": pa.array(scores, pa.float64())})
-
-    return run
-
-
-def tokens(text: Column) -> Column:
-    """Lower-cased runs of ASCII letters and digits."""
-    return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1)
-
-
-def bm25_top_k(queries: DataFrame, docs: DataFrame, *, k: int, query_id: str, query: str, doc_id: str, text: str, k1: float = 0.9, b: float = 0.4) -> DataFrame:
-    """The k documents of largest BM25 score for each query, ties by id. Terms join on equality with
-    the queries' own terms only; scores are partial sums per (query, document)."""
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(query)))).alias("term"))
-    base = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("terms"))
-    stats = base.agg(F.count("*").alias("n_docs"), F.avg(F.size("terms")).alias("avg_len"))
-    wanted = asked.select("term").distinct()
-    tf = base.select("doc_id", F.size("terms").alias("len"), F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
-    tf = written(tf, "term-counts")  # counted once, for the terms' documents and for the scores
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    weighted = tf.join(df, "term").crossJoin(F.broadcast(stats)).select("doc_id", "term", part.alias("w"))
-    scores = asked.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
-    return scores.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
-
-
 def passages(hits: DataFrame, corpus: DataFrame, *, doc_id: str, text: str, query_id: str = "query_id", rank: str = "rank") -> DataFrame:
     """One text per query: its hits in order of rank, numbered, the first line as the title."""
     title = F.substring_index(text, "\n", 1)
