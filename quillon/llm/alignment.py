@@ -23,6 +23,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,24 +48,32 @@ BORDER = re.compile("(?<=[^\\s\u180e\u200b\ufeff])(?= )")
 
 
 class Unit:
-    """Alignment of one unit: tokens of both sides, groups as text, and its pairs (side b in the upper 32 bits) with how often each is linked."""
-
-    __slots__ = ("n_a", "n_b", "n_groups", "text", "pairs", "times")
-
-    def __init__(self, a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]):
-        self.n_a, self.n_b = len(a), len(b)
-        links: dict[int, int] = {}
-        groups, i, j, from_i, from_j = [], 0, 0, 0, 0
-        while i < len(a):  # the two last ends are equal
-            pair = b[j] << 32 | a[i]
-            links[pair] = links.get(pair, 0) + 1
-            x, y = ends_a[i], ends_b[j]
-            i, j = i + (x <= y), j + (y <= x)
-            if x == y:
-                groups.append(f"{','.join(map(str, a[from_i:i]))}|{','.join(map(str, b[from_j:j]))}")
-                from_i, from_j = i, j
-        self.n_groups, self.text = len(groups), ";".join(groups)
-        self.pairs, self.times = np.array(list(links), dtype=np.uint64), np.array(list(links.values()), dtype=np.int64)
+    """Alignment of one unit: tokens of both sides, groups as text, and the pair of each link (side b in the upper 32 bits)."""
+
+    __slots__ = ("n_a", "n_b", "n_groups", "text", "pairs")
+
+    def __init__(self, n_a: int, n_b: int, groups: list[str], pairs: np.ndarray):
+        self.n_a, self.n_b, self.n_groups, self.text, self.pairs = n_a, n_b, len(groups), ";".join(groups), pairs
+
+
+def aligned(a: list[list[int]], b: list[list[int]], length_a: np.ndarray, length_b: np.ndarray) -> list[Unit]:
+    """Units from their tokens on both sides, whose bytes are the same; all units at once, one behind the other."""
+    flat_a, flat_b = (np.fromiter(chain.from_iterable(x), dtype=np.int64) for x in (a, b))
+    end_a, end_b = np.cumsum(length_a[flat_a]), np.cumsum(length_b[flat_b])
+    start_a, start_b = end_a - length_a[flat_a], end_b - length_b[flat_b]
+    low, high = np.searchsorted(end_b, start_a, side="right"), np.searchsorted(start_b, end_a, side="left")
+    many = high - low  # tokens of side b that share a byte with each of side a
+    other = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    pairs = flat_b[other].astype(np.uint64) << np.uint64(32) | np.repeat(flat_a, many).astype(np.uint64)
+    # groups end where tokens of both sides end
+    cut = np.flatnonzero(end_b[np.minimum(np.searchsorted(end_b, end_a), len(end_b) - 1)] == end_a)
+    to_a, to_b = (cut + 1).tolist(), (np.searchsorted(end_b, end_a[cut]) + 1).tolist()
+    edge_a, edge_b = (np.cumsum([0] + [len(x) for x in y]) for y in (a, b))
+    links = np.append(0, np.cumsum(many))[edge_a].tolist()
+    groups = np.searchsorted(cut, edge_a).tolist()
+    name_a, name_b = ([*map(str, x.tolist())] for x in (flat_a, flat_b))
+    text = [f"{','.join(name_a[i:j])}|{','.join(name_b[k:m])}" for i, j, k, m in zip([0, *to_a], to_a, [0, *to_b], to_b)]
+    return [Unit(len(x), len(y), text[groups[k] : groups[k + 1]], pairs[links[k] : links[k + 1]]) for k, (x, y) in enumerate(zip(a, b))]
 
 
 class Tokenizers:
@@ -81,9 +90,11 @@ class Tokenizers:
         byte = {letter: k for k, letter in enumerate(byte_letters())}
         with open(path_a, encoding="utf-8") as file:
             vocabulary = json.load(file)["model"]["vocab"]
-        self.bytes_a = {k: bytes(byte[c] for c in token) for token, k in vocabulary.items() if all(c in byte for c in token)}
+        self.bytes_a = {k: bytes(byte[c] for c in token) if all(c in byte for c in token) else b"" for token, k in vocabulary.items()}
         piece = self.b.id_to_piece
         self.bytes_b = [bytes([int(piece(k)[3:5], 16)]) if self.b.is_byte(k) else piece(k).replace("▁", " ").encode() for k in range(self.b.get_piece_size())]
+        self.length_a = np.array([len(self.bytes_a.get(k, b"")) for k in range(max(self.bytes_a) + 1)])
+        self.length_b = np.array([len(x) for x in self.bytes_b])
         self.blank = self.b.piece_to_id("▁")
         self.known: dict[str, Unit | None] = {}
         self.older: dict[str, Unit | None] = {}
@@ -94,7 +105,7 @@ class Tokenizers:
         if len(self.known) > REMEMBERED:
             self.older, self.known = self.known, {}
         new = []
-        for u in {u for units in out for u in units}.difference(self.known):
+        for u in set().union(*out).difference(self.known):
             if u in self.older:
                 self.known[u] = self.older[u]
             else:
@@ -103,20 +114,26 @@ class Tokenizers:
             some = new[at : at + 4096]
             ids_a = [e.ids for e in self.a.encode_batch(some, add_special_tokens=False)]
             ids_b = self.b.encode([u[1:] for u in some], num_threads=1)  # it puts the first blank there itself
-            for u, a, b in zip(some, ids_a, ids_b):
-                self.known[u] = self.unit(u, a, b or [self.blank])
+            self.known.update(zip(some, self.aligned(some, ids_a, [b or [self.blank] for b in ids_b])))
         return out
 
-    def unit(self, text: str, a: list[int], b: list[int]) -> Unit | None:
-        """None if the tokens of a side are not the bytes of the text."""
-        parts_a, parts_b = [self.bytes_a.get(k, b"") for k in a], [self.bytes_b[k] for k in b]
-        raw = text.encode()
-        if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
-            return None
-        return Unit(a, b, np.cumsum([len(x) for x in parts_a]).tolist(), np.cumsum([len(x) for x in parts_b]).tolist())
+    def aligned(self, texts: list[str], a: list[list[int]], b: list[list[int]]) -> list[Unit | None]:
+        """None for those where the tokens of a side are not the bytes of the text."""
+        raw = [t.encode() for t in texts]
+        good = np.ones(len(raw), dtype=bool)
+        for ids, known in ((a, self.bytes_a), (b, self.bytes_b)):
+            parts = [b"".join([known[k] for k in x]) for x in ids]
+            if parts != raw:
+                good &= np.array([x == y for x, y in zip(parts, raw)])
+        some = np.flatnonzero(good).tolist()
+        out: list[Unit | None] = [None] * len(raw)
+        if some:
+            for k, unit in zip(some, aligned([a[k] for k in some], [b[k] for k in some], self.length_a, self.length_b)):
+                out[k] = unit
+        return out
 
 
-NOTHING = Unit([], [], [], [])
+NOTHING = Unit(0, 0, [], np.zeros(0, np.uint64))
 
 
 @lru_cache(maxsize=2)
@@ -197,8 +214,8 @@ def _encoded(path_a: str, path_b: str, kind: pa.DataType, names: list[str], with
             for first, last in parts(texts):
                 ids = batch.column("id").slice(first, last - first)
                 seen = both.units(texts[first:last])
-                order: dict[str, int] = {}
-                code = np.array([order.setdefault(u, len(order)) for units in seen for u in units], dtype=np.int64)
+                order = {u: k for k, u in enumerate(dict.fromkeys(chain.from_iterable(seen)))}
+                code = np.fromiter(map(order.__getitem__, chain.from_iterable(seen)), dtype=np.int64)
                 units = [both.known[u] for u in order]
                 many = np.array([len(x) for x in seen])
                 doc = np.repeat(np.arange(len(seen)), many)
@@ -207,11 +224,11 @@ def _encoded(path_a: str, path_b: str, kind: pa.DataType, names: list[str], with
                 units = [u or NOTHING for u in units]
                 some = ~bad[doc]
                 counts = [np.bincount(doc[some], weights=np.array([getattr(u, x) for u in units], dtype=np.float64)[code[some]], minlength=len(seen)).astype(np.int64) for x in ("n_a", "n_b", "n_groups")]
-                groups = ["" if x or not s else ";".join([both.known[u].text for u in s]) for x, s in zip(bad.tolist(), seen)]
+                texts_of, at = [u.text for u in units], np.cumsum(many) - many
+                groups = ["" if x else ";".join([texts_of[k] for k in code[i : i + n].tolist()]) for x, i, n in zip(bad.tolist(), at.tolist(), many.tolist())]
                 # pairs of this batch in the order of its runs, and how often each document has which
                 sizes = np.array([len(u.pairs) for u in units], dtype=np.int64)
                 of_unit = np.concatenate([u.pairs for u in units]) if units else np.zeros(0, np.uint64)
-                times = np.concatenate([u.times for u in units]) if units else np.zeros(0, np.int64)
                 pairs, rank = np.unique(of_unit, return_inverse=True)
                 runs = list(by_radix(pairs, digit_of(pairs)))
                 place = np.empty(len(pairs), dtype=np.int64)
@@ -222,7 +239,7 @@ def _encoded(path_a: str, path_b: str, kind: pa.DataType, names: list[str], with
                 at = np.repeat((np.cumsum(sizes) - sizes)[held & 0xFFFFFFFF] - (np.cumsum(m) - m), m) + np.arange(m.sum())
                 entry, which = np.unique(np.repeat(held >> 32, m) << 32 | rank[at], return_inverse=True)
                 total = np.zeros(len(entry), dtype=np.int64)
-                np.add.at(total, which, times[at] * np.repeat(repeats, m))
+                np.add.at(total, which, np.repeat(repeats, m))
                 sums = np.zeros(len(pairs), dtype=np.int64)
                 np.add.at(sums, entry & 0xFFFFFFFF, total)
                 for digit, x in runs:  # pairs that only texts without tokens have are 0 times there
