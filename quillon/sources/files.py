@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrays import RANGE_BYTES, array_elements
+
 CANONICAL = ["sample_id", "video_paths", "question", "options", "answer", "task_metadata"]
 MESSAGE = T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())])
 
@@ -27,20 +29,15 @@ def read_files(spark: SparkSession, paths: list[str], schema: T.StructType | Non
     return out
 
 
-def read_json_array(spark: SparkSession, path: str, schema: T.StructType, *, start: int = 0, limit: int | None = None) -> DataFrame:
+def read_json_array(spark: SparkSession, path: str, schema: T.StructType, *, start: int = 0, limit: int | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Rows of files that are one JSON array each, with source_file and source_index (the place in the
-    array), and what the names of their folders say, as in partitioned tables. A file whose root is no
-    array, or a row that is no object, raises."""
-    text = spark.read.text(path, wholetext=True).select("*", F.col("_metadata.file_name").alias("source_file"))
-    folders = [c for c in text.columns if c not in ("value", "source_file")]
-    items = F.from_json("value", T.ArrayType(T.StringType()))
-    checked = F.when(F.ltrim("value").startswith("["), items).otherwise(F.raise_error(F.concat("source_file", F.lit(": the root is not a list"))))
-    rows = text.select("source_file", *folders, F.posexplode(checked).alias("source_index", "_raw"))
-    inside = F.col("source_index") >= start
-    if limit is not None:
-        inside = inside & (F.col("source_index") < start + limit)
-    row = F.when(F.ltrim("_raw").startswith("{"), F.from_json("_raw", schema)).otherwise(F.raise_error(F.concat("source_file", F.lit(": a row is not an object"))))
-    return rows.filter(inside).select("source_file", "source_index", *folders, row.alias("_row")).select("source_file", "source_index", *folders, "_row.*")
+    array), and what the names of their folders say, as in partitioned tables. Files of any size are read by
+    ranges (see `arrays`). A file whose root is no array, or a row that is no object, raises."""
+    rows = array_elements(spark, path, start=start, limit=limit, range_bytes=range_bytes)
+    folders = [c for c in rows.columns if c not in ("file", "source_index", "raw")]
+    name = F.element_at(F.split("file", "/"), -1)
+    row = F.when(F.trim("raw", F.lit(" \t\r\n")).startswith("{"), F.from_json("raw", schema)).otherwise(F.raise_error(F.concat(name, F.lit(": a row is not an object"))))
+    return rows.select(name.alias("source_file"), "source_index", *folders, row.alias("_row")).select("source_file", "source_index", *folders, "_row.*")
 
 
 def map_fields(raw: DataFrame, mapping: dict[str, str], *, file: Column, index: Column) -> DataFrame:
@@ -66,16 +63,16 @@ def status_report(df: DataFrame, *, task: str) -> DataFrame:
     return df.groupBy(task).pivot("status", ["modified", "skipped", "error"]).count().na.fill(0)
 
 
-TOOL_ENTRY = T.ArrayType(T.StructType([
+TOOL_ENTRY = T.StructType([
     T.StructField("turn", T.LongType()), T.StructField("tool_name", T.StringType()), T.StructField("call_id", T.StringType()), T.StructField("timestamp_start", T.StringType()), T.StructField("timestamp_end", T.StringType()),
-    T.StructField("inputs", T.StructType([T.StructField("observation_targets", T.ArrayType(T.StringType())), T.StructField("focus_prompt", T.StringType())])), T.StructField("output_raw", T.StringType())]))
+    T.StructField("inputs", T.StructType([T.StructField("observation_targets", T.ArrayType(T.StringType())), T.StructField("focus_prompt", T.StringType())])), T.StructField("output_raw", T.StringType())])
 
 
 def read_tool_logs(spark: SparkSession, root: str, name: str = "tools_execution.json") -> DataFrame:
     """One row per tool call of all logs below a folder: task_id (leading digits of the log's folder), dir
-    and the entry's fields. Files that are no list of calls give none."""
-    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root, wholetext=True)
-    rows = text.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("dir"), F.explode(F.from_json("value", TOOL_ENTRY)).alias("e"))
+    and the entry's fields. Files that are no list, and entries that are no object, give none."""
+    rows = array_elements(spark, root, glob=name, strict=False)
+    rows = rows.select(F.regexp_extract("file", r"([^/]+)/[^/]+$", 1).alias("dir"), F.from_json("raw", TOOL_ENTRY).alias("e"), F.trim("raw", F.lit(" \t\r\n")).startswith("{").alias("ok")).filter("ok")
     return rows.select(F.regexp_extract("dir", r"^(\d+)", 1).try_cast("long").alias("task_id"), "dir", "e.*")
 
 
