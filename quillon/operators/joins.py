@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .retrieval import bm25_top_k, dense_top_k, tokens  # noqa: F401
+from .sampling import indexed
 
 def lookup(rows: DataFrame, reference: DataFrame, on: str) -> DataFrame:
     """Every row with what the reference says under its key; null where it says nothing."""
@@ -110,18 +112,30 @@ def reference_views(objects: DataFrame, views: DataFrame, tracks: DataFrame, *,
 
 
 def parameter_matrix(*axes: DataFrame, order: list[str], quota: int | None = None) -> DataFrame:
-    """All combinations of small parameter tables, numbered from 1 in order; a quota beyond their
-    number goes round again."""
-    out = axes[0]
-    for a in axes[1:]:
-        out = out.crossJoin(F.broadcast(a))
-    numbered = out.withColumn("task_id", F.row_number().over(Window.orderBy(*order)).cast("long"))  # parameters only
-    if quota is None:
-        return numbered
-    size = numbered.agg(F.count("*").alias("_n"))
-    wanted = numbered.sparkSession.range(1, quota + 1).withColumnRenamed("id", "_k").crossJoin(F.broadcast(size))
-    turns = wanted.select(F.col("_k"), (F.pmod(F.col("_k") - 1, F.col("_n")) + 1).alias("task_id"))
-    return turns.join(numbered, "task_id").drop("task_id").withColumnRenamed("_k", "task_id")
+    """All combinations of parameter tables, numbered from 1 in order, the columns of the first axis foremost; a
+    quota beyond their number goes round again.
+
+    Each axis is ranked alone. A number tells the ranks by division, like the digits of a clock, so the
+    rows are looked up by equal ranks: nothing is multiplied out and no order is taken over all combinations."""
+    spark = axes[0].sparkSession
+    ranked, sizes = [], []
+    for k, axis in enumerate(axes):
+        own = F.struct(*[c for c in order if c in axis.columns], *[c for c in axis.columns if c not in order])
+        rows = written(indexed(axis.withColumn("_order", F.struct(own, F.monotonically_increasing_id())), key="_order", index=f"_r{k}").drop("_order"), "axis")
+        ranked.append(rows)
+        sizes.append(rows.count())
+    every = 1
+    for n in sizes:
+        every *= n
+    out = spark.range(1, (every if quota is None else quota if every else 0) + 1).withColumnRenamed("id", "task_id")
+    left = F.pmod(F.col("task_id") - 1, F.lit(max(1, every)))
+    below = every
+    for k, n in enumerate(sizes):
+        below = below // max(1, n)
+        out = out.withColumn(f"_r{k}", F.floor(left / F.lit(max(1, below))).cast("long") % F.lit(max(1, n)))
+    for k, rows in enumerate(ranked):
+        out = out.join(rows, f"_r{k}").drop(f"_r{k}")
+    return out.select(*[c for axis in axes for c in axis.columns], "task_id")
 
 
 def passages(hits: DataFrame, corpus: DataFrame, *, doc_id: str, text: str, query_id: str = "query_id", rank: str = "rank") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -181,7 +184,7 @@ def leaked_answers(docs: DataFrame, items: DataFrame, *, doc_id: str, doc_text:
     Of an item in a document all words but the first and the last are words of the document too: the
     first may hang on a quote, the last on a full stop. So items meet only documents that share a hash
     of their first n inner words; texts are fetched for those that met. Items of one or two words, which
-    have no inner ones, are a table of their own and are looked for in every document."""
+    have no inner ones, make automata of a bounded size each, which run over every text once."""
     words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
     hashed = lambda w, start, size: F.xxhash64(F.array_join(F.slice(w, start, size), " "))
     item = items.select(F.col(item_id), F.trim(item_text).alias("_item"), words(item_text).alias("_w")).filter("_item != ''")
@@ -194,7 +197,55 @@ def leaked_answers(docs: DataFrame, items: DataFrame, *, doc_id: str, doc_text:
     texts = docs.select(F.col(doc_id), F.col(doc_text).alias("_text"))
     hits = met.join(texts, doc_id).filter(F.contains("_text", "_item")).select(doc_id, item_id)
     short = item.filter(F.size("_w") <= 2).select(item_id, "_item")
-    return hits.unionByName(texts.join(short, F.contains("_text", "_item")).select(doc_id, item_id)).distinct()
+    return hits.unionByName(containing(texts, short, doc_id=doc_id, text="_text", item_id=item_id, item="_item")).distinct()
+
+
+#: Bytes of items, with 32 more each, that one automaton is made of.
+AUTOMATON_BYTES = 8 << 20
+
+
+def _found(handle, doc_id: str, item_id: str, kind: pa.DataType):
+    """Which items each text holds, by an automaton of all of them that is made once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        ids, items = handle.value
+        automaton = ahocorasick.Automaton()
+        for k, x in enumerate(items):
+            automaton.add_word(x, (*automaton.get(x, ()), k))
+        automaton.make_automaton()
+        for batch in batches:
+            row, item = [], []
+            for r, text in enumerate(batch.column("_text").to_pylist()):
+                if text:
+                    seen = {k for _, same in automaton.iter(text) for k in same}
+                    row += [r] * len(seen)
+                    item += seen
+            yield pa.RecordBatch.from_arrays([batch.column(doc_id).take(pa.array(row, pa.int64())), pa.array([ids[k] for k in item], kind)], names=[doc_id, item_id])
+
+    return run
+
+
+def containing(texts: DataFrame, items: DataFrame, *, doc_id: str, text: str, item_id: str, item: str) -> DataFrame:
+    """(doc, item) for each item that occurs in a text, whatever is around it. Items are dealt to automata of
+    AUTOMATON_BYTES each; a text is read once for each automaton, and no pair is tried. Empty items occur nowhere."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    spark = texts.sparkSession
+    items = items.filter(F.length(item) > 0)
+    size = items.agg(F.sum(F.octet_length(item) + 32)).first()[0] or 0
+    shards = max(1, -(-int(size) // AUTOMATON_BYTES))
+    kinds = {f.name: f.dataType for f in [*texts.schema.fields, *items.schema.fields]}
+    schema = f"`{doc_id}` {kinds[doc_id].simpleString()}, `{item_id}` {kinds[item_id].simpleString()}"
+    out = None
+    for k in range(shards):
+        some = items.filter(F.pmod(F.xxhash64(item), F.lit(shards)) == k).select(item_id, item).toArrow()  # about AUTOMATON_BYTES
+        handle = spark.sparkContext.broadcast((some.column(item_id).to_pylist(), some.column(item).to_pylist()))
+        part = texts.select(doc_id, F.col(text).alias("_text")).mapInArrow(_found(handle, doc_id, item_id, to_arrow_type(kinds[item_id])), schema)
+        if some.num_rows:
+            out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def answer_in_prompt(df: DataFrame, *, prompt: str, truth: str, out: str = "leaked") -> DataFrame:

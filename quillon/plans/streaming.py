@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import tables as tf
 from ..operators.sampling import indexed
 from ..streaming import operators as st
 from .tables import Area, Tables, shared_place
@@ -154,6 +155,21 @@ def x5_generator_plug(t):
     return made.groupBy("user_id", "text").agg(F.count("*").alias("n"))
 
 
+@area.query("""SELECT doc_id, source, context, lang FROM (SELECT doc_id, source, lang, list(lang) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)[1 : -2] AS context FROM documents)""")
+def x5_generator_table_function(t):
+    tf.register_generator(t.spark, "with_neighbours", tf.Neighbours)
+    t.documents.select("doc_id", "source", "lang").createOrReplaceTempView("x5_documents")
+    made = t.spark.sql("SELECT * FROM with_neighbours(TABLE(SELECT * FROM x5_documents) PARTITION BY source ORDER BY doc_id, key => 'doc_id', text => 'lang', before => 2)")
+    return made.join(t.documents.select("doc_id", "source"), "doc_id").select("doc_id", "source", "context", "lang")
+
+
+@area.query("""SELECT conv_id, turn, CASE WHEN turn % 5 <> 0 THEN 2.0 * length(coalesce(text, '')) / turn END AS "score~" FROM conversations""")
+def x1_scorer_table_function(t):
+    tf.register_scorer(t.spark, "score_turns", lambda text, turn, factor: factor * len(text or "") / (turn if turn % 5 else 0), ["text", "turn"])
+    t.conversations.select("conv_id", "turn", "text").createOrReplaceTempView("x1_turns")
+    return t.spark.sql("SELECT conv_id, turn, score FROM score_turns(TABLE(SELECT * FROM x1_turns), factor => 2.0D)")
+
+
 @area.query("""SELECT source, CASE WHEN m IS NULL THEN 1.0 ELSE 0.5 + 0.5 * (1 - m) END AS "weight~" FROM (SELECT source, avg(quality) AS m FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1)""")
 def x5_curriculum_weights(t):
     weights = t.documents.select("source").distinct().withColumn("weight", F.lit(1.0))
