@@ -1,7 +1,7 @@
 """Alignment of two tokenizers: which of their tokens cover the same bytes, and how often which pairs meet.
 
 No token of either vocabulary crosses from a character that is no white space to a blank, so a text is
-cut there into units; each worker aligns the units that it meets once and remembers them.
+cut there into units, and a batch aligns each of its different units once.
 
 Pairs are counted outside of memory. A batch of documents sorts its pairs by radix (a digit of the
 second side's id), then by side, and writes one zstd run for each digit; which document holds which pair
@@ -35,8 +35,8 @@ from .packing import pack, unpack
 from .shared import bounded_batches, written
 from .words import mix
 
-#: Bytes of text in a batch and documents among them; units that a worker remembers, twice at most.
-BATCH_BYTES, BATCH_DOCS, REMEMBERED = 3 << 20, 4096, 150_000
+#: Characters of text in a batch, and documents among them.
+BATCH_BYTES, BATCH_DOCS = 6 << 20, 8192
 #: Digits of the first radix; bytes of runs that make a wave, merged digit by digit; pairs in a bucket of the last merge.
 DIGITS, WAVE_BYTES, BUCKET_PAIRS = 32, 64 << 20, 250_000
 #: Bytes that a pair and its sum take in a packed run, about.
@@ -47,37 +47,49 @@ SPREAD = 64
 BORDER = re.compile("(?<=[^\\s\u180e\u200b\ufeff])(?= )")
 
 
-class Unit:
-    """Alignment of one unit: tokens of both sides, groups as text, and the pair of each link (side b in the upper 32 bits)."""
-
-    __slots__ = ("n_a", "n_b", "n_groups", "text", "pairs")
-
-    def __init__(self, n_a: int, n_b: int, groups: list[str], pairs: np.ndarray):
-        self.n_a, self.n_b, self.n_groups, self.text, self.pairs = n_a, n_b, len(groups), ";".join(groups), pairs
-
-
-def aligned(a: list[list[int]], b: list[list[int]], length_a: np.ndarray, length_b: np.ndarray) -> list[Unit]:
-    """Units from their tokens on both sides, whose bytes are the same; all units at once, one behind the other."""
-    flat_a, flat_b = (np.fromiter(chain.from_iterable(x), dtype=np.int64) for x in (a, b))
-    end_a, end_b = np.cumsum(length_a[flat_a]), np.cumsum(length_b[flat_b])
-    start_a, start_b = end_a - length_a[flat_a], end_b - length_b[flat_b]
-    low, high = np.searchsorted(end_b, start_a, side="right"), np.searchsorted(start_b, end_a, side="left")
-    many = high - low  # tokens of side b that share a byte with each of side a
-    other = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
-    pairs = flat_b[other].astype(np.uint64) << np.uint64(32) | np.repeat(flat_a, many).astype(np.uint64)
-    # groups end where tokens of both sides end
-    cut = np.flatnonzero(end_b[np.minimum(np.searchsorted(end_b, end_a), len(end_b) - 1)] == end_a)
-    to_a, to_b = (cut + 1).tolist(), (np.searchsorted(end_b, end_a[cut]) + 1).tolist()
-    edge_a, edge_b = (np.cumsum([0] + [len(x) for x in y]) for y in (a, b))
-    links = np.append(0, np.cumsum(many))[edge_a].tolist()
-    groups = np.searchsorted(cut, edge_a).tolist()
-    name_a, name_b = ([*map(str, x.tolist())] for x in (flat_a, flat_b))
-    text = [f"{','.join(name_a[i:j])}|{','.join(name_b[k:m])}" for i, j, k, m in zip([0, *to_a], to_a, [0, *to_b], to_b)]
-    return [Unit(len(x), len(y), text[groups[k] : groups[k + 1]], pairs[links[k] : links[k + 1]]) for k, (x, y) in enumerate(zip(a, b))]
+class Units:
+    """Alignment of many units, one behind the other: n_a, n_b and n_groups of each (0 where the tokens of a side are
+    not the bytes of the unit, which `bad` says), the groups as text, and the pairs of its links (side b in the upper
+    32 bits), those of unit k from edge[k] to edge[k + 1]."""
+
+    def __init__(self, raw: list[bytes], a: list[list[int]], b: list[list[int]], bytes_a: list[bytes], bytes_b: list[bytes]):
+        size = np.array([len(x) for x in raw], dtype=np.int64)
+        flat, length, count, edge = [], [], [], []
+        self.bad = np.zeros(len(raw), dtype=bool)
+        for ids, known in ((a, bytes_a), (b, bytes_b)):
+            tokens = [*chain.from_iterable(ids)]
+            flat.append(np.array(tokens, dtype=np.int64))
+            length.append(np.array([*map(len, map(known.__getitem__, tokens))], dtype=np.int64))
+            count.append(np.array([*map(len, ids)], dtype=np.int64))
+            edge.append(np.append(0, np.cumsum(count[-1])))
+            sums = np.append(0, np.cumsum(length[-1]))[edge[-1]]
+            if (np.diff(sums) != size).any() or b"".join(map(known.__getitem__, tokens)) != b"".join(raw):
+                self.bad |= np.array([b"".join([known[k] for k in x]) != y for x, y in zip(ids, raw)], dtype=bool)
+        if self.bad.any():
+            keep = [~np.repeat(self.bad, n) for n in count]
+            flat, length = ([x[k] for x, k in zip(y, keep)] for y in (flat, length))
+            count = [np.where(self.bad, 0, n) for n in count]
+            edge = [np.append(0, np.cumsum(n)) for n in count]
+        (flat_a, flat_b), (length_a, length_b), (self.n_a, self.n_b), (edge_a, _) = flat, length, count, edge
+        end_a, end_b = np.cumsum(length_a), np.cumsum(length_b)
+        low, high = np.searchsorted(end_b, end_a - length_a, side="right"), np.searchsorted(end_b - length_b, end_a, side="left")
+        many = high - low  # tokens of side b that share a byte with each of side a
+        other = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        self.pairs = flat_b[other].astype(np.uint64) << np.uint64(32) | np.repeat(flat_a, many).astype(np.uint64)
+        self.edge = np.append(0, np.cumsum(many))[edge_a]
+        # groups end where tokens of both sides end
+        cut = np.flatnonzero(np.isin(end_a, end_b, assume_unique=True)) if len(end_a) else np.zeros(0, np.int64)
+        to_a, to_b = (cut + 1).tolist(), (np.searchsorted(end_b, end_a[cut]) + 1).tolist()
+        name_a, name_b = ([*map(str, x.tolist())] for x in (flat_a, flat_b))
+        text = [f"{','.join(name_a[i:j])}|{','.join(name_b[k:m])}" for i, j, k, m in zip([0, *to_a], to_a, [0, *to_b], to_b)]
+        border = np.searchsorted(cut, edge_a)
+        self.n_groups = np.diff(border)
+        border = border.tolist()
+        self.text = [text[i] if j == i + 1 else ";".join(text[i:j]) for i, j in zip(border, border[1:])]
 
 
 class Tokenizers:
-    """Both vocabularies, with the bytes of each token, and the units seen."""
+    """Both vocabularies, with the bytes of each token."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs as many tasks as there are cores
@@ -90,50 +102,21 @@ class Tokenizers:
         byte = {letter: k for k, letter in enumerate(byte_letters())}
         with open(path_a, encoding="utf-8") as file:
             vocabulary = json.load(file)["model"]["vocab"]
-        self.bytes_a = {k: bytes(byte[c] for c in token) if all(c in byte for c in token) else b"" for token, k in vocabulary.items()}
+        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
+        for token, k in vocabulary.items():
+            if all(c in byte for c in token):
+                self.bytes_a[k] = bytes(byte[c] for c in token)
         piece = self.b.id_to_piece
         self.bytes_b = [bytes([int(piece(k)[3:5], 16)]) if self.b.is_byte(k) else piece(k).replace("▁", " ").encode() for k in range(self.b.get_piece_size())]
-        self.length_a = np.array([len(self.bytes_a.get(k, b"")) for k in range(max(self.bytes_a) + 1)])
-        self.length_b = np.array([len(x) for x in self.bytes_b])
         self.blank = self.b.piece_to_id("▁")
-        self.known: dict[str, Unit | None] = {}
-        self.older: dict[str, Unit | None] = {}
-
-    def units(self, texts: list[str | None]) -> list[list[str]]:
-        """Units of each text, all of them known afterwards."""
-        out = [BORDER.split(" " + t) if t else [] for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.older, self.known = self.known, {}
-        new = []
-        for u in set().union(*out).difference(self.known):
-            if u in self.older:
-                self.known[u] = self.older[u]
-            else:
-                new.append(u)
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            ids_a = [e.ids for e in self.a.encode_batch(some, add_special_tokens=False)]
-            ids_b = self.b.encode([u[1:] for u in some], num_threads=1)  # it puts the first blank there itself
-            self.known.update(zip(some, self.aligned(some, ids_a, [b or [self.blank] for b in ids_b])))
-        return out
-
-    def aligned(self, texts: list[str], a: list[list[int]], b: list[list[int]]) -> list[Unit | None]:
-        """None for those where the tokens of a side are not the bytes of the text."""
-        raw = [t.encode() for t in texts]
-        good = np.ones(len(raw), dtype=bool)
-        for ids, known in ((a, self.bytes_a), (b, self.bytes_b)):
-            parts = [b"".join([known[k] for k in x]) for x in ids]
-            if parts != raw:
-                good &= np.array([x == y for x, y in zip(parts, raw)])
-        some = np.flatnonzero(good).tolist()
-        out: list[Unit | None] = [None] * len(raw)
-        if some:
-            for k, unit in zip(some, aligned([a[k] for k in some], [b[k] for k in some], self.length_a, self.length_b)):
-                out[k] = unit
-        return out
-
-
-NOTHING = Unit(0, 0, [], np.zeros(0, np.uint64))
+
+    def units(self, texts: list[str]) -> Units:
+        ids_a, ids_b = [], []
+        for at in range(0, len(texts), 4096):
+            some = texts[at : at + 4096]
+            ids_a += [e.ids for e in self.a.encode_batch(some, add_special_tokens=False)]
+            ids_b += self.b.encode([u[1:] for u in some], num_threads=1)  # it puts the first blank there itself
+        return Units([t.encode() for t in texts], ids_a, [b or [self.blank] for b in ids_b], self.bytes_a, self.bytes_b)
 
 
 @lru_cache(maxsize=2)
@@ -209,61 +192,61 @@ def _encoded(path_a: str, path_b: str, kind: pa.DataType, names: list[str], with
         from pyspark import TaskContext
 
         both, serial = tokenizers(path_a, path_b), TaskContext.get().partitionId() << 24
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for first, last in parts(texts):
-                ids = batch.column("id").slice(first, last - first)
-                seen = both.units(texts[first:last])
-                order = {u: k for k, u in enumerate(dict.fromkeys(chain.from_iterable(seen)))}
-                code = np.fromiter(map(order.__getitem__, chain.from_iterable(seen)), dtype=np.int64)
-                units = [both.known[u] for u in order]
-                many = np.array([len(x) for x in seen])
-                doc = np.repeat(np.arange(len(seen)), many)
-                bad = np.zeros(len(seen), dtype=bool)
-                bad[doc[np.array([u is None for u in units], dtype=bool)[code]]] = True
-                units = [u or NOTHING for u in units]
-                some = ~bad[doc]
-                counts = [np.bincount(doc[some], weights=np.array([getattr(u, x) for u in units], dtype=np.float64)[code[some]], minlength=len(seen)).astype(np.int64) for x in ("n_a", "n_b", "n_groups")]
-                texts_of, at = [u.text for u in units], np.cumsum(many) - many
-                groups = ["" if x else ";".join([texts_of[k] for k in code[i : i + n].tolist()]) for x, i, n in zip(bad.tolist(), at.tolist(), many.tolist())]
-                # pairs of this batch in the order of its runs, and how often each document has which
-                sizes = np.array([len(u.pairs) for u in units], dtype=np.int64)
-                of_unit = np.concatenate([u.pairs for u in units]) if units else np.zeros(0, np.uint64)
-                pairs, rank = np.unique(of_unit, return_inverse=True)
-                runs = list(by_radix(pairs, digit_of(pairs)))
-                place = np.empty(len(pairs), dtype=np.int64)
-                place[np.concatenate([x for _, x in runs]) if runs else []] = np.arange(len(pairs))
-                rank = place[rank]
-                held, repeats = np.unique(doc[some] << 32 | code[some], return_counts=True)
-                m = sizes[held & 0xFFFFFFFF]
-                at = np.repeat((np.cumsum(sizes) - sizes)[held & 0xFFFFFFFF] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-                entry, which = np.unique(np.repeat(held >> 32, m) << 32 | rank[at], return_inverse=True)
-                total = np.zeros(len(entry), dtype=np.int64)
-                np.add.at(total, which, np.repeat(repeats, m))
-                sums = np.zeros(len(pairs), dtype=np.int64)
-                np.add.at(sums, entry & 0xFFFFFFFF, total)
-                for digit, x in runs:  # pairs that only texts without tokens have are 0 times there
-                    yield rows([serial], [digit], [pack(pairs[x], sums[place[x]])], *[None] * 8)
-                edge = np.searchsorted(entry >> 32, np.arange(len(seen) + 1))
-                rank32, total32 = (entry & 0xFFFFFFFF).astype(np.uint32), total.astype(np.uint32)
-                cut = lambda x: [x[a:b].tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
-                yield rows([serial] * len(seen), None, None, ids, *counts, [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups], cut(rank32), cut(total32), groups if with_groups else None)
-                serial += 1
+        for ids, texts in parts(batches):
+            seen = [BORDER.split(" " + t) if t else [] for t in texts]
+            order = {u: k for k, u in enumerate(dict.fromkeys(chain.from_iterable(seen)))}
+            code = np.fromiter(map(order.__getitem__, chain.from_iterable(seen)), dtype=np.int64)
+            many = np.array([len(x) for x in seen])
+            doc = np.repeat(np.arange(len(seen)), many)
+            del seen
+            units = both.units([*order])
+            bad = np.zeros(len(texts), dtype=bool)
+            bad[doc[units.bad[code]]] = True
+            some = ~bad[doc]
+            counts = [np.bincount(doc[some], weights=x[code[some]], minlength=len(texts)).astype(np.int64) for x in (units.n_a, units.n_b, units.n_groups)]
+            at = np.cumsum(many) - many
+            groups = ["" if x else ";".join([units.text[k] for k in code[i : i + n].tolist()]) for x, i, n in zip(bad.tolist(), at.tolist(), many.tolist())]
+            # pairs of this batch in the order of its runs, and how often each document has which
+            sizes = np.diff(units.edge)
+            pairs, rank = np.unique(units.pairs, return_inverse=True)
+            runs = list(by_radix(pairs, digit_of(pairs)))
+            place = np.empty(len(pairs), dtype=np.int64)
+            place[np.concatenate([x for _, x in runs]) if runs else []] = np.arange(len(pairs))
+            rank = place[rank]
+            held, repeats = np.unique(doc[some] << 32 | code[some], return_counts=True)
+            m = sizes[held & 0xFFFFFFFF]
+            at = np.repeat(units.edge[held & 0xFFFFFFFF] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            entry, which = np.unique(np.repeat(held >> 32, m) << 32 | rank[at], return_inverse=True)
+            total = np.zeros(len(entry), dtype=np.int64)
+            np.add.at(total, which, np.repeat(repeats, m))
+            sums = np.zeros(len(pairs), dtype=np.int64)
+            np.add.at(sums, entry & 0xFFFFFFFF, total)
+            for digit, x in runs:  # pairs that only texts without tokens have are 0 times there
+                yield rows([serial], [digit], [pack(pairs[x], sums[place[x]])], *[None] * 8)
+            edge = np.searchsorted(entry >> 32, np.arange(len(texts) + 1))
+            rank32, total32 = (entry & 0xFFFFFFFF).astype(np.uint32), total.astype(np.uint32)
+            cut = lambda x: [x[a:b].tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+            yield rows([serial] * len(texts), None, None, ids, *counts, [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups], cut(rank32), cut(total32), groups if with_groups else None)
+            serial += 1
 
     return run
 
 
-def parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Bounds of batches: rows of about BATCH_BYTES characters, or one longer row."""
-    at = size = 0
-    for k, t in enumerate(texts):
-        n = len(t or "")
-        if k > at and (size + n > BATCH_BYTES or k - at >= BATCH_DOCS):
-            yield at, k
-            at, size = k, 0
-        size += n
-    if at < len(texts):
-        yield at, len(texts)
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str | None]]]:
+    """Ids and texts, about BATCH_BYTES characters of them at once, or one longer text."""
+    held, texts, size = [], [], 0
+    for batch in batches:
+        ids, at = batch.column("id"), 0
+        for k, t in enumerate(batch.column("text").to_pylist()):
+            n = len(t or "")
+            if texts and (size + n > BATCH_BYTES or len(texts) >= BATCH_DOCS):
+                yield pa.concat_arrays([*held, ids.slice(at, k - at)]), texts
+                held, texts, size, at = [], [], 0, k
+            texts.append(t)
+            size += n
+        held.append(ids.slice(at))
+    if texts:
+        yield pa.concat_arrays(held), texts
 
 
 # ---- merging --------------------------------------------------------------------
