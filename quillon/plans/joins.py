@@ -90,7 +90,7 @@ def j9_uncovered_pairs(t):
 @area.query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'v1' ELSE 'v2' END AS id, n_chars || 's' AS time FROM documents UNION ALL SELECT doc_id, 'v3', '9s' FROM documents""")
 def j8_mention_owner(t):
     own = F.when(F.col("doc_id") % 2 == 0, "v1").otherwise("v2")
-    text = F.concat(F.lit("In "), own, F.lit(" at "), F.col("n_chars").cast("string"), F.lit("s it opens, then much later on it is v3 (9s) that shows it"))
+    text = F.concat("text", F.lit("\nIn "), own, F.lit(" at "), F.col("n_chars").cast("string"), F.lit("s it opens, then much later on it is v3 (9s) that shows it"))
     return jo.mention_owner(t.documents.select("doc_id", text.alias("text")), text="text", ids=r"v\d+", times=r"\d+s")
 
 

@@ -83,12 +83,14 @@ def f9_training_messages(t):
     return t.conversations.select("conv_id", "turn", qu.to_training_message(role, F.col("text")).alias("m")).select("conv_id", "turn", "m.*")
 
 
-@area.query("""SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN 'count' WHEN 1 THEN 'yes_no' END AS prompt_kind FROM conversations WHERE turn % 5 < 2 AND turn % 2 = conv_id % 2""")
+@area.query(r"""SELECT conv_id, turn, prompt_kind FROM (SELECT *, CASE WHEN regexp_matches(p, '\bhow many\b|\bcount\b') THEN 'count' WHEN regexp_matches(p, '\bwhen\b|\btime\b') THEN 'time' WHEN regexp_matches(p, '^(is|are|does|do|did|was|were|has|have|can)\b') THEN 'yes_no'
+  WHEN regexp_matches(p, '\bwhich\b|\bwhat\b|\bwho\b|\bwhere\b') THEN 'what' END AS prompt_kind FROM (SELECT conv_id, turn, lower(['How many red cars pass?', 'Is the door open?', 'Survey: what is there?', 'Please look.', 'Please look.'][turn % 5 + 1] || chr(10) || text) AS p FROM conversations))
+  WHERE prompt_kind IS NOT NULL AND turn % 2 = conv_id % 2 AND NOT regexp_matches(p, 'survey|overview|describe (all|every)|scan the whole')""")
 def f10_mine_tool_questions(t):
     k = F.col("turn") % 5
     prompt = F.when(k == 0, "How many red cars pass?").when(k == 1, "Is the door open?").when(k == 2, "Survey: what is there?").otherwise("Please look.")
     targets = F.when(F.col("turn") % 2 == F.col("conv_id") % 2, F.array(F.lit("v1"))).otherwise(F.array(F.lit("v1"), F.lit("v2")))
-    return qu.mine_tool_questions(t.conversations.select("conv_id", "turn", prompt.alias("p"), targets.alias("t")), targets="t", prompt="p").select("conv_id", "turn", "prompt_kind")
+    return qu.mine_tool_questions(t.conversations.select("conv_id", "turn", F.concat(prompt, F.lit("\n"), "text").alias("p"), targets.alias("t")), targets="t", prompt="p").select("conv_id", "turn", "prompt_kind")
 
 
 @area.query("""SELECT d.doc_id, b.item_id FROM documents d, benchmark b WHERE contains(d.text, trim(b.text))""")
@@ -114,7 +116,8 @@ def f13_duration_band(t):
 @area.query("""SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN 'out of range' WHEN turn % 5 = 1 THEN 'repeated' WHEN turn % 5 = 2 THEN 'missing' WHEN turn % 5 = 3 THEN 'confidence too low' END AS issue, turn % 5 = 4 AS ok FROM conversations""")
 def f14_order_check(t):
     k = F.col("turn") % 5
-    rows = t.conversations.select("conv_id", "turn", F.when(k == 0, "1->2->9").when(k == 1, "1, 2, 2, 3").when(k == 2, "3 1").otherwise("3->1->2").alias("a"), F.lit(3).alias("n"), F.when(k == 3, 5.0).otherwise(9.0).alias("c"))
+    rows = t.conversations.select("conv_id", "turn", F.when(k == 0, "1->2->9").when(k == 1, "1, 2, 2, 3").when(k == 2, "3 1").otherwise("3->1->2").alias("a"), "text", F.lit(3).alias("n"), F.when(k == 3, 5.0).otherwise(9.0).alias("c"))
+    rows = rows.withColumn("a", F.concat("text", F.lit("\nSo: "), "a"))
     return qu.order_check(rows, answer="a", n="n", confidence="c").select("conv_id", "turn", "issue", "ok")
 
 
@@ -159,9 +162,9 @@ def f19_preference_pairs(t):
     return qu.preference_pairs(pairs.withColumn("p", F.lit("Q:")), prompt="p", chosen="good", rejected="bad")
 
 
-@area.query("""SELECT conv_id, turn, 'text:look ,image:<image>,text: and ,video:<video>' || CASE WHEN turn % 2 = 0 THEN ',text:' || role ELSE '' END AS parts, turn % 3 = 0 AS matches FROM conversations""")
+@area.query("""SELECT conv_id, turn, 'text:' || text || ',image:<image>,text: and ,video:<video>' || CASE WHEN turn % 2 = 0 THEN ',text:' || text ELSE '' END AS parts, turn % 3 = 0 AS matches FROM conversations""")
 def f20_message_parts(t):
-    text = F.concat(F.lit("look <image> and <video>"), F.when(F.col("turn") % 2 == 0, F.col("role")).otherwise(""))
+    text = F.concat("text", F.lit("<image> and <video>"), F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(""))
     parts = F.transform(qu.message_parts(text), lambda p: F.concat_ws(":", p["type"], p["text"]))
     return t.conversations.select("conv_id", "turn", F.array_join(parts, ",").alias("parts"), qu.media_match(text, F.lit(1), F.when(F.col("turn") % 3 == 0, 1).otherwise(2)).alias("matches"))
 

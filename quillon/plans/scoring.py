@@ -14,11 +14,13 @@ area = Area()
 OPTIONS = ["A. eins", "B. zwei", "C. drei"]
 
 
-@area.query("""
-  SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'B,A' WHEN 1 THEN 'B' WHEN 2 THEN 'option ' || lang || 'x' ELSE 'C' END AS choice FROM documents""")
+@area.query(r"""SELECT conv_id, turn, CASE WHEN len(letters) > 0 THEN array_to_string(letters, ',') WHEN lower(clean) = 'zwei' THEN 'B' ELSE replace(lower(clean), 'ß', 'ss') END AS choice FROM (SELECT *,
+  list_filter(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN list_position(w, w[i]) = i THEN w[i] END), lambda x: x IS NOT NULL) AS letters FROM (SELECT *,
+    list_filter(string_split(regexp_replace(upper(clean), '[^\p{L}\p{N}_]', ' ', 'g'), ' '), lambda x: regexp_matches(x, '^[A-C]$')) AS w
+    FROM (SELECT conv_id, turn, trim(regexp_replace(CASE WHEN turn % 7 = 6 THEN ' ZWEI ' ELSE text END, '[ \t\n\x0b\f\r]+', ' ', 'g')) AS clean FROM conversations)))""")
 def c1_choice_key(t):
-    text = F.when(F.col("doc_id") % 4 == 0, "B  and a, then B or Z").when(F.col("doc_id") % 4 == 1, " ZWEI ").when(F.col("doc_id") % 4 == 2, F.concat(F.lit("Option  "), "lang", F.lit("X"))).otherwise("It is (C).")
-    return t.documents.select("doc_id", an.choice_key(text, F.array(*map(F.lit, OPTIONS))).alias("choice"))
+    text = F.when(F.col("turn") % 7 == 6, " ZWEI ").otherwise(F.col("text"))
+    return t.conversations.select("conv_id", "turn", an.choice_key(text, F.array(*map(F.lit, OPTIONS))).alias("choice"))
 
 
 @area.query("SELECT doc_id, array_to_string(regexp_extract_all(text, '[0-9]+'), '->') AS sequence FROM documents")
@@ -119,19 +121,18 @@ LAST = {0: ("Answer: 3\nthen answer : $x=", "$ minutes"), 1: ("Answer: x + 1", "
 
 
 @area.query("""SELECT doc_id, CASE WHEN k IN (0, 2, 4) THEN 1.0 ELSE -1.0 END AS "score~", k IN (0, 2, 4) AS acc, CASE WHEN k IN (0, 2, 4) THEN n_chars::VARCHAR WHEN k = 1 THEN 'x+1' WHEN k = 5 THEN '\\frac{1}{' || left(n_chars::VARCHAR, 1) || '}' || substr(n_chars::VARCHAR, 2) ELSE '[INVALID]' END AS pred
-  FROM (SELECT *, doc_id % 6 AS k FROM documents) WHERE NOT contains(lower(right(text, 300)), 'answer')""")
+  FROM (SELECT *, doc_id % 6 AS k FROM documents)""")
 def c11_answer_line(t):
     n = F.col("n_chars").cast("string")
     said = F.concat("text", F.lit("\n"))  # what was thought before the answer
     text = F.coalesce(*[F.when(F.col("doc_id") % 6 == k, F.concat(said, F.lit(a), F.lit("") if k == 1 else n, F.lit(b))) for k, (a, b) in LAST.items()])
-    rows = t.documents.filter(~F.lower(F.right("text", F.lit(300))).contains("answer"))
-    return rows.select("doc_id", an.answer_line_score(text, n).alias("s")).select("doc_id", "s.*")
+    return t.documents.select("doc_id", an.answer_line_score(text, n).alias("s")).select("doc_id", "s.*")
 
 
 @area.query("""SELECT doc_id, (doc_id % 3 < 2)::INT::DOUBLE AS "score~" FROM documents""")
 def c12_boxed(t):
     k = F.col("doc_id") % 3
-    text = F.concat(F.lit("is \\boxed{1}, no, \\boxed{"), F.when(k == 0, "\\dfrac{1}{2}").when(k == 1, "0.5").otherwise("\\frac{1}{{3}}"), F.lit("} "), F.left("lang", F.lit(2)))
+    text = F.concat("text", F.lit(" is \\boxed{1}, no, \\boxed{"), F.when(k == 0, "\\dfrac{1}{2}").when(k == 1, "0.5").otherwise("\\frac{1}{{3}}"), F.lit("} "), F.left("lang", F.lit(2)))
     return t.documents.select("doc_id", sc.boxed_score(text, F.lit("1/2")).alias("score"))
 
 
@@ -180,8 +181,8 @@ def c19_concise_answer(t):
 
 @area.query("""SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 8.0 WHEN 1 THEN 7.0 END AS "confidence~" FROM conversations""")
 def c20_confidence(t):
-    text = F.when(F.col("turn") % 3 == 0, '{"a": {"confidence": 0.8}} Confidence: 3, confidence 40').when(F.col("turn") % 3 == 1, "Confidence = 7").otherwise(F.col("role"))
-    return t.conversations.select("conv_id", "turn", an.confidence(text).alias("confidence"))
+    said = F.when(F.col("turn") % 3 == 0, '{"a": {"confidence": 0.8}} Confidence: 3, confidence 40').when(F.col("turn") % 3 == 1, "Confidence = 7").otherwise(F.col("role"))
+    return t.conversations.select("conv_id", "turn", an.confidence(F.concat("text", F.lit("\n"), said)).alias("confidence"))
 
 
 @area.query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 138.3 WHEN 1 THEN doc_id END AS "start_s~", CASE doc_id % 3 WHEN 0 THEN 163.5 WHEN 1 THEN doc_id END AS "end_s~" FROM documents""")
@@ -191,26 +192,25 @@ def c21_span(t):
 
 
 @area.query("""SELECT doc_id, q.* FROM documents JOIN (VALUES (0, 'red cars', 'red', 'same-direction-behind', 'A2', 'A2'), (1, 'people', NULL, 'pass-by', 'B1', 'A1,B1'), (2, 'light blue buses', 'light blue', 'parked-front', 'A3', 'A3'), (3, 'cycles', NULL, 'overtake', 'A1', 'A1'), (4, 'white birds', 'white', '?', NULL, '')) q(k, category, colour, relation, reference, mentioned)
-  ON doc_id % 5 = k WHERE NOT regexp_matches(lower(text), 'how\\s+many')""".replace("q.*", "category, colour, relation, reference, mentioned"))
+  ON doc_id % 5 = k""".replace("q.*", "category, colour, relation, reference, mentioned"))
 def c22_count_clause(t):
     k = F.col("doc_id") % 5
     ask = (F.when(k == 0, "How many red cars are parked in the street behind {A2}?").when(k == 1, "how  many, no, how many people in total who see {A1} does {B1} pass by?").when(k == 2, "How many light blue buses parked in front of {A3}")
            .when(k == 3, "how many cycles does {A1} overtake").otherwise("How many white birds do you see ?"))
     text = F.concat(F.lit("Once {A9} appears, yellow trucks. "), "text", F.lit(" "), ask)  # what comes before the question is not part of it
-    rows = t.documents.filter(~F.col("text").rlike(r"(?i)how\s+many"))
-    return rows.select("doc_id", an.count_clause(text).alias("c")).select("doc_id", "c.category", "c.colour", "c.relation", "c.reference", F.array_join("c.mentioned", ",").alias("mentioned"))
+    return t.documents.select("doc_id", an.count_clause(text).alias("c")).select("doc_id", "c.category", "c.colour", "c.relation", "c.reference", F.array_join("c.mentioned", ",").alias("mentioned"))
 
 
-@area.query("""SELECT doc_id, 'left of obj_' || doc_id || ' or obj_' || n_chars || ' {A3}' AS text FROM documents""")
+@area.query("""SELECT doc_id, text || ' left of obj_' || doc_id || ' or obj_' || n_chars || ' {A3}' AS text FROM documents""")
 def c23_fill_placeholders(t):
-    return t.documents.select("doc_id", an.fill_placeholders(F.lit("left of {A1} or {A2} {A3}"), F.array("doc_id", "n_chars")).alias("text"))
+    return t.documents.select("doc_id", an.fill_placeholders(F.concat("text", F.lit(" left of {A1} or {A2} {A3}")), F.array("doc_id", "n_chars")).alias("text"))
 
 
 @area.query("""SELECT conv_id, turn, CASE turn % 4 WHEN 3 THEN NULL ELSE '{"k":' || turn || '}' END AS json FROM conversations""")
 def c24_json_in(t):
     obj = F.to_json(F.struct(F.col("turn").alias("k")))
     k = F.col("turn") % 4
-    text = F.when(k == 0, obj).when(k == 1, F.concat(F.lit("so ```json\n"), obj, F.lit("\n``` {x}"))).when(k == 2, F.concat(F.lit("see "), obj, F.lit(" there"))).otherwise("{no")
+    text = F.when(k == 0, obj).when(k == 1, F.concat("text", F.lit(" so ```json\n"), obj, F.lit("\n``` {x}"))).when(k == 2, F.concat("text", F.lit(" see "), obj, F.lit(" there "), "text")).otherwise(F.concat("text", F.lit("{no")))
     return t.conversations.select("conv_id", "turn", an.json_in(text).alias("json"))
 
 
@@ -227,8 +227,8 @@ def c26_render_interval(t):
 
 @area.query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'v2' END AS id FROM documents""")
 def c34_named_id(t):
-    text = F.when(F.col("doc_id") % 3 == 0, "see v2, v2 and v9").when(F.col("doc_id") % 3 == 1, "v1 or v2").otherwise("none")
-    return t.documents.select("doc_id", an.named_id(text, F.array(F.lit("v1"), F.lit("v2")), r"\b(v\d+)\b").alias("id"))
+    said = F.when(F.col("doc_id") % 3 == 0, "see v2, v2 and v9").when(F.col("doc_id") % 3 == 1, "v1 or v2").otherwise("none")
+    return t.documents.select("doc_id", an.named_id(F.concat(said, F.lit(" "), "text"), F.array(F.lit("v1"), F.lit("v2")), r"\b(v\d+)\b").alias("id"))
 
 
 @area.query("""SELECT name, total AS "total~", n_values, first AS "first~" FROM (SELECT 'train/' || event_type AS name, round(sum(value), 2) AS total, count(*) AS n_values, arg_min(value, event_id) AS first FROM events GROUP BY 1)""", digits=2)

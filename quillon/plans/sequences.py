@@ -83,7 +83,7 @@ def w18_expand_span(t):
 
 @area.query("""SELECT doc_id, abs(n_chars % 90 - 20) > 2 OR abs(n_chars % 90 + 19 - 40) > 2 AS repaired, CASE WHEN abs(n_chars % 90 - 20) > 2 OR abs(n_chars % 90 + 19 - 40) > 2 THEN 20 ELSE n_chars % 90 END AS "a~" FROM documents""")
 def w19_repair_chunk_reference(t):
-    rows = t.documents.select("doc_id", F.lit("see Chunk 2/5.").alias("x"), (F.col("n_chars") % 90).cast("double").alias("a"), (F.col("n_chars") % 90 + 19.0).alias("b"), F.lit(100.0).alias("d"))
+    rows = t.documents.select("doc_id", F.concat("text", F.lit("\nsee Chunk 2/5.")).alias("x"), (F.col("n_chars") % 90).cast("double").alias("a"), (F.col("n_chars") % 90 + 19.0).alias("b"), F.lit(100.0).alias("d"))
     return se.repair_chunk_reference(rows, text="x", start="a", end="b", duration="d").select("doc_id", "repaired", "a")
 
 
