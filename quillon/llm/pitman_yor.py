@@ -39,10 +39,12 @@ from .words import Words, mix, texts_of
 
 #: Bound on the frequent words and contexts; endings.
 FREQUENT, ENDINGS = 1 << 16, 1 << 16
-#: Tokens in a bucket, bytes of text packed at once, and documents among them.
-BUCKET_TOKENS, PACK_BYTES, PACK_DOCS = 1_000_000, 3 << 20, 4096
+#: Tokens in a bucket, bytes of text packed at once, and documents among them; bytes that a token takes, about.
+BUCKET_TOKENS, PACK_BYTES, PACK_DOCS, TOKEN_BYTES = 1_000_000, 6 << 20, 16384, 6
+#: One text in so many tells which words are frequent, which is all about where their pairs are counted.
+SAMPLE = 16
 #: Sweeps, and how many of the last are averaged.
-SWEEPS, AVERAGED = 6, 3
+SWEEPS, AVERAGED = 4, 2
 #: Strength of all restaurants.
 STRENGTH, SEED = 1.0, 17
 EXACT = 32
@@ -61,9 +63,10 @@ class Tokens:
     def __init__(self, texts: list[bytes]):
         words = Words([t.translate(_LOWER) for t in texts])
         name = words.names()[:, 0] >> np.uint64(8)
-        buf, end = words.buf.astype(np.uint32), words.end
+        buf, end = words.buf, words.end
         size = end - words.start
-        code = buf[end - 1] | (np.where(size > 1, buf[end - 2], 0) << 8) | (np.where(size > 2, buf[end - 3], 0) << 16) | (np.minimum(size, 4).astype(np.uint32) << 24)
+        last = lambda k: np.where(size >= k, buf[end - k], 0).astype(np.uint32)
+        code = last(1) | (last(2) << 8) | (last(3) << 16) | (np.minimum(size, 4).astype(np.uint32) << 24)
         ending = mix(code.astype(np.uint64)) >> np.uint64(48)
         many = np.diff(words.first)
         self.doc = np.repeat(np.arange(len(texts)), many + 1)
@@ -88,36 +91,38 @@ def place_of(names: np.ndarray, among: np.ndarray) -> np.ndarray:
     return np.where(among[at] == names, at, -1)
 
 
-def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    texts = texts_of(batch.column("text"))
-    at = size = 0
-    for k, t in enumerate(texts):
-        if k > at and (size + len(t) > PACK_BYTES or k - at >= PACK_DOCS):
-            yield batch.slice(at, k - at), texts[at:k]
-            at, size = k, 0
-        size += len(t)
-    if at < len(texts):
-        yield batch.slice(at), texts[at:]
-
-
-_HEAVY = "kind int, name long, n long"
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[bytes]]]:
+    """Rows and their texts, about PACK_BYTES of them at once, or one longer text."""
+    held: list[pa.RecordBatch] = []
+    texts: list[bytes] = []
+    size = 0
+    for batch in batches:
+        new, at = texts_of(batch.column("text")), 0
+        batch = batch.drop_columns(["text"])
+        for k, t in enumerate(new):
+            if texts and (size + len(t) > PACK_BYTES or len(texts) >= PACK_DOCS):
+                yield pa.Table.from_batches([*held, batch.slice(at, k - at)]), texts
+                held, texts, size, at = [], [], 0, k
+            texts.append(t)
+            size += len(t)
+        held.append(batch.slice(at))
+    if texts:
+        yield pa.Table.from_batches(held), texts
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words with over 1/(2 FREQUENT) of a task's tokens (kind 0), and the number of tokens (2)."""
+    """Words with over 1/(2 FREQUENT) of a task's tokens, and under 0 the number of tokens."""
     seen: dict[int, int] = {}
     total = 0
-    for batch in batches:
-        for _, texts in _parts(batch):
-            word = Tokens(texts).word
-            total += len(word)
-            u, n = np.unique(word, return_counts=True)
-            some = n > max(1, len(word) / (2 * FREQUENT))  # of a part only what is frequent there: what is frequent in all is so in some part
-            for x, count in zip(u[some].tolist(), n[some].tolist()):
-                seen[x] = seen.get(x, 0) + count
-            seen = _bounded(seen)
-    names = np.array([*seen, 0], dtype=np.uint64).view(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array([0] * len(seen) + [2], pa.int32()), pa.array(names), pa.array([*seen.values(), total], pa.int64())], names=[c.split()[0] for c in _HEAVY.split(", ")])
+    for _, texts in _parts(batches):
+        word = Tokens(texts).word
+        total += len(word)
+        u, n = np.unique(word, return_counts=True)
+        some = n > max(1, len(word) / (2 * FREQUENT))  # of a part only what is frequent there: what is frequent in all is so in some part
+        for x, count in zip(u[some].tolist(), n[some].tolist()):
+            seen[x] = seen.get(x, 0) + count
+        seen = _bounded(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(np.array([*seen, 0], dtype=np.uint64).view(np.int64)), pa.array([*seen.values(), total], pa.int64())], names=["name", "n"])
 
 
 def _bounded(seen: dict) -> dict:
@@ -137,45 +142,44 @@ _PACKED = "bucket int, batch long, counts binary, entries binary, ids binary"
 
 
 def _pack(buckets: int, handle):
-    """A row for each bucket with the counts of the batch's pairs there, and one without a bucket with which
-    documents hold which pair how often, in the order of those rows."""
+    """A row for each bucket with the counts of the batch's pairs there, and one below 0 with which documents hold
+    which pair how often, in the order of those rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         common, serial = handle.value, TaskContext.get().partitionId() << 24
-        for batch in batches:
-            for part, texts in _parts(batch):
-                t = Tokens(texts)
-                row = np.asarray(part.column("row"))
-                learn = part.column("train").to_numpy(zero_copy_only=False)
-                word, code = np.unique(t.word, return_inverse=True)
-                ctx, before = np.unique(t.context, return_inverse=True)
-                pair, which = np.unique(code * len(ctx) + before, return_inverse=True)
-                key, times = np.unique(which * len(texts) + t.doc, return_counts=True)
-                doc, of_pair = key % len(texts), key // len(texts)
-                first = np.searchsorted(of_pair, np.arange(len(pair)))
-                entries = np.diff(np.append(first, len(key)))
-                train = np.add.reduceat(np.where(learn[doc], times, 0), first)
-                of, context = pair // len(ctx), pair % len(ctx)
-                spread = (place_of(word, common.words) >= 0)[of]
-                where = mix(word[of] + np.where(spread, (ctx[context] & _ENDING) + np.uint64(1), np.uint64(0)) * np.uint64(0x9E3779B97F4A7C15))
-                bucket = (where % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                rows = []
-                for b in np.flatnonzero(np.diff(edge)).tolist():
-                    at = order[edge[b] : edge[b + 1]]
-                    codes, count = np.unique(of[at], return_counts=True)
-                    names, index = np.unique(context[at], return_inverse=True)
-                    rows.append((b, serial, pack(word[codes], count.astype(np.uint32), ctx[names], index.astype(np.uint32), train[at].astype(np.uint32)), None, None))
-                    if len(rows) >= 64:
-                        yield _rows(rows)
-                        rows = []
-                m = entries[order]
-                pos = np.repeat(first[order] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-                yield _rows([*rows, (None, serial, None, pack(m.astype(np.uint32), doc[pos].astype(np.uint16), times[pos].astype(np.uint32)), pack(row))])
-                serial += 1
+        for part, texts in _parts(batches):
+            t = Tokens(texts)
+            row = part.column("row").to_numpy()
+            learn = part.column("train").to_numpy()
+            word, code = np.unique(t.word, return_inverse=True)
+            ctx, before = np.unique(t.context, return_inverse=True)
+            pair, which = np.unique(code * len(ctx) + before, return_inverse=True)
+            key, times = np.unique(which * len(texts) + t.doc, return_counts=True)
+            doc, of_pair = key % len(texts), key // len(texts)
+            first = np.searchsorted(of_pair, np.arange(len(pair)))
+            entries = np.diff(np.append(first, len(key)))
+            train = np.add.reduceat(np.where(learn[doc], times, 0), first)
+            of, context = pair // len(ctx), pair % len(ctx)
+            spread = (place_of(word, common.words) >= 0)[of]
+            where = mix(word[of] + np.where(spread, (ctx[context] & _ENDING) + np.uint64(1), np.uint64(0)) * np.uint64(0x9E3779B97F4A7C15))
+            bucket = (where % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            rows = []
+            for b in np.flatnonzero(np.diff(edge)).tolist():
+                at = order[edge[b] : edge[b + 1]]
+                codes, count = np.unique(of[at], return_counts=True)
+                names, index = np.unique(context[at], return_inverse=True)
+                rows.append((b, serial, pack(word[codes], count.astype(np.uint32), ctx[names], index.astype(np.uint32), train[at].astype(np.uint32)), None, None))
+                if len(rows) >= 64:
+                    yield _rows(rows)
+                    rows = []
+            m = entries[order]
+            pos = np.repeat(first[order] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            yield _rows([*rows, (-1 - serial % buckets, serial, None, pack(m.astype(np.uint32), doc[pos].astype(np.uint16), times[pos].astype(np.uint32)), pack(row))])
+            serial += 1
 
     return run
 
@@ -185,12 +189,14 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in _PACKED.split(", ")])
 
 
-_MERGED = "bucket int, counts binary, parts array<struct<batch:bigint,pairs:binary>>"
+_MERGED = "bucket int, counts binary, parts array<struct<batch:bigint,pairs:binary,entries:binary,ids:binary>>"
 
 
 def _merge(table: pa.Table) -> pa.Table:
     """All rows of a bucket as one: distinct pairs with their training counts, and the pairs of each batch."""
     rows = sorted(table.to_pylist(), key=lambda r: r["batch"])
+    if rows[0]["bucket"] < 0:
+        return _merged(rows[0]["bucket"], None, [{"batch": r["batch"], "pairs": None, "entries": r["entries"], "ids": r["ids"]} for r in rows])
     got = [unpack(r["counts"], *_COUNTS) for r in rows]
     words, of_word = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
     contexts, of_context = np.unique(np.concatenate([g[2] for g in got]), return_inverse=True)
@@ -202,10 +208,14 @@ def _merge(table: pa.Table) -> pa.Table:
     pair, place = np.unique(np.concatenate(keys), return_inverse=True)
     train = np.bincount(place, weights=np.concatenate([g[4] for g in got]), minlength=len(pair))
     edge = np.cumsum([len(k) for k in keys])[:-1]
-    parts = [{"batch": r["batch"], "pairs": pack(x.astype(np.uint32))} for r, x in zip(rows, np.split(place, edge))]
+    parts = [{"batch": r["batch"], "pairs": pack(x.astype(np.uint32)), "entries": None, "ids": None} for r, x in zip(rows, np.split(place, edge))]
     counts = pack(words, np.bincount(pair >> 32, minlength=len(words)).astype(np.uint32), contexts, (pair & 0xFFFFFFFF).astype(np.uint32), train.astype(np.uint32))
-    kind = pa.list_(pa.struct([("batch", pa.int64()), ("pairs", pa.binary())]))
-    return pa.table({"bucket": pa.array([rows[0]["bucket"]], pa.int32()), "counts": pa.array([counts], pa.binary()), "parts": pa.array([parts], kind)})
+    return _merged(rows[0]["bucket"], counts, parts)
+
+
+def _merged(bucket: int, counts: bytes | None, parts: list[dict]) -> pa.Table:
+    kind = pa.list_(pa.struct([("batch", pa.int64()), ("pairs", pa.binary()), ("entries", pa.binary()), ("ids", pa.binary())]))
+    return pa.table({"bucket": pa.array([bucket], pa.int32()), "counts": pa.array([counts], pa.binary()), "parts": pa.array([parts], kind)})
 
 
 # ---- seating --------------------------------------------------------------------
@@ -466,16 +476,19 @@ class Model:
         self.known: list[Globals] = []
         self.states: list[tuple[DataFrame, DataFrame]] = []
         self.train_tokens = 0
-        self.home: DataFrame | None = None
 
     def rows(self, *columns: str, last: int = 1) -> DataFrame:
         """The buckets with their last states, the latest without a number: state, totals, state1, totals1, ..."""
-        out = self.merged.select("bucket", *columns)
+        out = self.merged.filter("bucket >= 0").select("bucket", *columns)
         for i, (state, totals) in enumerate(reversed(self.states[-last:])):
             end = str(i) if i else ""
             out = out.join(state.select("bucket", F.col("data").alias(f"state{end}")), "bucket").join(totals.select("bucket", F.col("data").alias(f"totals{end}")), "bucket", "left")
         return out
 
+    def home(self) -> DataFrame:
+        """For each batch which documents hold which pairs."""
+        return self.merged.filter("bucket < 0").select(F.explode("parts").alias("p")).select("p.batch", "p.entries", "p.ids")
+
     def step(self, keep: int) -> None:
         """A sweep, and its totals: at most ENDINGS + 2 FREQUENT + 5 rows for the driver; those of other contexts
         are summed up in tasks and brought back to the buckets that have them."""
@@ -515,8 +528,7 @@ UNIT = 1e-6
 
 
 def _answer(handle, averaged: int):
-    """For each batch and bucket, in the order of the batch's pairs: the training count of the word and the averaged log10 probability."""
-    names = [c.split()[0] for c in _ANSWER.split(", ")]
+    """For each bucket, in the order of its pairs: the training count of the word and the averaged log10 probability."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, known = handle.value
@@ -530,14 +542,21 @@ def _answer(handle, averaged: int):
                 log = np.rint(np.log10(p / averaged) / UNIT).astype(np.int32)
                 count = b.count.copy()
                 count[~b.own] = known[-1].counts[b.slot[~b.own]]
-                count = count[b.of]
-                for part in batch.column("parts")[r].as_py():
-                    [pair] = unpack(part["pairs"], np.uint32)
-                    yield pa.RecordBatch.from_arrays([pa.array([b.number], pa.int32()), pa.array([part["batch"]]), pa.array([pack(count[pair], log[pair])], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([b.number], pa.int32()), pa.array([pack(count[b.of], log)], pa.binary())], names=["bucket", "answers"])
 
     return run
 
 
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The answers of a bucket for each batch, in the order of the batch's pairs."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            count, log = unpack(batch.column("answers")[r].as_py(), np.int64, np.int32)
+            for part in batch.column("parts")[r].as_py():
+                [pair] = unpack(part["pairs"], np.uint32)
+                yield pa.RecordBatch.from_arrays([batch.column("bucket").slice(r, 1), pa.array([part["batch"]]), pa.array([pack(count[pair], log[pair])], pa.binary())], names=[c.split()[0] for c in _ANSWER.split(", ")])
+
+
 def _total(floor: int):
     """Sums for the documents of one batch."""
 
@@ -555,26 +574,25 @@ def _total(floor: int):
 
 
 def fit(base: DataFrame, *, sweeps: int = SWEEPS, averaged: int = AVERAGED, bucket_tokens: int = BUCKET_TOKENS) -> Model:
-    """base(row, train, text): a model of the texts that train, with the states of the last sweeps and, in
-    `home`, which documents hold which pairs."""
+    """base(row, train, text): a model of the texts that train, with the states of the last sweeps and with
+    which documents of all hold which pairs."""
     if not 1 <= averaged <= sweeps:
         raise ValueError("averaged must be from 1 to sweeps")
     spark = base.sparkSession
     bounded_batches(spark)
-    heavy = written(base.select("text").mapInArrow(_frequent, _HEAVY).groupBy("kind", "name").agg(F.sum("n").alias("n")), "frequent")
-    tokens = int(heavy.filter("kind = 2").agg(F.sum("n")).first()[0] or 0)
-    most = heavy.filter((F.col("kind") == 0) & (F.col("n") * FREQUENT > tokens)).orderBy(F.desc("n"), "name").limit(FREQUENT).toArrow()
+    some = base.filter(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(_frequent, "name long, n long")
+    heavy = written(some.groupBy("name").agg(F.sum("n").alias("n")), "frequent")
+    seen = heavy.filter("name = 0").agg(F.sum("n")).first()[0] or 0
+    most = heavy.filter((F.col("name") != 0) & (F.col("n") * FREQUENT > seen)).orderBy(F.desc("n"), "name").limit(FREQUENT).toArrow()
     common = Common(np.asarray(most.column("name")).astype(np.int64).view(np.uint64))
-    buckets = max(1, -(-tokens // bucket_tokens))
-    packed = base.mapInArrow(_pack(buckets, spark.sparkContext.broadcast(common)), _PACKED)
-    packed = written(packed, "batches")
+    tokens = base.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) / TOKEN_BYTES + 1)).first()[0] or 0
+    buckets = max(1, -(-int(tokens) // bucket_tokens))
 
     def merged() -> DataFrame:
-        runs = packed.filter("bucket is not null").select("bucket", "batch", "counts")
-        return runs.repartition(max(1, -(-buckets // 2)), "bucket").groupBy("bucket").applyInArrow(_merge, _MERGED)
+        packed = base.mapInArrow(_pack(buckets, spark.sparkContext.broadcast(common)), _PACKED)
+        return packed.repartition(max(1, -(-buckets // 2)), "bucket").groupBy("bucket").applyInArrow(_merge, _MERGED)
 
     model = Model(written(merged(), "buckets"), common, buckets)  # nothing else refers to the plan, so its shuffle goes once it is written
-    model.home = packed.filter("bucket is null").select("batch", "entries", "ids")
     for _ in range(sweeps + 1):
         model.step(averaged)
     return model
@@ -599,8 +617,11 @@ def lm_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     spark, common = docs.sparkSession, model.common
     known = model.known[-averaged:]
     floor = model.train_tokens + round(1 / known[0].base)
-    answers = model.rows("counts", "parts", last=averaged).mapInArrow(_answer(spark.sparkContext.broadcast((common, known)), averaged), _ANSWER)
-    sums = model.home.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_total(floor), "row long, n_tokens long, n_known long, base_score double, score double")
+    answers = written(model.rows("counts", last=averaged).mapInArrow(_answer(spark.sparkContext.broadcast((common, known)), averaged), "bucket int, answers binary"), "answers")
+    for table in [x for both in model.states for x in both]:
+        discard(table)
+    answers = model.merged.filter("bucket >= 0").select("bucket", "parts").join(answers, "bucket").mapInArrow(_dealt, _ANSWER)
+    sums = model.home().groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_total(floor), "row long, n_tokens long, n_known long, base_score double, score double")
     sums = sums.groupBy("row").agg(F.count("*").alias("copies"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     sums = written(sums, "scores")
     each = lambda c: (F.col(c) / F.col("copies")).cast(sums.schema[c].dataType)

@@ -19,7 +19,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _POWERS: dict[int, np.ndarray] = {}
 #: Names of words that a worker has seen, and how many, of how many bytes, it keeps.
 _NAMES: dict[bytes, bytes] = {}
-_KEPT_WORDS, _KEPT_BYTES = 400_000, 32 << 20
+_KEPT_WORDS, _KEPT_BYTES = 200_000, 16 << 20
 
 #: Bytes of text that are worked on at once; arrays take about 40 times as much.
 CHUNK_BYTES = 1 << 20
