@@ -136,6 +136,20 @@ def t5_object_memory(t):
     return memory.select(F.col("user_id").alias("u"), "object", views.alias("views"))
 
 
+@area.query("""SELECT u, object, array_to_string(list(v || '=' || s ORDER BY v), ',') AS views FROM (SELECT user_id AS u, event_type AS object, CASE event_id % 4 WHEN 3 THEN 'note' ELSE 'v' || event_id % 4 END AS v, arg_max(event_id, event_id) AS s
+  FROM events e WHERE event_id > coalesce((SELECT max(event_id) FROM events r WHERE r.user_id = e.user_id AND r.event_id % 41 = 0), -1) GROUP BY 1, 2, 3) GROUP BY 1, 2""")
+def t5_object_memory_stream(t):
+    out, check = shared_place(t.spark, "t5m"), shared_place(t.spark, "t5m-check")
+    rocks(t)
+    view = F.when(F.col("event_id") % 4 == 3, F.lit(None)).otherwise(F.concat(F.lit(" v"), (F.col("event_id") % 4).cast("string")))
+    updates = _events(t).select("user_id", "event_id", F.concat("event_type", F.lit(" ")).alias("object"), view.alias("view"), F.col("event_id").cast("string").alias("state"))
+    changes = st.object_memory_stream(updates, key="user_id", order="event_id", obj="object", view="view", state="state", reset=F.col("event_id") % 41 == 0)
+    st.run_to_end(changes, out, check, mode="update", each=lambda b, k: b.write.mode("overwrite").parquet(f"{out}/batch={k}"))
+    memory = st.memory_of_changes(t.spark.read.parquet(out), key="user_id")
+    views = F.array_join(F.transform(F.array_sort(F.map_keys("views")), lambda v: F.concat(v, F.lit("="), F.col("views")[v])), ",")
+    return memory.select(F.col("user_id").alias("u"), "object", views.alias("views"))
+
+
 @area.query("""SELECT event_type, fields, n_values FROM (SELECT event_type, array_to_string(list_sort(list(DISTINCT 'f' || event_id % 3)), ',') AS fields, count(DISTINCT (event_id % 3, event_id % 5))::BIGINT AS n_values FROM events GROUP BY 1)""")
 def t5_merged_state_stream(t):
     out, check = shared_place(t.spark, "t5"), shared_place(t.spark, "t5-check")

@@ -282,6 +282,56 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, *, files_p
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+# ---- nested memory ----------------------------------------------------------------------
+
+
+class _Memory(StatefulProcessor):
+    """What was last seen of each object in each view of a key; a reset begins a new epoch, and older entries are
+    overwritten when they are next seen. A batch reads and writes the entries that it touches and no others."""
+
+    def __init__(self, columns: list[str]):
+        self.columns = columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.epoch = handle.getValueState("epoch", "epoch long")
+        self.seen = handle.getMapState("seen", "object string, view string", "epoch long, state string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        epoch = self.epoch.get()[0] if self.epoch.exists() else 0
+        new, out = in_order(rows, "at"), {}
+        for at, obj, view, state, reset in zip(new["at"].tolist(), new["object"].tolist(), new["view"].tolist(), new["state"].tolist(), new["is_reset"].tolist()):
+            if reset:
+                epoch, out = epoch + 1, {(None, None): (epoch + 1, at, None)}
+            elif obj:
+                out[obj, view] = (epoch, at, state)
+        self.epoch.update((epoch,))
+        for (obj, view), (e, _, state) in out.items():
+            if obj is not None:
+                self.seen.updateValue((obj, view), (e, state))
+        changes = [(key[0], e, at, obj, view, state) for (obj, view), (e, at, state) in out.items()]
+        yield pd.DataFrame(changes, columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+def object_memory_stream(updates: DataFrame, *, key: str, order: str, obj: str, view: str, state: str, reset: Column) -> DataFrame:
+    """`object_memory` on a stream whose batches come in order: what changes, (key, epoch, at, object, view, state), a row
+    for each entry that a batch sets and one without an object for each key that it resets. `order` is a whole number."""
+    seen = F.coalesce(F.when(F.trim(view) != "", F.trim(view)), F.when(F.col(view).isNull(), F.lit("note")))
+    rows = updates.select(key, F.col(order).cast("long").alias("at"), F.trim(obj).alias("object"), seen.alias("view"), F.col(state).cast("string").alias("state"), F.coalesce(reset, F.lit(False)).alias("is_reset"))
+    rows = rows.filter("is_reset or (object != '' and view is not null)")
+    schema = T.StructType([updates.schema[key], *[T.StructField(c, k) for c, k in (("epoch", T.LongType()), ("at", T.LongType()), ("object", T.StringType()), ("view", T.StringType()), ("state", T.StringType()))]])
+    return rows.groupBy(key).transformWithStateInPandas(_Memory(schema.names), schema, "Update", "None")
+
+
+def memory_of_changes(changes: DataFrame, *, key: str) -> DataFrame:
+    """(key, object, views) after all changes that `object_memory_stream` gave: the last of each entry, of the key's last epoch."""
+    last = changes.groupBy(key).agg(F.max("epoch").alias("_last"))
+    kept = changes.groupBy(key, "object", "view").agg(F.max_by(F.struct("epoch", "state"), F.struct("epoch", "at")).alias("_s")).filter("object is not null").join(last, key).filter("_s.epoch = _last")
+    return kept.groupBy(key, "object").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("view", F.col("_s.state").alias("s"))))).alias("views"))
+
+
 # ---- plugs ------------------------------------------------------------------------------
 
 

@@ -49,3 +49,17 @@ def test_object_memory(spark):
     df = spark.createDataFrame(rows, "k string, n int, object string, view string, state string")
     got = st.object_memory(df, key="k", order=["n"], obj="object", view="view", state="state", reset=F.col("state") == "reset")
     assert {(r.k, r.object): r.views for r in got.collect()} == {("q", "car"): {"v1": "blue", "note": "seen"}, ("p", "bus"): {"v2": None}}
+
+
+def test_object_memory_over_batches_and_restarts(spark, streamed):
+    """Each batch is a query of its own that goes on from the checkpoint."""
+    rows = [("q", 1, " car ", "v1", "red"), ("q", 2, "car", " v1", "blue"), ("q", 3, "car", None, "seen"), ("p", 4, "car", "v1", "old"), ("q", 5, "", "v2", "x"), ("p", 6, None, None, "reset"),
+            ("p", 7, "bus", "v2", None), ("q", 8, "car", "v2", "green"), ("q", 9, None, None, "reset"), ("q", 10, "car", "v2", "black"), ("p", 11, "bus", "v2", "late"), ("r", 12, "x", "v", "y"), ("r", 13, None, None, "reset")]
+    schema = "k string, n int, object string, view string, state string"
+    names = dict(key="k", obj="object", view="view", state="state", reset=F.col("state") == "reset")
+    got = list(streamed([rows[:4], rows[4:7], rows[7:9], rows[9:]], schema, lambda s: st.object_memory_stream(s, order="n", **names)))
+    assert sum(map(len, got)) < len(rows)  # what a batch sets, and no more
+    changes = spark.createDataFrame([r for b in got for r in b], "k string, epoch long, at long, object string, view string, state string")
+    want = st.object_memory(spark.createDataFrame(rows, schema), order=["n"], **names)
+    as_dict = lambda df: {(r.k, r.object): r.views for r in df.collect()}
+    assert as_dict(st.memory_of_changes(changes, key="k")) == as_dict(want) == {("q", "car"): {"v2": "black"}, ("p", "bus"): {"v2": "late"}}
