@@ -55,25 +55,31 @@ def range_join(points: DataFrame, intervals: DataFrame, *, on: list[str], at: st
 
 def nearest(left: DataFrame, right: DataFrame, *, by: list[str], left_at: str, right_at: str, value: str, out: str = "nearest", width: float | None = None) -> DataFrame:
     """Left rows with the right row of equal keys whose time is nearest; of two equally near, the
-    earlier. One union and two running windows, no pairs. With `width`, times are cut to buckets so that a key
-    with many rows is many windows; what a bucket does not hold itself, its neighbours' edges give."""
-    keep = F.struct(F.col(right_at).alias("at"), F.col(value).alias("value"))
+    earlier. Each different time of a key is looked up once, in one union and two running windows, and left rows
+    take the answer by key and time: no pairs. With `width`, times are cut to buckets so that a key
+    with many times is many windows; what a bucket does not hold itself, its neighbours' edges give.
+
+    Both windows run from their start to the current row, one by rising and one by falling time: Spark adds to such
+    a frame row by row, but goes through the rest of the rows anew for each row of one that ends with the partition."""
     bucket = (F.floor(F.col("_t") / width) if width else F.lit(0)).cast("long").alias("_bucket")
-    r = right.groupBy(*by, right_at).agg(F.min(value).alias(value)).select(*by, F.col(right_at).alias("_t"), keep.alias("_r"), F.lit(None).cast(left.select(F.struct("*").alias("s")).schema["s"].dataType).alias("_l"))
-    row = F.struct(*[F.col(f"`{c}`") for c in left.columns])
-    both = left.select(*by, F.col(left_at).alias("_t"), F.lit(None).cast(r.schema["_r"].dataType).alias("_r"), row.alias("_l")).unionByName(r).select("*", bucket)
+    keep = F.struct(F.col(right_at).alias("at"), F.col(value).alias("value"))
+    r = right.groupBy(*by, right_at).agg(F.min(value).alias(value)).select(*by, F.col(right_at).alias("_t"), keep.alias("_r"), F.lit(False).alias("_asked"))
+    asked = left.select(*by, F.col(left_at).alias("_t")).distinct().select("*", F.lit(None).cast(r.schema["_r"].dataType).alias("_r"), F.lit(True).alias("_asked"))
+    both = asked.unionByName(r).select("*", bucket)
     here = [*by, "_bucket"]
     # one row a bucket: the right rows next to it on either side
-    order = Window.partitionBy(*by).orderBy("_bucket")
+    order = Window.partitionBy(*by)
     edges = both.groupBy(*here).agg(F.max_by("_r", F.when(F.col("_r").isNotNull(), F.col("_t"))).alias("_hi"), F.min_by("_r", F.when(F.col("_r").isNotNull(), F.col("_t"))).alias("_lo"))
-    edges = edges.select(*here, F.last("_hi", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_p"), F.first("_lo", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_q"))
-    w = Window.partitionBy(*here).orderBy("_t")
-    before = F.last("_r", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("_r", ignorenulls=True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
-    found = both.withColumn("_b", before).withColumn("_a", after).filter("_l is not null").join(edges, here)
-    found = found.withColumns({"_b": F.coalesce("_b", "_p"), "_a": F.coalesce("_a", "_q")})
+    past = lambda c: F.last(c, ignorenulls=True)
+    up, down = order.orderBy("_bucket"), order.orderBy(F.desc("_bucket"))
+    edges = edges.select(*here, past("_hi").over(up.rowsBetween(Window.unboundedPreceding, -1)).alias("_p"), past("_lo").over(down.rowsBetween(Window.unboundedPreceding, -1)).alias("_q"))
+    w, so_far = Window.partitionBy(*here), (Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("_b", past("_r").over(w.orderBy("_t").rangeBetween(*so_far))).withColumn("_a", past("_r").over(w.orderBy(F.desc("_t")).rangeBetween(*so_far)))
+    found = found.filter("_asked").join(edges, here).withColumns({"_b": F.coalesce("_b", "_p"), "_a": F.coalesce("_a", "_q")})
     near = F.when(F.col("_a").isNull() | (F.col("_t") - F.col("_b.at") <= F.col("_a.at") - F.col("_t")), F.col("_b")).otherwise(F.col("_a"))
-    return found.withColumn("_n", near).select("_l.*", F.col("_n.at").alias(f"{out}_at"), F.col("_n.value").alias(out))
+    found = found.select(*[F.col(c).alias(f"_by_{c}") for c in by], "_t", near.alias("_n"))
+    rows = left.join(found, [F.col(left_at) == F.col("_t"), *[F.col(c) == F.col(f"_by_{c}") for c in by]])
+    return rows.select(*left.columns, F.col("_n.at").alias(f"{out}_at"), F.col("_n.value").alias(out))
 
 
 def flipped_pairs(orders: DataFrame, *, sample: str, item: str, old: str, new: str) -> DataFrame:
