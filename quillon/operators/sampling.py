@@ -142,11 +142,12 @@ def imbalance(sharded: DataFrame, *, load: str) -> DataFrame:
     return sharded.groupBy("shard").agg(F.sum(load).alias("s")).agg(F.min("s").alias("min"), F.max("s").alias("max"), (F.max("s") - F.min("s")).alias("diff"), F.avg("s").alias("mean"))
 
 
-def token_budget_shards(df: DataFrame, *, key: str, length: str, budget: int, least: int = 1, multiple: int = 1) -> DataFrame:
+def token_budget_shards(df: DataFrame, *, key: str, length: str, budget: int, least: int = 1, multiple: int = 1, strict: bool = True) -> DataFrame:
     """Balanced shards, as many as the tokens need at `budget` each, no fewer than `least`, rounded up to a
-    multiple and not more than there are rows. A row beyond the budget raises."""
+    multiple and not more than there are rows. A row beyond the budget raises; without `strict` it is dealt
+    like any other, whole, and its shard is that much larger."""
     row = df.agg(F.count("*").alias("n"), F.sum(length).alias("t"), F.max(length).alias("m")).first()
-    if (row.m or 0) > budget:
+    if strict and (row.m or 0) > budget:
         raise ValueError(f"a row has {row.m} tokens, more than the budget of {budget}")
     k = max(least, min(row.n, -(-(row.t or 0) // budget)))
     return balanced_shards(df, group=key, length=length, shards=max(1, -(-k // multiple) * multiple))

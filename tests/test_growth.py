@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from quillon.operators import joins as jo
+from quillon.operators import sampling as sa
 
 
 @pytest.mark.parametrize("width", [None, 7.0])
@@ -16,3 +17,9 @@ def test_nearest_runs_no_window_to_the_end(spark, capsys, width):
     assert sorted(map(tuple, df.collect())) == sorted(want)
     df.explain()
     assert "unboundedfollowing" not in capsys.readouterr().out
+
+
+def test_rows_beyond_the_budget_are_dealt_whole(spark):
+    rows = spark.createDataFrame([(1, 25), (2, 5), (3, 4), (4, 3)], "k long, n long")
+    got = sa.token_budget_shards(rows, key="k", length="n", budget=10, strict=False).collect()
+    assert sorted((r.k, r.tokens) for r in got) == [(1, 25), (2, 5), (3, 4), (4, 3)] and {r.shard for r in got} == {0, 1, 2, 3}
