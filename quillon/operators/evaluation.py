@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import parts_for, written
 from .resampling import majority_at
 
 
@@ -57,6 +58,7 @@ def best_and_worst(values: DataFrame, *, keys: list[str], value: str, n: Column)
     """Mean and deviation of the largest and smallest of n draws with replacement from each group:
     over sorted values, the i-th of N is the largest with probability (i/N)^n - ((i-1)/N)^n. `n` may
     be an array column: one row for each of its numbers."""
+    values = values.repartition(parts_for(values), *keys)
     w = Window.partitionBy(*keys)
     up = values.withColumn("_n", n).withColumn("_i", F.row_number().over(w.orderBy(value))).withColumn("_size", F.count("*").over(w))
     up = up.withColumn("n", F.explode("_n"))
@@ -100,8 +102,9 @@ def validation_metrics(samples: DataFrame, *, source: str, uid: str, variables:
     column of votes, maj@n, each with its deviation, for n on the ladder, per prompt and then over the prompts
     of a source. best, worst and maj are exact: what resampling tends to."""
     more = [vote] if vote and vote not in (source, uid) else []
-    long = samples.unpivot([source, uid, *more], variables, "variable", "x")
     keys = [source, uid, "variable"]
+    long = written(samples.select(source, uid, *more, *variables), "samples").unpivot([source, uid, *more], variables, "variable", "x")
+    long = long.repartition(parts_for(long), *keys)
     size = F.count("*").over(Window.partitionBy(*keys))
     stats = long.groupBy(*keys).agg(F.avg("x").alias("mean"), F.when(F.count("*") > 1, F.stddev_pop("x")).alias("std"), F.count("*").alias("n"))
     plain = stats.select(source, "variable", F.explode(F.array(*[F.struct(F.concat(F.lit(f"{m}@"), "n").alias("metric"), F.col(m).alias("value")) for m in ("mean", "std")])).alias("s"))

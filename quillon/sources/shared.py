@@ -36,6 +36,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def parts_for(df: DataFrame, rows: int = 100_000) -> int:
+    """How many partitions the table needs at about `rows` rows each. What is dealt to that many by its groups' keys keeps
+    a task's sorts, windows and hash maps at one size, however large the table is."""
+    return max(1, -(-df.count() // rows))
+
+
 def discard(table: DataFrame) -> None:
     """Deletes a table that `written` returned, once all that is made of it is written itself: nothing that a lost
     executor takes along then needs it again."""
