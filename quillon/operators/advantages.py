@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import parts_for
+
 EPS = 1e-6
 
 
@@ -178,18 +180,19 @@ def optimal_token_baseline(tokens: DataFrame, *, group: str, seq: str, pos: str,
     positions over masked tokens only, and sequences without any are left out."""
     inside = F.col(mask).cast("double")
     on = tokens.filter(mask) if compact else tokens
-    on = on.withColumn("_at", F.row_number().over(Window.partitionBy(seq).orderBy(pos)))
+    parts = parts_for(tokens)
+    on = on.repartition(parts, seq).withColumn("_at", F.row_number().over(Window.partitionBy(seq).orderBy(pos)))
     on = on.withColumn("returns", F.sum(F.col(reward) * inside).over(Window.partitionBy(seq).orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, 0)))
     on = on.withColumn("_w", F.sum(F.col(weight) * inside).over(Window.partitionBy(seq).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)) * inside)
     order = Window.partitionBy(group).orderBy(F.desc("_len"), seq)
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     second = F.nth_value("_len", 2).over(whole)
-    lengths = on.groupBy(group, seq).agg(F.count_if(mask).alias("_len"))
+    lengths = on.groupBy(group, seq).agg(F.count_if(mask).alias("_len")).repartition(parts, group)
     lengths = lengths.select(seq, F.count("*").over(_group(group)).alias("_n"), F.when((F.row_number().over(order) == 1) & (F.col("_len") > second), second).alias("_tail"))
     cell = Window.partitionBy(group, "_at")
     base = F.sum(F.col("returns") * F.col("_w")).over(cell) / (F.sum("_w").over(cell) + 1e-8)
     none = (F.col("_n") < 2) | ((F.col("_at") > F.col("_tail")) & F.lit(zero_tail))
-    out = on.join(lengths, seq).withColumn("baseline", F.when(none, 0.0).otherwise(base))
+    out = on.join(lengths.repartition(parts, seq), seq).repartition(parts, group, "_at").withColumn("baseline", F.when(none, 0.0).otherwise(base))
     return out.withColumn("advantage", (F.col("returns") - F.col("baseline")) * inside).drop("_w", "_n", "_at", "_tail")
 
 

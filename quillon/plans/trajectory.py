@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import advantages as adv
 from ..operators import evaluation as ev
 from ..operators import offpolicy as off
+from ..sources.shared import parts_for
 from .tables import Area, Tables
 
 area = Area()
@@ -21,7 +22,7 @@ ROWS = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey"
 
 def tokens(t: Tables) -> DataFrame:
     pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*KEY))
-    return t.lineitem.select(
+    return t.lineitem.repartition(parts_for(t.lineitem), "l_orderkey").select(
         F.col("l_orderkey").alias("seq"), F.floor(F.col("l_orderkey") / 8).alias("uid"), pos.cast("long").alias("pos"), (F.col("l_linestatus") == "F").alias("mask"),
         (F.col("l_extendedprice") / 1000).alias("reward"), (-F.col("l_discount") - 0.01).alias("lp"), (-F.col("l_tax") - 0.01).alias("rlp"), F.col("l_quantity").alias("val"), (0.5 + F.col("l_discount")).alias("wt"))
 
