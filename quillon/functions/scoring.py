@@ -6,7 +6,9 @@ import importlib.util
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -218,11 +220,26 @@ def user_score(f: Callable[..., float | dict], *, failed: float | None = 0.0):
     return run
 
 
+#: Rows, and bytes of their columns, that a scorer of lists gets at once.
+SCORED_ROWS, SCORED_BYTES = 1024, 4 << 20
+
+
 def batch_score(f: Callable[[list, list, list, list], list[float]]):
-    """A scorer of lists, once per batch."""
-    @F.pandas_udf("double")
-    def run(source: pd.Series, text: pd.Series, truth: pd.Series, extra: pd.Series) -> pd.Series:
-        return pd.Series(f(source.tolist(), text.tolist(), truth.tolist(), extra.tolist()), dtype="float64")
+    """A scorer of lists, once per batch of at most SCORED_ROWS rows and, but for a single longer row, SCORED_BYTES: Python
+    holds no more than that as objects, however many rows Spark sends at once."""
+    @F.arrow_udf("double")
+    def run(source: pa.Array, text: pa.Array, truth: pa.Array, extra: pa.Array) -> pa.Array:
+        columns, out, at = (source, text, truth, extra), [], 0
+        while at < len(text):
+            n = min(SCORED_ROWS, len(text) - at)
+            while n > 1 and sum(c.slice(at, n).nbytes for c in columns) > SCORED_BYTES:
+                n = -(-n // 2)
+            scores = np.asarray(f(*[c.slice(at, n).to_pylist() for c in columns]), dtype=np.float64)
+            if len(scores) != n:
+                raise ValueError(f"{len(scores)} scores for {n} rows")
+            out.append(scores)
+            at += n
+        return pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64(), from_pandas=True)
 
     return run
 
