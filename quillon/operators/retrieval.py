@@ -237,8 +237,9 @@ def bm25_top_k(queries: DataFrame, docs: DataFrame, **options) -> DataFrame:
 
 # ---- vectors --------------------------------------------------------------------
 
-#: Pivots at most, vectors in a chunk of a group, queries in a block, and groups that a query searches first.
-PIVOTS, CHUNK, FIRST_GROUPS = 4096, 8192, 2
+#: Pivots at most, vectors in a chunk of a group, queries that meet a chunk at once, groups that a query searches first,
+#: and rows of a batch of (query, group) pairs.
+PIVOTS, CHUNK, ASKING, FIRST_GROUPS, ROWS = 4096, 8192, 4096, 2, 8192
 _PLACED = "doc_id {doc}, v array<double>, pivot int, far double"
 
 
@@ -281,8 +282,9 @@ def _wanted(handle, first: int | None):
                 if first is None:
                     early = ~early & (bound >= np.asarray(part.column("least").fill_null(-np.inf))[:, None])
                 row, group = np.nonzero(early)
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([part.column("query_id").take(take), part.column("v").take(take), pa.array(groups[group], pa.int32())], names=["query_id", "v", "pivot"])
+                for cut in range(0, len(row), ROWS):  # a query's vector is repeated for each of its groups
+                    take = pa.array(row[cut : cut + ROWS])
+                    yield pa.RecordBatch.from_arrays([part.column("query_id").take(take), part.column("v").take(take), pa.array(groups[group[cut : cut + ROWS]], pa.int32())], names=["query_id", "v", "pivot"])
 
     return run
 
@@ -299,10 +301,12 @@ def _nearest_of_chunk(k: int, kinds: list[pa.DataType]):
                 for r, s in enumerate(score):
                     few = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))
                     few = few[np.lexsort((rank[few], -s[few]))][:k]
-                    rows += [at + r] * len(few)
-                    cols += few.tolist()
-                    scores += s[few].tolist()
-        out = [q.column("query_id").take(pa.array(rows, pa.int64())), d.column("doc_id").take(pa.array(cols, pa.int64())), pa.array(scores, pa.float64())]
+                    rows.append(np.full(len(few), at + r))
+                    cols.append(few)
+                    scores.append(s[few])
+        joined = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
+        rows, cols, scores = joined(rows, np.int64), joined(cols, np.int64), joined(scores, np.float64)
+        out = [q.column("query_id").take(pa.array(rows)), d.column("doc_id").take(pa.array(cols)), pa.array(scores)]
         # one row without a document: how many pairs were looked at
         none = [pa.nulls(1, k) for k in (*kinds, pa.float64())]
         columns = [pa.chunked_array([*(x.chunks if isinstance(x, pa.ChunkedArray) else [x]), y]) for x, y in zip(out, none)]
@@ -342,20 +346,24 @@ def dense_search(queries: DataFrame, corpus: DataFrame, *, k: int, query_id: str
     radius[number] = far
     handle = spark.sparkContext.broadcast((table, radius, np.sort(number)))
     chunks = spark.createDataFrame([(int(p), max(1, -(-int(c) // chunk))) for p, c in zip(number, np.asarray(groups.column("n")))], "pivot int, chunks int")
+    asked = q.count()
+    asking_parts = max(1, -(-asked // ASKING))
     dealt = placed.join(F.broadcast(chunks), "pivot").select("pivot", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int").alias("chunk"), "doc_id", "v")
+    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(asking_parts - 1))))
 
     def search(asking: DataFrame, first: int | None) -> DataFrame:
         columns = f"query_id {q.schema['query_id'].dataType.simpleString()}, v array<double>, pivot int"
         pairs = asking.mapInArrow(_wanted(handle, first), columns).join(F.broadcast(chunks), "pivot")
         pairs = pairs.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
-        return pairs.groupBy("pivot", "chunk").cogroup(dealt.groupBy("pivot", "chunk")).applyInArrow(_nearest_of_chunk(k, kinds), hit)
+        pairs = pairs.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(asking_parts)).cast("int"))
+        return pairs.groupBy("pivot", "chunk", "part").cogroup(dealt.groupBy("pivot", "chunk", "part")).applyInArrow(_nearest_of_chunk(k, kinds), hit)
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     ranked = lambda hits: hits.filter("doc_id is not null").withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= k)
     early = written(search(q, FIRST_GROUPS), "first-hits")
     least = ranked(early).filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
     hits = written(search(q.join(least, "query_id", "left"), None).unionByName(early), "hits")
-    visits = hits.agg(F.lit(n * q.count()).cast("long").alias("pairs"), F.sum("visited").alias("visited"))
+    visits = hits.agg(F.lit(n * asked).cast("long").alias("pairs"), F.sum("visited").alias("visited"))
     return ranked(hits).select("query_id", "doc_id", "score", "rank"), visits
 
 
