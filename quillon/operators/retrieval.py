@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,24 +39,33 @@ def _index(asked: frozenset[str] | None, id_kind: pa.DataType):
     """Postings of a block of documents: its terms, how many of its documents each has, the largest tf and the
     smallest length among those, and then document, tf by tf, all terms one after the other."""
     names = [x.split()[0] for x in _INDEX.split(", ")] + ["ids"]
+    every = [None, *(asked or ())]
+    number_of = {w: k for k, w in enumerate(every) if k}
 
     def block(number: int, ids: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
-        words = [TERM.findall(t) if t else [] for t in texts]
-        length = np.array([len(w) for w in words], dtype=np.int32)
-        code: dict[str, int] = {}
-        flat = np.fromiter((code.setdefault(w, len(code)) for w in chain.from_iterable(words) if asked is None or w in asked), dtype=np.int64)
-        held = length if asked is None else np.array([sum(x in asked for x in w) for w in words])
-        terms = sorted(code)
-        place = np.empty(len(terms), dtype=np.int64)
-        place[[code[t] for t in terms]] = np.arange(len(terms))
-        key, tf = np.unique(place[flat] << 32 | np.repeat(np.arange(len(words)), held), return_counts=True)
+        length, held = np.zeros(len(texts), dtype=np.int32), np.zeros(len(texts), dtype=np.int64)
+        flat, own = [], {}
+        for k, t in enumerate(texts):
+            words = TERM.findall(t) if t else []
+            length[k] = len(words)
+            # numbers from 1 of the words that are asked for: a text's words are looked up once, without a step of ours for each
+            found = list(filter(None, map(number_of.get, words))) if asked is not None else [own.setdefault(w, len(own) + 1) for w in words]
+            held[k] = len(found)
+            flat.append(np.array(found, dtype=np.int64))
+        flat = np.concatenate(flat)
+        names_of, seen = (every, np.unique(flat)) if asked is not None else ([None, *own], np.arange(1, len(own) + 1))
+        order = sorted(seen.tolist(), key=names_of.__getitem__)
+        terms = [names_of[c] for c in order]
+        place = np.zeros(len(names_of), dtype=np.int64)
+        place[order] = np.arange(len(terms))
+        key, tf = np.unique(place[flat] << 32 | np.repeat(np.arange(len(texts)), held), return_counts=True)
         term, doc = key >> 32, (key & 0xFFFFFFFF).astype(np.int32)
         first = np.searchsorted(term, np.arange(len(terms)))
         most = np.maximum.reduceat(tf, first) if len(terms) else tf
         least = np.minimum.reduceat(length[doc], first) if len(terms) else tf
         size = np.diff(np.append(first, len(key)))
         one = lambda x: pa.array([x.astype(np.int32).tolist()], pa.list_(pa.int32()))
-        columns = [pa.array([number]), pa.array([len(words)], pa.int64()), pa.array([int(length.sum())], pa.int64()), pa.array([terms], pa.list_(pa.string()))]
+        columns = [pa.array([number]), pa.array([len(texts)], pa.int64()), pa.array([int(length.sum())], pa.int64()), pa.array([terms], pa.list_(pa.string()))]
         columns += [one(x) for x in (size, most, least, doc, tf, length)] + [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)]
         return pa.RecordBatch.from_arrays(columns, names=names)
 
