@@ -94,7 +94,9 @@ def s5_tool_logs(t):
     path = shared_place(t.spark, "s5")
     entry = F.struct("turn", F.col("role").alias("tool_name"), F.struct(F.when(F.col("turn") % 2 == 0, F.array(F.lit("v1"))).otherwise(F.array(F.lit("v1"), F.lit("v2"))).alias("observation_targets")).alias("inputs"))
     logs = t.conversations.groupBy(F.concat(F.col("conv_id").cast("string"), F.lit("_log")).alias("dir")).agg(F.to_json(F.collect_list(entry)).alias("value"))
-    logs.repartition(4).write.partitionBy("dir").text(path)
+    # a folder for each log: as many writers as there are cores, and each task moves its own files to their place, not the driver all
+    writer = logs.repartition(t.spark.sparkContext.defaultParallelism, "dir").write.partitionBy("dir")
+    writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
     out = fi.read_tool_logs(t.spark, path, "*.txt")
     return out.select(F.regexp_extract("dir", r"dir=(\d+)", 1).cast("long").alias("task_id"), "turn", "tool_name", F.size("inputs.observation_targets").alias("n_targets"))
 

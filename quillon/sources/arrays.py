@@ -16,8 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of a range, and of what is read at once.
-RANGE_BYTES, CHUNK_BYTES = 32 << 20, 1 << 20
+from .shared import written
+
+#: Bytes of a range, and of what is read at once; files of one range that a task reads.
+RANGE_BYTES, CHUNK_BYTES, FILES = 32 << 20, 1 << 20, 1000
 _MARK = np.zeros(256, dtype=np.int8)  # 1 opens, -1 closes, 2 is a comma
 for _c, _k in zip(b"[{]},", (1, 1, -1, -1, 2)):
     _MARK[_c] = _k
@@ -97,25 +99,29 @@ def _effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             with opened(row["file"]) as file:
-                carry, states = _escapes(file, row["start"]), [[bool(c), 0, {}] for c in (0, 1)]
-                opens = None
-                for _, data in chunks(file, row["start"], row["stop"]):
-                    if opens is None and data.strip(_BLANK):
-                        opens = data.lstrip(_BLANK)[:1] == b"["
-                    m = Marks(data, carry)
-                    carry = m.carry
-                    for state in states:
-                        _, kind, before = m.outside(state[0])
-                        depth, n = np.unique(before[kind == 2] + state[1], return_counts=True)
-                        for d, c in zip(depth.tolist(), n.tolist()):
-                            if d <= 1:
-                                state[2][d] = state[2].get(d, 0) + c
-                        state[1] += int(kind[kind != 2].sum())
-                        state[0] ^= bool(m.quotes % 2)
-            rows = [row | {"case": c, "inside": s[0], "depth": s[1], "levels": list(s[2]), "commas": list(s[2].values()), "opens": opens} for c, s in enumerate(states)]
+                rows = _effect(file, row, (0, 1))
             yield pa.RecordBatch.from_pylist(rows, schema=_arrow(_EFFECT))
 
 
+def _effect(file, row: dict, cases: tuple[int, ...]) -> list[dict]:
+    carry, states = _escapes(file, row["start"]), [[bool(c), 0, {}] for c in cases]
+    opens = None
+    for _, data in chunks(file, row["start"], row["stop"]):
+        if opens is None and data.strip(_BLANK):
+            opens = data.lstrip(_BLANK)[:1] == b"["
+        m = Marks(data, carry)
+        carry = m.carry
+        for state in states:
+            _, kind, before = m.outside(state[0])
+            depth, n = np.unique(before[kind == 2] + state[1], return_counts=True)
+            for d, c in zip(depth.tolist(), n.tolist()):
+                if d <= 1:
+                    state[2][d] = state[2].get(d, 0) + c
+            state[1] += int(kind[kind != 2].sum())
+            state[0] ^= bool(m.quotes % 2)
+    return [row | {"case": c, "inside": s[0], "depth": s[1], "levels": list(s[2]), "commas": list(s[2].values()), "opens": opens} for c, s in zip(cases, states)]
+
+
 def _arrow(ddl: str) -> pa.Schema:
     kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
     return pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in ddl.split(", ")])
@@ -125,8 +131,12 @@ _START = "file string, number int, start long, stop long, size long, inside bool
 
 
 def _joined(table: pa.Table) -> pa.Table:
+    return pa.Table.from_pylist(_states(table.to_pylist()), schema=_arrow(_START))
+
+
+def _states(rows: list[dict]) -> list[dict]:
     """The ranges of one file, each with the state at its start and the commas of the array before it."""
-    rows = sorted(table.to_pylist(), key=lambda r: (r["number"], r["case"]))
+    rows = sorted(rows, key=lambda r: (r["number"], r["case"]))
     inside, depth, before, out = False, 0, 0, []
     first = next((r["opens"] for r in rows if r["opens"] is not None), False)  # blank ranges do not say
     fault = None if first else "the root is not a list"
@@ -138,7 +148,7 @@ def _joined(table: pa.Table) -> pa.Table:
         inside, depth = r["inside"], depth + r["depth"]
     if fault is None and (inside or depth):
         out[-1]["fault"] = "the list does not end"
-    return pa.Table.from_pylist(out, schema=_arrow(_START))
+    return out
 
 
 def elements(file, row: dict) -> Iterator[tuple[int, bytes]]:
@@ -169,27 +179,34 @@ def elements(file, row: dict) -> Iterator[tuple[int, bytes]]:
 
 
 def _elements(strict: bool, rows: int = 1024):
+    """Elements of ranges whose state is known, and of whole files (state null) whose state is found on the spot.
+    Files that come one after the other share a batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(found: list[tuple]) -> pa.RecordBatch:
             files, index, text = zip(*found)
             return pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(index, pa.int64()), pa.array([t.decode() for t in text], pa.string())], names=["file", "source_index", "raw"])
 
+        found, size = [], 0
         for batch in batches:
             for row in batch.to_pylist():
+                if row["fault"] and strict:
+                    raise ValueError(f"{row['file']}: {row['fault']}")
                 if row["fault"]:
-                    if strict:
-                        raise ValueError(f"{row['file']}: {row['fault']}")
                     continue
                 with opened(row["file"]) as file:
-                    found, size = [], 0
-                    for index, text in elements(file, row):
+                    if row["inside"] is None:
+                        row = _states(_effect(file, row, (0,)))[0]
+                        if row["fault"] and strict:
+                            raise ValueError(f"{row['file']}: {row['fault']}")
+                    for index, text in elements(file, row) if not row["fault"] else ():
                         found.append((row["file"], index, text))
                         size += len(text)
                         if len(found) >= rows or size >= CHUNK_BYTES:
                             yield out(found)
                             found, size = [], 0
-                    if found:
-                        yield out(found)
+        if found:
+            yield out(found)
 
     return run
 
@@ -201,22 +218,25 @@ def array_elements(spark: SparkSession, path: str, *, glob: str | None = None, s
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", glob is not None)
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
     folders = [c for c in files.columns if c not in ("path", "modificationTime", "length", "content")]
-    files = files.select(F.col("path").alias("file"), F.col("length").alias("size"), *folders)
+    files = written(files.select(F.col("path").alias("file"), F.col("length").alias("size"), *folders), "files")
     cuts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))
     ranges = files.select("file", "size", F.posexplode(cuts).alias("number", "start"))
     ranges = ranges.select("file", "number", "start", F.least(F.col("start") + range_bytes, "size").alias("stop"), "size")
     # rows are small, their work is not: as many tasks as there are ranges' worth of bytes
-    n, size = files.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    tasks = max(1, -(-int(size) // range_bytes), min(n, spark.sparkContext.defaultParallelism))
+    n, size, long = files.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.count_if(F.col("size") > range_bytes)).first()
+    tasks = max(1, -(-int(size) // range_bytes), -(-n // FILES), min(n, spark.sparkContext.defaultParallelism))
     spread = lambda df: df.repartition(tasks, "file", "number")
-    states = spread(ranges).mapInArrow(_effects, _EFFECT).groupBy("file").applyInArrow(_joined, _START)  # a row a range
+    # a file of one range begins where its range does: it is read whole by one task, with no pass before
+    unknown = [F.lit(None).cast(k).alias(c) for c, k in (("inside", "boolean"), ("depth", "long"), ("before", "long"), ("fault", "string"))]
+    whole = ranges.filter(F.col("size") <= range_bytes).select("file", F.col("number").cast("int").alias("number"), "start", "stop", "size", *unknown)
+    states = spread(ranges.filter(F.col("size") > range_bytes)).mapInArrow(_effects, _EFFECT).groupBy("file").applyInArrow(_joined, _START)  # a row a range
     if start or limit is not None:
         after = F.lead("before").over(_by_file())
         states = states.withColumn("_after", after)
         if limit is not None:
             states = states.filter((F.col("before") < start + limit) | F.col("fault").isNotNull())
         states = states.filter(F.col("_after").isNull() | (F.col("_after") >= start) | F.col("fault").isNotNull()).drop("_after")
-    found = spread(states).mapInArrow(_elements(strict), "file string, source_index long, raw string")
+    found = spread(states.unionByName(whole) if 0 < long < n else states if long else whole).mapInArrow(_elements(strict), "file string, source_index long, raw string")
     if start or limit is not None:
         found = found.filter(F.col("source_index").between(start, start + limit - 1) if limit is not None else F.col("source_index") >= start)
     return found.join(files.select("file", *folders), "file") if folders else found
